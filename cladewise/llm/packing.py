@@ -7,8 +7,8 @@ documents find their range by a join on their rank within their length.
 
 from __future__ import annotations
 
+import base64
 import bisect
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,50 +21,30 @@ from pyspark.sql.window import Window
 
 CAPACITY, END_ID = 2048, 0
 #: Rows that one window group or one join key of the ranking holds.
-RANK_BLOCK = 4096
-#: Vocabulary pieces that a Python worker remembers, and documents it holds at once.
-CACHE, DOCS_AT_ONCE = 200_000, 128
+RANK_BLOCK = 512
+#: Documents whose ids a Python worker holds at once.
+DOCS_AT_ONCE = 128
 
-_INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_OUTER_SPACE = re.compile(r"(?:^|\s) | (?:\s|$)")
-
-
-class _Pieces(dict):
-    """Ids of a piece of text with no inner word boundary, as little-endian uint32 bytes."""
-
-    def __init__(self, tokenizer, prefix: str):
-        self.tokenizer, self.prefix = tokenizer, prefix
-
-    def learn(self, pieces: list[str]) -> None:
-        new = list(set(pieces).difference(self))
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(set(pieces))
-        found = self.tokenizer.encode_batch([self.prefix + x for x in new], add_special_tokens=False)
-        self.update(zip(new, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
+#: Fixed value: the vocabulary's only special token; in a text it is one id, as everywhere.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str):
-    from tokenizers import Tokenizer
+def _encoder(path: str, pattern: str):
+    import tiktoken
 
-    tokenizer = Tokenizer.from_file(path)
-    return _Pieces(tokenizer, ""), _Pieces(tokenizer, " ")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text. A byte-level BPE never merges over a single space between two visible
-    characters, so a text is cut there and equal pieces are encoded once."""
-    first, later = _encoder(path)
-    cut = [_INNER_SPACE.split(t) if _OUTER_SPACE.search(t) else t.split(" ") for t in texts]
-    first.learn([c[0] for c in cut])
-    later.learn([x for c in cut for x in c[1:]])
-    get = later.__getitem__
-    return [first[c[0]] + b"".join(map(get, c[1:])) for c in cut]
+def encode(text: str, path: str, pattern: str) -> bytes:
+    """Ids of a text as little-endian uint32, with the ranks in the file ``path``."""
+    return _encoder(path, pattern).encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids)``; ``ids`` is binary, little-endian uint32.
 
@@ -79,9 +59,8 @@ def token_pieces(
             for at in range(0, whole.num_rows, DOCS_AT_ONCE):
                 batch = whole.slice(at, DOCS_AT_ONCE)
                 rows: list[list] = [[], [], [], [], []]
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts, tokenizer_path), strict=True):
-                    ids += end
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    ids = encode(text or "", ranks_path, pattern) + end
                     n = len(ids) // 4
                     start, piece = 0, 0
                     while start < n:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, packing, quality, toxicity, warc
+from . import decontaminate, exact_dedup, language, near_dedup, packing, pii, quality, substrings, toxicity, warc
 from .scratch import materialize
 
 
@@ -13,10 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer() -> tuple[str, str]:
+    """Ranks and word pattern of the byte-level BPE vocabulary; ids are those of its json file."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +28,30 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Packing with the digest of each piece's ids in place of the ids."""
+    pieces = packing.token_pieces(docs, *tokenizer())
+    return packing.assign_slots(materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
-    pieces = materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
-    return packing.assign_slots(pieces)
+    return packed(table(spark, sf_dir, "documents"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op7_packing, op8_language, op9_exact_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_quality, op3_substrings, op4_pii, op5_decontamination, op6_near_dedup, op7_packing, op8_language,
+    op9_exact_dedup, op10_toxicity,
+)}
 
 ORACLE_SQL = {
     "op1_warc": r"""
