@@ -51,10 +51,10 @@ def t3(s, d):
 wp AS (SELECT tree_id, node_id, parent_id FROM kp JOIN tree_node USING (tree_id, node_id)), kd AS (SELECT tree_id, parent_id AS node_id, count(*) AS kids FROM wp WHERE parent_id IS NOT NULL GROUP BY ALL),
 so AS (SELECT tree_id, node_id FROM wp LEFT JOIN kd USING (tree_id, node_id) WHERE kids IS NULL OR kids >= 2),
 ne AS (SELECT s.tree_id, s.node_id, arg_min(a.anc_id, a.hops) AS parent_id, round(arg_min(a.dist, a.hops), 6) AS dist FROM so s JOIN anc a USING (tree_id, node_id) JOIN so p ON p.tree_id = a.tree_id AND p.node_id = a.anc_id WHERE a.hops > 0 GROUP BY ALL)
-SELECT tree_id, node_id, parent_id, dist FROM so LEFT JOIN ne USING (tree_id, node_id)""")
+SELECT tree_id, node_id, coalesce(parent_id, -1) AS parent_id, coalesce(dist, -1) AS dist FROM so LEFT JOIN ne USING (tree_id, node_id)""")
 def t4(s, d):
     keep = _sets(s, d).filter("node_id % 3 = 0")
-    return tree.prune(A.trees(s, d), _anc(s, d), keep)
+    return tree.prune(A.trees(s, d), _anc(s, d), keep).na.fill(-1)
 
 
 _TP = """tp AS (SELECT a.tree_id, a.node_id AS conv, b.node_id AS ctrl, round((a.value - b.value) / b.value * 100, 6) AS pct FROM trait a JOIN trait b ON a.tree_id = b.tree_id AND a.value > b.value AND b.value > 0)"""
