@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .scratch import materialize, released
@@ -25,8 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        following = materialize(small.filter("a <> b").distinct())
-        state = following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        seen_rows = Observation()
+        checked = small.filter("a <> b").distinct().observe(seen_rows, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s"))
+        following = materialize(checked)
+        state = seen_rows.get
         released(now)
         now = following
         if state == seen:

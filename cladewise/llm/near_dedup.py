@@ -5,13 +5,14 @@ values bring documents together, the sketch of a pair's union estimates its simi
 most chance meetings, and the exact Jaccard similarity of the full sets confirms a link.
 
 Lists may be long, so pairs within a list are never all made at once. Documents with equal sets are
-one node. Values of long lists are replaced by runs of ``RUN`` neighbouring values. Each node first
-meets the smallest node of its lists only; what that links is merged, and lists of one component are
-done. Pairs between different components of the rest follow.
+one node. Values of long lists are replaced by runs of neighbouring values, the longer the set the
+longer. Each node first meets the smallest node of its lists only; what that links is merged, and
+lists that are merged whole are done. The rest of the lists, in blocks, compare sketches between different
+components where they meet, so that only likely pairs leave a task.
 
 Two sets of similarity 0.75 share none of their 16 smallest values with probability 0.25^16, and
-no run of 4 among 96 values, which matters only if all they share is in long lists, with one of
-about 3e-5.
+no run of 6 among 128 values, which matters only if all they share is in long lists, with one of
+about 1e-4.
 """
 
 from __future__ import annotations
@@ -23,17 +24,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .scratch import materialize, released
+from .scratch import materialize
 
 WORDS, LEAST_PERCENT = 5, 75
-SKETCH, INDEXED, RUN, LONG_LIST = 96, 16, 4, 32
-#: Below threshold by how much an estimate may be for the pair to be verified (over four deviations).
-SLACK = 0.19
+SKETCH, INDEXED, LONG_LIST, BLOCK = 128, 16, 10, 64
+#: Lists of more nodes than CROWD draw so many more heads.
+CROWD, HEADS = 24, 6
+#: Largest set sizes for runs of 3, 4 and 5 values; larger sets have runs of 6.
+RUNS = ((40, 3), (80, 4), (160, 5))
+#: Below threshold by how much an estimate may be for the pair to be verified (3.7 deviations), and
+#: the least share of the smallest values that a pair must have in common to be estimated at all.
+SLACK, FIRST_LOOK, FIRST_SHARE = 0.14, 24, 0.36
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -42,7 +48,7 @@ class _Hashes(dict):
     """64-bit hashes of the words seen, forgotten from time to time."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -93,12 +99,18 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
     short = values.join(sizes.filter(F.col("size") <= LONG_LIST), "key").select("key", "node", "n")
     long_values = sizes.filter(F.col("size") > LONG_LIST).select("key")
     crowded = values.join(long_values, "key", "left_semi").select("node").distinct()
-    # A small set is its own sketch; its runs go round the end, so that it has as many as values.
-    ring = F.when(F.size("sketch") < SKETCH, F.concat("sketch", F.slice("sketch", 1, RUN - 1))).otherwise(F.col("sketch"))
+    # A small set is its own sketch; its runs go round the end, so that it has as many as values. Sizes
+    # of sets that may be linked differ by a third, so runs are made for those sizes too.
+    def run_length(n: Column) -> Column:
+        return F.when(n <= RUNS[0][0], RUNS[0][1]).when(n <= RUNS[1][0], RUNS[1][1]).when(n <= RUNS[2][0], RUNS[2][1]).otherwise(RUNS[2][1] + 1)
+
+    lengths = F.array_distinct(F.array(run_length(F.col("n") * LEAST_PERCENT / 100), run_length(F.col("n")), run_length(F.col("n") * 100 / LEAST_PERCENT)))
+    whole = nodes.join(crowded, "node", "left_semi").withColumn("r", F.explode(lengths))
+    ring = F.when(F.size("sketch") < SKETCH, F.concat("sketch", F.slice(F.col("sketch"), F.lit(1), F.col("r") - 1))).otherwise(F.col("sketch"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ring") - F.col("r") + 1))
     runs = (
-        nodes.join(crowded, "node", "left_semi").withColumn("ring", ring)
-        .withColumn("starts", F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ring") - (RUN - 1))))
-        .select(F.explode(F.transform("starts", lambda i: F.xxhash64(F.slice("ring", i, RUN), F.lit(RUN)))).alias("key"), "node", "n")
+        whole.withColumn("ring", ring).withColumn("starts", starts)
+        .select(F.explode(F.transform("starts", lambda i: F.xxhash64(F.slice(F.col("ring"), i, F.col("r")), F.col("r")))).alias("key"), "node", "n")
         .distinct()
     )
     several = runs.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
@@ -110,33 +122,95 @@ def _near_in_size(a: str, b: str):
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """``(a, b)``: of each node, the list's smallest node that it meets most often."""
-    heads = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"))
-    met = lists.join(heads, "key").filter(F.col("node") > F.col("head.node")).filter(_near_in_size("n", "head.n"))
-    often = met.groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("times"))
-    return often.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
+    """``(a, b)``: of each node, the list's smallest node that it meets most often. In lists of over
+    ``CROWD`` nodes, which large families share, it also meets ``HEADS`` others, drawn by a hash of their
+    own, so that those unlike the first head are merged by another."""
+    draws = [F.struct(F.lit(0).alias("kind"), F.min(F.struct("node", "n")).alias("head"))]
+    draws += [F.struct(F.lit(k).alias("kind"), F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k))).alias("head")) for k in range(1, HEADS + 1)]
+    one = F.slice(F.array(*draws), 1, 1)
+    heads = lists.groupBy("key").agg(F.when(F.count("*") > CROWD, F.array(*draws)).otherwise(one).alias("h")).select("key", F.explode("h").alias("h"))
+    met = lists.join(heads, "key").filter((F.col("node") != F.col("h.head.node")) & _near_in_size("n", "h.head.n"))
+    often = met.groupBy("node", F.col("h.kind").alias("kind"), F.col("h.head.node").alias("head")).agg(F.count("*").alias("times"))
+    best = often.groupBy("node", "kind").agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("head"))
+    return best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
+def _verdict(x: np.ndarray, p: int, y: np.ndarray, q: int) -> int:
+    """1 or 0 if two sketches decide (whole sets, or far apart), -1 if the full sets must."""
+    shared, union = np.intersect1d(x, y, assume_unique=True), np.union1d(x, y)
+    if p <= SKETCH and q <= SKETCH:
+        return int(100 * len(shared) >= LEAST_PERCENT * len(union))
+    edge = union[: min(SKETCH, len(union))]
+    similar = np.searchsorted(shared, edge[-1], side="right") / len(edge)
+    return -1 if similar >= LEAST_PERCENT / 100 - SLACK else 0
+
+
+def cross_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b, verdict)`` of the likely pairs of a list that are in different components.
+
+    ``lists(key, node, n, component, size, main, main_size)``; ``main`` is the list's largest component.
+    Its nodes and the rest are each dealt in blocks of about ``BLOCK``; each block of the one meets each
+    block of the other in one group, and the rest's blocks meet each other. Sketches travel with the
+    nodes, pairs stay in their task, and no group grows with the list."""
+    is_main = F.col("component") == F.col("main")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    dealt = lists.withColumn("of_main", is_main).withColumn("mains", blocks(F.col("main_size"))).withColumn("rests", blocks(F.col("size") - F.col("main_size")))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    across = F.transform(to(F.col("rests")), lambda o: pair(F.col("own"), o))
+    inside = F.concat(
+        F.transform(to(F.col("mains")), lambda o: pair(o, F.col("own"))),
+        F.transform(to(F.col("rests")), lambda o: pair(-1 - F.least("own", o), F.greatest("own", o))),
+    )
+    dealt = dealt.withColumn("m", F.explode(F.when(is_main, across).otherwise(inside)))
+    rows = dealt.join(nodes.select("node", F.col("n").alias("size_n"), "sketch"), "node").filter("n = size_n")
+    partitions = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["key", "m.i", "m.j", "own", "node", "n", "component", "of_main", "sketch"]
+    sorted_rows = rows.select(*columns).repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def pairs_of(group: list[tuple]) -> list[tuple[int, int, int]]:
+        out = []
+        first = [frozenset(g[8][:FIRST_LOOK].tolist()) for g in group]
+        for x in range(len(group)):
+            _, i, j, own_x, a, p, ca, main_x, sa = group[x]
+            for y in range(x + 1, len(group)):
+                _, _, _, own_y, b, q, cb, main_y, sb = group[y]
+                if ca == cb or 100 * min(p, q) < LEAST_PERCENT * max(p, q):
+                    continue
+                if (i >= 0 and main_x == main_y) or (i < 0 and -1 - i != j and own_x == own_y):
+                    continue  # met in another group
+                if len(first[x] & first[y]) < FIRST_SHARE * min(len(first[x]), len(first[y])):
+                    continue
+                v = _verdict(sa, p, sb, q)
+                if v:
+                    out.append((min(a, b), max(a, b), v))
+        return out
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            found: list[tuple[int, int, int]] = []
+            plain = [c.to_pylist() for c in batch.columns[:8]]
+            values, ends = batch.column(8).values.to_numpy(), batch.column(8).offsets.to_numpy()
+            for k, row in enumerate(zip(*plain, strict=True)):
+                if group and row[:3] != group[0][:3]:
+                    found += pairs_of(group)
+                    group = []
+                group.append((*row, values[ends[k] : ends[k + 1]].copy()))
+            yield out(found)
+        yield out(pairs_of(group))
 
+    def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) if found else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "verdict"])
 
-def cross_pairs(lists: DataFrame) -> DataFrame:
-    """``(a, b)`` of all pairs of a list that are in different components; ``lists`` has ``component``."""
-    x, y = lists.alias("x"), lists.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
-    return pairs.filter(_near_in_size("x.n", "y.n")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return sorted_rows.mapInArrow(meet, "a long, b long, verdict int").distinct()
 
 
 @F.pandas_udf(T.IntegerType())
 def _judge(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
-    """1 or 0 if two sketches decide (whole sets, or far apart), -1 if the full sets must."""
-    out = []
-    for x, p, y, q in zip(a, na, b, nb, strict=True):
-        shared, union = np.intersect1d(x, y, assume_unique=True), np.union1d(x, y)
-        if p <= SKETCH and q <= SKETCH:
-            out.append(int(100 * len(shared) >= LEAST_PERCENT * len(union)))
-            continue
-        edge = union[: min(SKETCH, len(union))]
-        similar = np.searchsorted(shared, edge[-1], side="right") / len(edge)
-        out.append(-1 if similar >= LEAST_PERCENT / 100 - SLACK else 0)
-    return pd.Series(out, dtype="int32")
+    return pd.Series([_verdict(x, p, y, q) for x, p, y, q in zip(a, na, b, nb, strict=True)], dtype="int32")
 
 
 @F.pandas_udf(T.BooleanType())
@@ -151,16 +225,19 @@ def _confirm(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def links(pairs: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets are similar enough, as a written table."""
-    side = lambda x, *columns: [F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns)]
-    judged = pairs.join(nodes.select(*side("a", "n", "sketch")), "a").join(nodes.select(*side("b", "n", "sketch")), "b")
-    judged = judged.select("a", "b", _judge("a_sketch", "a_n", "b_sketch", "b_n").alias("verdict"))
-    judged = materialize(judged.filter("verdict <> 0"))
-    open_pairs = judged.filter("verdict = -1").select("a", "b")
-    full = open_pairs.join(bodies.select(*side("a", "text")), "a").join(bodies.select(*side("b", "text")), "b")
-    confirmed = full.filter(_confirm("a_text", "b_text")).select("a", "b")
-    return materialize(judged.filter("verdict = 1").select("a", "b").unionByName(confirmed))
+def judged(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b, verdict)`` of ``pairs(a, b)`` that their sketches don't rule out."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", _judge("a_sketch", "a_n", "b_sketch", "b_n").alias("verdict")).filter("verdict <> 0")
+
+
+def links(likely: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Those of ``likely(a, b, verdict)`` whose full sets are similar enough, as a written table."""
+    likely = materialize(likely)
+    open_pairs = likely.filter("verdict = -1").select("a", "b")
+    full = open_pairs.join(bodies.toDF("a", "a_text"), "a").join(bodies.toDF("b", "b_text"), "b")
+    return materialize(likely.filter("verdict = 1").select("a", "b").unionByName(full.filter(_confirm("a_text", "b_text")).select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,27 +262,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = lists.select("node").distinct()
     wanted = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(met, "node", "left_semi")
     bodies = materialize(wanted)
-    found = links(star_pairs(lists), nodes, bodies)
-    tried = 0
-    while True:
-        grouped = lists.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        parts = grouped.groupBy("key", "component").agg(F.count("*").alias("s"))
-        open_lists = parts.groupBy("key").agg(F.sum("s").alias("size"), F.sum(F.col("s") * F.col("s")).alias("squares"), F.count("*").alias("parts")).filter("parts > 1")
-        remaining = materialize(grouped.join(open_lists.select("key"), "key", "left_semi").select("key", "node", "n", "component"))
-        pairs, rows = open_lists.agg(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2), F.sum("size")).first()
-        tried += 1
-        # While whole lists would make more than a few pairs a row, merge further through other heads.
-        if not pairs or pairs <= 8 * rows or tried > 4:
-            break
-        heads = remaining.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", F.lit(tried))).alias("head"))
-        again = remaining.join(heads, "key").filter(F.col("component") != F.col("head.component")).filter(_near_in_size("n", "head.n"))
-        again = again.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
-        more = links(again, nodes, bodies)
-        if more.isEmpty():
-            break
-        found = found.unionByName(more)
-    if pairs:
-        found = found.unionByName(links(cross_pairs(remaining), nodes, bodies))
+    found = links(judged(star_pairs(lists), nodes), bodies)
+    grouped = lists.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = grouped.groupBy("key", "component").agg(F.count("*").alias("s"))
+    open_lists = parts.groupBy("key").agg(
+        F.sum("s").alias("size"), F.max_by("component", F.struct("s", "component")).alias("main"), F.max("s").alias("main_size"), F.count("*").alias("parts")
+    ).filter("parts > 1")
+    remaining = grouped.join(open_lists.drop("parts"), "key")
+    found = found.unionByName(links(cross_pairs(remaining, nodes), bodies))
     component = components(found)
     member = l.join(c, (F.col("l.digest") == F.col("c.digest")) & (F.col("l.n") == F.col("c.n")) & F.col("l.doc_id").isNotNull(), "left")
     member = member.select("l.doc_id", F.col("l.n").alias("n_shingles"), "c.node")
