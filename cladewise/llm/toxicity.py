@@ -5,12 +5,14 @@ The kernel of two words is their gap-weighted common letter triples (letters of
 in still shares most triples. A sentence's features are its words' best kernel values with each
 landmark, mapped through the inverse root of the landmarks' kernel matrix; the SVM is linear there.
 A document is as toxic as its worst sentence.
+
+Words like no landmark are told by a bound that one look-up per triple gives.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .language import bounded_sample, remainder
 
-SPAN, DECAY, SYMBOLS, DEGREE = 5, 0.6, 32, 3
+SPAN, DECAY, SYMBOLS, DEGREE = 6, 0.7, 32, 3
 #: Landmark words at most, labelled documents at most that train.
 LANDMARKS, FIT_ROWS = 96, 16_000
 #: A landmark's least log-likelihood ratio between toxic and clean documents, and the kernel value
@@ -28,58 +30,56 @@ LEAST_RATIO, TOO_LIKE = 20.0, 0.343
 THRESHOLD = 0.7
 #: Longer runs without white space are read in overlapping pieces of this size.
 LONGEST = 24
-#: Words whose kernel values a worker remembers.
-CACHE = 60_000
+#: Kernel values (before the power) under this count as none, so that few words need more than a look.
+LEAST_LIKE = 0.35
+#: Words that a worker remembers.
+CACHE = 400_000
 
-_SENTENCE = re.compile(r"[.!?\n]+\s+|\n")
-#: Three or more single characters set apart by blanks, read as one word.
-_SPELT = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+_SIGNS = ".,;:!?\"'()[]{}<>*_-"
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
-def tokens(sentence: str) -> list[str]:
-    """Words of a sentence, in lower case; spelt-out ones joined, very long ones in pieces."""
-    low = sentence.lower()
-    found = low.split()
-    if _SPELT.search(low):
-        found += [x.replace(" ", "") for x in _SPELT.findall(low)]
-    if len(low) > LONGEST and max(map(len, found), default=0) > LONGEST:
-        half = LONGEST // 2
-        found = [w[i : i + LONGEST] for w in found for i in (range(0, max(1, len(w) - half), half) if len(w) > LONGEST else (0,))]
-    return found
+@lru_cache(maxsize=1)
+def _symbols() -> np.ndarray:
+    """a-z are 1-26, other letters share 27-30; digits and signs are 31, the word break is 0."""
+    letters = [x >= 0x3000 or chr(x).isalpha() for x in range(0x110000)]
+    table = np.where(letters, 27 + np.arange(0x110000) % 4, 31).astype(np.int64)
+    table[97:123] = np.arange(1, 27)
+    table[10] = 0
+    return table
 
 
-def sentences(text: str | None) -> list[str]:
-    return [x for x in _SENTENCE.split(text or "") if x and not x.isspace()]
+def words_of(text: str | None) -> list[str]:
+    """Lower-case words in order; the end of a line is a word of its own that ends a sentence."""
+    return (text or "").lower().replace("\n", " . ").split()
 
 
-def _letters(word: str) -> list[int]:
-    """a-z are 1-26, other letters share 27-30; digits and signs are 31. Signs at the ends go."""
-    s = [ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 4 if c.isalpha() else 31 for c in word]
-    while s and s[-1] == 31:
-        s.pop()
-    while s and s[0] == 31:
-        s.pop(0)
-    return s
+def _pieces(word: str) -> list[str]:
+    """A word, a very long one in parts, and what remains of it without signs put between letters."""
+    half, bare = LONGEST // 2, word.strip(_SIGNS)
+    found = [word] if bare.isalpha() or not bare else [word, "".join(filter(str.isalpha, bare))]
+    return [w[i : i + LONGEST] for w in found for i in (range(0, len(w) - half, half) if len(w) > LONGEST else (0,))]
 
 
-def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Normalised kernel features of words: (word number, triple, value), sorted by word."""
-    coded = [_letters(w) for w in words]
-    ends = np.cumsum([len(c) for c in coded])
-    flat = np.fromiter((x for c in coded for x in c), np.int64, int(ends[-1]) if len(ends) else 0)
-    owner = np.repeat(np.arange(len(words)), [len(c) for c in coded])
-    keys, values = [], []
+def _raw_triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word number, triple, weight) of all letter triples, repeated ones apart."""
+    flat = _symbols()[np.frombuffer("\n".join(w.strip(_SIGNS).replace("\n", "") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    owner = np.cumsum(flat == 0)
+    found = []
     for a, b in _OFFSETS:
         if len(flat) > b:
-            same = owner[:-b] == owner[b:]
-            code = (flat[:-b] * SYMBOLS + flat[a : len(flat) - b + a]) * SYMBOLS + flat[b:]
-            keys.append((owner[:-b] * SYMBOLS**3 + code)[same])
-            values.append(np.full(len(keys[-1]), DECAY ** (b - 2)))
-    if not keys or not sum(map(len, keys)):
+            i = np.flatnonzero((owner[:-b] == owner[b:]) & (flat[:-b] > 0))
+            found.append((owner[i], (flat[i] * SYMBOLS + flat[i + a]) * SYMBOLS + flat[i + b], np.full(len(i), DECAY ** (b - 2))))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    value = np.bincount(at, np.concatenate(values))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised kernel features of words: (word number, triple, value), sorted by word."""
+    word, triple, weight = _raw_triples(words)
+    key, at = np.unique(word * SYMBOLS**3 + triple, return_inverse=True)
+    value = np.bincount(at, weight, len(key))
     word, triple = key // SYMBOLS**3, key % SYMBOLS**3
     norm = np.sqrt(np.bincount(word, value * value, len(words)))
     return word, triple, value / norm[word]
@@ -94,7 +94,7 @@ def kernel_table(landmarks: list[str]) -> np.ndarray:
 
 
 def kernel(words: list[str], table: np.ndarray) -> np.ndarray:
-    """(words, landmarks) kernel values."""
+    """(words, landmarks) kernel values; those under ``LEAST_LIKE`` before the power are 0."""
     out = np.zeros((len(words), table.shape[1]), np.float32)
     word, triple, value = triples(words)
     if len(word):
@@ -103,38 +103,74 @@ def kernel(words: list[str], table: np.ndarray) -> np.ndarray:
             first, last = starts[lo], starts[lo + 2000] if lo + 2000 < len(starts) else len(word)
             rows = table[triple[first:last]] * value[first:last, None].astype(np.float32)
             out[word[starts[lo : lo + 2000]]] = np.add.reduceat(rows, starts[lo : lo + 2000] - first, axis=0)
-    return out**DEGREE
+    return np.where(out >= LEAST_LIKE, out, 0) ** DEGREE
 
 
 class _Memory:
-    """Kernel values of the words met so far, emptied when full."""
+    """Words met so far, each with a code: twice its row of kernel values (0: like no landmark),
+    plus 1 if it ends a sentence. Forgotten when full."""
 
     def __init__(self, table: np.ndarray):
-        self.table, self.of, self.values = table, {}, np.zeros((0, table.shape[1]), np.float32)
-
-    def rows(self, found: list[str]) -> np.ndarray:
-        new = list(set(found).difference(self.of))
+        self.table, self.most = table, table.max(1, initial=0)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.values = np.zeros((1, self.table.shape[1]), np.float32)
+
+    def look(self, found: list[str]) -> np.ndarray:
+        new = list(set(found).difference(self.codes))
+        if len(self.codes) + len(new) > CACHE:
+            self._forget()
+            new = list(set(found))
         if new:
-            if len(self.of) + len(new) > CACHE:
-                self.of, self.values, new = {}, self.values[:0], list(set(found))
-            self.of |= {w: i for i, w in enumerate(new, len(self.of))}
-            self.values = np.concatenate([self.values, kernel(new, self.table)])
-        return np.fromiter(map(self.of.__getitem__, found), np.int64, len(found))
+            self._learn(new)
+        return np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found))
+
+    def _learn(self, new: list[str]) -> None:
+        pieces = [(i, p) for i, w in enumerate(new) for p in _pieces(w)]
+        word, triple, weight = _raw_triples([p for _, p in pieces])
+        # No landmark's kernel exceeds this bound: each triple as in its best landmark, and a norm
+        # that takes repeated triples apart, which makes it smaller.
+        norm = np.sqrt(np.bincount(word, weight * weight, len(pieces)))
+        bound = np.bincount(word, weight * self.most[triple], len(pieces)) / np.maximum(norm, 1e-12)
+        near = np.flatnonzero(bound >= LEAST_LIKE)
+        rows = np.zeros(len(new), np.int64)
+        if len(near):
+            values = kernel([pieces[k][1] for k in near], self.table)
+            own = np.array([pieces[k][0] for k in near])
+            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            values, own = np.maximum.reduceat(values, starts, axis=0), own[starts]
+            like = values.any(1)
+            rows[own[like]] = np.arange(like.sum()) + len(self.values)
+            self.values = np.concatenate([self.values, values[like]])
+        self.codes.update(zip(new, [2 * r + (w[-1] in ".!?") for r, w in zip(rows.tolist(), new, strict=True)], strict=True))
 
 
 def sentence_features(texts: list[str | None], memory: _Memory) -> tuple[np.ndarray, np.ndarray]:
-    """Best kernel value with each landmark of each sentence, and the text that each is of."""
-    split = [(i, tokens(s)) for i, t in enumerate(texts) for s in sentences(t)]
-    split = [(i, w) for i, w in split if w]
-    if not split:
+    """Best kernel value with each landmark of each sentence that has a word like one, and the number
+    of the text that each is of."""
+    split = [words_of(t) for t in texts]
+    found = [x for w in split for x in (*w, ".")]  # a text ends a sentence
+    code = memory.look(found)
+    text = np.repeat(np.arange(len(split)), [len(w) + 1 for w in split])
+    sentence = np.cumsum(code & 1) - (code & 1)
+    hit = np.flatnonzero(code > 1)
+    rows, at = memory.values[code[hit] >> 1], hit
+    # Three or more single characters set apart by blanks are read as one word as well.
+    single = np.concatenate(([False], np.fromiter(map((1).__eq__, map(len, found)), bool, len(found)), [False]))
+    edges = np.flatnonzero(single[1:] != single[:-1])
+    spelt = [(a, "".join(found[a:b])) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a > 2]
+    if spelt:
+        more = kernel([w for _, w in spelt], memory.table)
+        like = more.any(1)
+        rows, at = np.concatenate([rows, more[like]]), np.concatenate([at, np.array([a for a, _ in spelt])[like]])
+        order = np.argsort(at, kind="stable")
+        rows, at = rows[order], at[order]
+    if not len(at):
         return np.zeros((0, memory.table.shape[1]), np.float32), np.zeros(0, np.int64)
-    at = memory.rows([x for _, w in split for x in w])
-    starts = np.cumsum([0, *(len(w) for _, w in split)])[:-1]
-    best = np.concatenate([
-        np.maximum.reduceat(memory.values[at[starts[lo] : (starts[lo + 500] if lo + 500 < len(starts) else None)]], starts[lo : lo + 500] - starts[lo], axis=0)
-        for lo in range(0, len(starts), 500)
-    ])
-    return best, np.array([i for i, _ in split])
+    starts = np.flatnonzero(np.concatenate(([True], sentence[at][1:] != sentence[at][:-1])))
+    return np.maximum.reduceat(rows, starts, axis=0), text[at[starts]]
 
 
 def choose_landmarks(train: DataFrame, n: int = LANDMARKS) -> list[str]:
@@ -144,7 +180,7 @@ def choose_landmarks(train: DataFrame, n: int = LANDMARKS) -> list[str]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(w.strip(".,;:!?\"'()"), y) for t, y in zip(batch["text"], batch["toxic"], strict=True) for w in set(tokens(t or ""))]
+            rows = [(w.strip(_SIGNS), y) for t, y in zip(batch["text"], batch["toxic"], strict=True) for w in set(words_of(t))]
             yield pd.DataFrame(rows, columns=["word", "toxic"]).astype({"toxic": int})
 
     counts = (
@@ -207,17 +243,24 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict |
                 part = batch.iloc[at : at + 100]
                 x, of = sentence_features(list(part["text"]), memory)
                 y = part["toxic"].to_numpy(int)
-                # Of a toxic document, the sentence nearest to the landmarks; of a clean one, the nearest and one more.
+                # Of each document its sentence nearest to the landmarks; of a clean one, another too.
                 rows = []
                 for i in range(len(part)):
                     own = np.flatnonzero(of == i)
-                    if len(own):
-                        near = own[x[own].max(1).argmax()]
-                        rows += [(x[k], int(y[i]), k == near) for k in ([near] if y[i] else [near, own[len(own) // 2]])]
+                    near = x[own[x[own].max(1).argmax()]] if len(own) else np.zeros(x.shape[1], np.float32)
+                    rows.append((near, int(y[i]), True))
+                    if not y[i] and len(own) > 1:
+                        rows.append((x[own[len(own) // 2]], 0, False))
                 yield pd.DataFrame(rows, columns=["x", "toxic", "worst"])
 
     rows = train.mapInPandas(features, "x array<float>, toxic int, worst boolean").toPandas()  # bounded by fit_rows
     x, y, worst = np.array(rows["x"].tolist(), np.float32), rows["toxic"].to_numpy(float), rows["worst"].to_numpy(bool)
+    # Landmarks with a strange letter put in are sentences of their own, so that the SVM learns how
+    # near is near enough.
+    spoilt = [w[: len(w) // 2] + "x" + w[len(w) // 2 :] for w in landmarks if len(w) >= 5]
+    variants = kernel(spoilt, table)
+    variants = np.repeat(variants, max(1, int(y.sum()) // (2 * max(len(variants), 1))), axis=0)
+    x, y, worst = np.vstack([x, variants]), np.append(y, np.ones(len(variants))), np.append(worst, np.ones(len(variants), bool))
     values, axes = np.linalg.eigh(kernel(landmarks, table).astype(np.float64))
     root = axes / np.sqrt(np.maximum(values, 1e-3)) @ axes.T  # Nyström map
     w = train_svm(x @ root, y)
@@ -251,9 +294,7 @@ def score(docs: DataFrame, model: dict | float) -> DataFrame:
                 x, of = sentence_features(part, memory)
                 margin = np.full(len(part), model["bias"])
                 if len(of):
-                    worst = np.full(len(part), -np.inf)
-                    np.maximum.at(worst, of, x @ model["weights"] + model["bias"])
-                    margin = np.where(np.isfinite(worst), worst, margin)
+                    np.maximum.at(margin, of, x @ model["weights"] + model["bias"])  # other sentences have the bias
                 found.append(1 / (1 + np.exp(-np.clip(model["a"] * margin + model["b"], -60, 60))))
             yield pd.Series(np.concatenate(found))
 
