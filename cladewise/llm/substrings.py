@@ -134,28 +134,31 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, places, hashes = [], [], []
+            keys, places, hashes, firsts = [], [], [], []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 place, h = anchors(np.frombuffer(body, np.uint8), least, gram)
                 keys += [key] * len(place)
                 places.append(place)
                 hashes.append(h)
+                first = np.zeros(len(h), np.int64)
+                first[np.unique(h, return_index=True)[1]] = 1
+                firsts.append(first)
                 if len(keys) > 50_000:
-                    yield out(keys, places, hashes)
-                    keys, places, hashes = [], [], []
-            yield out(keys, places, hashes)
+                    yield out(keys, places, hashes, firsts)
+                    keys, places, hashes, firsts = [], [], [], []
+            yield out(keys, places, hashes, firsts)
 
-    def out(keys, places, hashes):
-        whole = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), whole(places), whole(hashes)], ["key", "place", "anchor"])
+    def out(keys, *columns):
+        whole = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in columns]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *whole], ["key", "place", "anchor", "first"])
 
     long_ones = texts.filter(F.octet_length("body") >= least)
-    marked = materialize(long_ones.select("key", "body").mapInArrow(mark, "key binary, place long, anchor long"))
+    marked = materialize(long_ones.select("key", "body").mapInArrow(mark, "key binary, place long, anchor long, first long"))
     occurrence = F.xxhash64("key", "place")
     counted = marked.groupBy("anchor").agg(
-        F.min(occurrence).alias("a"), F.max(occurrence).alias("b"), F.count("*").alias("n")
+        F.min(occurrence).alias("a"), F.max(occurrence).alias("b"), F.sum("first").alias("n")
     ).filter("a <> b")
-    # An anchor with very many rows is dealt in blocks; see `leftovers`.
+    # An anchor that very many texts have is dealt in blocks; see `leftovers`.
     held = counted.select("anchor", F.ceil(F.col("n") / hot).alias("blocks"))
     candidates = (
         marked.join(held, "anchor")
@@ -173,10 +176,18 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
         for batch in batches:
             rows: list[tuple] = []
             for key, body, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                alike: dict[tuple[int, int, bytes], tuple[int, list[int]]] = {}
                 for p in places:
                     at = p["place"]
-                    block = zlib.crc32(key + at.to_bytes(8, "little")) % p["blocks"] if p["blocks"] > 1 else -1
-                    rows.append((p["anchor"], block, key, at, min(at, deep), body[max(0, at - deep) : at + least]))
+                    alike.setdefault((p["anchor"], min(at, deep), body[max(0, at - deep) : at + least]), (p["blocks"], []))[1].append(at)
+                for (anchor, before, context), (blocks, found) in alike.items():
+                    # A context that the text has again, as lines repeated over and over do, is all
+                    # repeated; one of them stands for it among other texts.
+                    for at in found if len(found) > 1 else ():
+                        rows.append((anchor, -2, key, max(0, at - deep), len(context), b""))
+                    at = found[0]
+                    block = zlib.crc32(key + at.to_bytes(8, "little")) % blocks if blocks > 1 else -1
+                    rows.append((anchor, block, key, at, before, context))
                 if len(rows) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                     rows = []
@@ -204,8 +215,11 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
             yield solve(pa.Table.from_batches(waiting).combine_chunks())
 
     def solve(table: pa.Table) -> pa.RecordBatch:
+        settled = table["block"].to_numpy() == -2
+        known = table.filter(pa.array(settled))
+        table = table.filter(pa.array(~settled))
         a, block = table["anchor"].to_numpy(), table["block"].to_numpy()
-        group = np.cumsum(np.concatenate(([0], (a[1:] != a[:-1]) | (block[1:] != block[:-1]))))
+        group = np.cumsum(np.concatenate(([0], (a[1:] != a[:-1]) | (block[1:] != block[:-1]))))[: len(a)]
         keys, place, before = table["key"].to_pylist(), table["place"].to_numpy(), table["before"].to_numpy()
         contexts = table["context"].to_pylist()
         n = len(keys)
@@ -221,6 +235,7 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
         low, high = found.argmax(1), deep - found[:, ::-1].argmax(1)
         # Windows of one anchor overlap, so that a row has one span.
         rows = [(keys[i], place[i] - high[i], place[i] - low[i] + least, None) for i in np.flatnonzero(some)]
+        rows += [(k, p, p + n, None) for k, p, n in zip(known["key"].to_pylist(), known["place"].to_pylist(), known["before"].to_pylist(), strict=True) if n >= least]
         told: set[bytes] = set()
         for i in np.flatnonzero(block >= 0):  # one block of several: others must hear of its windows
             c = contexts[i]
