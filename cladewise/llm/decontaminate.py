@@ -1,11 +1,11 @@
-"""Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH, exact edit distance.
-
-Texts are read as lower-case words. The embedding walks along a window of words: at step ``j`` it
-writes the word under its pointer, then moves on by a random bit that depends on ``j`` and the word,
-so that few edits become few differing places. Each of ``REPEATS`` walks samples some of its places;
-a window whose sampled words are those of an item's window is a candidate, and the exact edit
-distance between the item and the words around the place decides. Every word of every text starts a
-window; a walk is given up at the first sampled word that no item has there.
+"""Benchmark decontamination: pieces that edits must leave whole, exact edit distance.
+
+Texts are read as lower-case words. ``k`` word edits leave at least one of ``k + 1`` pieces of an
+item as it was, so an item is cut into one piece more than it may have edits, over its whole length.
+A text that has a piece is a candidate there, and the exact edit distance between the item and the
+words around the place decides. Nothing within the tolerance is lost, wherever its edits are. Every
+word of every text is tried as the start of a piece; a try is given up at the first word that no
+piece goes on with.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Walks; steps of a walk in four strata, each with one sampled place; words an item may be edited by.
-REPEATS, STRATA, TOLERANCE, SEED = 20, (0, 4, 9, 14, 20), 0.2, 17
-#: Items with fewer words than this are too common to look for; items searched for at once; words read at once.
-LEAST_WORDS, ITEMS_AT_ONCE, WORDS_AT_ONCE = 6, 20_000, 1 << 16
+#: Share of an item's words that may be edited; words of a piece that are looked up, of longer ones the first.
+TOLERANCE, DEPTH = 0.2, 8
+#: Items with fewer words than this are too common to look for; items searched for at once; words read at once; hits compared at once.
+LEAST_WORDS, ITEMS_AT_ONCE, WORDS_AT_ONCE, HITS_AT_ONCE = 6, 20_000, 1 << 16, 1 << 18
 
 _LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Size of the table that says, with chance errors, whether an item has a word.
@@ -36,102 +36,86 @@ def words(text: str | None) -> list[bytes]:
 class Searcher:
     """Finds items, each a list of words, in a sequence of word numbers."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]]):
+    def __init__(self, items: list[tuple[int, list[bytes]]], tolerance: float = TOLERANCE):
         self.items = [(i, w) for i, w in items if len(w) >= LEAST_WORDS]
         self.number = {w: k for k, w in enumerate(sorted({x for _, ws in self.items for x in ws}), 1)}
         self.coded = [np.array([self.number[x] for x in ws], np.int32) for _, ws in self.items]
         self.sizes = np.array([len(w) for w in self.coded], np.int64)
-        rng = np.random.default_rng(SEED)
-        size = len(self.number) + 1
-        self.places = [sorted(int(rng.integers(a, b)) for a, b in zip(STRATA, STRATA[1:], strict=False)) for _ in range(REPEATS)]
-        self.bits = rng.integers(0, 2, (REPEATS, STRATA[-1], size)).astype(np.int8)
-        # An item is entered with all of its words and, a longer one, from its middle on.
-        self.windows = [(k, at) for k, w in enumerate(self.coded) for at in ((0, len(w) // 2) if len(w) >= 4 * LEAST_WORDS else (0,))]
-        self.item_of, self.offset_of = (np.array(x, np.int64) for x in zip(*self.windows, strict=True)) if self.windows else (np.zeros(0, np.int64),) * 2
+        self.most = [int(tolerance * len(w)) for w in self.coded]
         self.member = np.zeros(_MEMBERS, bool)
         for k, w in enumerate(self.coded):
             self.member[self._slot(k, w.astype(np.int64))] = True
-        self.tables = [self._table(t) for t in range(REPEATS)] if self.items else []
+        pieces = []
+        for k, w in enumerate(self.coded):
+            cuts = min(self.most[k] + 1, len(w))
+            bounds = [len(w) * c // cuts for c in range(cuts + 1)]
+            pieces += [(k, a, w[a : min(b, a + DEPTH)]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        self.item_of, self.offset_of = np.array([k for k, _, _ in pieces], np.int64), np.array([a for _, a, _ in pieces], np.int64)
+        self.tables = self._tables([w for _, _, w in pieces])
 
     @staticmethod
     def _mix(code, word):
-        return (code * 1_000_003 + word) & 0x7FFFFFFFFFFFFFF
+        code = (code ^ word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return code ^ (code >> np.uint64(29))
 
     @staticmethod
     def _slot(item, word):
         return (item * 0x9E3779B1 + word * 0x85EBCA77) % _MEMBERS
 
-    def _table(self, t: int):
-        """By depth: the codes that any item's walk reaches there, and those where one ends, with
-        their windows. An item too short for a place ends before it."""
-        reached: list[set[int]] = [set() for _ in self.places[t]]
-        ending: list[list[tuple[int, int]]] = [[] for _ in self.places[t]]
-        for number, (k, at) in enumerate(self.windows):
-            w = self.coded[k][at:]
-            pointer, step, code, depth = 0, 0, 0, 0
-            for place in self.places[t]:
-                while step < place and pointer < len(w):
-                    pointer += int(self.bits[t, step, w[pointer]])
-                    step += 1
-                if pointer >= len(w):
-                    break
-                code = self._mix(code, int(w[pointer]))
-                reached[depth].add(code)
-                depth += 1
-            if depth:
-                ending[depth - 1].append((code, number))
-        out = []
-        for codes, ends in zip(reached, ending, strict=True):
-            ends.sort()
-            out.append((np.array(sorted(codes), np.int64), np.array([c for c, _ in ends], np.int64), np.array([n for _, n in ends], np.int64)))
+    def _tables(self, pieces: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By words read: a table that says, with chance errors, whether any piece begins so, and the
+        codes of the pieces that end there, in order, with their numbers."""
+        lengths = np.array([len(w) for w in pieces], np.int64)
+        room = 1 << max(12, (16 * len(pieces)).bit_length())
+        code, out = np.zeros(len(pieces), np.uint64), []
+        for depth in range(int(lengths.max(initial=0))):
+            on = np.flatnonzero(lengths > depth)
+            code[on] = self._mix(code[on], np.array([pieces[j][depth] for j in on], np.int64))
+            begins = np.zeros(room, bool)
+            begins[code[on] & np.uint64(room - 1)] = True
+            last = on[lengths[on] == depth + 1]
+            last = last[np.argsort(code[last], kind="stable")]
+            out.append((begins, code[last], last))
         return out
 
-    def candidates(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and places of their first words that have enough words in common to be compared."""
-        n = len(w)
-        padded = np.concatenate((w, np.zeros(STRATA[-1] + 1, np.int32)))
-        found = [np.zeros(0, np.int64)]
-        for t, table in enumerate(self.tables):
-            start = at = np.arange(n, dtype=np.int32)
-            step, code = 0, np.zeros(n, np.int64)
-            for place, (known, ends, windows) in zip(self.places[t], table, strict=True):
-                while step < place:
-                    at = at + self.bits[t, step][padded[at]]
-                    step += 1
-                word = padded[at].astype(np.int64)
-                code = self._mix(code, word)
-                if not len(known):
-                    break
-                if step == self.places[t][0]:  # the code is the word
-                    allowed = np.zeros(len(self.number) + 1, bool)
-                    allowed[known] = True
-                    alive = allowed[code]
-                else:
-                    alive = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
-                at, start, code = at[alive], start[alive], code[alive]
-                if len(ends) and len(code):
-                    low, high = np.searchsorted(ends, code), np.searchsorted(ends, code, side="right")
-                    times = high - low
-                    which = np.repeat(low - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-                    found.append(np.repeat(start.astype(np.int64), times) * len(self.windows) + windows[which])
-        both = np.unique(np.concatenate(found))
-        window, place = both % max(len(self.windows), 1), both // max(len(self.windows), 1)
-        item, place = self.item_of[window], place - self.offset_of[window]
-        both = np.unique(item * (n + 10_000) + place + 5_000)
-        item, place = both // (n + 10_000), both % (n + 10_000) - 5_000
-        keep = []
-        for lo in range(0, len(item), 20_000):
-            k, p = item[lo : lo + 20_000], place[lo : lo + 20_000]
-            size = self.sizes[k]
-            shared = np.zeros(len(k), np.int64)
-            for i in range(int(size.max(initial=0))):
-                spot = p + i
-                word = np.where((spot >= 0) & (spot < n) & (i < size), w[np.clip(spot, 0, n - 1)], 0).astype(np.int64)
-                shared += (word > 0) & self.member[self._slot(k, word)]
-            # Words put in move others out of the window, as many as the tolerance at most.
-            keep.append(shared >= size - 2 * (TOLERANCE * size).astype(np.int64))
-        keep = np.concatenate([np.zeros(0, bool), *keep])
-        return item[keep], place[keep]
+    def candidates(self, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Items, places of their first words and places of a piece of theirs, where enough words are
+        in common to be compared."""
+        padded = np.concatenate((w, np.zeros(DEPTH, np.int32)))
+        at = np.flatnonzero(w)
+        code = np.zeros(len(at), np.uint64)
+        for depth, (begins, ends, pieces) in enumerate(self.tables):
+            word = padded[at + depth]
+            code = self._mix(code, word)
+            alive = begins[code & np.uint64(len(begins) - 1)] & (word > 0)
+            at, code = at[alive], code[alive]
+            if not len(at):
+                return
+            if len(ends):
+                low, high = np.searchsorted(ends, code), np.searchsorted(ends, code, side="right")
+                hit = np.flatnonzero(high > low)
+                times = (high - low)[hit]
+                total = np.cumsum(times)
+                for lo in range(0, int(total[-1]) if len(hit) else 0, HITS_AT_ONCE):
+                    rank = np.arange(lo, min(lo + HITS_AT_ONCE, int(total[-1])))
+                    which = np.searchsorted(total, rank, side="right")
+                    piece = pieces[low[hit[which]] + rank - (total - times)[which]]
+                    spot, item = at[hit[which]], self.item_of[piece]
+                    place = spot - self.offset_of[piece]
+                    keep = self._alike(item, place, w)
+                    yield item[keep], place[keep], spot[keep]
+
+    def _alike(self, item: np.ndarray, place: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Whether the words that an item would be on are its own but for its edits. An edit takes one
+        word at most out of them: a word put in moves one other out."""
+        size, most = self.sizes[item], np.array(self.most, np.int64)[item]
+        missed, left = np.zeros(len(item), np.int64), np.arange(len(item))
+        for i in range(int(size.max(initial=0))):
+            left = left[(missed[left] <= most[left]) & (size[left] > i)]
+            spot = place[left] + i
+            word = np.where((spot >= 0) & (spot < len(w)), w[np.clip(spot, 0, len(w) - 1)], 0).astype(np.int64)
+            missed[left] += (word == 0) | ~self.member[self._slot(item[left], word)]
+        return missed <= most
 
     def edits(self, k: int, text: np.ndarray) -> int:
         """Least number of word edits between item ``k`` and any part of ``text``."""
@@ -161,7 +145,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE)
     out = None
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        searcher = Searcher(sorted({(r["item_id"] or 0, tuple(words(r["text"]))) for r in part.collect()}))
+        searcher = Searcher(sorted({(r["item_id"] or 0, tuple(words(r["text"]))) for r in part.collect()}), tolerance)
         shared = docs.sparkSession.sparkContext.broadcast(searcher)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -181,18 +165,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE)
                     whole = np.concatenate([x for c in coded for x in (c, gap)])
                     ends = np.cumsum([len(c) + 1 for c in coded])
                     best: dict[tuple[int, int], int] = {}
-                    items_at, places_at = s.candidates(whole)
-                    for k, place in zip(items_at.tolist(), places_at.tolist(), strict=True):
-                        n = len(s.coded[k])
-                        most = int(tolerance * n)
-                        middle = min(max(place + n // 2, 0), len(whole) - 1)
-                        for d in {int(np.searchsorted(ends, x, side="right")) for x in (middle, max(place, 0), min(place + n, len(whole) - 1))}:
-                            if d >= len(coded) or best.get((d, k)) == 0:
+                    known: dict[tuple[int, bytes], int] = {}
+                    for items_at, places_at, spots in s.candidates(whole):
+                        docs_at = np.searchsorted(ends, spots, side="right")
+                        for k, place, d in np.unique(np.stack((items_at, places_at, docs_at), 1), axis=0).tolist():
+                            n, most = len(s.coded[k]), s.most[k]
+                            if best.get((d, k)) == 0:
                                 continue
                             begin = int(ends[d - 1]) if d else 0
-                            text = whole[max(begin, place - most - 2) : min(int(ends[d]) - 1, place + n + most + 2)]
+                            text = whole[max(begin, place - most) : min(int(ends[d]) - 1, place + n + most)]
                             if len(text) >= n - most:
-                                e = s.edits(k, text)
+                                seen = (k, text.tobytes())
+                                e = known[seen] if seen in known else known.setdefault(seen, s.edits(k, text))
                                 if e <= most and e < best.get((d, k), most + 1):
                                     best[d, k] = e
                     rows += [(ids[first + d], s.items[k][0], len(s.coded[k]), e) for (d, k), e in sorted(best.items())]

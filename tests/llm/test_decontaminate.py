@@ -52,3 +52,23 @@ def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert dc.matches(docs, bench).count() == 0
     assert dc.matches(docs.limit(0), bench).count() == 0
+
+
+def test_bunched_edits_at_the_full_tolerance(spark):
+    rng = random.Random(7)
+    items = [[f"w{rng.randrange(4000)}" for _ in range(n)] for n in (15, 20, 23, 24, 30, 40, 59) for _ in range(8)]
+    rows, truth = [], set()
+    for k, item in enumerate(items):
+        n, most = len(item), int(0.2 * len(item))
+        for where in ("start", "middle", "end", "both", "random"):
+            half = most // 2
+            at = {"start": range(most), "middle": range(n // 2, n // 2 + most), "end": range(n - most, n), "both": [*range(half), *range(n // 2, n // 2 + most - half)], "random": rng.sample(range(n), most)}[where]
+            for how in ("changed", "dropped", "put in"):
+                copy = [y for i, x in enumerate(item) for y in ([x] if i not in at else {"changed": ["new"], "dropped": [], "put in": ["new", x]}[how])]
+                rows.append((len(rows), " ".join(["z"] * rng.randrange(30) + copy + ["z"] * rng.randrange(30))))
+                truth.add((len(rows) - 1, k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in dc.matches(docs, bench).collect()}
+    assert set(found) == truth
+    assert all(e == edits(items[k], rows[d][1].split()) for (d, k), e in found.items())
