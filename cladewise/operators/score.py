@@ -15,6 +15,12 @@ def score_hits(coef: DataFrame, cells: DataFrame) -> DataFrame:
     return coef.join(cells, key).select(*RUN, "species", "weight")
 
 
+def score_alignment(coef: DataFrame, aln: DataFrame) -> DataFrame:
+    """As ``score_hits``, from an alignment's rows: a sequence meets the coefficients of its gene, so
+    that no row per cell is made."""
+    return coef.join(aln, "gene").filter(F.substring("seq", F.col("pos") + 1, F.lit(1)) == F.col("aa")).select(*RUN, "species", "weight")
+
+
 def exclude_training(hits: DataFrame, training: DataFrame) -> DataFrame:
     return hits.join(training.select("combo_idx", "species").distinct(), ["combo_idx", "species"], "left_anti")
 

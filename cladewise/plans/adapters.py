@@ -97,6 +97,28 @@ COEF = """coef AS (SELECT * FROM (SELECT CAST(l_linenumber AS BIGINT) AS combo_i
   round(sum((l_discount - 0.05) * l_extendedprice / 1e5), 6) AS weight FROM lineitem GROUP BY ALL) WHERE weight <> 0)"""
 
 
+def all_gene_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``coef`` as above over the genes that the alignment has: items are dealt to groups of texts, and
+    within a group items and genes go round until each has been met, so no gene and no item with a weight is left out."""
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    group = table(spark, sf_dir, "documents").filter(F.length("text") > 0).groupBy(F.floor(F.col("doc_id") / 16).alias("q")).agg(
+        F.max(F.floor((F.length("text") + WIDTH - 1) / WIDTH)).alias("m")
+    )
+    aa = F.when(F.col("l_returnflag") == "N", "A").when(F.col("l_returnflag") == "R", "C").otherwise("D")
+    w = (F.col("l_discount") - 0.05) * F.col("l_extendedprice") / 1e5
+    items = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(group.agg((F.max("q") + 1).alias("n")))).select(  # one row
+        ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17 + F.col("l_partkey")) % F.col("n")).alias("q"), F.col("l_linenumber").cast("long").alias("combo_idx"),
+        (F.col("l_suppkey") % 20).alias("run"), F.col("l_quantity").cast("int").alias("pos"), aa.alias("aa"), w.alias("w"), "l_orderkey", "l_partkey",
+    )
+    order = ["l_orderkey", "combo_idx", "l_partkey", "run", "pos", "aa", "w"]
+    items = items.filter(F.round("w", 6) != 0).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*order)) - 1)
+    dealt = items.join(items.groupBy("q").agg(F.count("*").alias("rows")), "q").join(group, "q")
+    turns = F.sequence(F.col("r").cast("long"), F.greatest("rows", "m") - 1, F.col("rows"))
+    gene = F.concat(F.lit("g"), pad(F.col("q"), 6), F.lit("s"), pad(F.col("j") % F.col("m"), 4)).alias("gene")
+    rows = dealt.withColumn("j", F.explode(turns)).select("combo_idx", "run", gene, "pos", "aa", "w")
+    return rows.groupBy("combo_idx", "run", "gene", "pos", "aa").agg(F.round(F.sum("w"), 6).alias("weight")).filter("weight <> 0")
+
+
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``model(combo_idx, run, intercept)``."""
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("combo_idx"), (F.col("l_suppkey") % 20).alias("run")).agg(

@@ -122,8 +122,38 @@ def a3(s, d):
 ph AS (SELECT 'sp' || lpad(CAST(doc_id % 16 AS VARCHAR), 2, '0') AS species, CAST(min(doc_id % 16) % 3 - 1 AS DOUBLE) AS value FROM documents GROUP BY 1)
 SELECT combo_idx, run, species, sps, nullif(value, 0.0) AS true_phenotype FROM p JOIN ph USING (species)""")
 def j4(s, d):
-    ph = A.table(s, d, "documents").groupBy(F.concat(F.lit("sp"), F.lpad((F.col("doc_id") % 16).cast("string"), 2, "0")).alias("species")).agg((F.min(F.col("doc_id") % 16) % 3 - 1).cast("double").alias("value"))
-    return score.attach_phenotype(score.species_scores(_hits(s, d), A.models(s, d)), ph)
+    return score.attach_phenotype(score.species_scores(_hits(s, d), A.models(s, d)), _phenotypes(s, d))
+
+
+def _phenotypes(s, d):
+    return A.table(s, d, "documents").groupBy(F.concat(F.lit("sp"), F.lpad((F.col("doc_id") % 16).cast("string"), 2, "0")).alias("species")).agg((F.min(F.col("doc_id") % 16) % 3 - 1).cast("double").alias("value"))
+
+
+# The same over every gene of the alignment and whole texts. Without SQL; tests compare with brute force.
+
+
+def _all_hits(s, d):
+    return score.exclude_training(score.score_alignment(A.all_gene_coefficients(s, d), A.alignment(s, d)), A.combos(s))
+
+
+@query("J2_prediction_hits_all_genes")
+def j2_all(s, d):
+    return _all_hits(s, d).groupBy("combo_idx", "run", "species").agg(F.count("*").alias("hits"), F.round(F.sum("weight"), 6).alias("s"))
+
+
+@query("A3_species_scores_all_genes")
+def a3_all(s, d):
+    return score.species_scores(_all_hits(s, d), A.models(s, d))
+
+
+@query("J4_attach_phenotype_all_genes")
+def j4_all(s, d):
+    return score.attach_phenotype(score.species_scores(_all_hits(s, d), A.models(s, d)), _phenotypes(s, d))
+
+
+@query("S15_prediction_parts_all_genes")
+def s15_all(s, d):
+    return _prediction_parts(s, score.species_scores(_all_hits(s, d), A.models(s, d)))
 
 
 _FEATS = """fx AS (SELECT combo_idx, gene, pos, aa, CAST(hash_mask AS BIGINT) AS mask FROM (SELECT DISTINCT combo_idx, gene, pos, aa, (pos * 7 + combo_idx * 13) % 255 + 1 AS hash_mask FROM coef)),
@@ -250,9 +280,13 @@ def r1(s, d):
 @query("S15_prediction_parts", f"{_TRAIN} SELECT combo_idx, run, species, round(sum(weight) + any_value(intercept), 6) AS sps FROM hits JOIN model USING (combo_idx, run) GROUP BY ALL")
 def s15(s, d):
     """Predictions written a part per design, twice, and read back: no row is there twice."""
+    return _prediction_parts(s, score.species_scores(_hits(s, d), A.models(s, d)))
+
+
+def _prediction_parts(s, predictions):
     from ..sources.tables import checkpointed, shared_folder
 
-    p = checkpointed(score.species_scores(_hits(s, d), A.models(s, d)))
+    p = checkpointed(predictions)
     folder = shared_folder(s)
     texts.write_predictions(p, folder)
     texts.write_predictions(p.filter("combo_idx <= 2"), folder)

@@ -298,6 +298,11 @@ def s3(s, d):
     return sites.limit_genes(A.alignment(s, d), A.coefficients(s, d)).select("gene", "species", "seq")
 
 
+@query("S3_limit_genes_all_genes")
+def s3_all(s, d):
+    return sites.limit_genes(A.alignment(s, d), A.all_gene_coefficients(s, d)).select("gene", "species", "seq")
+
+
 @query("S11_species", f"WITH {A.ALN} SELECT DISTINCT species FROM aln")
 def s11(s, d):
     return A.alignment(s, d).select("species").distinct()
