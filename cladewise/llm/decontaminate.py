@@ -10,6 +10,7 @@ piece goes on with.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -20,17 +21,26 @@ from pyspark.sql import functions as F
 
 #: Share of an item's words that may be edited; words of a piece that are looked up, of longer ones the first.
 TOLERANCE, DEPTH = 0.2, 8
-#: Items with fewer words than this are too common to look for; items searched for at once; words read at once; hits compared at once.
-LEAST_WORDS, ITEMS_AT_ONCE, WORDS_AT_ONCE, HITS_AT_ONCE = 6, 20_000, 1 << 16, 1 << 18
-
+#: Items with fewer words than this have none; items searched for at once; words read at once; hits compared at once.
+LEAST_WORDS, ITEMS_AT_ONCE, WORDS_AT_ONCE, HITS_AT_ONCE = 1, 20_000, 1 << 16, 1 << 18
+
+#: Characters of scripts without blanks (kana, ideographs, Thai, Lao, Burmese, Khmer), a word each with
+#: the marks on it; their punctuation parts words.
+_ALONE = re.compile("[\u0e01-\u0e30\u0e32\u0e33\u0e40-\u0e46\u0e50-\u0e59\u0e81-\u0eb0\u0eb2\u0eb3\u0ebd-\u0ec6\u0ed0-\u0edf\u1000-\u102a\u103f-\u1049\u1780-\u17b3\u17e0-\u17e9\u3005-\u3007\u3041-\u3096\u30a1-\u30fa\u30fc\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff][\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u0eb1\u0eb4-\u0ebc\u0ec8-\u0ecd\u102b-\u103e\u17b4-\u17d3\u3099\u309a\u200b-\u200d]*")
+_FAR = re.compile("[\u0e01-\U0003ffff]")
+_BETWEEN = re.compile("[\u104a\u104b\u17d4-\u17da\u0e5a\u0e5b\u3000-\u3004\u3008-\u3020\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 _LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Size of the table that says, with chance errors, whether an item has a word.
 _MEMBERS = 1 << 22
 
 
 def words(text: str | None) -> list[bytes]:
-    """Runs of ASCII letters and digits and of any other characters, in lower case."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
+    """Runs of ASCII letters and digits and of any other characters, in lower case; in scripts without
+    blanks, characters."""
+    text = (text or "").lower()
+    if not text.isascii() and _FAR.search(text):
+        text = _BETWEEN.sub(" ", _ALONE.sub(r" \g<0> ", text))
+    return text.encode("utf-8", "surrogatepass").translate(_LETTERS).split()
 
 
 class Searcher:
@@ -133,8 +143,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE)
     """``(doc_id, item_id, item_words, edits)`` for each document and item in it.
 
     An item is in a document if some passage differs from it by at most ``tolerance`` times its words
-    in word edits. Null texts hold nothing; null items and those under ``LEAST_WORDS`` words are not
-    looked for; null ids are carried along; a document repeated is reported each time. Empty tables
+    in word edits. Items too short for an edit are looked for as they are. Null texts hold nothing; null
+    items and those without words are not looked for; null ids are carried along; a document repeated is reported each time. Empty tables
     give an empty result; other columns are ignored. The benchmark is searched for in blocks of
     ``ITEMS_AT_ONCE`` items, each against all documents.
     """

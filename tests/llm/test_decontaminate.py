@@ -72,3 +72,14 @@ def test_bunched_edits_at_the_full_tolerance(spark):
     found = {(r["doc_id"], r["item_id"]): r["edits"] for r in dc.matches(docs, bench).collect()}
     assert set(found) == truth
     assert all(e == edits(items[k], rows[d][1].split()) for (d, k), e in found.items())
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    chinese, thai = "水在标准大气压下的沸点是多少摄氏度？请选择正确答案。", "เมืองหลวงของประเทศไทยคือเมืองใด"
+    edited = chinese.replace("多少", "几")
+    rows = [(1, "So: the ANSWER is four."), (2, "the answer was four"), (3, f"前言，{chinese}后记"), (4, f"前言{edited}后记"), (5, "完全不同的一段文字，没有关系。"), (6, f"ก่อน{thai}หลัง")]
+    items = [(1, "The answer is four"), (2, chinese), (3, thai), (4, "one two three four five"), (5, "?!"), (6, "四")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in dc.matches(docs, bench).collect()}
+    assert found == {(1, 1): 0, (3, 2): 0, (4, 2): 2, (6, 3): 0}
+    assert dc.words("A水b，東京 x กำ กี่") == [x.encode() for x in ("a", "水", "b", "東", "京", "x", "ก", "ำ", "กี่")]
