@@ -4,15 +4,17 @@ A document's sketch is the ``SKETCH`` smallest hashes of its shingles. Inverted
 values bring documents together, the sketch of a pair's union estimates its similarity and drops
 most chance meetings, and the exact Jaccard similarity of the full sets confirms a link.
 
-Lists may be long, so pairs within a list are never all made at once. Documents with equal sets are
-one node. Values of long lists are replaced by runs of neighbouring values, the longer the set the
-longer. Each node first meets the smallest node of its lists only; what that links is merged, and
-lists that are merged whole are done. The rest of the lists, in blocks, compare sketches between different
-components where they meet, so that only likely pairs leave a task.
-
-Two sets of similarity 0.75 share none of their 16 smallest values with probability 0.25^16, and
-no run of 6 among 128 values, which matters only if all they share is in long lists, with one of
-about 1e-4.
+Documents with equal sets are one node. A linked pair has most of its retained values in common, so
+it has one among the rarest few of either; only those are listed, and values that a third of all
+documents share are listed only for documents made of little else. Nodes that lists join, one by one
+or through others, are a family. A family meets once, whatever the number of its lists. One of more
+than ``BLOCK`` nodes first meets in blocks of its longest lists; the nodes that are still apart then meet
+block by block, those of its largest component only with the rest. A task hands on a link for each node
+at most, never pairs, and no group grows with a list or a family.
+
+Sets of at most ``SKETCH`` shingles are their own sketches, and none of their links is lost. Larger
+ones lose a link of similarity 0.75 if less than ``LEAST_SHARED`` of the retained values are in common,
+which is 5 deviations away.
 """
 
 from __future__ import annotations
@@ -21,25 +23,24 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .graph import components
-from .scratch import materialize
+from .scratch import materialize, released, small
 
 WORDS, LEAST_PERCENT = 5, 75
-SKETCH, INDEXED, LONG_LIST, BLOCK = 128, 16, 10, 64
-#: Lists of more nodes than CROWD draw so many more heads.
-CROWD, HEADS = 24, 6
-#: Largest set sizes for runs of 3, 4 and 5 values; larger sets have runs of 6.
-RUNS = ((40, 3), (80, 4), (160, 5))
-#: Below threshold by how much an estimate may be for the pair to be verified (3.7 deviations), and
-#: the least share of the smallest values that a pair must have in common to be estimated at all.
-SLACK, FIRST_LOOK, FIRST_SHARE = 0.14, 24, 0.36
+SKETCH = 128
+#: Share of the retained values that linked sets have in common at least. Sets of at most
+#: 0.75 SKETCH shingles meet whole sketches only and share the exact part.
+LEAST_SHARED = 0.55
+#: Values that are looked at first, and how many of them a linked document shares with others (fewer
+#: with chance 3e-7 in large sets, never in sets of at most so many).
+FIRST, FIRST_SHARED = 16, 3
+#: Nodes and shingles that one group holds of each of the two blocks that meet.
+BLOCK, BLOCK_VALUES = 1024, 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -71,6 +72,10 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
+def _digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n, digest, sketch)``: the set's size, a digest of the whole set, its smallest hashes."""
 
@@ -82,7 +87,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array([_digest(s) for s in sets], pa.binary()),
                         pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "n", "digest", "sketch"],
@@ -92,155 +97,215 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return picked.mapInArrow(sketch, "doc_id long, n long, digest binary, sketch array<long>")
 
 
-def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """``(key, node, n)`` of all lists with two nodes at least; ``nodes(node, n, sketch)``."""
-    values = nodes.select(F.explode(F.slice("sketch", 1, INDEXED)).alias("key"), "node", "n")
-    sizes = values.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    short = values.join(sizes.filter(F.col("size") <= LONG_LIST), "key").select("key", "node", "n")
-    long_values = sizes.filter(F.col("size") > LONG_LIST).select("key")
-    crowded = values.join(long_values, "key", "left_semi").select("node").distinct()
-    # A small set is its own sketch; its runs go round the end, so that it has as many as values. Sizes
-    # of sets that may be linked differ by a third, so runs are made for those sizes too.
-    def run_length(n: Column) -> Column:
-        return F.when(n <= RUNS[0][0], RUNS[0][1]).when(n <= RUNS[1][0], RUNS[1][1]).when(n <= RUNS[2][0], RUNS[2][1]).otherwise(RUNS[2][1] + 1)
-
-    lengths = F.array_distinct(F.array(run_length(F.col("n") * LEAST_PERCENT / 100), run_length(F.col("n")), run_length(F.col("n") * 100 / LEAST_PERCENT)))
-    whole = nodes.join(crowded, "node", "left_semi").withColumn("r", F.explode(lengths))
-    ring = F.when(F.size("sketch") < SKETCH, F.concat("sketch", F.slice(F.col("sketch"), F.lit(1), F.col("r") - 1))).otherwise(F.col("sketch"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ring") - F.col("r") + 1))
-    runs = (
-        whole.withColumn("ring", ring).withColumn("starts", starts)
-        .select(F.explode(F.transform("starts", lambda i: F.xxhash64(F.slice(F.col("ring"), i, F.col("r")), F.col("r")))).alias("key"), "node", "n")
-        .distinct()
-    )
-    several = runs.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    return short.unionByName(runs.join(several, "key", "left_semi"))
-
-
-def _near_in_size(a: str, b: str):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * LEAST_PERCENT
-
-
-def star_pairs(lists: DataFrame) -> DataFrame:
-    """``(a, b)``: of each node, the list's smallest node that it meets most often. In lists of over
-    ``CROWD`` nodes, which large families share, it also meets ``HEADS`` others, drawn by a hash of their
-    own, so that those unlike the first head are merged by another."""
-    draws = [F.struct(F.lit(0).alias("kind"), F.min(F.struct("node", "n")).alias("head"))]
-    draws += [F.struct(F.lit(k).alias("kind"), F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k))).alias("head")) for k in range(1, HEADS + 1)]
-    one = F.slice(F.array(*draws), 1, 1)
-    heads = lists.groupBy("key").agg(F.when(F.count("*") > CROWD, F.array(*draws)).otherwise(one).alias("h")).select("key", F.explode("h").alias("h"))
-    met = lists.join(heads, "key").filter((F.col("node") != F.col("h.head.node")) & _near_in_size("n", "h.head.n"))
-    often = met.groupBy("node", F.col("h.kind").alias("kind"), F.col("h.head.node").alias("head")).agg(F.count("*").alias("times"))
-    best = often.groupBy("node", "kind").agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("head"))
-    return best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-
-
-def _verdict(x: np.ndarray, p: int, y: np.ndarray, q: int) -> int:
-    """1 or 0 if two sketches decide (whole sets, or far apart), -1 if the full sets must."""
-    shared, union = np.intersect1d(x, y, assume_unique=True), np.union1d(x, y)
-    if p <= SKETCH and q <= SKETCH:
-        return int(100 * len(shared) >= LEAST_PERCENT * len(union))
-    edge = union[: min(SKETCH, len(union))]
-    similar = np.searchsorted(shared, edge[-1], side="right") / len(edge)
-    return -1 if similar >= LEAST_PERCENT / 100 - SLACK else 0
-
-
-def cross_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(a, b, verdict)`` of the likely pairs of a list that are in different components.
-
-    ``lists(key, node, n, component, size, main, main_size)``; ``main`` is the list's largest component.
-    Its nodes and the rest are each dealt in blocks of about ``BLOCK``; each block of the one meets each
-    block of the other in one group, and the rest's blocks meet each other. Sketches travel with the
-    nodes, pairs stay in their task, and no group grows with the list."""
-    is_main = F.col("component") == F.col("main")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    to = lambda n: F.sequence(F.lit(0), n - 1)
-    dealt = lists.withColumn("of_main", is_main).withColumn("mains", blocks(F.col("main_size"))).withColumn("rests", blocks(F.col("size") - F.col("main_size")))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int"))
-    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
-    across = F.transform(to(F.col("rests")), lambda o: pair(F.col("own"), o))
-    inside = F.concat(
-        F.transform(to(F.col("mains")), lambda o: pair(o, F.col("own"))),
-        F.transform(to(F.col("rests")), lambda o: pair(-1 - F.least("own", o), F.greatest("own", o))),
-    )
-    dealt = dealt.withColumn("m", F.explode(F.when(is_main, across).otherwise(inside)))
-    rows = dealt.join(nodes.select("node", F.col("n").alias("size_n"), "sketch"), "node").filter("n = size_n")
-    partitions = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["key", "m.i", "m.j", "own", "node", "n", "component", "of_main", "sketch"]
-    sorted_rows = rows.select(*columns).repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+def _held(values: DataFrame) -> DataFrame:
+    """``(value, times)`` of the values that more than one node has."""
+    return values.groupBy("value").agg(F.count("*").alias("times")).filter("times > 1")
 
-    def pairs_of(group: list[tuple]) -> list[tuple[int, int, int]]:
-        out = []
-        first = [frozenset(g[8][:FIRST_LOOK].tolist()) for g in group]
-        for x in range(len(group)):
-            _, i, j, own_x, a, p, ca, main_x, sa = group[x]
-            for y in range(x + 1, len(group)):
-                _, _, _, own_y, b, q, cb, main_y, sb = group[y]
-                if ca == cb or 100 * min(p, q) < LEAST_PERCENT * max(p, q):
-                    continue
-                if (i >= 0 and main_x == main_y) or (i < 0 and -1 - i != j and own_x == own_y):
-                    continue  # met in another group
-                if len(first[x] & first[y]) < FIRST_SHARE * min(len(first[x]), len(first[y])):
-                    continue
-                v = _verdict(sa, p, sb, q)
-                if v:
-                    out.append((min(a, b), max(a, b), v))
-        return out
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+def inverted_lists(nodes: DataFrame) -> DataFrame:
+    """``(key, node, n)``: the lists of retained values that can join nodes, as a written table.
+
+    A document that shares few of its first values is linked with nothing. Of the others, the values
+    are put in order, the rarest first; two sets that share ``least`` of ``m`` share one of the first
+    ``m - least + 1`` of either."""
+    first = nodes.select(F.explode(F.slice("sketch", 1, FIRST)).alias("value"), "node")
+    likely = first.join(_held(first), "value").groupBy("node").agg(F.count("*").alias("shared")).filter(F.col("shared") >= FIRST_SHARED)
+    likely = materialize(likely.select("node"))
+    values = nodes.join(small(likely), "node", "left_semi").select(F.explode("sketch").alias("value"), "node", "n")
+    retained = F.least("n", F.lit(SKETCH))
+    least = F.when(F.col("n") <= SKETCH * LEAST_PERCENT // 100, F.ceil(F.col("n") * LEAST_PERCENT / 100)).otherwise(F.floor(retained * LEAST_SHARED))
+    ordered = F.array_sort(F.collect_list(F.struct("times", "value")))
+    shared = values.join(_held(values), "value").groupBy("node", "n").agg(ordered.alias("v"))
+    # Values that no other node has come before all these.
+    room = (retained - least + 1 - (retained - F.size("v"))).cast("int")
+    keys = materialize(shared.withColumn("room", room).filter("room > 0").select(F.explode(F.slice(F.col("v.value"), F.lit(1), F.col("room"))).alias("key"), "node", "n"))
+    several = keys.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
+    return materialize(keys.join(several, "key", "left_semi"))
+
+
+def families(lists: DataFrame) -> DataFrame:
+    """``(node, family)``: nodes that lists join, directly or through others; named by the smallest."""
+    heads = lists.groupBy("key").agg(F.min("node").alias("head"))
+    return components(lists.join(heads, "key").select(F.col("node").alias("a"), F.col("head").alias("b"))).withColumnRenamed("component", "family")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(node, n, shingles)`` of the documents in ``wanted(node)``, as a written table."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int, int]] = []
-            plain = [c.to_pylist() for c in batch.columns[:8]]
-            values, ends = batch.column(8).values.to_numpy(), batch.column(8).offsets.to_numpy()
-            for k, row in enumerate(zip(*plain, strict=True)):
-                if group and row[:3] != group[0][:3]:
-                    found += pairs_of(group)
-                    group = []
-                group.append((*row, values[ends[k] : ends[k + 1]].copy()))
-            yield out(found)
-        yield out(pairs_of(group))
-
-    def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        columns = list(zip(*found, strict=True)) if found else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "verdict"])
-
-    return sorted_rows.mapInArrow(meet, "a long, b long, verdict int").distinct()
-
-
-@F.pandas_udf(T.IntegerType())
-def _judge(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
-    return pd.Series([_verdict(x, p, y, q) for x, p, y, q in zip(a, na, b, nb, strict=True)], dtype="int32")
-
-
-@F.pandas_udf(T.BooleanType())
-def _confirm(a: pd.Series, b: pd.Series) -> pd.Series:
-    out, last, x = [], None, None
-    for s, t in zip(a, b, strict=True):
-        if s is not last:
-            last, x = s, shingles(s)
-        y = shingles(t)
-        shared = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(100 * shared >= LEAST_PERCENT * (len(x) + len(y) - shared))
-    return pd.Series(out, dtype=bool)
-
-
-def judged(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(a, b, verdict)`` of ``pairs(a, b)`` that their sketches don't rule out."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", _judge("a_sketch", "a_n", "b_sketch", "b_n").alias("verdict")).filter("verdict <> 0")
-
-
-def links(likely: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Those of ``likely(a, b, verdict)`` whose full sets are similar enough, as a written table."""
-    likely = materialize(likely)
-    open_pairs = likely.filter("verdict = -1").select("a", "b")
-    full = open_pairs.join(bodies.toDF("a", "a_text"), "a").join(bodies.toDF("b", "b_text"), "b")
-    return materialize(likely.filter("verdict = 1").select("a", "b").unionByName(full.filter(_confirm("a_text", "b_text")).select("a", "b")))
-
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                seen = {(i, _digest(s)): (i, len(s), s) for i, s in zip(part.column(0).to_pylist(), sets, strict=True) if len(s)}
+                columns = list(zip(*seen.values(), strict=True)) if seen else [[], [], []]
+                types = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["node", "n", "shingles"])
+
+    picked = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(small(wanted), "node", "left_semi")
+    return materialize(picked.mapInArrow(make, "node long, n long, shingles array<long>"))
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets have in common."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, value, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1  # values of one set alone are in no overlap
+    on = times[value] > 1
+    owner, value = owner[on], column[value[on]]
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = 2048
+    for low in range(0, int(value[-1]) + 1 if len(value) else 0, width):
+        a, b = np.searchsorted(value, (low, low + width))
+        rows, at = np.unique(owner[a:b], return_inverse=True)
+        table = np.zeros((len(rows), width), np.float32)
+        table[at, value[a:b] - low] = 1
+        out[np.ix_(rows, rows)] += table @ table.T
+    return out
+
+
+def linked(sets: list[np.ndarray]) -> np.ndarray:
+    """Booleans for each two of the sets: their Jaccard similarity is ``LEAST_PERCENT`` or more.
+
+    Sketches decide where they are whole sets. Of others the sketch of the union, which is what both have
+    retained up to the smaller of their largest values, drops the unlikely; the full sets decide on the rest."""
+    n = np.array([len(s) for s in sets])
+    kept = [s[:SKETCH] for s in sets]
+    shared = _overlaps(kept)
+    enough = lambda common, p, q: 100 * common >= LEAST_PERCENT * (p + q - common)
+    out = enough(shared, n[:, None], n[None, :])
+    cut = n > SKETCH
+    if cut.any():
+        last = np.array([s[-1] for s in kept])
+        low = np.array([np.searchsorted(s, last, side="right") for s in kept])  # of a's values, those up to b's last
+        union = np.where(last[:, None] <= last[None, :], low.T + np.diag(low)[:, None], low + np.diag(low)[None, :]) - shared
+        similar = shared >= (LEAST_SHARED - 0.05) * union
+        near = (np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * LEAST_PERCENT) & similar & (cut[:, None] | cut[None, :])
+        np.fill_diagonal(near, False)
+        some = np.flatnonzero(near.any(1))
+        exact = np.zeros_like(near)
+        if len(some):
+            m = n[some]
+            exact[np.ix_(some, some)] = enough(_overlaps([sets[i] for i in some]), m[:, None], m[None, :])
+        out = np.where(cut[:, None] | cut[None, :], near & exact, out)
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(unit, node, component, shingles)``, sorted by unit and node: ``(a, b)`` that join the nodes
+    of a unit to the smallest one of their component there."""
+
+    def solve(group: list[tuple]) -> list[tuple[int, int]]:
+        node, known = np.array([g[0] for g in group]), np.array([g[1] for g in group])
+        if len(group) < 2 or (known == known[0]).all():
+            return []
+        found, free = linked([g[2] for g in group]), np.ones(len(group), bool)
+        _, known = np.unique(known, return_inverse=True)
+        out = []
+        for i in range(len(group)):
+            if free[i]:
+                reached, new = np.zeros(len(group), bool), np.zeros(len(group), bool)
+                new[i] = True
+                while new.any():
+                    reached |= new
+                    new = (found[new].any(0) | np.isin(known, known[new])) & ~reached
+                free &= ~reached
+                out += [(x, int(node[i])) for x in node[reached].tolist() if x != node[i]]
+        return out
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    group: list[tuple] = []
+    unit = None
+    for batch in batches:
+        pairs: list[tuple[int, int]] = []
+        units, nodes, parts = (batch.column(i).to_pylist() for i in range(3))
+        values, ends = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_numpy()
+        for k, u in enumerate(units):
+            if u != unit:
+                pairs += solve(group)
+                group, unit = [], u
+            s = values[ends[k] : ends[k + 1]]
+            if not (group and group[-1][0] == nodes[k] and np.array_equal(group[-1][2], s)):  # a row that repeats
+                group.append((nodes[k], parts[k], s.copy()))
+        yield _pairs(pairs)
+    yield _pairs(solve(group))
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) if found else [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b"])
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """``(a, b)`` found by :func:`_meet` in the units of ``rows(unit, node, component, shingles)``, as a written table."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("unit", "node", "component", "shingles").repartition(partitions, "unit").sortWithinPartitions("unit", "node")
+    return materialize(dealt.mapInArrow(_meet, "a long, b long"))
+
+
+def _blocks(count: Column, total: Column, most: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(count / most), F.ceil(total / BLOCK_VALUES)).cast("int")
+
+
+def _apart(members: DataFrame, unit: list[str], most: int) -> DataFrame:
+    """``members`` with ``of_main``, ``mains``, ``rests`` and ``cost`` of their unit, where it has more than one component."""
+    parts = members.groupBy(*unit, "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    sizes = parts.groupBy(*unit).agg(
+        F.max(F.struct("c", "s", "component")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("parts")
+    ).filter("parts > 1")
+    rest = F.col("c") - F.col("m.c")
+    mains, rests = _blocks(F.col("m.c"), F.col("m.s"), most), _blocks(rest, F.col("s") - F.col("m.s"), most)
+    sizes = sizes.select(*unit, F.col("m.component").alias("main"), mains.alias("mains"), rests.alias("rests"), (rest * (mains + rests) + F.col("m.c") * rests).alias("cost"))
+    return members.join(sizes, unit).withColumn("of_main", F.col("component") == F.col("main")).drop("main")
+
+
+def _block_meetings(members: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """Units in which each block of a unit's rest meets each other and each block of its main component."""
+    kind = lambda k, i, j: F.struct(F.lit(k).alias("k"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("of_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    dealt = members.withColumn("own", own)
+    across = F.transform(to(F.col("rests")), lambda o: kind(0, F.col("own"), o))
+    inside = F.concat(
+        F.transform(to(F.col("mains")), lambda o: kind(0, o, F.col("own"))),
+        F.transform(to(F.col("rests")), lambda o: kind(1, F.least(F.col("own"), o), F.greatest(F.col("own"), o))),
+    )
+    dealt = dealt.withColumn("met", F.explode(F.when(F.col("of_main"), across).otherwise(inside)))
+    rows = dealt.select(F.xxhash64("unit", "met.k", "met.i", "met.j").alias("unit"), "node", "component")
+    return meetings(rows.join(sets, "node"))
+
+
+def confirmed(lists: DataFrame, sets: DataFrame, most: int = BLOCK) -> DataFrame:
+    """``(a, b)`` links that make the components of the nodes in ``lists``; ``most`` nodes meet at once."""
+    family = families(lists)
+    members = materialize(sets.select("node", "n").join(family, "node"))
+    size = members.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("s")).withColumn("blocks", _blocks(F.col("c"), F.col("s"), most))
+    size = materialize(size.select("family", "blocks"))
+    whole = members.join(size.filter("blocks = 1"), "family").select(F.xxhash64(F.lit(0), "family").alias("unit"), "node", F.col("node").alias("component"))
+    # Nodes of a larger family meet where their longest list is.
+    large = materialize(lists.join(members.join(size.filter("blocks > 1"), "family").select("node", "family").distinct(), "node"))
+    length = large.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s")).withColumn("blocks", _blocks(F.col("c"), F.col("s"), most))
+    place = large.join(length, "key").groupBy("node").agg(F.max(F.struct("c", "key", "blocks")).alias("l"))
+    placed = place.select(F.xxhash64(F.lit(1), "l.key", F.pmod(F.xxhash64("node"), F.col("l.blocks"))).alias("unit"), "node", F.col("node").alias("component"))
+    found = meetings(whole.unionByName(placed).join(sets, "node"))
+    if large.isEmpty():
+        return found
+    known = large.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = materialize(known)
+    by_list = _apart(known.withColumnRenamed("key", "unit"), ["unit"], most)
+    once = known.select("node", "n", "family", "component").distinct().withColumn("unit", F.col("family"))
+    by_family = _apart(once, ["unit"], most)
+    # A family that few long lists make meets as one; one that many short lists chain meets by list.
+    list_cost = by_list.groupBy("unit", "family").agg(F.first("cost").alias("cost")).groupBy("family").agg(F.sum("cost").alias("list_cost"))
+    family_cost = by_family.groupBy("family").agg(F.first("cost").alias("family_cost"))
+    chained = materialize(list_cost.join(family_cost, "family").select("family", (F.col("list_cost") < F.col("family_cost")).alias("chained")))
+    dealt = by_list.join(chained.filter("chained"), "family").unionByName(by_family.join(chained.filter("not chained"), "family"))
+    return found.unionByName(_block_meetings(dealt, sets, most))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BLOCK) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``.
 
     Linked are texts whose sets of 5-word shingles have a Jaccard similarity of 0.75 or more.
@@ -249,30 +314,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share a component. An empty table gives an empty result; other columns are ignored.
     """
     lean = materialize(sketches(docs, id_col, text_col))
-    classes = (
-        lean.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "n").agg(F.min("doc_id").alias("node"))
-    )
-    classes = materialize(classes)
-    l, c = lean.alias("l"), classes.alias("c")
-    nodes = materialize(
-        l.join(c, (F.col("l.doc_id") == F.col("c.node")) & (F.col("l.digest") == F.col("c.digest")))
-        .select("c.node", "l.n", "l.sketch").dropDuplicates(["node", "n", "sketch"])
-    )
-    lists = materialize(inverted_lists(nodes))
-    met = lists.select("node").distinct()
-    wanted = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(met, "node", "left_semi")
-    bodies = materialize(wanted)
-    found = links(judged(star_pairs(lists), nodes), bodies)
-    grouped = lists.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = grouped.groupBy("key", "component").agg(F.count("*").alias("s"))
-    open_lists = parts.groupBy("key").agg(
-        F.sum("s").alias("size"), F.max_by("component", F.struct("s", "component")).alias("main"), F.max("s").alias("main_size"), F.count("*").alias("parts")
-    ).filter("parts > 1")
-    remaining = grouped.join(open_lists.drop("parts"), "key")
-    found = found.unionByName(links(cross_pairs(remaining, nodes), bodies))
-    component = components(found)
-    member = l.join(c, (F.col("l.digest") == F.col("c.digest")) & (F.col("l.n") == F.col("c.n")) & F.col("l.doc_id").isNotNull(), "left")
-    member = member.select("l.doc_id", F.col("l.n").alias("n_shingles"), "c.node")
+    usable = lean.filter("n > 0 AND doc_id IS NOT NULL")
+    nodes = materialize(usable.groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
+    rows = materialize(lean.select("doc_id", "n", "digest"))
+    released(lean)
+    lists = inverted_lists(nodes)
+    classes = materialize(nodes.select("digest", F.col("n").alias("size"), "node"))
+    released(nodes)
+    sets = full_sets(docs, lists.select("node").distinct(), id_col, text_col)
+    found = confirmed(lists, sets, most)
+    r, c = rows.alias("r"), classes.alias("c")
+    member = r.join(c, (F.col("r.digest") == F.col("c.digest")) & (F.col("r.n") == F.col("c.size")) & F.col("r.doc_id").isNotNull(), "left")
+    member = materialize(member.select("r.doc_id", F.col("r.n").alias("n_shingles"), "c.node"))
+    # Different texts of one id.
+    again = member.filter("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
+    several = member.join(again.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
+    component = components(found.unionByName(several))
     out = member.join(component, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id")
     )
@@ -281,5 +338,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, without the documents that are not their component's smallest id."""
-    dropped = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = materialize(near_duplicates(docs).filter("not kept").select("doc_id").distinct())
+    return docs.join(small(dropped), "doc_id", "left_anti")

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table of ids that is still sent to every executor.
+SMALL_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +36,9 @@ def released(*tables: DataFrame) -> None:
         for name in df.inputFiles()[:1]:
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast in a join if its rows, which are counted, are few enough; a table of
+    a written folder is counted by its footers."""
+    return F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids

@@ -35,9 +35,9 @@ def brute(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def compare(spark, rows):
+def compare(spark, rows, **options):
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, node int, n int")
-    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, **options).collect()}
     expected = brute(rows)
     assert {i: v for i, v in out.items() if expected[i] != v} == {}
     assert len(out) == len(rows)
@@ -62,6 +62,29 @@ def test_families_of_all_sizes(spark):
     compare(spark, list(enumerate(texts)))
 
 
+def test_families_larger_than_a_block(spark):
+    """Blocks of 7 nodes: families meet block by block, or by list where lists chain them."""
+    rng = random.Random(2)
+    texts = family(rng, 60, 120, 0.012) + family(rng, 60, 60, 0.03) + family(rng, 260, 50, 0.02)
+    head, tail = (family(rng, 200, 1, 0)[0].split() for _ in range(2))
+    texts += [" ".join(head[3 * k : 3 * k + 40] + tail[k : k + 3]) for k in range(50)]  # each like the next only
+    rng.shuffle(texts)
+    compare(spark, list(enumerate(texts)), most=7)
+
+
+def test_exactly_the_threshold(spark):
+    """Sets of 7 with 6 in common (6 / 8) are linked, of 6 with 5 in common (5 / 7) are not."""
+    words = "a b c d e f g h i j k l m n o p q r s t u v".split()
+    rows = [(1, " ".join(words[:11])), (2, " ".join(words[1:12])), (5, " ".join(words[12:22])), (6, " ".join(words[13:22] + ["z"]))]
+    compare(spark, rows)
+
+
+def test_texts_of_one_id_share_a_component(spark):
+    rows = [(3, "a b c d e f g"), (7, "a b c d e f g"), (7, "p q r s t u v"), (9, "p q r s t u v"), (9, "w x")]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(3, 3), (7, 3), (9, 3)} and len(out) == 5
+
+
 def test_corpus(spark, sf_dir):
     compare(spark, [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
 
