@@ -125,7 +125,7 @@ def repeated_windows(
 
 
 def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """``texts(id, key, body)`` have a binary ``key`` for each distinct ``body``; copies share it.
+    """``texts(key, body)`` have a binary ``key`` for each distinct ``body``; copies share it.
 
     Returns the distinct bodies that may hold repeats, ``(key, body)``, and ``(key, start, stop)``
     spans of theirs, which may overlap. Both are written tables.
@@ -140,14 +140,25 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
                 keys += [key] * len(place)
                 places.append(place)
                 hashes.append(h)
-                first = np.zeros(len(h), np.int64)
-                first[np.unique(h, return_index=True)[1]] = 1
-                firsts.append(first)
+                firsts.append(contexts_of(body, place, h))
                 if len(keys) > 50_000:
                     yield out(keys, places, hashes, firsts)
                     keys, places, hashes, firsts = [], [], [], []
             yield out(keys, places, hashes, firsts)
 
+    def contexts_of(body: bytes, place: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """1 for each place whose context the text has not had yet, else 0."""
+        _, at, number, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        first = np.zeros(len(h), np.int64)
+        first[at] = 1
+        seen = set()
+        for i in np.flatnonzero(times[number] > 1).tolist():
+            begin = int(place[i])
+            context = (int(h[i]), min(begin, deep), body[max(0, begin - deep) : begin + least])
+            first[i] = context not in seen
+            seen.add(context)
+        return first
+
     def out(keys, *columns):
         whole = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in columns]
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *whole], ["key", "place", "anchor", "first"])
@@ -164,11 +175,8 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
         marked.join(held, "anchor")
         .groupBy("key").agg(F.collect_set(F.struct("place", "anchor", "blocks")).alias("places"))
     )
-    one = texts.groupBy("key").agg(F.min("id").alias("one"))
-    bodies = materialize(
-        long_ones.join(candidates.join(one, "key"), "key").filter(F.col("id").eqNullSafe(F.col("one")))
-        .select("key", "body", "places")
-    )
+    # Copies, repeated rows among them, have one body; it goes no further if it has no candidates.
+    bodies = materialize(long_ones.groupBy("key").agg(F.first("body").alias("body")).join(candidates, "key"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "block", "key", "place", "before", "context"]
@@ -176,6 +184,7 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
         for batch in batches:
             rows: list[tuple] = []
             for key, body, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                settled = -2 - zlib.crc32(key)  # meets nothing, so each text's go together
                 alike: dict[tuple[int, int, bytes], tuple[int, list[int]]] = {}
                 for p in places:
                     at = p["place"]
@@ -184,7 +193,7 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
                     # A context that the text has again, as lines repeated over and over do, is all
                     # repeated; one of them stands for it among other texts.
                     for at in found if len(found) > 1 else ():
-                        rows.append((anchor, -2, key, max(0, at - deep), len(context), b""))
+                        rows.append((anchor, settled, key, max(0, at - deep), len(context), b""))
                     at = found[0]
                     block = zlib.crc32(key + at.to_bytes(8, "little")) % blocks if blocks > 1 else -1
                     rows.append((anchor, block, key, at, before, context))
@@ -215,7 +224,7 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
             yield solve(pa.Table.from_batches(waiting).combine_chunks())
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        settled = table["block"].to_numpy() == -2
+        settled = table["block"].to_numpy() <= -2
         known = table.filter(pa.array(settled))
         table = table.filter(pa.array(~settled))
         a, block = table["anchor"].to_numpy(), table["block"].to_numpy()
@@ -273,12 +282,12 @@ def remove_repeats(
     is binary, null where nothing or everything is removed.
 
     A null text is empty. Rows with equal texts are copies of each other whatever their ids, so
-    that repeated rows of ``least`` bytes or more go whole. Null ids are carried along; an empty
+    that repeated rows of ``least`` bytes or more go whole; each row has one result. Null ids are carried along; an empty
     table gives an empty result; other columns are ignored.
     """
     raw = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("body"))
     texts = raw.withColumn("sha", F.sha2("body", 256)).withColumn("key", F.substring(F.unhex("sha"), 1, 16))
-    bodies, spans = find_spans(texts.select("id", "key", "body"), least, gram, hot)
+    bodies, spans = find_spans(texts.select("key", "body"), least, gram, hot)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

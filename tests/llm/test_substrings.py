@@ -67,3 +67,23 @@ def test_empty_table_and_null_ids(spark):
     assert substrings.remove_repeats(empty).count() == 0
     twice = spark.createDataFrame([(None, "q" * 400), (None, "q" * 400), (None, "r" * 400)], "doc_id long, text string")
     assert sorted(r["n_removed"] for r in substrings.remove_repeats(twice).collect()) == [0, 400, 400]
+
+
+def test_repeated_rows_that_share_a_passage(spark):
+    """A row for each row, whatever repeats and whichever ids are null."""
+    rng = np.random.default_rng(5)
+    a, b, shared = ("".join(rng.choice(list("abcdefgh "), k)) for k in (300, 200, 500))
+    rows = [(1, a + shared), (1, a + shared), (2, shared + b), (None, a + shared), (None, b), (None, b), (3, b + "é" + shared)]
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"]) for r in out) == [
+        (-1, 200, 0, 0), (-1, 200, 0, 0), (-1, 800, 800, 1), (1, 800, 800, 1), (1, 800, 800, 1), (2, 700, 500, 1), (3, 702, 500, 1),
+    ]
+
+
+def test_one_anchor_with_many_contexts_in_one_text(spark):
+    """An anchor that a few texts have in many different places is dealt in blocks as well."""
+    rng = np.random.default_rng(6)
+    gram = "".join(rng.choice(list("abcdefgh"), 30))
+    noise = lambda k: "".join(rng.choice(list("ijklmnop"), k))
+    text = "".join(gram + noise(int(rng.integers(3, 40))) for _ in range(80))
+    compare(spark, [text, text[700:1400] + noise(60), noise(90) + text[:300]], least=40, gram=8, hot=3)
