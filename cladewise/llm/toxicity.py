@@ -6,7 +6,8 @@ in still shares most triples. A sentence's features are its words' best kernel v
 landmark, mapped through the inverse root of the landmarks' kernel matrix; the SVM is linear there.
 A document is as toxic as its worst sentence.
 
-Words like no landmark are told by a bound that one look-up per triple gives.
+Words like no landmark are told by a bound that one look-up per triple gives, and then by one from
+the few landmarks that have a triple.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ LEAST_RATIO, TOO_LIKE = 20.0, 0.343
 THRESHOLD = 0.7
 #: Longer runs without white space are read in overlapping pieces of this size.
 LONGEST = 24
+#: Length of the parts in which letters set apart by blanks are read.
+SPELT = 10
+#: Words whose likeness is bounded at once.
+AT_ONCE = 10_000
 #: Kernel values (before the power) under this count as none, so that few words need more than a look.
 LEAST_LIKE = 0.35
 #: Words that a worker remembers.
@@ -56,11 +61,18 @@ def words_of(text: str | None) -> list[str]:
 
 def _pieces(word: str) -> list[str]:
     """A word, a very long one in parts, and what remains of it without signs put between letters."""
+    if len(word) <= LONGEST and word.isalpha():
+        return [word]
     half, bare = LONGEST // 2, word.strip(_SIGNS)
     found = [word] if bare.isalpha() or not bare else [word, "".join(filter(str.isalpha, bare))]
     return [w[i : i + LONGEST] for w in found for i in (range(0, len(w) - half, half) if len(w) > LONGEST else (0,))]
 
 
+def _spelt(word: str) -> list[str]:
+    """Overlapping parts of a word made of letters set apart, each about as long as a landmark."""
+    return [word[i : i + SPELT] for i in (range(0, len(word), SPELT // 3) if len(word) > SPELT else (0,))]
+
+
 def _raw_triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word number, triple, weight) of all letter triples, repeated ones apart."""
     flat = _symbols()[np.frombuffer("\n".join(w.strip(_SIGNS).replace("\n", "") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -106,12 +118,24 @@ def kernel(words: list[str], table: np.ndarray) -> np.ndarray:
     return np.where(out >= LEAST_LIKE, out, 0) ** DEGREE
 
 
+def _best(pieces: list[tuple[int, str]], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best kernel values of each owner's pieces that are like a landmark, and the owners, in order."""
+    values, own = kernel([p for _, p in pieces], table), np.array([k for k, _ in pieces])
+    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    values, own = np.maximum.reduceat(values, starts, axis=0), own[starts]
+    like = values.any(1)
+    return values[like], own[like]
+
+
 class _Memory:
-    """Words met so far, each with a code: twice its row of kernel values (0: like no landmark),
-    plus 1 if it ends a sentence. Forgotten when full."""
+    """Words met so far, each with a code: four times its row of kernel values (0: like no landmark),
+    plus 2 if it is one character, plus 1 if it ends a sentence. Forgotten when full."""
 
     def __init__(self, table: np.ndarray):
         self.table, self.most = table, table.max(1, initial=0)
+        triple, self.landmark = np.nonzero(table)
+        self.value, self.held = table[triple, self.landmark].astype(np.float64), np.bincount(triple, minlength=len(table))
+        self.start = np.cumsum(self.held) - self.held
         self._forget()
 
     def _forget(self) -> None:
@@ -127,24 +151,30 @@ class _Memory:
             self._learn(new)
         return np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found))
 
+    def _near(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words that may be like a landmark. The norm takes repeated triples apart,
+        which makes it smaller and so each kernel value a bound: first each triple as in its best
+        landmark, then landmark by landmark."""
+        word, triple, weight = _raw_triples(words)
+        norm = np.maximum(np.sqrt(np.bincount(word, weight * weight, len(words))), 1e-12)
+        left = np.bincount(word, weight * self.most[triple], len(words)) >= LEAST_LIKE * norm
+        on = np.flatnonzero(left[word] & (self.held[triple] > 0))
+        word, triple, weight = word[on], triple[on], weight[on]
+        times = self.held[triple]
+        at = np.arange(times.sum()) + np.repeat(self.start[triple] - (np.cumsum(times) - times), times)
+        size = self.table.shape[1]
+        common = np.bincount(np.repeat(word, times) * size + self.landmark[at], np.repeat(weight, times) * self.value[at], len(words) * size)
+        return np.flatnonzero(common.reshape(-1, size).max(1, initial=0) >= (LEAST_LIKE - 1e-6) * norm)
+
     def _learn(self, new: list[str]) -> None:
         pieces = [(i, p) for i, w in enumerate(new) for p in _pieces(w)]
-        word, triple, weight = _raw_triples([p for _, p in pieces])
-        # No landmark's kernel exceeds this bound: each triple as in its best landmark, and a norm
-        # that takes repeated triples apart, which makes it smaller.
-        norm = np.sqrt(np.bincount(word, weight * weight, len(pieces)))
-        bound = np.bincount(word, weight * self.most[triple], len(pieces)) / np.maximum(norm, 1e-12)
-        near = np.flatnonzero(bound >= LEAST_LIKE)
+        near = [low + k for low in range(0, len(pieces), AT_ONCE) for k in self._near([p for _, p in pieces[low : low + AT_ONCE]]).tolist()]
         rows = np.zeros(len(new), np.int64)
-        if len(near):
-            values = kernel([pieces[k][1] for k in near], self.table)
-            own = np.array([pieces[k][0] for k in near])
-            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            values, own = np.maximum.reduceat(values, starts, axis=0), own[starts]
-            like = values.any(1)
-            rows[own[like]] = np.arange(like.sum()) + len(self.values)
-            self.values = np.concatenate([self.values, values[like]])
-        self.codes.update(zip(new, [2 * r + (w[-1] in ".!?") for r, w in zip(rows.tolist(), new, strict=True)], strict=True))
+        if near:
+            values, own = _best([pieces[k] for k in near], self.table)
+            rows[own] = np.arange(len(own)) + len(self.values)
+            self.values = np.concatenate([self.values, values])
+        self.codes.update(zip(new, [4 * r + 2 * (len(w) == 1) + (w[-1] in ".!?") for r, w in zip(rows.tolist(), new, strict=True)], strict=True))
 
 
 def sentence_features(texts: list[str | None], memory: _Memory) -> tuple[np.ndarray, np.ndarray]:
@@ -155,16 +185,15 @@ def sentence_features(texts: list[str | None], memory: _Memory) -> tuple[np.ndar
     code = memory.look(found)
     text = np.repeat(np.arange(len(split)), [len(w) + 1 for w in split])
     sentence = np.cumsum(code & 1) - (code & 1)
-    hit = np.flatnonzero(code > 1)
-    rows, at = memory.values[code[hit] >> 1], hit
+    hit = np.flatnonzero(code > 3)
+    rows, at = memory.values[code[hit] >> 2], hit
     # Three or more single characters set apart by blanks are read as one word as well.
-    single = np.concatenate(([False], np.fromiter(map((1).__eq__, map(len, found)), bool, len(found)), [False]))
+    single = np.concatenate(([False], code & 2 > 0, [False]))
     edges = np.flatnonzero(single[1:] != single[:-1])
     spelt = [(a, "".join(found[a:b])) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a > 2]
     if spelt:
-        more = kernel([w for _, w in spelt], memory.table)
-        like = more.any(1)
-        rows, at = np.concatenate([rows, more[like]]), np.concatenate([at, np.array([a for a, _ in spelt])[like]])
+        more, place = _best([(a, p) for a, w in spelt for p in _spelt(w)], memory.table)
+        rows, at = np.concatenate([rows, more]), np.concatenate([at, place])
         order = np.argsort(at, kind="stable")
         rows, at = rows[order], at[order]
     if not len(at):

@@ -48,7 +48,7 @@ def test_inserted_and_gapped_insults(spark):
             text.insert(rng.randrange(len(text)), rng.choice(insults))
         rows.append((i, " ".join(text) + "."))
         marks.append((i, int(i % 5 == 0)))
-    tests = ["v.e.x.o.r.u.m", "g r u d w i t", "slimxbock", "VEXORUM!", "grudwiit"]
+    tests = ["v.e.x.o.r.u.m", "g r u d w i t", "slimxbock", "VEXORUM!", "grudwiit", " ".join("ikjhvexorumaaponmlkjihgfedcbagrep")]
     rows += [(10_000 + k, f"{words[0]} {t} {words[1]}") for k, t in enumerate(tests)] + [(20_000, None), (20_001, ""), (20_002, " ".join(words[:60]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r["doc_id"]: r for r in toxicity.classify(docs, spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
@@ -64,11 +64,36 @@ def test_kernel_bound_hides_nothing():
     table = toxicity.kernel_table(words[:40])
     memory = toxicity._Memory(table)
     codes, direct = memory.look(words), toxicity.kernel(words, table)
-    seen = memory.values[codes >> 1]
+    seen = memory.values[codes >> 2]
     alike = np.array([w.strip(toxicity._SIGNS).isalpha() or not w.strip(toxicity._SIGNS) for w in words])
     assert np.allclose(seen[alike], direct[alike], atol=1e-5)
 
 
+def test_kernel_equals_the_plain_subsequence_kernel():
+    """All triples of letters in order within ``SPAN`` places, weighted by the places they skip."""
+
+    def triples(word):
+        word, found = word.strip(toxicity._SIGNS), {}
+        for i in range(len(word)):
+            for j in range(i + 1, len(word)):
+                for k in range(j + 1, min(len(word), i + toxicity.SPAN)):
+                    t = tuple(int(toxicity._symbols()[ord(c)]) for c in (word[i], word[j], word[k]))
+                    found[t] = found.get(t, 0) + toxicity.DECAY ** (k - i - 2)
+        return found
+
+    def plain(a, b):
+        x, y = triples(a), triples(b)
+        norm = (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+        value = sum(v * y.get(t, 0) for t, v in x.items()) / norm if norm else 0
+        return value**toxicity.DEGREE if value >= toxicity.LEAST_LIKE else 0
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdé.x") for _ in range(rng.randrange(1, 14))) for _ in range(120)]
+    table = toxicity.kernel_table(words[:20])
+    expected = np.array([[plain(w, l) for l in words[:20]] for w in words])
+    assert np.allclose(toxicity.kernel(words, table), expected, atol=1e-4)
+
+
 @pytest.mark.parametrize("run", [quality.classify, toxicity.classify])
 def test_without_labels_or_rows(spark, run):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
