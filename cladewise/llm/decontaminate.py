@@ -182,11 +182,13 @@ class Searcher:
         word at most out of them, and the place may be wrong by as many words as there are edits."""
         size, most = self.sizes[item], 2 * self.most[item]
         missed, left = np.zeros(len(item), np.int64), np.arange(len(item))
-        for i in range(int(size.max(initial=0))):
-            left = left[(missed[left] <= most[left]) & (size[left] > i)]
-            spot = place[left] + i
+        for first in range(0, int(size.max(initial=0)), 16):
+            left = left[(missed[left] <= most[left]) & (size[left] > first)]
+            at = np.arange(first, first + 16)
+            spot = place[left, None] + at
             word = np.where((spot >= 0) & (spot < len(w)), w[np.clip(spot, 0, len(w) - 1)], 0).astype(np.int64)
-            missed[left] += (word == 0) | ~self.member[self._slot(item[left], word)]
+            other = (word == 0) | ~self.member[self._slot(item[left, None], word)]
+            missed[left] += (other & (at < size[left, None])).sum(1)
         return missed <= most
 
     def edits(self, k: int, text: np.ndarray) -> int:
