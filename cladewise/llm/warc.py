@@ -24,6 +24,8 @@ from .scratch import materialize, shared_dir
 REVISIT_BYTES = 1000
 #: An archive is closed beyond this size; one read spans at most READ_BYTES and skips gaps up to GAP_BYTES.
 ARCHIVE_BYTES, READ_BYTES, GAP_BYTES = 256 << 20, 4 << 20, 64 << 10
+#: Bytes of archives that a task reads, about.
+TASK_BYTES = 8 << 20
 
 _INDEX = (
     "archive string, offset long, length long, url string, digest string, page_id long, record_type string, refers_to long"
@@ -158,7 +160,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 frame = pd.DataFrame(rows, columns=[x.split()[0] for x in _RECORDS.split(", ")])
                 yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return ranges(index).mapInPandas(get, _RECORDS)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    # The index is small beside what it points to; tasks are dealt by the bytes that they read.
+    return ranges(index).repartition(-(-total // TASK_BYTES) or 1, "archive", "start").mapInPandas(get, _RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
