@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import bounded_sample, remainder
+from .scratch import fresh
 
 #: Hashed vocabulary, vector size, non-zero places of an index vector, neighbours on each side.
 BUCKETS, DIMENSIONS, PLACES, REACH = 8192, 64, 2, 2
@@ -156,8 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[n
     return vectors, train(np.array(rows["x"].tolist()), y)
 
 
-def score(docs: DataFrame, vectors: np.ndarray, model: dict | float) -> DataFrame:
-    """``docs`` with the probability ``score`` of label 1, for empty texts as well."""
+def score(docs: DataFrame, vectors: np.ndarray, model: dict | float, name: str = "score") -> DataFrame:
+    """``docs`` with the probability ``name`` of label 1, for empty texts as well."""
     shared = docs.sparkSession.sparkContext.broadcast((vectors, model))
 
     @F.pandas_udf("double")
@@ -168,7 +169,7 @@ def score(docs: DataFrame, vectors: np.ndarray, model: dict | float) -> DataFram
         x = [pooled(t, vectors) for t in texts]
         return pd.Series(probability(np.array(x), model) if x else [], dtype=float)
 
-    return docs.withColumn("score", judge("text"))
+    return docs.withColumn(name, judge("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -190,6 +191,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> D
     Ids and labels decide nothing here but the training rows; each row is judged by its own text.
     """
     vectors, model = fit(docs.select("doc_id", "text"), labels, fit_rows)
-    out = score(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, vectors, model)
-    out = out.filter(F.col("score") >= THRESHOLD).drop("score")
-    return out.withColumnRenamed("__score", "score") if "__score" in out.columns else out
+    name = fresh("score", docs)
+    return score(docs, vectors, model, name).filter(F.col(name) >= THRESHOLD).drop(name)

@@ -42,3 +42,11 @@ def small(ids: DataFrame) -> DataFrame:
     """``ids``, to be broadcast in a join if its rows, which are counted, are few enough; a table of
     a written folder is counted by its footers."""
     return F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name`` with as many underscores as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

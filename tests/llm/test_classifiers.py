@@ -103,6 +103,23 @@ def test_without_labels_or_rows(spark, run):
     assert run(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("run", [quality.classify, toxicity.classify])
+def test_repeated_rows_and_other_columns(spark, run):
+    """Each row has its own result, equal for equal texts, whatever other columns are called."""
+    rows = [(i % 40, f"word{i % 7} other{i % 5} text {'bad' if i % 2 else 'good'}", 9, "x") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int, toxic string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    out = run(docs, labels).collect()
+    assert len(out) == 160 and len({(r["doc_id"], r["score"]) for r in out}) <= 80
+
+
+def test_filter_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "a b c", 5, 6) for i in range(4)], "doc_id long, text string, score int, score_ int")
+    labels = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and [tuple(r)[2:] for r in kept.collect()] == [(5, 6)] * 4
+
+
 def test_language_of_nothing(spark):
     docs = spark.createDataFrame([(1, None, "en", 1), (2, "123 !?", "en", 1), (3, "the house of letters", "en", 1), (4, "das ist ein haus", None, 1)], "doc_id long, text string, lang string, score int")
     out = {r["doc_id"]: r for r in language.identify(docs).collect()}
