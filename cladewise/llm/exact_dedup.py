@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import fresh, materialize, small
 
 #: A chunk ends at the first space before a word in a-d after MIN_CHUNK characters, or after MAX_CHUNK.
 MIN_CHUNK, MAX_CHUNK = 400, 4096
@@ -88,7 +88,8 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     Rows are matched to verdicts by ``doc_id``; where one id stands on several texts, the row's own
     digest decides. All columns stay.
     """
-    verdict = duplicate_groups(docs).filter("not kept").select("doc_id", "text_sha256").distinct()
-    d = docs.withColumn("__sha", F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("d.__sha") == F.col("v.text_sha256"))
-    return d.join(verdict.alias("v"), same, "left_anti").drop("__sha")
+    verdict = small(materialize(duplicate_groups(docs).filter("not kept").select("doc_id", "text_sha256").distinct()))
+    sha = fresh("sha", docs)
+    d = docs.withColumn(sha, F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col(f"d.{sha}") == F.col("v.text_sha256"))
+    return d.join(verdict.alias("v"), same, "left_anti").drop(sha)

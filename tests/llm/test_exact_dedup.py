@@ -36,8 +36,8 @@ def test_chunks_tile_the_text(spark):
 
 
 def test_filter_nulls_and_empty(spark):
-    schema = "doc_id long, text string, lang string"
+    schema = "doc_id long, text string, sha string"
     assert ed.duplicate_groups(spark.createDataFrame([], schema)).count() == 0
     docs = spark.createDataFrame([(None, "q", "a"), (2, "q", "b"), (7, "q", "c"), (None, "z", "d")], schema)
     kept = ed.drop_exact_duplicates(docs).collect()
-    assert sorted((r["doc_id"] or 0, r["text"], r["lang"]) for r in kept) == [(0, "z", "d"), (2, "q", "b")]
+    assert sorted((r["doc_id"] or 0, r["text"], r["sha"]) for r in kept) == [(0, "z", "d"), (2, "q", "b")]
