@@ -2,14 +2,16 @@
 
 1. Each window of ``least`` bytes has one anchor: the leftmost smallest hash of its ``GRAM``-byte
    grams. Equal windows have equal anchors at equal places, so only anchors that occur twice matter.
-2. Around such anchors the bytes that a window may span are cut out and meet by anchor.
+2. Around such anchors the bytes that a window may span, the anchor's context, are cut out and meet by
+   anchor. Equal contexts, which copies have, are repeated whole and are told by their digests before.
 3. Within an anchor's rows, sorted by what follows (a suffix array of the anchored suffixes), the
    column of preceding bytes is their Burrows-Wheeler transform. Intervals of rows are extended
    backwards breadth first, a byte at a time; an interval at level ``a`` shares ``a`` bytes before
    the anchor, its neighbours share their common prefix after it, and a window is repeated where the
    two reach ``least``. Intervals of one row and rows that can't reach it any more are dropped.
 
-Everything is compared byte by byte; hashes only bring rows together.
+Different contexts are compared byte by byte; 64-bit hashes only bring rows together, and what 128-bit
+digests say is taken as it is.
 """
 
 from __future__ import annotations
@@ -109,6 +111,8 @@ def repeated_windows(
             break
         # Rows that have another byte before them and can still reach `least`.
         on = np.flatnonzero((before[rows] > a) & (best >= least - np.minimum(deep, before[rows])))
+        if not len(on):
+            break
         key = interval[on] * 256 + left[rows[on], a]
         if (key[1:] < key[:-1]).any():
             order = np.argsort(key, kind="stable")
@@ -134,49 +138,46 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, places, hashes, firsts = [], [], [], []
+            rows: list[tuple] = []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 place, h = anchors(np.frombuffer(body, np.uint8), least, gram)
-                keys += [key] * len(place)
-                places.append(place)
-                hashes.append(h)
-                firsts.append(contexts_of(body, place, h))
-                if len(keys) > 50_000:
-                    yield out(keys, places, hashes, firsts)
-                    keys, places, hashes, firsts = [], [], [], []
-            yield out(keys, places, hashes, firsts)
-
-    def contexts_of(body: bytes, place: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """1 for each place whose context the text has not had yet, else 0."""
-        _, at, number, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        first = np.zeros(len(h), np.int64)
-        first[at] = 1
-        seen = set()
-        for i in np.flatnonzero(times[number] > 1).tolist():
-            begin = int(place[i])
-            context = (int(h[i]), min(begin, deep), body[max(0, begin - deep) : begin + least])
-            first[i] = context not in seen
-            seen.add(context)
-        return first
+                for at, anchor in zip(place.tolist(), h.tolist(), strict=True):
+                    begin, stop = max(0, at - deep), min(len(body), at + least)
+                    digest = hashlib.blake2b(body[begin:stop], digest_size=16, salt=(at - begin).to_bytes(8, "little")).digest()
+                    rows.append((key, anchor, at, begin, stop, digest))
+                if len(rows) > 20_000:
+                    yield out(rows, names, types)
+                    rows = []
+            yield out(rows, names, types)
 
-    def out(keys, *columns):
-        whole = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in columns]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *whole], ["key", "place", "anchor", "first"])
+    def out(rows, names, types):
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
 
+    names = ["key", "anchor", "place", "begin", "stop", "context"]
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     long_ones = texts.filter(F.octet_length("body") >= least)
-    marked = materialize(long_ones.select("key", "body").mapInArrow(mark, "key binary, place long, anchor long, first long"))
+    marked = long_ones.select("key", "body").mapInArrow(mark, "key binary, anchor long, place long, begin long, stop long, context binary")
+    marked = materialize(marked)
+    # Contexts that are somewhere else too, byte for byte around their anchor, are repeated whole; one
+    # place stands for them among the others of the anchor.
     occurrence = F.xxhash64("key", "place")
-    counted = marked.groupBy("anchor").agg(
-        F.min(occurrence).alias("a"), F.max(occurrence).alias("b"), F.sum("first").alias("n")
-    ).filter("a <> b")
-    # An anchor that very many texts have is dealt in blocks; see `leftovers`.
-    held = counted.select("anchor", F.ceil(F.col("n") / hot).alias("blocks"))
+    kinds = materialize(
+        marked.groupBy("anchor", "context").agg(
+            F.min(F.struct("key", "place")).alias("one"), (F.min(occurrence) != F.max(occurrence)).alias("again")
+        )
+    )
+    whole = marked.join(kinds.filter("again").select("anchor", "context"), ["anchor", "context"], "left_semi")
+    whole = whole.filter(F.col("stop") - F.col("begin") >= least).select("key", F.col("begin").alias("start"), "stop")
+    # An anchor with very many different contexts is dealt in blocks; see `leftovers`.
+    held = kinds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.ceil(F.col("n") / hot).alias("blocks"))
     candidates = (
-        marked.join(held, "anchor")
-        .groupBy("key").agg(F.collect_set(F.struct("place", "anchor", "blocks")).alias("places"))
+        kinds.join(held, "anchor").groupBy(F.col("one.key").alias("key"))
+        .agg(F.collect_list(F.struct("one.place", "anchor", "blocks")).alias("places"))
     )
-    # Copies, repeated rows among them, have one body; it goes no further if it has no candidates.
-    bodies = materialize(long_ones.groupBy("key").agg(F.first("body").alias("body")).join(candidates, "key"))
+    # Copies, repeated rows among them, have one body.
+    concerned = candidates.select("key", "places").join(whole.select("key").distinct().withColumn("repeats", F.lit(True)), "key", "full_outer")
+    bodies = materialize(long_ones.groupBy("key").agg(F.first("body").alias("body")).join(concerned.drop("repeats"), "key"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "block", "key", "place", "before", "context"]
@@ -184,24 +185,14 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
         for batch in batches:
             rows: list[tuple] = []
             for key, body, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                settled = -2 - zlib.crc32(key)  # meets nothing, so each text's go together
-                alike: dict[tuple[int, int, bytes], tuple[int, list[int]]] = {}
-                for p in places:
+                for p in places or ():
                     at = p["place"]
-                    alike.setdefault((p["anchor"], min(at, deep), body[max(0, at - deep) : at + least]), (p["blocks"], []))[1].append(at)
-                for (anchor, before, context), (blocks, found) in alike.items():
-                    # A context that the text has again, as lines repeated over and over do, is all
-                    # repeated; one of them stands for it among other texts.
-                    for at in found if len(found) > 1 else ():
-                        rows.append((anchor, settled, key, max(0, at - deep), len(context), b""))
-                    at = found[0]
-                    block = zlib.crc32(key + at.to_bytes(8, "little")) % blocks if blocks > 1 else -1
-                    rows.append((anchor, block, key, at, before, context))
+                    block = zlib.crc32(key + at.to_bytes(8, "little")) % p["blocks"] if p["blocks"] > 1 else -1
+                    rows.append((p["anchor"], block, key, at, min(at, deep), body[max(0, at - deep) : at + least]))
                 if len(rows) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    yield out(rows, names, types)
                     rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            yield out(rows, names, types)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole groups at once: rows come sorted by (anchor, block)."""
@@ -224,9 +215,6 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
             yield solve(pa.Table.from_batches(waiting).combine_chunks())
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        settled = table["block"].to_numpy() <= -2
-        known = table.filter(pa.array(settled))
-        table = table.filter(pa.array(~settled))
         a, block = table["anchor"].to_numpy(), table["block"].to_numpy()
         group = np.cumsum(np.concatenate(([0], (a[1:] != a[:-1]) | (block[1:] != block[:-1]))))[: len(a)]
         keys, place, before = table["key"].to_pylist(), table["place"].to_numpy(), table["before"].to_numpy()
@@ -244,7 +232,6 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
         low, high = found.argmax(1), deep - found[:, ::-1].argmax(1)
         # Windows of one anchor overlap, so that a row has one span.
         rows = [(keys[i], place[i] - high[i], place[i] - low[i] + least, None) for i in np.flatnonzero(some)]
-        rows += [(k, p, p + n, None) for k, p, n in zip(known["key"].to_pylist(), known["place"].to_pylist(), known["before"].to_pylist(), strict=True) if n >= least]
         told: set[bytes] = set()
         for i in np.flatnonzero(block >= 0):  # one block of several: others must hear of its windows
             c = contexts[i]
@@ -255,11 +242,7 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
                     if window not in told or not found[i, x]:
                         rows.append((keys[i], place[i] - x, place[i] - x + least, window))
                     told.add(window)
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
-            ["key", "start", "stop", "window"],
-        )
+        return out(rows, ["key", "start", "stop", "window"], [pa.binary(), pa.int64(), pa.int64(), pa.binary()])
 
     spark = texts.sparkSession
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -272,7 +255,8 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
     at = F.xxhash64("key", "start")
     twice = single.groupBy("window").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b")
     leftovers = single.join(twice, "window", "left_semi").select("key", "start", "stop")
-    return bodies.select("key", "body"), spans.filter("window IS NULL").select("key", "start", "stop").unionByName(leftovers)
+    found = spans.filter("window IS NULL").select("key", "start", "stop").unionByName(leftovers).unionByName(whole)
+    return bodies.select("key", "body"), found
 
 
 def remove_repeats(
