@@ -28,12 +28,12 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``aln(gene, species, seq)``."""
     d = table(spark, sf_dir, "documents").filter(F.length("text") > 0)
     d = d.select("doc_id", F.regexp_replace(F.translate("text", LETTERS, RESIDUES), "[^ACD]", "-").alias("s"))
-    parts = d.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.floor((F.length("s") + WIDTH - 1) / WIDTH).cast("int") - 1)).alias("i"))
+    # Pieces are cut in one pass; a text is not copied for each of them.
+    parts = d.select("doc_id", F.posexplode(F.regexp_extract_all("s", F.lit(f".{{1,{WIDTH}}}"), F.lit(0))).alias("i", "piece"))
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     return parts.select(
         F.concat(F.lit("g"), pad(F.floor(F.col("doc_id") / 16), 6), F.lit("s"), pad(F.col("i"), 4)).alias("gene"),
-        F.concat(F.lit("sp"), pad(F.col("doc_id") % 16, 2)).alias("species"),
-        F.rpad(F.substring("s", F.col("i") * WIDTH + 1, F.lit(WIDTH)), WIDTH, "-").alias("seq"),
+        F.concat(F.lit("sp"), pad(F.col("doc_id") % 16, 2)).alias("species"), F.rpad("piece", WIDTH, "-").alias("seq"),
     )
 
 
@@ -87,14 +87,17 @@ def coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("g"), pad(F.col("l_partkey") % 13, 6), F.lit("s"), pad(F.col("l_orderkey") % 4, 4)).alias("gene"),
         F.col("l_quantity").cast("int").alias("pos"), aa.alias("aa"),
     ]
-    w = F.round(F.sum((F.col("l_discount") - 0.05) * F.col("l_extendedprice") / 1e5), 6).alias("weight")
-    return table(spark, sf_dir, "lineitem").groupBy(*key).agg(w).filter("weight <> 0")
+    # Cents times hundredths are whole numbers, so the sum and its rounding to six places are exact.
+    parts = F.sum((F.round(F.col("l_discount") * 100).cast("long") - 5) * F.round(F.col("l_extendedprice") * 100).cast("long"))
+    w = (F.signum("parts") * F.expr("(abs(parts) + 500) div 1000") / 1e6).alias("weight")
+    found = table(spark, sf_dir, "lineitem").groupBy(*key).agg(parts.alias("parts"))
+    return found.select(*(c for c in found.columns if c != "parts"), w).filter("weight <> 0")
 
 
-COEF = """coef AS (SELECT * FROM (SELECT CAST(l_linenumber AS BIGINT) AS combo_idx, l_suppkey % 20 AS run,
+COEF = """coef AS (SELECT combo_idx, run, gene, pos, aa, sign(parts) * ((abs(parts) + 500) // 1000) / 1e6 AS weight FROM (SELECT CAST(l_linenumber AS BIGINT) AS combo_idx, l_suppkey % 20 AS run,
   'g' || lpad(CAST(l_partkey % 13 AS VARCHAR), 6, '0') || 's' || lpad(CAST(l_orderkey % 4 AS VARCHAR), 4, '0') AS gene,
   CAST(l_quantity AS INT) AS pos, CASE l_returnflag WHEN 'N' THEN 'A' WHEN 'R' THEN 'C' ELSE 'D' END AS aa,
-  round(sum((l_discount - 0.05) * l_extendedprice / 1e5), 6) AS weight FROM lineitem GROUP BY ALL) WHERE weight <> 0)"""
+  CAST(sum((CAST(round(l_discount * 100) AS BIGINT) - 5) * CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS parts FROM lineitem GROUP BY ALL) WHERE abs(parts) >= 500)"""
 
 
 def all_gene_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -392,12 +392,12 @@ def a18(s, d):
 
 
 @query("A20_sps_density", f"""WITH {A.PRED}, p AS (SELECT *, (rank() OVER (ORDER BY input_rmse) + (count(*) OVER (PARTITION BY input_rmse) - 1) / 2.0::DOUBLE) / count(*) OVER () AS pct FROM prediction WHERE num_genes > 0),
-x AS (SELECT label, round(least(greatest(sps, -1), 1), 2) AS sps FROM p WHERE pct < 0.25 AND label <> 0), g AS (SELECT CAST(unnest(range(41)) AS INT) AS i)
+x AS (SELECT label, floor((round(least(greatest(sps, -1), 1) * 1e9) + 5e6) / 1e7) / 100 AS sps FROM p WHERE pct < 0.25 AND label <> 0), g AS (SELECT CAST(unnest(range(41)) AS INT) AS i)
 SELECT label, i, round(sum(exp(-0.5 * power((-1.0 + i * 0.05::DOUBLE - sps) / 0.1, 2))) / (any_value(n) * 0.1 * 2.5066282746310002), 6) AS density FROM x JOIN (SELECT label, count(*) AS n FROM x GROUP BY label) USING (label) CROSS JOIN g GROUP BY label, i""")
 def a20(s, d):
     """Densities of the best quarter of models with genes, per class, over scores to two places."""
     p = metrics.mfs_subsets(A.predictions(s, d).filter("num_genes > 0")).filter("subset = 'mfs_25' AND label <> 0")
-    return metrics.density(metrics.clip_sps(p).withColumn("sps", F.round("sps", 2)), ["label"], "sps", -1.0, 1.0)
+    return metrics.density(metrics.clip_sps(p).withColumn("sps", F.floor((F.round(F.col("sps") * 1e9) + 5e6) / 1e7) / 100), ["label"], "sps", -1.0, 1.0)
 
 
 @query("F17_threshold_labels", f"WITH {A.PRED} SELECT run, species, sps, CASE WHEN sps > 0.2 THEN 1 WHEN sps < -0.2 THEN -1 ELSE 0 END AS label, CASE WHEN sps >= 0.2 THEN 1 WHEN sps <= -0.2 THEN -1 ELSE 0 END AS label_inclusive FROM prediction")
