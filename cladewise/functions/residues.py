@@ -33,9 +33,9 @@ def counts(res: Column) -> Column:
 
 def is_variable(res: Column) -> Column:
     """At least two residues, neither all single nor all but one alike; gaps don't count."""
-    r = ungapped(res)
-    kinds, n = F.size(F.array_distinct(r)), F.size(r)
-    return (kinds >= 2) & (kinds != n) & (F.array_max(counts(r)) != n - 1)
+    r = F.translate(F.array_join(res, ""), GAP, "")
+    # All alike but one at most: the odd one stands after the first, or is the first.
+    return ~r.rlike(r"^((.)\2*(.\2*)?|.(.)\4*)?$") & r.rlike(r"(.).*\1")
 
 
 def informative_residues(res: Column, min_count: int = 2) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import residues as R
 
+#: Designs that are sent to every task at once.
+DESIGNS_AT_ONCE = 10_000
+
 
 def gene_table(aln: DataFrame) -> DataFrame:
     """``(gene, n, by_species)``: the gene's length and a map species -> sequence. One shuffle of sequences,
@@ -25,13 +28,14 @@ def design_rows(combo: DataFrame) -> DataFrame:
 def fill_species(aln: DataFrame, combo: DataFrame, outgroup: str | None = None, drop_incomplete: bool = False) -> DataFrame:
     """``(gene, combo_idx, n, seqs, missing, out)``: sequences by slot; absent species are all gaps.
 
-    Each gene meets each design, which is the result's size; designs are broadcast, so their number
-    is checked first."""
+    Each gene meets each design, which is the result's size; designs are broadcast ``DESIGNS_AT_ONCE`` at once."""
     designs = design_rows(combo)
-    if designs.count() > 10_000:  # else too large to send to every task
-        pairs = gene_table(aln).withColumn("__j", F.lit(1)).join(designs.withColumn("__j", F.lit(1)), "__j").drop("__j")
-    else:
-        pairs = gene_table(aln).crossJoin(F.broadcast(designs))
+    blocks = max(1, -(-designs.count() // DESIGNS_AT_ONCE))
+    genes, pairs = gene_table(aln), None
+    for block in range(blocks):
+        part = designs.filter(F.pmod(F.xxhash64("combo_idx"), F.lit(blocks)) == block) if blocks > 1 else designs
+        part = genes.crossJoin(F.broadcast(part))
+        pairs = part if pairs is None else pairs.unionByName(part)
     filled = pairs.select(
         "gene", "combo_idx", "n",
         F.transform("species", lambda s: F.coalesce(F.try_element_at("by_species", s), F.repeat(F.lit(R.GAP), F.col("n")))).alias("seqs"),
@@ -41,13 +45,36 @@ def fill_species(aln: DataFrame, combo: DataFrame, outgroup: str | None = None,
     return filled.filter(~F.array_contains("missing", True)) if drop_incomplete else filled
 
 
+def _lettered(filled: DataFrame) -> DataFrame:
+    """``filled`` with its sequences as arrays of ``letters``, made once for all positions: a projection
+    would be merged with the next one and split a sequence again at each of its positions."""
+    split = F.struct(F.transform("seqs", lambda s: F.split(s, "")).alias("letters"), F.split("out", "").alias("out_letters"))
+    return filled.filter("n > 0").select("gene", "combo_idx", "n", "missing", F.inline(F.array(split)))
+
+
+def _places() -> Column:
+    """``(res, out)`` by position, of a row of :func:`_lettered`."""
+    at = lambda letters, p: F.coalesce(F.get(letters, p), F.lit(""))
+    return F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1),
+        lambda p: F.struct(F.transform("letters", lambda s: at(s, p)).alias("res"), F.when(F.col("out_letters").isNotNull(), at(F.col("out_letters"), p)).alias("out")),
+    )
+
+
 def explode_sites(filled: DataFrame) -> DataFrame:
     """``(gene, combo_idx, pos, res, missing, out)``: residues by slot at each position."""
-    at = lambda s, p: F.substring(s, p + 1, F.lit(1))
-    return (
-        filled.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("gene", "combo_idx", "pos", F.transform("seqs", lambda s: at(s, F.col("pos"))).alias("res"), "missing", at(F.col("out"), F.col("pos")).alias("out"))
-    )
+    sites = _lettered(filled).select("gene", "combo_idx", "missing", F.posexplode(_places()).alias("pos", "site"))
+    return sites.select("gene", "combo_idx", "pos", "site.res", "missing", "site.out")
+
+
+def cancelled_sequences(
+    filled: DataFrame, min_pairs: int = 2, only_partner: bool = False, outgroup: bool = False, tri_allelic: bool = False
+) -> DataFrame:
+    """``(gene, combo_idx, slot, seq)``: the sequences after :func:`cancel_gaps`; a gene's row stays where it is."""
+    rule = lambda x: R.cancelled(x["res"], intact_pairs(F.col("missing")), x["out"] if outgroup else None, min_pairs, only_partner, tri_allelic)
+    done = _lettered(filled).select("gene", "combo_idx", "missing", F.inline(F.array(F.struct(F.transform(_places(), rule).alias("sites")))))
+    of_slot = lambda i: F.array_join(F.transform("sites", lambda x: F.get(x, i)), "")
+    return done.select("gene", "combo_idx", F.posexplode(F.transform("missing", lambda m, i: of_slot(i))).alias("slot", "seq"))
 
 
 def intact_pairs(missing: Column) -> Column:
@@ -72,6 +99,12 @@ def var_site_counts(sites: DataFrame) -> DataFrame:
     return sites.groupBy("gene", "combo_idx").agg(F.count_if(R.is_variable(F.col("res"))).alias("var_sites"))
 
 
+def variable_site_counts(filled: DataFrame) -> DataFrame:
+    """As :func:`var_site_counts` of whole sequences, within a gene's row."""
+    n = F.size(F.filter(_places(), lambda x: R.is_variable(x["res"])))
+    return _lettered(filled).select("gene", "combo_idx", n.cast("long").alias("var_sites"))
+
+
 def informative_features(sites: DataFrame, min_count: int = 2) -> DataFrame:
     """``(combo_idx, gene, pos, aa, mask, n_hit)``: a feature per informative residue, as slot bits."""
     one = sites.withColumn("aa", F.explode(R.informative_residues(F.col("res"), min_count)))

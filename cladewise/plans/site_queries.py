@@ -27,13 +27,6 @@ def _counts(s, d):
     return sitecount.site_counts(_flags(s, d))
 
 
-def _sequences(site: DataFrame) -> DataFrame:
-    """``(gene, combo_idx, slot, seq)``: sites put together again, by slot."""
-    g = site.groupBy("gene", "combo_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "res"))).alias("all"))
-    per = F.transform(F.sequence(F.lit(0), F.size(F.col("all")[0]["res"]) - 1), lambda i: F.array_join(F.transform("all", lambda x: F.get(x["res"], i)), ""))
-    return g.select("gene", "combo_idx", F.posexplode(per).alias("slot", "seq"))
-
-
 _JOINED = "SELECT gene, combo_idx, slot, string_agg(r, '' ORDER BY pos) AS seq FROM ({}) GROUP BY gene, combo_idx, slot"
 
 
@@ -67,7 +60,7 @@ def _cancel(name: str, mp: int, partial: bool, out: bool) -> None:
 
     @query(name, sql)
     def run(s, d):
-        return _sequences(sites.cancel_gaps(_sites(s, d), mp, partial, out))
+        return sites.cancelled_sequences(_filled(s, d), mp, partial, out)
 
 
 _cancel("F2_cancel_default", 2, False, False)
@@ -97,7 +90,7 @@ def f3(s, d):
 
 @query("A7_variable_site_counts", f"WITH {A.CELL}, {_VAR} SELECT g.gene, c.combo_idx, count(v.pos) AS var_sites FROM genes g CROSS JOIN (SELECT DISTINCT combo_idx FROM combo) c LEFT JOIN var v ON v.gene = g.gene AND v.combo_idx = c.combo_idx GROUP BY g.gene, c.combo_idx")
 def a7(s, d):
-    return sites.var_site_counts(_sites(s, d))
+    return sites.variable_site_counts(_filled(s, d))
 
 
 _FEATURE = f"{_VAR}, feature AS (SELECT r.combo_idx, r.gene, r.pos, r.residue AS aa, r.mask, r.n AS n_hit FROM res r JOIN var v USING (gene, combo_idx, pos) WHERE v.t - v.m >= 2 AND r.n >= 2)"
@@ -267,7 +260,7 @@ def g10(s, d):
 
 @query("G9_penalty_median", f"WITH {A.CELL}, {_VAR}, n AS (SELECT gene, combo_idx, count(*) AS v FROM var GROUP BY ALL) SELECT combo_idx, floor(quantile_cont(v, 0.5))::DOUBLE AS penalty FROM n GROUP BY combo_idx")
 def g9(s, d):
-    return design.penalties(sites.var_site_counts(_sites(s, d)))
+    return design.penalties(sites.variable_site_counts(_filled(s, d)))
 
 
 @query("V1_missing_species", f"WITH {A.ALN}, names AS (SELECT DISTINCT 's_' || l_suppkey AS species FROM lineitem UNION SELECT DISTINCT species FROM aln) SELECT species FROM names WHERE species NOT IN (SELECT species FROM aln)")

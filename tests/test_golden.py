@@ -218,3 +218,20 @@ def test_checks(spark):
     with pytest.raises(ValueError):
         validate.check_options(2, (0.1, 0.9))
     assert R.MISSING == ("?", "-", "X", "x")
+
+
+def test_sequences_are_cancelled_within_their_row(spark):
+    a = aln(spark, {"a": "ACGT", "b": "A-GT", "c": "ACGT", "d": "AC-T"})
+    filled = sites.fill_species(a, combo(spark, list("abcd")))
+    rows = {r["slot"]: r["seq"] for r in sites.cancelled_sequences(filled).collect()}
+    assert [rows[i] for i in range(4)] == ["A--T"] * 4
+    counts = {r["var_sites"] for r in sites.var_site_counts(sites.explode_sites(filled)).collect()}
+    assert counts == {r["var_sites"] for r in sites.variable_site_counts(filled).collect()}
+
+
+def test_more_designs_than_are_sent_at_once(spark, monkeypatch):
+    a = aln(spark, {"a": "AC", "b": "AG", "c": "TC", "d": "TG"})
+    many = combo(spark, list("abcd")).drop("combo_idx").crossJoin(spark.range(7).withColumnRenamed("id", "combo_idx"))
+    whole = sorted(map(str, sites.fill_species(a, many).collect()))
+    monkeypatch.setattr(sites, "DESIGNS_AT_ONCE", 3)
+    assert sorted(map(str, sites.fill_species(a, many).collect())) == whole and len(whole) == 7
