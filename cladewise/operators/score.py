@@ -9,15 +9,9 @@ from pyspark.sql.window import Window
 RUN = ["combo_idx", "run"]
 
 
-def score_hits(coef: DataFrame, cells: DataFrame) -> DataFrame:
-    """``(combo_idx, run, species, weight)`` of coefficients whose residue a species has there."""
-    key = [coef["gene"] == cells["gene"], coef["pos"] == cells["pos"], coef["aa"] == cells["residue"]]
-    return coef.join(cells, key).select(*RUN, "species", "weight")
-
-
 def score_alignment(coef: DataFrame, aln: DataFrame) -> DataFrame:
-    """As ``score_hits``, from an alignment's rows: a sequence meets the coefficients of its gene, so
-    that no row per cell is made."""
+    """``(combo_idx, run, species, weight)`` of coefficients whose residue a species has there. A sequence
+    meets the coefficients of its gene, so that no row per cell is made."""
     return coef.join(aln, "gene").filter(F.substring("seq", F.col("pos") + 1, F.lit(1)) == F.col("aa")).select(*RUN, "species", "weight")
 
 

@@ -6,7 +6,7 @@ species (its id modulo 16) of a group of 16, and each 60 positions of a group's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -78,35 +78,50 @@ counts AS (SELECT gene, combo_idx, max(k) AS k, count(*) FILTER (is_ccs) AS true
   count(*) FILTER (score >= 4) AS cs_n FROM site GROUP BY gene, combo_idx)"""
 
 
-def coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``coef(combo_idx, run, gene, pos, aa, weight)`` without zeros."""
+def text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(q, m)``: a group of texts and how many genes it has."""
+    d = table(spark, sf_dir, "documents").filter(F.length("text") > 0)
+    return d.groupBy(F.floor(F.col("doc_id") / 16).alias("q")).agg(F.max(F.floor((F.length("text") + WIDTH - 1) / WIDTH)).alias("m"))
+
+
+def gene_name(q: Column, j: Column) -> Column:
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    return F.concat(F.lit("g"), pad(q, 6), F.lit("s"), pad(j, 4))
+
+
+def coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``coef(combo_idx, run, gene, pos, aa, weight)`` without zeros. Items are dealt to all groups of texts, and
+    to all genes and positions of a group, so genes are as many as the alignment has and items name."""
+    groups = text_groups(spark, sf_dir)
+    items = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(groups.agg((F.max("q") + 1).alias("n"))))  # one row
+    items = items.withColumn("q", (F.col("l_orderkey") * 31 + F.col("l_partkey")) % F.col("n")).join(groups, "q")
     aa = F.when(F.col("l_returnflag") == "N", "A").when(F.col("l_returnflag") == "R", "C").otherwise("D")
     key = [
         F.col("l_linenumber").cast("long").alias("combo_idx"), (F.col("l_suppkey") % 20).alias("run"),
-        F.concat(F.lit("g"), pad(F.col("l_partkey") % 13, 6), F.lit("s"), pad(F.col("l_orderkey") % 4, 4)).alias("gene"),
-        F.col("l_quantity").cast("int").alias("pos"), aa.alias("aa"),
+        gene_name(F.col("q"), (F.col("l_orderkey") * 7 + F.col("l_partkey") * 3 + F.col("l_linenumber")) % F.col("m")).alias("gene"),
+        ((F.col("l_quantity").cast("long") * 7 + F.col("l_partkey")) % WIDTH).cast("int").alias("pos"), aa.alias("aa"),
     ]
     # Cents times hundredths are whole numbers, so the sum and its rounding to six places are exact.
     parts = F.sum((F.round(F.col("l_discount") * 100).cast("long") - 5) * F.round(F.col("l_extendedprice") * 100).cast("long"))
     w = (F.signum("parts") * F.expr("(abs(parts) + 500) div 1000") / 1e6).alias("weight")
-    found = table(spark, sf_dir, "lineitem").groupBy(*key).agg(parts.alias("parts"))
+    found = items.groupBy(*key).agg(parts.alias("parts"))
     return found.select(*(c for c in found.columns if c != "parts"), w).filter("weight <> 0")
 
 
-COEF = """coef AS (SELECT combo_idx, run, gene, pos, aa, sign(parts) * ((abs(parts) + 500) // 1000) / 1e6 AS weight FROM (SELECT CAST(l_linenumber AS BIGINT) AS combo_idx, l_suppkey % 20 AS run,
-  'g' || lpad(CAST(l_partkey % 13 AS VARCHAR), 6, '0') || 's' || lpad(CAST(l_orderkey % 4 AS VARCHAR), 4, '0') AS gene,
-  CAST(l_quantity AS INT) AS pos, CASE l_returnflag WHEN 'N' THEN 'A' WHEN 'R' THEN 'C' ELSE 'D' END AS aa,
-  CAST(sum((CAST(round(l_discount * 100) AS BIGINT) - 5) * CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS parts FROM lineitem GROUP BY ALL) WHERE abs(parts) >= 500)"""
+GROUPS = f"""docq AS (SELECT doc_id // 16 AS q, max((length(text) + {WIDTH - 1}) // {WIDTH}) AS m FROM documents WHERE length(text) > 0 GROUP BY 1),
+docn AS (SELECT max(q) + 1 AS n FROM docq)"""
+
+COEF = f"""{GROUPS}, coef AS (SELECT combo_idx, run, gene, pos, aa, sign(parts) * ((abs(parts) + 500) // 1000) / 1e6 AS weight FROM (SELECT CAST(l_linenumber AS BIGINT) AS combo_idx, l_suppkey % 20 AS run,
+  'g' || lpad(CAST(docq.q AS VARCHAR), 6, '0') || 's' || lpad(CAST((l_orderkey * 7 + l_partkey * 3 + l_linenumber) % m AS VARCHAR), 4, '0') AS gene,
+  CAST((CAST(l_quantity AS BIGINT) * 7 + l_partkey) % {WIDTH} AS INT) AS pos, CASE l_returnflag WHEN 'N' THEN 'A' WHEN 'R' THEN 'C' ELSE 'D' END AS aa,
+  CAST(sum((CAST(round(l_discount * 100) AS BIGINT) - 5) * CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS parts
+  FROM lineitem CROSS JOIN docn JOIN docq ON docq.q = (l_orderkey * 31 + l_partkey) % n GROUP BY ALL) WHERE abs(parts) >= 500)"""
 
 
 def all_gene_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``coef`` as above over the genes that the alignment has: items are dealt to groups of texts, and
     within a group items and genes go round until each has been met, so no gene and no item with a weight is left out."""
-    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    group = table(spark, sf_dir, "documents").filter(F.length("text") > 0).groupBy(F.floor(F.col("doc_id") / 16).alias("q")).agg(
-        F.max(F.floor((F.length("text") + WIDTH - 1) / WIDTH)).alias("m")
-    )
+    group = text_groups(spark, sf_dir)
     aa = F.when(F.col("l_returnflag") == "N", "A").when(F.col("l_returnflag") == "R", "C").otherwise("D")
     w = (F.col("l_discount") - 0.05) * F.col("l_extendedprice") / 1e5
     items = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(group.agg((F.max("q") + 1).alias("n")))).select(  # one row
@@ -117,7 +132,7 @@ def all_gene_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items.filter(F.round("w", 6) != 0).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*order)) - 1)
     dealt = items.join(items.groupBy("q").agg(F.count("*").alias("rows")), "q").join(group, "q")
     turns = F.sequence(F.col("r").cast("long"), F.greatest("rows", "m") - 1, F.col("rows"))
-    gene = F.concat(F.lit("g"), pad(F.col("q"), 6), F.lit("s"), pad(F.col("j") % F.col("m"), 4)).alias("gene")
+    gene = gene_name(F.col("q"), F.col("j") % F.col("m")).alias("gene")
     rows = dealt.withColumn("j", F.explode(turns)).select("combo_idx", "run", gene, "pos", "aa", "w")
     return rows.groupBy("combo_idx", "run", "gene", "pos", "aa").agg(F.round(F.sum("w"), 6).alias("weight")).filter("weight <> 0")
 

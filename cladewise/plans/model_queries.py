@@ -98,14 +98,11 @@ def g8(s, d):
 
 # ---- coefficients ----
 
-_TRAIN = f"WITH {A.ALN}, {A.COMBO}, {A.COEF}, {A.MODEL}, cells AS (SELECT gene, species, pos, substr(seq, pos + 1, 1) AS residue FROM aln JOIN (SELECT DISTINCT gene FROM coef) USING (gene) CROSS JOIN places), hits AS (SELECT c.combo_idx, c.run, x.species, c.weight FROM coef c JOIN cells x ON x.gene = c.gene AND x.pos = c.pos AND x.residue = c.aa WHERE NOT EXISTS (SELECT 1 FROM combo t WHERE t.combo_idx = c.combo_idx AND t.species = x.species))"
+_TRAIN = f"WITH {A.ALN}, {A.COMBO}, {A.COEF}, {A.MODEL}, hits AS (SELECT c.combo_idx, c.run, x.species, c.weight FROM coef c JOIN aln x ON x.gene = c.gene AND substr(x.seq, c.pos + 1, 1) = c.aa WHERE NOT EXISTS (SELECT 1 FROM combo t WHERE t.combo_idx = c.combo_idx AND t.species = x.species))"
 
 
 def _hits(s, d):
-    coef = A.coefficients(s, d)
-    aln = A.alignment(s, d).join(coef.select("gene").distinct(), "gene", "left_semi")
-    cells = aln.select("gene", "species", F.posexplode(F.split("seq", "")).alias("pos", "residue"))
-    return score.exclude_training(score.score_hits(coef, cells), A.combos(s))
+    return score.exclude_training(score.score_alignment(A.coefficients(s, d), A.alignment(s, d)), A.combos(s))
 
 
 @query("J2_prediction_hits", f"{_TRAIN} SELECT combo_idx, run, species, count(*) AS hits, round(sum(weight), 6) AS s FROM hits GROUP BY ALL")
@@ -129,7 +126,7 @@ def _phenotypes(s, d):
     return A.table(s, d, "documents").groupBy(F.concat(F.lit("sp"), F.lpad((F.col("doc_id") % 16).cast("string"), 2, "0")).alias("species")).agg((F.min(F.col("doc_id") % 16) % 3 - 1).cast("double").alias("value"))
 
 
-# The same over every gene of the alignment and whole texts. Without SQL; tests compare with brute force.
+# The same with a coefficient for each gene, however many items there are. Without SQL; tests compare with brute force.
 
 
 def _all_hits(s, d):
@@ -252,11 +249,11 @@ def j9(s, d):
     return score.sites_with_length(_genes(s, d), score.site_scores(A.coefficients(s, d)), lengths)
 
 
-@query("M4_prox", f"""WITH {A.COEF}, so AS (SELECT *, sign(weight) * greatest(abs(weight) - 0.01, 0) AS s FROM coef), nz AS (SELECT * FROM so WHERE s <> 0),
+@query("M4_prox", f"""WITH {A.COEF}, so AS (SELECT *, sign(weight) * greatest(abs(weight) - 0.004, 0) AS s FROM coef), nz AS (SELECT * FROM so WHERE s <> 0),
 nm AS (SELECT combo_idx, run, gene, sqrt(sum(s * s)) AS norm FROM nz GROUP BY ALL)
-SELECT combo_idx, run, gene, pos, aa, round(s * greatest(norm - 0.05, 0) / norm, 9) AS weight FROM nz JOIN nm USING (combo_idx, run, gene) WHERE round(s * greatest(norm - 0.05, 0) / norm, 9) <> 0""")
+SELECT combo_idx, run, gene, pos, aa, round(s * greatest(norm - 0.01, 0) / norm, 9) AS weight FROM nz JOIN nm USING (combo_idx, run, gene) WHERE round(s * greatest(norm - 0.01, 0) / norm, 9) <> 0""")
 def m4(s, d):
-    return fitting.prox(A.coefficients(s, d), F.lit(0.01), F.lit(0.05), ["combo_idx", "run", "gene"])
+    return fitting.prox(A.coefficients(s, d), F.lit(0.004), F.lit(0.01), ["combo_idx", "run", "gene"])
 
 
 @query("M8_is_continuous", f"WITH {A.COEF} SELECT combo_idx, NOT bool_and(abs(abs(weight) - 1) <= 1e-12 OR abs(weight) <= 1e-12) AS is_continuous FROM coef GROUP BY combo_idx")

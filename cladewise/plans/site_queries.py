@@ -275,9 +275,10 @@ def v6(s, d):
     return sites.ragged_genes(A.alignment(s, d).withColumn("seq", F.regexp_replace("seq", "-+$", "")))
 
 
-@query("V7_missing_genes", f"WITH {A.ALN}, {A.COEF} SELECT DISTINCT gene FROM coef WHERE gene NOT IN (SELECT gene FROM aln)")
+@query("V7_missing_genes", f"WITH {A.ALN}, o AS (SELECT 'g' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || 's' || lpad(CAST(o_custkey % 7 AS VARCHAR), 4, '0') AS gene FROM orders) SELECT DISTINCT gene FROM o WHERE gene NOT IN (SELECT gene FROM aln)")
 def v7(s, d):
-    return sites.missing_genes(A.alignment(s, d), A.coefficients(s, d))
+    wanted = A.table(s, d, "orders").select(A.gene_name(F.col("o_orderkey"), F.col("o_custkey") % 7).alias("gene"))
+    return sites.missing_genes(A.alignment(s, d), wanted)
 
 
 @query("V8_fully_gapped", f"WITH {A.CELL}, x AS (SELECT gene || '/' || combo_idx AS combo_idx, residue FROM cell) SELECT combo_idx FROM x GROUP BY combo_idx HAVING NOT bool_or(residue <> '-')")
@@ -399,12 +400,17 @@ def s5(s, d):
     return alignments.check_two_line(files)
 
 
-@query("S4_ordered_genes", f"WITH {A.ALN}, o AS (SELECT p_partkey, 'g' || lpad(CAST(p_partkey % 100 AS VARCHAR), 6, '0') || 's0000' AS gene FROM part) SELECT gene, p_partkey AS gene_ord FROM o WHERE gene IN (SELECT gene FROM aln)")
+@query("S4_ordered_genes", f"""WITH {A.ALN}, {A.GROUPS}, o AS (SELECT p_partkey, 'g' || lpad(CAST(q AS VARCHAR), 6, '0') || 's' || lpad(CAST(p_partkey // n % m AS VARCHAR), 4, '0') AS gene
+  FROM part CROSS JOIN docn JOIN docq ON q = p_partkey % n) SELECT gene, p_partkey AS gene_ord FROM o WHERE gene IN (SELECT gene FROM aln)""")
 def s4(s, d):
     from ..sources import alignments
 
-    name = F.concat(F.lit("dir/sub/g"), F.lpad((F.col("p_partkey") % 100).cast("string"), 6, "0"), F.lit("s0000"), F.when(F.col("p_partkey") % 2 == 0, ".fas").otherwise(""))
-    return alignments.ordered_genes(A.table(s, d, "part").select(F.col("p_partkey").alias("line_no"), name.alias("line")), A.alignment(s, d), [])
+    groups = A.text_groups(s, d)
+    p = A.table(s, d, "part").crossJoin(F.broadcast(groups.agg((F.max("q") + 1).alias("n"))))  # one row
+    p = p.withColumn("q", F.col("p_partkey") % F.col("n")).join(groups, "q")
+    gene = A.gene_name(F.col("q"), F.floor(F.col("p_partkey") / F.col("n")) % F.col("m"))
+    name = F.concat(F.lit("dir/sub/"), gene, F.when(F.col("p_partkey") % 2 == 0, ".fas").otherwise(""))
+    return alignments.ordered_genes(p.select(F.col("p_partkey").alias("line_no"), name.alias("line")), A.alignment(s, d), [])
 
 
 @query("S18_site_count_report", f"""WITH {A.SITE} SELECT gene, CAST(avg(true_n) AS VARCHAR) IS NOT NULL AS has_avg, max(cs_n) AS cs FROM counts GROUP BY gene""")

@@ -1,5 +1,6 @@
 """Scores over every gene of the alignment, against plain Python over whole texts."""
 
+import math
 from collections import Counter, defaultdict
 
 import pytest
@@ -8,6 +9,18 @@ import __spark_entry__
 from cladewise.plans import adapters as A
 
 
+def test_coefficients_reach_every_part_of_the_texts(spark, sf_dir):
+    coef = A.coefficients(spark, sf_dir)
+    groups = {r["q"]: r["m"] for r in A.text_groups(spark, sf_dir).collect()}
+    genes = {(int(r["gene"][1:7]), int(r["gene"][8:])) for r in coef.select("gene").distinct().collect()}
+    assert {q for q, _ in genes} == set(groups)
+    assert all(0 <= j < groups[q] for q, j in genes)
+    # An even deal of c items to m genes leaves m * exp(-c / m) of them without one.
+    c = coef.count() / len(groups)
+    assert len(genes) > 0.95 * sum(m * (1 - math.exp(-c / m)) for m in groups.values())
+    assert {r["pos"] for r in coef.select("pos").distinct().collect()} == set(range(A.WIDTH))
+
+
 def test_all_texts_take_part_in_scores(spark, sf_dir):
     run = lambda name: __spark_entry__.queries()[name](spark, sf_dir).collect()
     coef = A.all_gene_coefficients(spark, sf_dir).collect()
