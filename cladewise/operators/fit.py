@@ -1,7 +1,8 @@
 """The model grid: sparse-group lasso fits for every design and grid point.
 
-Samples are few and features many, so a feature is the set of its slots, a bit mask. Features with
-equal masks have equal gradients: products with the data are made once per distinct mask.
+Samples are few and features many, so a feature is the set of its slots, a bit mask. Features of a gene
+with equal masks have equal gradients and so, from zero on, equal coefficients: one row stands for all
+of them in a fit. Products with the data are made once per distinct mask of all genes.
 """
 
 from __future__ import annotations
@@ -62,32 +63,35 @@ def empty_models(combo: DataFrame, features: DataFrame, continuous: bool = False
     return none.groupBy("combo_idx").agg(F.round(value, 9).alias("intercept"))
 
 
-def _shrink(v: np.ndarray, l1: float, l2: float, starts: np.ndarray, group: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def _shrink(v: np.ndarray, l1: float, l2: float, starts: np.ndarray, group: np.ndarray, weight: np.ndarray, times: np.ndarray) -> np.ndarray:
     s = np.sign(v) * np.maximum(np.abs(v) - l1, 0)
-    norm = np.sqrt(np.add.reduceat(s * s, starts))
+    norm = np.sqrt(np.add.reduceat(times * s * s, starts))
     keep = np.where(norm > l2 * weight, (norm - l2 * weight) / np.where(norm > 0, norm, 1), 0)
     return s * keep[group]
 
 
 def fit_one(
-    masks: np.ndarray, genes: np.ndarray, weight: np.ndarray, y: np.ndarray, f1: float, f2: float, continuous: bool, maxiter: int = 100, strict: bool = True
-) -> tuple[np.ndarray, float]:
+    masks: np.ndarray, genes: np.ndarray, weight: np.ndarray, y: np.ndarray, f1: float, f2: float, continuous: bool, maxiter: int = 100, strict: bool = True,
+    times: np.ndarray | None = None,
+) -> tuple[np.ndarray, float]:
     """Coefficients and intercept of one model by accelerated proximal gradient descent.
 
-    ``masks`` are sorted by gene, ``genes`` their gene numbers from 0, ``weight`` the genes' weights.
+    ``masks`` are sorted by gene, ``genes`` their gene numbers from 0, ``weight`` the genes' weights;
+    each mask stands for as many equal features as ``times`` says, or one.
     ``strict`` asks a step for enough descent; else any excess under 1 will do."""
     n = len(y)
+    times = np.ones(len(masks)) if times is None else times.astype(float)
     kinds, of = np.unique(masks, return_inverse=True)
     bits = ((kinds[:, None] >> np.arange(n)) & 1).astype(float)
     starts = np.flatnonzero(np.concatenate(([True], genes[1:] != genes[:-1])))
     group = np.cumsum(np.concatenate(([0], (genes[1:] != genes[:-1]).astype(int))))
     w = weight[genes[starts]]
     back = lambda v: (bits @ v)[of]
-    ahead = lambda b: np.bincount(of, b, len(kinds)) @ bits
+    ahead = lambda b: np.bincount(of, times * b, len(kinds)) @ bits
     share = float((np.abs(y - 1) < 1e-12).mean())
     first = back(y if continuous else np.where(np.abs(y - 1) < 1e-12, 1 - share, -share) / n)
     l1 = f1 * np.abs(first).max()
-    norm = np.sqrt(np.add.reduceat(np.maximum(np.abs(first) - l1, 0) ** 2, starts))
+    norm = np.sqrt(np.add.reduceat(times * np.maximum(np.abs(first) - l1, 0) ** 2, starts))
     l2 = f2 * max((norm[w > 0] / w[w > 0]).max(initial=0.0), 0.0)
     beta, prev = np.zeros(len(masks)), np.zeros(len(masks))
     fit, fit_prev = np.zeros(n), np.zeros(n)
@@ -109,19 +113,19 @@ def fit_one(
         prev, fit_prev, c_prev = beta, fit, c
         still = False
         while True:
-            beta = _shrink(s - g / size, l1 / size, l2 / size, starts, group, w)
+            beta = _shrink(s - g / size, l1 / size, l2 / size, starts, group, w, times)
             c = 0.0 if continuous else sc - gc / size
             fit = ahead(beta)
             d = beta - s
             if continuous:
-                r, l = float(d @ d), float(((fit - fit_s) ** 2).sum())
+                r, l = float(times * d @ d), float(((fit - fit_s) ** 2).sum())
             else:
-                r = (float(d @ d) + (c - sc) ** 2) / 2
-                l = loss(fit + c) - at_s - float(d @ g) - (c - sc) * gc
+                r = (float(times * d @ d) + (c - sc) ** 2) / 2
+                l = loss(fit + c) - at_s - float(times * d @ g) - (c - sc) * gc
             if r <= 1e-20:
                 still = True
                 break
-            if l <= r * size or (not strict and abs(l - r * size) < 1):
+            if l <= r * size * (1 + 1e-12) or (not strict and abs(l - r * size) < 1):
                 break
             size = max(2 * size, l / r)
         a_prev, a = a, (1 + np.sqrt(4 * a * a + 1)) / 2
@@ -131,7 +135,13 @@ def fit_one(
 
 
 MODEL = "combo_idx long, lambda1 double, lambda2 double, intercept double, num_genes int"
-_OUT = MODEL + ", gene string, pos int, aa string, weight double"
+_OUT = MODEL + ", gene string, mask long, weight double"
+
+
+def feature_kinds(features: DataFrame) -> DataFrame:
+    """``(combo_idx, gene, kinds)``: a gene's distinct masks in order, with how many features have each."""
+    n = features.groupBy("combo_idx", "gene", "mask").agg(F.count("*").alias("times"))
+    return n.groupBy("combo_idx", "gene").agg(F.array_sort(F.collect_list(F.struct("mask", "times"))).alias("kinds"))
 
 
 def fit_grid(
@@ -140,25 +150,34 @@ def fit_grid(
     """All models: ``(combo_idx, lambda1, lambda2, intercept, num_genes, gene, pos, aa, weight)``, a row
     per coefficient that is not zero, and one with a null gene for each model.
 
-    A task fits one design at one ``lambda1`` with all its ``lambda2``; its input is that design's
-    features, which bounds it by the alignment, not by the number of models. Results depend on
-    sorted features only, so a lost task gives the same again."""
+    A task fits one design at one ``lambda1`` with all its ``lambda2``; its input is a row per gene, of the
+    gene's distinct masks and their counts, so it grows with genes but not with features or models. A
+    model's coefficients are joined back to the features of their gene and mask. Results depend on sorted
+    rows only, so a lost task gives the same again."""
     ys = F.transform(F.array_sort(F.collect_list(F.struct("slot", "y"))), lambda x: x["y"])
-    shape = combo.groupBy("combo_idx").agg(ys.alias("ys"))
     points = grid.groupBy("lambda1").agg(F.array_sort(F.collect_set("lambda2")).alias("seconds"))
-    rows = features.join(weights.select("combo_idx", "gene", "weight"), ["combo_idx", "gene"]).join(shape, "combo_idx").crossJoin(F.broadcast(points))  # grid points
-
-    def fit(key, group: pd.DataFrame) -> pd.DataFrame:
-        f = group.sort_values(["gene", "pos", "aa"]).reset_index(drop=True)
-        names, genes = np.unique(f["gene"], return_inverse=True)
-        weight = f.groupby(genes)["weight"].first().to_numpy(float)
-        y, out = np.array(f["ys"][0], float), []
-        for second in f["seconds"][0]:
-            beta, c = fit_one(f["mask"].to_numpy(np.int64), genes, weight, y, float(key[1]), float(second), continuous, maxiter, strict)
+    heads = combo.groupBy("combo_idx").agg(ys.alias("ys")).crossJoin(F.broadcast(points))  # grid points
+    heads = heads.select(*(F.col(c).alias(f"{c}_of_head") for c in ("combo_idx", "lambda1")), "ys", "seconds")
+    per = feature_kinds(features).join(weights.select("combo_idx", "gene", "weight"), ["combo_idx", "gene"])
+    rows = per.select("combo_idx", "gene", "weight", F.col("kinds.mask").alias("masks"), F.col("kinds.times").alias("times"))
+    rows = rows.crossJoin(F.broadcast(points.select("lambda1")))  # grid points
+
+    def fit(key, group: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
+        columns = [x.split()[0] for x in _OUT.split(", ")]
+        if group.empty or head.empty:
+            return pd.DataFrame({c: [] for c in columns})
+        f = group.sort_values("gene").reset_index(drop=True)
+        genes = np.repeat(np.arange(len(f)), f["masks"].map(len))
+        masks, times = np.concatenate(f["masks"].tolist()), np.concatenate(f["times"].tolist())
+        weight, y, out = f["weight"].to_numpy(float), np.array(head["ys"][0], float), []
+        for second in head["seconds"][0]:
+            beta, c = fit_one(masks, genes, weight, y, float(key[1]), float(second), continuous, maxiter, strict, times)
             on = np.flatnonzero(beta)
-            head = (int(key[0]), float(key[1]), float(second), c, len(np.unique(genes[on])))
-            out.append((*head, None, None, None, None))
-            out += [(*head, f["gene"][j], int(f["pos"][j]), f["aa"][j], float(beta[j])) for j in on]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _OUT.split(", ")]).astype({"pos": "Int32"})
-
-    return rows.groupBy("combo_idx", "lambda1").applyInPandas(fit, _OUT)
+            first = (int(key[0]), float(key[1]), float(second), c, len(np.unique(genes[on])))
+            out.append((*first, None, None, None))
+            out += [(*first, f["gene"][genes[j]], int(masks[j]), float(beta[j])) for j in on]
+        return pd.DataFrame(out, columns=columns).astype({"mask": "Int64"})
+
+    models = rows.groupBy("combo_idx", "lambda1").cogroup(heads.groupBy("combo_idx_of_head", "lambda1_of_head")).applyInPandas(fit, _OUT)
+    found = models.join(features.select("combo_idx", "gene", "mask", "pos", "aa"), ["combo_idx", "gene", "mask"], "left")
+    return found.select(*(x.split()[0] for x in MODEL.split(", ")), "gene", "pos", "aa", "weight")

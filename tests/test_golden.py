@@ -151,6 +151,20 @@ def test_fit_reaches_the_optimum(spark):
     assert not none.any()
 
 
+def test_equal_masks_of_a_gene_are_fitted_once():
+    rng = np.random.default_rng(5)
+    y = np.array([1.0, -1.0] * 3)
+    pairs = np.unique(np.c_[rng.integers(0, 4, 30), rng.integers(1, 63, 30)], axis=0)
+    times = rng.integers(1, 6, len(pairs))
+    genes, masks = pairs[:, 0], pairs[:, 1]
+    weight = np.sqrt(np.bincount(genes, times))
+    for continuous in (False, True):
+        one, c1 = fit.fit_one(masks, genes, weight, y, 0.1, 0.2, continuous, 500, times=times)
+        each, c2 = fit.fit_one(np.repeat(masks, times), np.repeat(genes, times), weight, y, 0.1, 0.2, continuous, 500)
+        assert np.allclose(np.repeat(one, times), each, atol=1e-7) and abs(c1 - c2) < 1e-7
+        assert one.any()
+
+
 def test_grid_job_equals_the_kernel(spark):
     a = aln(spark, {"a": "AACC", "b": "CCCA", "c": "AACA", "d": "CCAC", "e": "AAAA", "f": "CACC"})
     c = combo(spark, list("abcdef"))
