@@ -413,10 +413,12 @@ def s4(s, d):
     return alignments.ordered_genes(p.select(F.col("p_partkey").alias("line_no"), name.alias("line")), A.alignment(s, d), [])
 
 
-@query("S18_site_count_report", f"""WITH {A.SITE} SELECT gene, CAST(avg(true_n) AS VARCHAR) IS NOT NULL AS has_avg, max(cs_n) AS cs FROM counts GROUP BY gene""")
+@query("S18_site_count_report", f"""WITH {A.SITE}, c AS (SELECT DISTINCT combo_idx FROM combo), g AS (SELECT gene, round(avg(true_n), 6) AS t, round(avg(ctrl_n), 6) AS u, round(avg(true_n) - avg(ctrl_n), 6) AS v, max(cs_n) AS cs FROM counts GROUP BY gene),
+l AS (SELECT g.gene, string_agg(CASE WHEN true_n IS NULL THEN 'null' ELSE printf('%.1f', true_n::DOUBLE) END, ', ' ORDER BY c.combo_idx) AS trues FROM g CROSS JOIN c LEFT JOIN counts t ON t.gene = g.gene AND t.combo_idx = c.combo_idx GROUP BY g.gene)
+SELECT gene, printf('%.6g', t) AS avg_true, printf('%.6g', u) AS avg_control, printf('%.6g', v) AS diff, CAST(cs AS VARCHAR) AS cs_sites_ge_4, '[' || trues || ']' AS per_combo_true FROM g JOIN l USING (gene)""")
 def s18(s, d):
     from ..sources import texts
 
-    g = sitecount.gene_site_counts(_counts(s, d)).select("gene", "avg_true", F.array("cs_sites_ge_4").alias("cs"))
-    out = texts.site_count_csv(g)
-    return out.select("gene", F.col("avg_true").isNotNull().alias("has_avg"), F.regexp_extract("cs", r"(\d+)", 1).cast("long").alias("cs"))
+    counts = _counts(s, d)
+    g = sitecount.gene_site_counts(counts).select("gene", "avg_true", "avg_control", "diff", "cs_sites_ge_4")
+    return texts.site_count_csv(g.join(sitecount.combo_lists(counts, _N).select("gene", "per_combo_true"), "gene"))

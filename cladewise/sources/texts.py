@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,14 +54,30 @@ def groups_lines(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.select(*keys, "pair", F.posexplode(two).alias("side", "line")).select(*keys, (F.col("pair") * 2 + F.col("side")).alias("line_no"), "line")
 
 
+def six_digits(v: Column) -> Column:
+    """A double with six significant digits, as C's ``%.6g`` writes it: no zeros at the end, an exponent only
+    under -4 or over 5. A seventh digit of exactly 5 is rounded up."""
+    sci = F.format_string("%.5e", v)
+    part = lambda i: F.regexp_extract(sci, r"^(-?)(\d)\.(\d+)e([+-]\d+)$", i)
+    digits, exponent = F.concat(part(2), part(3)), part(4).cast("int")
+    whole = F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, F.lit(6)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    short = lambda c: F.regexp_replace(c, r"\.?0*$", "")
+    power = F.concat(short(F.concat(part(2), F.lit("."), part(3))), F.lit("e"), part(4))
+    body = F.when((exponent < -4) | (exponent > 5), power).when(exponent < 0, short(small)).otherwise(short(whole))
+    odd = F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf")
+    return F.when(v.isNotNull(), F.coalesce(odd, F.concat(part(1), body)))
+
+
 def site_count_csv(counts: DataFrame) -> DataFrame:
-    """The site counter's report: arrays as JSON text, numbers with six significant digits."""
+    """The site counter's report: arrays as JSON text, a blank after each comma; numbers with six significant digits."""
     out = []
     for name, kind in counts.dtypes:
         if kind.startswith("array"):
-            out.append(F.to_json(name, {"ignoreNullFields": "false"}).alias(name))
+            items = F.array_join(F.transform(name, lambda x: x.cast("string")), ", ", "null")
+            out.append(F.concat(F.lit("["), items, F.lit("]")).alias(name))
         else:
-            out.append(F.format_string("%.6g", F.col(name)).alias(name) if kind == "double" else F.col(name).cast("string").alias(name))
+            out.append((six_digits(F.col(name)) if kind == "double" else F.col(name).cast("string")).alias(name))
     return counts.select(*out)
 
 

@@ -180,6 +180,15 @@ def test_grid_job_equals_the_kernel(spark):
         assert got == pytest.approx({(r["pos"], r["aa"]): b for r, b in zip(rows, beta, strict=True) if b}, abs=1e-8)
 
 
+def test_report_numbers_and_lists(spark):
+    values = [0.0, 0.5, -12.25, 1.0, 10.0, 100.0, 123456.0, 100000.0, 999999.6, 1234567.0, 0.0001, 0.00012, 0.00001234, -3.3333333, 1e-300, 2e22, float("inf"), float("nan"), None]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r["v"] for r in texts.site_count_csv(d).orderBy(F.col("i").cast("int")).collect()]
+    assert got == [None if v is None else f"{v:.6g}" for v in values]
+    lists = spark.createDataFrame([([1.0, None, 2.5],), ([],), (None,)], "v array<double>")
+    assert [r["v"] for r in texts.site_count_csv(lists).collect()] == ["[1.0, null, 2.5]", "[]", None]
+
+
 def test_ranks_with_ties(spark):
     d = spark.createDataFrame([(0, v) for v in (1.0, 2.0, 2.0, 3.0)], "k int, v double")
     r = [tuple(x[c] for c in ("avg_rank", "pct_rank", "centred_pct")) for x in with_ranks(d, ["k"], "v").orderBy("v").collect()]
