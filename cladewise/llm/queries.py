@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, near_dedup, packing, pii, quality, substrings, toxicity, warc
+from . import cross_tokens, decontaminate, exact_dedup, language, near_dedup, packing, pii, quality, substrings, toxicity, warc
 from .scratch import materialize
 
 
@@ -20,6 +20,13 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def tokenizer_pair() -> tuple[str, str, str]:
+    """The same vocabulary and pattern, and the model that it is aligned with."""
+    import public_tokenizers
+
+    return *tokenizer(), public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -66,9 +73,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.corpus_alignment(table(spark, sf_dir, "documents"), *tokenizer_pair())
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_quality, op3_substrings, op4_pii, op5_decontamination, op6_near_dedup, op7_packing, op8_language,
-    op9_exact_dedup, op10_toxicity,
+    op9_exact_dedup, op10_toxicity, op13_cross_tokens,
 )}
 
 ORACLE_SQL = {
