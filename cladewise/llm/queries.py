@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_tokens, decontaminate, exact_dedup, language, near_dedup, packing, pii, quality, substrings, toxicity, warc
+from . import cross_tokens, decontaminate, exact_dedup, language, near_dedup, packing, pii, quality, resampling, secret_scan, substrings, toxicity, warc
 from .scratch import materialize
 
 
@@ -73,13 +73,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_tokens.corpus_alignment(table(spark, sf_dir, "documents"), *tokenizer_pair())
 
 
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_quality, op3_substrings, op4_pii, op5_decontamination, op6_near_dedup, op7_packing, op8_language,
-    op9_exact_dedup, op10_toxicity, op13_cross_tokens,
+    op9_exact_dedup, op10_toxicity, op11_secrets, op12_resampling, op13_cross_tokens,
 )}
 
 ORACLE_SQL = {
@@ -94,4 +102,24 @@ ORACLE_SQL = {
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents),
         g AS (SELECT *, min(doc_id) OVER (PARTITION BY n) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM g""",
+    # CRC-32 by its table, which a rule makes; a word's bytes are read from its hexadecimal form.
+    "op12_resampling": r"""
+        WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+                     FROM range(256) r(i)),
+        texts AS (SELECT 'd' AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+        words AS (SELECT side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+        one AS (SELECT side, r, unnest(w) AS w FROM words),
+        hexed AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM one)),
+        coded AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))),
+                         lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 10000 AS bucket FROM hexed, tab),
+        found AS (SELECT side, r, bucket FROM one JOIN coded USING (w)),
+        n AS (SELECT bucket, count(*) FILTER (side = 'd')::DOUBLE AS s, count(*) FILTER (side = 'b')::DOUBLE AS t FROM found GROUP BY bucket),
+        gain AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n) + 10000) / ((s + 1) * ((SELECT sum(t) FROM n) + 10000))))::BIGINT AS g FROM n),
+        weight AS (SELECT r, floor(sum(g) / count(*))::BIGINT AS weight FROM found JOIN gain USING (bucket) WHERE side = 'd' GROUP BY r),
+        scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+                          coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+                   FROM words LEFT JOIN weight USING (r) WHERE side = 'd'),
+        ranked AS (SELECT *, n_features >= 20 AS may, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= 10 * (SELECT count(*) FROM ranked WHERE may) // 100 THEN place END AS rank FROM ranked""",
 }
