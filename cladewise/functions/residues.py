@@ -6,10 +6,13 @@ convergent and odd ones control. Everything is a built-in expression.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 GAP, UNKNOWN = "-", "?"
+#: Slots that one word of a mask has bits for.
+WORD = 62
 #: What the site counter takes for missing.
 MISSING = ("?", "-", "X", "x")
 
@@ -46,10 +49,33 @@ def informative_residues(res: Column, min_count: int = 2) -> Column:
     return F.when(good, found).otherwise(F.array().cast("array<string>"))
 
 
-def slot_mask(res: Column, value: Column) -> Column:
-    """Bit ``slot`` is set where ``res`` has ``value``."""
-    bits = F.transform(res, lambda x, i: F.when(x == value, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a + x)
+def slot_mask(res: Column, value: Column, wide: bool = False) -> Column:
+    """Bit ``slot`` is set where ``res`` has ``value``: a long, or if ``wide`` an array of longs of ``WORD`` slots
+    each. More slots than a long holds are an error."""
+    word = lambda part: F.aggregate(
+        F.transform(part, lambda x, i: F.when(x == value, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
+        F.lit(0).cast("long"), lambda a, x: a + x,
+    )
+    if wide:
+        words = F.sequence(F.lit(0), F.floor((F.greatest(F.size(res), F.lit(1)) - 1) / WORD).cast("int"))
+        return F.transform(words, lambda w: word(F.slice(res, w * WORD + 1, F.lit(WORD))))
+    return F.when(F.size(res) > WORD, F.raise_error(F.lit(f"more than {WORD} slots: ask for wide masks"))).otherwise(word(res))
+
+
+def slots_of(mask: Column, wide: bool = False) -> Column:
+    """The slots whose bits are set, in order."""
+    on = lambda word, first: F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.call_function("shiftright", word, i).bitwiseAND(F.lit(1).cast("long")) != 0), lambda i: i + first
+    )
+    return F.flatten(F.transform(mask, lambda w, k: on(w, k * WORD))) if wide else on(mask, F.lit(0))
+
+
+def mask_bits(masks: list | np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """0/1 rows of the distinct masks, ``n`` slots each, and each mask's row."""
+    words = np.array(masks, np.int64).reshape(len(masks), -1)
+    kinds, of = np.unique(words, axis=0, return_inverse=True)
+    bits = (kinds[:, :, None] >> np.arange(WORD)) & 1
+    return bits.reshape(len(kinds), -1)[:, :n].astype(float), of.reshape(-1)
 
 
 def side(res: Column, parity: int) -> Column:

@@ -3,15 +3,27 @@
 Samples are few and features many, so a feature is the set of its slots, a bit mask. Features of a gene
 with equal masks have equal gradients and so, from zero on, equal coefficients: one row stands for all
 of them in a fit. Products with the data are made once per distinct mask of all genes.
+
+All that the steps of a fit share is as long as there are slots: scores, the gradient by slot, a step size.
+:func:`descent` decides on them; what it asks for is a sum over genes. A design whose masks are few is summed
+in one task. Of a larger one the genes stay dealt out over the cluster: each pass sends the decisions since
+the last written state to all tasks, which go over them again for their genes and add up one more step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Generator, Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.residues import mask_bits, slots_of
+from ..sources.tables import checkpointed, released
+
 
 def group_weights(groups: DataFrame, kind: str = "median") -> DataFrame:
     """``groups(combo_idx, gene, n_features, var_sites[, penalty])`` with ``weight``."""
@@ -28,23 +40,24 @@ def gradient_at_zero(features: DataFrame, combo: DataFrame, continuous: bool = F
     shape = combo.groupBy("combo_idx").agg(n.alias("n"), pos.alias("m1"), F.map_from_entries(F.collect_list(F.struct("slot", "y"))).alias("ys"))
     y = lambda i: F.try_element_at("ys", i)
     b = (lambda i: y(i)) if continuous else (lambda i: F.when(y(i) > 0, 1 - F.col("m1")).otherwise(-F.col("m1")) / F.col("n"))
-    bit = lambda i: F.col("mask").bitwiseAND(F.pow(F.lit(2.0), i).cast("long")) != 0
-    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda i: F.when(bit(i), b(i)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    slots = slots_of(F.col("mask"), dict(features.dtypes)["mask"] != "bigint")
+    total = F.aggregate(F.transform(slots, lambda i: F.coalesce(b(i), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
     return features.join(shape, "combo_idx").select("combo_idx", "gene", "pos", "aa", total.alias("g"))
 
 
 def lambda_scale(gradient: DataFrame, weights: DataFrame, grid: DataFrame) -> DataFrame:
-    """``(combo_idx, lambda1, lambda2, l1_abs, l2_abs)``: fractions of the least penalties that leave
-    no coefficient. The grid has one row per pair of fractions."""
+    """``(combo_idx[, penalty], lambda1, lambda2, l1_abs, l2_abs)``: fractions of the least penalties that leave
+    no coefficient, for each penalty that ``weights`` may have. The grid has one row per pair of fractions."""
+    more = ["penalty"] if "penalty" in weights.columns else []
     top = gradient.groupBy("combo_idx").agg(F.max(F.abs("g")).alias("l1_max"))
     firsts = grid.select("lambda1").distinct()
     per = gradient.join(top, "combo_idx").crossJoin(F.broadcast(firsts)).withColumn("l1_abs", F.col("lambda1") * F.col("l1_max"))  # grid points
     rest = F.greatest(F.abs("g") - F.col("l1_abs"), F.lit(0.0))
     norms = per.groupBy("combo_idx", "lambda1", "gene").agg(F.first("l1_abs").alias("l1_abs"), F.sqrt(F.sum(rest * rest)).alias("norm"))
-    most = norms.join(weights.filter("weight > 0").select("combo_idx", "gene", "weight"), ["combo_idx", "gene"]).groupBy("combo_idx", "lambda1").agg(
+    most = norms.join(weights.filter("weight > 0").select("combo_idx", "gene", *more, "weight"), ["combo_idx", "gene"]).groupBy("combo_idx", *more, "lambda1").agg(
         F.first("l1_abs").alias("l1_abs"), F.max(F.col("norm") / F.col("weight")).alias("l2_max")
     )
-    return most.join(grid, "lambda1").select("combo_idx", "lambda1", "lambda2", F.round("l1_abs", 9).alias("l1_abs"), F.round(F.col("lambda2") * F.col("l2_max"), 9).alias("l2_abs"))
+    return most.join(grid, "lambda1").select("combo_idx", *more, "lambda1", "lambda2", F.round("l1_abs", 9).alias("l1_abs"), F.round(F.col("lambda2") * F.col("l2_max"), 9).alias("l2_abs"))
 
 
 def prox(coef: DataFrame, l1: Column, l2_weight: Column, keys: list[str]) -> DataFrame:
@@ -70,31 +83,35 @@ def _shrink(v: np.ndarray, l1: float, l2: float, starts: np.ndarray, group: np.n
     return s * keep[group]
 
 
-def fit_one(
-    masks: np.ndarray, genes: np.ndarray, weight: np.ndarray, y: np.ndarray, f1: float, f2: float, continuous: bool, maxiter: int = 100, strict: bool = True,
-    times: np.ndarray | None = None,
-) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept of one model by accelerated proximal gradient descent.
+class Trial(NamedTuple):
+    """A step to try: how far momentum carries, the loss's gradient by slot, and the step size's inverse."""
+
+    k: float
+    b: np.ndarray
+    size: float
+
+
+class Outcome(NamedTuple):
+    intercept: float
+    fit: np.ndarray
+    steps: list[Trial]
 
-    ``masks`` are sorted by gene, ``genes`` their gene numbers from 0, ``weight`` the genes' weights;
-    each mask stands for as many equal features as ``times`` says, or one.
-    ``strict`` asks a step for enough descent; else any excess under 1 will do."""
+
+def first_gradient(y: np.ndarray, continuous: bool) -> np.ndarray:
+    """By slot, what penalties are measured against: the response, or the share of the other class, signed."""
+    share = float((np.abs(y - 1) < 1e-12).mean())
+    return y if continuous else np.where(np.abs(y - 1) < 1e-12, 1 - share, -share) / len(y)
+
+
+def descent(y: np.ndarray, continuous: bool, maxiter: int = 100, strict: bool = True) -> Generator[Trial, tuple[np.ndarray, float, float], Outcome]:
+    """Accelerated proximal gradient descent, as far as it needs no gene.
+
+    Yields trials; is sent, of the coefficients that a trial leads to, the scores by slot, the squared length of
+    their difference to where the trial started, and the product of that difference with the gradient. ``strict``
+    asks a step for enough descent; else any excess under 1 will do. Accepted trials are in the outcome."""
     n = len(y)
-    times = np.ones(len(masks)) if times is None else times.astype(float)
-    kinds, of = np.unique(masks, return_inverse=True)
-    bits = ((kinds[:, None] >> np.arange(n)) & 1).astype(float)
-    starts = np.flatnonzero(np.concatenate(([True], genes[1:] != genes[:-1])))
-    group = np.cumsum(np.concatenate(([0], (genes[1:] != genes[:-1]).astype(int))))
-    w = weight[genes[starts]]
-    back = lambda v: (bits @ v)[of]
-    ahead = lambda b: np.bincount(of, times * b, len(kinds)) @ bits
     share = float((np.abs(y - 1) < 1e-12).mean())
-    first = back(y if continuous else np.where(np.abs(y - 1) < 1e-12, 1 - share, -share) / n)
-    l1 = f1 * np.abs(first).max()
-    norm = np.sqrt(np.add.reduceat(times * np.maximum(np.abs(first) - l1, 0) ** 2, starts))
-    l2 = f2 * max((norm[w > 0] / w[w > 0]).max(initial=0.0), 0.0)
-    beta, prev = np.zeros(len(masks)), np.zeros(len(masks))
-    fit, fit_prev = np.zeros(n), np.zeros(n)
+    fit, fit_prev, steps = np.zeros(n), np.zeros(n), []
     c = c_prev = 0.0 if continuous or share >= 1 else float(np.log(max(share, 1e-300) / (1 - share)))
     size, a, a_prev = (1.0 if continuous else 1.0 / n), 1.0, 0.0
 
@@ -103,39 +120,103 @@ def fit_one(
 
     for _ in range(maxiter):
         k = (a_prev - 1) / a
-        s, fit_s, sc = beta + k * (beta - prev), fit + k * (fit - fit_prev), c + k * (c - c_prev)
-        if continuous:
-            g, gc = back(fit_s - y), 0.0
-        else:
-            b = -y / n / (1 + np.exp(np.clip(y * (fit_s + sc), -700, 700)))
-            g, gc = back(b), float(b.sum())
-            at_s = loss(fit_s + sc)
-        prev, fit_prev, c_prev = beta, fit, c
-        still = False
+        fit_s, sc = fit + k * (fit - fit_prev), c + k * (c - c_prev)
+        b = fit_s - y if continuous else -y / n / (1 + np.exp(np.clip(y * (fit_s + sc), -700, 700)))
+        gc = 0.0 if continuous else float(b.sum())
+        at_s = 0.0 if continuous else loss(fit_s + sc)
+        fit_prev, c_prev = fit, c
         while True:
-            beta = _shrink(s - g / size, l1 / size, l2 / size, starts, group, w, times)
-            c = 0.0 if continuous else sc - gc / size
-            fit = ahead(beta)
-            d = beta - s
+            fit, squared, along = yield Trial(k, b, size)
             if continuous:
-                r, l = float(times * d @ d), float(((fit - fit_s) ** 2).sum())
+                r, l = squared, float(((fit - fit_s) ** 2).sum())
             else:
-                r = (float(times * d @ d) + (c - sc) ** 2) / 2
-                l = loss(fit + c) - at_s - float(times * d @ g) - (c - sc) * gc
-            if r <= 1e-20:
-                still = True
-                break
-            if l <= r * size * (1 + 1e-12) or (not strict and abs(l - r * size) < 1):
+                c = sc - gc / size
+                r = (squared + (c - sc) ** 2) / 2
+                l = loss(fit + c) - at_s - along - (c - sc) * gc
+            if r <= 1e-20 or l <= r * size * (1 + 1e-12) or (not strict and abs(l - r * size) < 1):
                 break
             size = max(2 * size, l / r)
+        steps.append(Trial(k, b, size))
         a_prev, a = a, (1 + np.sqrt(4 * a * a + 1)) / 2
-        if still:
+        if r <= 1e-20:
             break
+    return Outcome(c, fit, steps)
+
+
+class Genes:
+    """Masks of some genes of a design, ``masks`` sorted by gene, ``genes`` their gene numbers, ``times``
+    how many equal features each stands for, ``weight`` the genes' weights."""
+
+    def __init__(self, masks: list | np.ndarray, genes: np.ndarray, weight: np.ndarray, n: int, times: np.ndarray | None = None):
+        self.times = np.ones(len(masks)) if times is None else times.astype(float)
+        self.bits, self.of = mask_bits(masks, n)
+        new = np.append(True, genes[1:] != genes[:-1])
+        self.starts, self.group = np.flatnonzero(new), np.cumsum(new) - 1
+        self.weight = weight[genes[self.starts]]
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return (self.bits @ v)[self.of]
+
+    def scores(self, beta: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, self.times * beta, len(self.bits)) @ self.bits
+
+    def norms(self, v: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.add.reduceat(self.times * v * v, self.starts))
+
+    def most(self, l1: float, first: np.ndarray) -> float:
+        """The second penalty's least value that leaves no coefficient of these genes."""
+        on = self.weight > 0
+        return float((self.norms(np.maximum(np.abs(self.back(first)) - l1, 0))[on] / self.weight[on]).max(initial=0.0))
+
+    def step(self, state: tuple[np.ndarray, np.ndarray], trial: Trial, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Coefficients after a trial, where it started, and the gradient there."""
+        beta, prev = state
+        s, g = beta + trial.k * (beta - prev), self.back(trial.b)
+        return _shrink(s - g / trial.size, l1 / trial.size, l2 / trial.size, self.starts, self.group, self.weight, self.times), s, g
+
+    def sums(self, new: np.ndarray, s: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, float, float]:
+        d = new - s
+        return self.scores(new), float(self.times * d @ d), float(self.times * d @ g)
+
+
+def fit_one(
+    masks: np.ndarray, genes: np.ndarray, weight: np.ndarray, y: np.ndarray, f1: float, f2: float, continuous: bool, maxiter: int = 100, strict: bool = True,
+    times: np.ndarray | None = None,
+) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of one model; see :class:`Genes` and :func:`descent`."""
+    design = Genes(masks, genes, weight, len(y), times)
+    first = first_gradient(y, continuous)
+    l1 = f1 * np.abs(design.back(first)).max()
+    beta, c, _ = _descend(design, y, l1, f2 * design.most(l1, first), continuous, maxiter, strict)
     return beta, c
 
 
-MODEL = "combo_idx long, lambda1 double, lambda2 double, intercept double, num_genes int"
-_OUT = MODEL + ", gene string, mask long, weight double"
+def _descend(design: Genes, y: np.ndarray, l1: float, l2: float, continuous: bool, maxiter: int, strict: bool) -> tuple[np.ndarray, float, np.ndarray]:
+    beta, prev, asked = np.zeros(len(design.times)), np.zeros(len(design.times)), descent(y, continuous, maxiter, strict)
+    new, accepted = beta, 0
+    try:
+        trial = next(asked)
+        while True:
+            new, s, g = design.step((beta, prev), trial, l1, l2)
+            later = asked.send(design.sums(new, s, g))
+            if later.b is not trial.b:
+                beta, prev = new, beta
+            trial = later
+    except StopIteration as end:
+        return new, end.value.intercept, end.value.fit
+
+
+def input_rmse(scores: np.ndarray, touched: np.ndarray, intercept: float, y: np.ndarray) -> float:
+    """Over training species; those without a hit predict 0."""
+    return float(np.sqrt(((np.where(touched, scores + intercept, 0.0) - y) ** 2).mean()))
+
+
+#: Distinct masks of a design's genes, summed over genes, that one task fits; models of larger designs whose
+#: state is held at once, and accepted steps after which it is written.
+MASKS_IN_TASK, MODELS_AT_ONCE, STEPS_WRITTEN = 4_000_000, 64, 8
+
+MODEL = "combo_idx long, penalty double, lambda1 double, lambda2 double, intercept double, rmse double, num_genes int"
+_MODEL = [x.split()[0] for x in MODEL.split(", ")]
 
 
 def feature_kinds(features: DataFrame) -> DataFrame:
@@ -144,40 +225,278 @@ def feature_kinds(features: DataFrame) -> DataFrame:
     return n.groupBy("combo_idx", "gene").agg(F.array_sort(F.collect_list(F.struct("mask", "times"))).alias("kinds"))
 
 
-def fit_grid(
-    features: DataFrame, combo: DataFrame, weights: DataFrame, grid: DataFrame, continuous: bool = False, maxiter: int = 100, strict: bool = True
-) -> DataFrame:
-    """All models: ``(combo_idx, lambda1, lambda2, intercept, num_genes, gene, pos, aa, weight)``, a row
-    per coefficient that is not zero, and one with a null gene for each model.
+def _number(names: pd.Series | list, sizes: list[int]) -> np.ndarray:
+    return np.repeat(np.arange(len(names)), sizes)
+
+
+def fit_models(
+    features: DataFrame, combo: DataFrame, weights: DataFrame, grid: DataFrame, continuous: bool = False, maxiter: int = 100, strict: bool = True,
+    masks_in_task: int = MASKS_IN_TASK,
+) -> tuple[DataFrame, DataFrame]:
+    """``(models, coef)`` of all designs, penalties and grid points: ``MODEL`` rows, and a row
+    ``(combo_idx, penalty, lambda1, lambda2, gene, pos, aa, weight)`` per coefficient that is not zero.
+
+    ``weights(combo_idx, gene, weight[, penalty])`` has a row per gene and penalty; a repeat of a design (with
+    other null alignments) is a design of its own. A design of at most ``masks_in_task`` distinct masks of genes is
+    one task for each penalty and ``lambda1``; larger ones are fitted by :func:`fit_dealt`. Results
+    depend on sorted rows only, so a lost task gives the same again."""
+    spark = features.sparkSession
+    if "penalty" not in weights.columns:
+        weights = weights.withColumn("penalty", F.lit(0.0))
+    mask = dict(features.dtypes)["mask"]
+    per = checkpointed(feature_kinds(features).select("combo_idx", "gene", F.col("kinds.mask").alias("masks"), F.col("kinds.times").alias("times")))
+    sizes = per.groupBy("combo_idx").agg(F.sum(F.size("masks")).alias("n"))
+    large = [r["combo_idx"] for r in sizes.filter(F.col("n") > masks_in_task).collect()]
+    found = []
+    if sizes.count() > len(large):
+        found.append(_fit_small(per.filter(~F.col("combo_idx").isin(large)), combo, weights, grid, continuous, maxiter, strict, mask))
+    found += [fit_dealt(per.filter(F.col("combo_idx") == c), combo.filter(F.col("combo_idx") == c), weights.filter(F.col("combo_idx") == c), grid, continuous, maxiter, strict) for c in large]
+    key = "combo_idx long, penalty double, lambda1 double, lambda2 double"
+    rows = found[0] if found else spark.createDataFrame([], f"{MODEL}, gene string, mask {mask}, weight double")
+    for part in found[1:]:
+        rows = rows.unionByName(part)
+    rows = checkpointed(rows)
+    names = [x.split()[0] for x in key.split(", ")]
+    coef = rows.filter("gene IS NOT NULL").join(features.select("combo_idx", "gene", "mask", "pos", "aa"), ["combo_idx", "gene", "mask"])
+    return rows.filter("gene IS NULL").select(*_MODEL), coef.select(*names, "gene", "pos", "aa", "weight")
+
 
-    A task fits one design at one ``lambda1`` with all its ``lambda2``; its input is a row per gene, of the
-    gene's distinct masks and their counts, so it grows with genes but not with features or models. A
-    model's coefficients are joined back to the features of their gene and mask. Results depend on sorted
-    rows only, so a lost task gives the same again."""
+def _fit_small(
+    per: DataFrame, combo: DataFrame, weights: DataFrame, grid: DataFrame, continuous: bool, maxiter: int, strict: bool, mask: str
+) -> DataFrame:
+    """A task fits one design at one penalty and ``lambda1`` with all its ``lambda2``; its input is a row per gene."""
     ys = F.transform(F.array_sort(F.collect_list(F.struct("slot", "y"))), lambda x: x["y"])
     points = grid.groupBy("lambda1").agg(F.array_sort(F.collect_set("lambda2")).alias("seconds"))
     heads = combo.groupBy("combo_idx").agg(ys.alias("ys")).crossJoin(F.broadcast(points))  # grid points
-    heads = heads.select(*(F.col(c).alias(f"{c}_of_head") for c in ("combo_idx", "lambda1")), "ys", "seconds")
-    per = feature_kinds(features).join(weights.select("combo_idx", "gene", "weight"), ["combo_idx", "gene"])
-    rows = per.select("combo_idx", "gene", "weight", F.col("kinds.mask").alias("masks"), F.col("kinds.times").alias("times"))
-    rows = rows.crossJoin(F.broadcast(points.select("lambda1")))  # grid points
-
-    def fit(key, group: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
-        columns = [x.split()[0] for x in _OUT.split(", ")]
-        if group.empty or head.empty:
-            return pd.DataFrame({c: [] for c in columns})
+    heads = heads.select(F.col("combo_idx").alias("head_idx"), F.col("lambda1").alias("head_lambda1"), "ys", "seconds")
+    rows = per.join(weights.select("combo_idx", "gene", "penalty", "weight"), ["combo_idx", "gene"]).crossJoin(F.broadcast(points.select("lambda1")))  # grid points
+    rows = rows.join(heads, (F.col("combo_idx") == F.col("head_idx")) & (F.col("lambda1") == F.col("head_lambda1"))).drop("head_idx", "head_lambda1")
+    out_type = f"{MODEL}, gene string, mask {mask}, weight double"
+    columns = [x.split()[0] for x in out_type.split(", ")]
+
+    def fit(key, group: pd.DataFrame) -> pd.DataFrame:
         f = group.sort_values("gene").reset_index(drop=True)
-        genes = np.repeat(np.arange(len(f)), f["masks"].map(len))
-        masks, times = np.concatenate(f["masks"].tolist()), np.concatenate(f["times"].tolist())
-        weight, y, out = f["weight"].to_numpy(float), np.array(head["ys"][0], float), []
-        for second in head["seconds"][0]:
-            beta, c = fit_one(masks, genes, weight, y, float(key[1]), float(second), continuous, maxiter, strict, times)
+        genes = _number(f["gene"], f["masks"].map(len))
+        masks, times = [m for x in f["masks"] for m in x], np.concatenate(f["times"].tolist())
+        y, out = np.array(f["ys"][0], float), []
+        design, first = Genes(masks, genes, f["weight"].to_numpy(float), len(y), times), first_gradient(y, continuous)
+        l1 = float(key[2]) * np.abs(design.back(first)).max()
+        most = design.most(l1, first)
+        for second in f["seconds"][0]:
+            beta, c, scores = _descend(design, y, l1, float(second) * most, continuous, maxiter, strict)
             on = np.flatnonzero(beta)
-            first = (int(key[0]), float(key[1]), float(second), c, len(np.unique(genes[on])))
-            out.append((*first, None, None, None))
-            out += [(*first, f["gene"][genes[j]], int(masks[j]), float(beta[j])) for j in on]
-        return pd.DataFrame(out, columns=columns).astype({"mask": "Int64"})
-
-    models = rows.groupBy("combo_idx", "lambda1").cogroup(heads.groupBy("combo_idx_of_head", "lambda1_of_head")).applyInPandas(fit, _OUT)
-    found = models.join(features.select("combo_idx", "gene", "mask", "pos", "aa"), ["combo_idx", "gene", "mask"], "left")
-    return found.select(*(x.split()[0] for x in MODEL.split(", ")), "gene", "pos", "aa", "weight")
+            touched = design.bits[np.unique(design.of[on])].any(0) if len(on) else np.zeros(len(y), bool)
+            head = (int(key[0]), float(key[1]), float(key[2]), float(second), c, input_rmse(scores, touched, c, y), len(np.unique(genes[on])))
+            out.append((*head, None, None, None))
+            out += [(*head, f["gene"][genes[j]], masks[j], float(beta[j])) for j in on]
+        frame = pd.DataFrame(out, columns=columns)
+        return frame.astype({"mask": "Int64"}) if mask == "bigint" else frame
+
+    return rows.groupBy("combo_idx", "penalty", "lambda1").applyInPandas(fit, out_type)
+
+
+class _Model(NamedTuple):
+    penalty: float
+    lambda1: float
+    lambda2: float
+    l1: float
+    l2: float
+
+
+def fit_dealt(
+    per: DataFrame, combo: DataFrame, weights: DataFrame, grid: DataFrame, continuous: bool = False, maxiter: int = 100, strict: bool = True
+) -> DataFrame:
+    """All models of one design whose genes stay dealt out; rows as of a design fitted in a task.
+
+    A pass tries one step of each model that is not done, over all genes: tasks go again over the steps since
+    the state was last written, add up the trial and give a sum by slot. Every ``STEPS_WRITTEN`` accepted
+    steps the state is written, so that a pass goes over few of them and a lost task needs no more than its own genes."""
+    spark = per.sparkSession
+    y = np.array([r["y"] for r in combo.select("slot", "y").orderBy("slot").collect()], float)  # one design's slots
+    idx = combo.select("combo_idx").first()["combo_idx"]
+    penalties = sorted(r["penalty"] for r in weights.select("penalty").distinct().collect())
+    by_penalty = weights.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("penalty", "weight"))).alias("w"))
+    wanted = F.array(*(F.lit(p) for p in penalties))
+    rows = per.join(by_penalty, "gene").select("gene", "masks", "times", F.transform(wanted, lambda p: F.try_element_at("w", p)).alias("weights"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = checkpointed(rows.repartition(tasks, "gene"))
+    first, n = first_gradient(y, continuous), len(y)
+
+    def designs(batch: pa.RecordBatch) -> tuple[list, np.ndarray, list[Genes]]:
+        masks = batch.column("masks").to_pylist()
+        genes = _number(masks, [len(m) for m in masks])
+        flat, times = [m for x in masks for m in x], np.asarray(batch.column("times").flatten(), float)
+        w = np.array(batch.column("weights").to_pylist(), float)
+        return flat, genes, [Genes(flat, genes, w[:, p], n, times) for p in range(len(penalties))]
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = max((float(np.abs(designs(b)[2][0].back(first)).max(initial=0.0)) for b in batches if b.num_rows), default=0.0)
+        yield pa.RecordBatch.from_arrays([pa.array([top])], ["top"])
+
+    top = rows.mapInArrow(tops, "top double").agg(F.max("top").alias("top")).first()["top"] or 0.0
+    firsts = sorted(r["lambda1"] for r in grid.select("lambda1").distinct().collect())
+
+    def mosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros((len(penalties), len(firsts)))
+        for batch in batches:
+            if batch.num_rows:
+                here = designs(batch)[2]
+                best = np.maximum(best, [[d.most(f * top, first) for f in firsts] for d in here])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(best.size)), pa.array(best.ravel())], ["at", "most"])
+
+    most = {r["at"]: r["most"] for r in rows.mapInArrow(mosts, "at long, most double").groupBy("at").agg(F.max("most").alias("most")).collect()}
+    models = [
+        _Model(p, f1, r["lambda2"], f1 * top, r["lambda2"] * most[i * len(firsts) + j])
+        for i, p in enumerate(penalties) for j, f1 in enumerate(firsts) for r in grid.filter(F.col("lambda1") == f1).select("lambda2").distinct().orderBy("lambda2").collect()
+    ]
+    parts = [_fit_block(spark, rows, models[at : at + MODELS_AT_ONCE], penalties, y, continuous, maxiter, strict, designs) for at in range(0, len(models), MODELS_AT_ONCE)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(F.lit(idx).cast("long").alias("combo_idx"), *out.columns)
+
+
+def _fit_block(spark: SparkSession, rows: DataFrame, models: list[_Model], penalties: list[float], y: np.ndarray, continuous: bool, maxiter: int, strict: bool, designs) -> DataFrame:
+    mask, n = dict(rows.dtypes)["masks"][6:-1], len(y)
+    kept = ["gene", "masks", "times", "weights"]
+    place = {p: i for i, p in enumerate(penalties)}
+
+    def replayed(batch: pa.RecordBatch, steps: list[list[Trial]], wanted):
+        """By model, its number, its design and the coefficients after ``steps`` and before the last of them. A
+        written state holds what is not zero: a gene's ``at`` is the model's number times the gene's masks, plus the mask's."""
+        flat, genes, ds = designs(batch)
+        size = np.bincount(genes, minlength=batch.num_rows)
+        before = np.cumsum(size) - size
+        if "at" in batch.schema.names:
+            gene = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("at").value_lengths(), np.int64))
+            model, j = np.divmod(np.asarray(batch.column("at").flatten(), np.int64), size[gene])
+            order = np.argsort(model, kind="stable")
+            bounds, j = np.searchsorted(model[order], np.arange(len(models) + 1)), (before[gene] + j)[order]
+            values = [np.asarray(batch.column(c).flatten(), float)[order] for c in ("beta", "prev")]
+        for k in wanted:
+            beta, prev = np.zeros(len(flat)), np.zeros(len(flat))
+            if "at" in batch.schema.names:
+                part = slice(bounds[k], bounds[k + 1])
+                beta[j[part]], prev[j[part]] = values[0][part], values[1][part]
+            d = ds[place[models[k].penalty]]
+            for trial in steps[k]:
+                beta, prev = d.step((beta, prev), trial, models[k].l1, models[k].l2)[0], beta
+            yield k, d, (beta, prev), flat, genes
+
+    def tried(state: DataFrame, steps: list[list[Trial]], trials: dict[int, Trial]) -> dict[int, np.ndarray]:
+        shared = spark.sparkContext.broadcast((steps, trials))  # slots of each model and step
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done, asked = shared.value
+            total = {k: np.zeros(n + 2) for k in asked}
+            for batch in batches:
+                if batch.num_rows:
+                    for k, d, held, _, _ in replayed(batch, done, asked):
+                        scores, squared, along = d.sums(*d.step(held, asked[k], models[k].l1, models[k].l2))
+                        total[k] += np.append(scores, (squared, along))
+            columns = np.repeat(list(total), n + 2), np.tile(np.arange(n + 2), len(total)), np.concatenate(list(total.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.float64()), strict=True)], ["k", "i", "x"])
+
+        out = {k: np.zeros(n + 2) for k in trials}
+        for r in state.mapInArrow(run, "k int, i int, x double").groupBy("k", "i").agg(F.sum("x").alias("x")).collect():  # slots of each model
+            out[r["k"]][r["i"]] = r["x"]
+        shared.destroy()
+        return out
+
+    def written(state: DataFrame, steps: list[list[Trial]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                parts = []
+                for k, _, (beta, prev), _, genes in replayed(batch, steps, range(len(models))) if batch.num_rows else ():
+                    size = np.bincount(genes, minlength=batch.num_rows)
+                    on = np.flatnonzero((beta != 0) | (prev != 0))
+                    parts.append((genes[on], k * size[genes[on]] + on - (np.cumsum(size) - size)[genes[on]], beta[on], prev[on]))
+                gene, *columns = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int),) * 4
+                order = np.argsort(gene, kind="stable")
+                offsets = np.searchsorted(gene[order], np.arange(batch.num_rows + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order], t)) for x, t in zip(columns, (pa.int64(), pa.float64(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *lists], [*kept, "at", "beta", "prev"])
+
+        return checkpointed(state.mapInArrow(run, f"gene string, masks array<{mask}>, times array<bigint>, weights array<double>, at array<bigint>, beta array<double>, prev array<double>"))
+
+    state, steps = rows, [[] for _ in models]
+    running = {k: descent(y, continuous, maxiter, strict) for k in range(len(models))}
+    trials, outcomes = {k: next(g) for k, g in running.items()}, {}
+    while trials:
+        sums, later = tried(state, steps, trials), {}
+        for k, trial in trials.items():
+            try:
+                later[k] = running[k].send((sums[k][:n], float(sums[k][n]), float(sums[k][n + 1])))
+                if later[k].b is not trial.b:
+                    steps[k].append(trial)
+            except StopIteration as end:
+                outcomes[k] = end.value
+                steps[k].append(trial)
+        trials = later
+        if trials and max(map(len, steps)) >= STEPS_WRITTEN:
+            new = written(state, steps)
+            if state is not rows:
+                released(state)
+            state, steps = new, [[] for _ in models]
+
+    def nonzero(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, kind = batch.column("gene").to_pylist(), batch.schema.field("masks").type.value_type
+            for k, _, (beta, _), flat, genes in replayed(batch, steps, range(len(models))) if batch.num_rows else ():
+                on = np.flatnonzero(beta)
+                columns = [k] * len(on), [names[genes[j]] for j in on], [flat[j] for j in on], beta[on]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.string(), kind, pa.float64()), strict=True)], ["k", "gene", "mask", "weight"])
+
+    found = checkpointed(state.mapInArrow(nonzero, f"k int, gene string, mask {mask}, weight double"))
+    if state is not rows:
+        released(state)
+    genes = {r["k"]: r["n"] for r in found.groupBy("k").agg(F.countDistinct("gene").alias("n")).collect()}  # models at once
+    touched = np.zeros((len(models), n), bool)
+    for r in found.select("k", F.explode(slots_of(F.col("mask"), mask != "bigint")).alias("slot")).distinct().collect():  # slots of each model
+        touched[r["k"], r["slot"]] = True
+    heads = [(k, *m[:3], float(outcomes[k].intercept), input_rmse(outcomes[k].fit, touched[k], outcomes[k].intercept, y), genes.get(k, 0)) for k, m in enumerate(models)]
+    head = spark.createDataFrame(heads, "k int, " + MODEL.split(", ", 1)[1])
+    rest = [F.lit(None).cast(t).alias(c) for c, t in (("gene", "string"), ("mask", mask), ("weight", "double"))]
+    return head.select(*_MODEL[1:], *rest).unionByName(found.join(F.broadcast(head), "k").drop("k"))  # models at once
+
+
+def fit_grid(
+    features: DataFrame, combo: DataFrame, weights: DataFrame, grid: DataFrame, continuous: bool = False, maxiter: int = 100, strict: bool = True,
+    masks_in_task: int = MASKS_IN_TASK,
+) -> DataFrame:
+    """Models and coefficients in one table, a row with a null gene for each model; see :func:`fit_models`."""
+    models, coef = fit_models(features, combo, weights, grid, continuous, maxiter, strict, masks_in_task)
+    key = ["combo_idx", "penalty", "lambda1", "lambda2"]
+    none = models.select(*_MODEL, *(F.lit(None).cast(t).alias(c) for c, t in (("gene", "string"), ("pos", "int"), ("aa", "string"), ("weight", "double"))))
+    return none.unionByName(coef.join(models, key).select(none.columns))
+
+
+def kkt_residuals(features: DataFrame, combo: DataFrame, weights: DataFrame, models: DataFrame, coef: DataFrame, continuous: bool = False) -> DataFrame:
+    """``(combo_idx, penalty, lambda1, lambda2, residual)``: how far a model is from the least penalised loss.
+
+    At the least, the gradient of each feature and the penalties' own cancel where the coefficient is not
+    zero, and stay within the penalties where it is. The largest departure is given as a share of the first penalty.
+    Joins and sums of slots and genes; a gene of zeros is told by its gradient alone."""
+    key, feature = ["combo_idx", "penalty", "lambda1", "lambda2"], ["gene", "pos", "aa"]
+    if "penalty" not in weights.columns:
+        weights = weights.withColumn("penalty", F.lit(0.0))
+    grid = models.select("lambda1", "lambda2").distinct()
+    scale = lambda_scale(gradient_at_zero(features, combo, continuous), weights, grid).select(*key, "l1_abs", "l2_abs")
+    slots = slots_of(F.col("mask"), dict(features.dtypes)["mask"] != "bigint")
+    hit = coef.join(features, ["combo_idx", *feature]).select(*key, "weight", F.explode(slots).alias("slot")).groupBy(*key, "slot").agg(F.sum("weight").alias("s"))
+    n = combo.groupBy("combo_idx").agg(F.count("*").alias("n"))
+    at = models.join(combo.select("combo_idx", "slot", "y"), "combo_idx").join(hit, [*key, "slot"], "left").join(n, "combo_idx")
+    f = F.coalesce("s", F.lit(0.0)) + F.col("intercept")
+    b = f - F.col("y") if continuous else -F.col("y") / F.col("n") / (1 + F.exp(F.col("y") * f))
+    sides = at.select(*key, "slot", b.alias("b")).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "b"))), lambda x: x["b"]).alias("bs")).join(scale, key)
+    g = F.aggregate(F.transform(slots, lambda i: F.get("bs", i)), F.lit(0.0), lambda a, x: a + x)
+    norms = coef.groupBy(*key, "gene").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    every = features.join(sides, "combo_idx").select(*key, *feature, g.alias("g"), "l1_abs", "l2_abs")
+    every = every.join(coef.select(*key, *feature, "weight"), [*key, *feature], "left").join(norms, [*key, "gene"], "left")
+    every = every.join(weights.select("combo_idx", "penalty", "gene", F.col("weight").alias("w")), ["combo_idx", "penalty", "gene"])
+    rest = F.greatest(F.abs("g") - F.col("l1_abs"), F.lit(0.0))
+    pull = F.col("g") + F.col("l1_abs") * F.signum("weight") + F.col("l2_abs") * F.col("w") * F.col("weight") / F.col("norm")
+    own = F.when(F.col("norm").isNull(), 0.0).when(F.col("weight").isNotNull(), F.abs(pull)).otherwise(rest)
+    none = F.when(F.max("norm").isNull(), F.greatest(F.sqrt(F.sum(rest * rest)) - F.max("l2_abs") * F.max("w"), F.lit(0.0))).otherwise(0.0)
+    per = every.groupBy(*key, "gene").agg(F.max(own).alias("own"), none.alias("none"), F.max("l1_abs").alias("l1"))
+    return per.groupBy(*key).agg(F.max(F.greatest("own", "none") / F.col("l1")).alias("residual"))

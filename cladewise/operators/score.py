@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.residues import slots_of
+
 RUN = ["combo_idx", "run"]
 
 
@@ -21,7 +23,7 @@ def exclude_training(hits: DataFrame, training: DataFrame) -> DataFrame:
 
 def score_inputs(coef: DataFrame, features: DataFrame, combo: DataFrame) -> DataFrame:
     """``(combo_idx, run, slot, weight)``: coefficients at the slots of their (cancelled) features."""
-    slots = features.withColumn("slot", F.explode(F.filter(F.sequence(F.lit(0), F.lit(61)), lambda i: F.col("mask").bitwiseAND(F.pow(F.lit(2.0), i).cast("long")) != 0)))
+    slots = features.withColumn("slot", F.explode(slots_of(F.col("mask"), dict(features.dtypes)["mask"].startswith("array"))))
     return coef.join(slots, ["combo_idx", "gene", "pos", "aa"]).select(*RUN, "slot", "weight")
 
 

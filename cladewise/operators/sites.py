@@ -105,11 +105,17 @@ def variable_site_counts(filled: DataFrame) -> DataFrame:
     return _lettered(filled).select("gene", "combo_idx", n.cast("long").alias("var_sites"))
 
 
-def informative_features(sites: DataFrame, min_count: int = 2) -> DataFrame:
-    """``(combo_idx, gene, pos, aa, mask, n_hit)``: a feature per informative residue, as slot bits."""
+def has_wide_masks(combo: DataFrame) -> bool:
+    """Whether a design has more slots than a long has bits for."""
+    return (combo.agg(F.max("slot").alias("last")).first()["last"] or 0) >= R.WORD
+
+
+def informative_features(sites: DataFrame, min_count: int = 2, wide: bool = False) -> DataFrame:
+    """``(combo_idx, gene, pos, aa, mask, n_hit)``: a feature per informative residue, as slot bits; for designs
+    of more slots than ``R.WORD``, ``wide`` masks (see :func:`has_wide_masks`)."""
     one = sites.withColumn("aa", F.explode(R.informative_residues(F.col("res"), min_count)))
     return one.select(
-        "combo_idx", "gene", "pos", "aa", R.slot_mask(F.col("res"), F.col("aa")).alias("mask"), R.count_in(F.col("res"), F.col("aa")).alias("n_hit")
+        "combo_idx", "gene", "pos", "aa", R.slot_mask(F.col("res"), F.col("aa"), wide).alias("mask"), R.count_in(F.col("res"), F.col("aa")).alias("n_hit")
     )
 
 
@@ -141,9 +147,9 @@ def taas(aln: DataFrame, targets: list[str], min_fg: int = 2) -> DataFrame:
     """``(gene, n)``: positions where no target residue is a non-target's; gaps count as residues."""
     hit = lambda s, want: F.array_contains(F.lit(targets), s) == F.lit(want)
     g = gene_table(aln)
-    fg = F.map_values(F.map_filter("by_species", lambda k, v: hit(k, True)))
-    bg = F.map_values(F.map_filter("by_species", lambda k, v: hit(k, False)))
-    g = g.select("gene", "n", fg.alias("fg"), bg.alias("bg")).filter((F.size("fg") >= min_fg) & (F.size("bg") > 0))
-    letters = lambda c, p: F.transform(c, lambda s: F.substring(s, p + 1, F.lit(1)))
-    own = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda p: ~F.arrays_overlap(letters(F.col("fg"), p), letters(F.col("bg"), p)))
+    side = lambda want: F.transform(F.map_values(F.map_filter("by_species", lambda k, v: hit(k, want))), lambda s: F.split(s, ""))
+    # Sequences are split once, not at each position (as in _lettered).
+    g = g.select("gene", "n", F.inline(F.array(F.struct(side(True).alias("fg"), side(False).alias("bg"))))).filter((F.size("fg") >= min_fg) & (F.size("bg") > 0))
+    at = lambda c, p: F.transform(c, lambda letters: F.coalesce(F.get(letters, p), F.lit("")))
+    own = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda p: ~F.arrays_overlap(at(F.col("fg"), p), at(F.col("bg"), p)))
     return g.select("gene", F.size(own).alias("n"))

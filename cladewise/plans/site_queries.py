@@ -359,6 +359,80 @@ def m3(s, d):
     return out.groupBy("combo_idx", "lambda1", "lambda2").agg(F.round(F.max("intercept"), 6).alias("intercept"), F.max("num_genes").alias("num_genes"), F.round(F.sum(F.abs("weight")), 6).alias("penalty"))
 
 
+def _fitted(s, d, points, kinds=("std",), y=None, **k):
+    """Features, design, weights and fitted models of the partly cancelled alignment."""
+    from ..operators import fit
+    from ..sources.tables import checkpointed
+
+    site = sites.cancel_gaps(_sites(s, d), only_partner=True)
+    f = checkpointed(sites.informative_features(site))
+    groups, weights = checkpointed(sites.gene_groups(f, sites.var_site_counts(site))), None
+    for kind in kinds:
+        part = fit.group_weights(groups.withColumn("penalty", F.lit(float(kind) if kind not in ("std", "sqrt") else 0.0)), kind)
+        weights = part if weights is None else weights.unionByName(part)
+    combo = A.combos(s) if y is None else A.combos(s).withColumn("y", y)
+    grid = s.createDataFrame(points, "lambda1 double, lambda2 double")
+    return f, combo, weights, *fit.fit_models(f, combo, weights, grid, y is not None, **k)
+
+
+def _expected(points, penalties, column):
+    """A row for each design, penalty and grid point, in which the check holds."""
+    values = ", ".join(f"({p}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE)" for p in penalties for a, b in points)
+    return f"WITH {A.COMBO} SELECT CAST(combo_idx AS BIGINT) AS combo_idx, penalty, lambda1, lambda2, true AS {column} FROM (SELECT DISTINCT combo_idx FROM combo) CROSS JOIN (VALUES {values}) g(penalty, lambda1, lambda2)"
+
+
+_KKT = [(0.4, 0.4), (0.6, 0.2), (0.8, 0.8)]
+_MODEL_KEY = ["combo_idx", "penalty", "lambda1", "lambda2"]
+
+
+def _kkt(name: str, y) -> None:
+    @query(name, _expected(_KKT, (2.0, 20.0), "optimal"))
+    def run(s, d):
+        """Models for two gene penalties, and whether each is the least penalised loss: its residuals are joins and sums."""
+        from ..operators import fit
+
+        response = y() if y else None
+        f, combo, weights, models, coef = _fitted(s, d, _KKT, (2, 20), response, maxiter=4000)
+        r = fit.kkt_residuals(f, combo, weights, models, coef, response is not None)
+        return r.select(*_MODEL_KEY, (F.col("residual") < 1e-3).alias("optimal"))
+
+
+_kkt("M3_kkt_logistic", None)
+_kkt("M3_kkt_continuous", lambda: F.sin(F.col("slot") * 2.5 + 1) + F.col("combo_idx"))
+
+_FEW = [(0.05, 0.05), (0.3, 0.3)]
+
+
+@query("M3_dealt_genes", _expected(_FEW, (0.0,), "same"))
+def m3_dealt(s, d):
+    """Genes dealt out over the tasks: models and coefficients are those of a fit in one task."""
+    from ..operators import fit
+
+    f, combo, weights, models, coef = _fitted(s, d, _FEW, maxiter=10)
+    grid = models.select("lambda1", "lambda2").distinct()
+    models2, coef2 = fit.fit_models(f, combo, weights, grid, maxiter=10, masks_in_task=0)
+    key = [*_MODEL_KEY, "gene", "pos", "aa"]
+    off = coef.join(coef2.withColumnRenamed("weight", "w"), key, "full").withColumn("off", F.abs(F.coalesce("weight", F.lit(1.0)) - F.coalesce("w", F.lit(1.0))))
+    worst = off.groupBy(*_MODEL_KEY).agg(F.max("off").alias("off"))
+    both = models.join(models2.select(*_MODEL_KEY, F.col("intercept").alias("i"), F.col("rmse").alias("r"), F.col("num_genes").alias("n")), _MODEL_KEY).join(worst, _MODEL_KEY, "left")
+    near = (F.abs(F.col("intercept") - F.col("i")) < 1e-8) & (F.abs(F.col("rmse") - F.col("r")) < 1e-8) & (F.col("num_genes") == F.col("n"))
+    return both.select(*_MODEL_KEY, (near & (F.coalesce("off", F.lit(0.0)) < 1e-8)).alias("same"))
+
+
+@query("M6_legacy_rule", _expected(_FEW, (0.0,), "agrees"))
+def m6(s, d):
+    """The older line search, which takes nearly any step: a model's error is that of its coefficients' hits in the inputs."""
+    from ..operators import score
+
+    f, combo, _, models, coef = _fitted(s, d, _FEW, strict=False, maxiter=20)
+    run = F.concat_ws("/", "lambda1", "lambda2").alias("run")
+    numbered = models.select("combo_idx", run, "intercept")
+    hits = score.score_inputs(coef.select("combo_idx", run, "gene", "pos", "aa", "weight"), f, combo)
+    again = score.input_rmse(hits, numbered, combo).withColumnRenamed("rmse", "again")
+    near = F.abs(F.col("rmse") - F.col("again")) <= 2e-6 * F.greatest(F.lit(1.0), F.abs("rmse"))
+    return models.withColumn("run", run).join(again, ["combo_idx", "run"]).select(*_MODEL_KEY, near.alias("agrees"))
+
+
 @query("M5_empty_models", f"""WITH {A.CELL}, {_FEATURE}, k AS (SELECT gene || '/' || c.combo_idx AS combo_idx FROM genes CROSS JOIN (SELECT DISTINCT combo_idx FROM combo) c)
     SELECT combo_idx, 0.0::DOUBLE AS intercept FROM k WHERE combo_idx NOT IN (SELECT gene || '/' || combo_idx FROM feature)""")
 def m5(s, d):
