@@ -16,7 +16,7 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,9 @@ class Aligner:
         self.b = Vocabulary([
             bytes([int(m.id_to_piece(i)[3:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode() for i in range(m.get_piece_size())
         ])
+        # Names of ids with what follows them: a comma, or a bar after a group's first side and a semicolon after its second.
+        self.names = [f"{i}{end}" for size in (len(self.a.bytes), len(self.b.bytes)) for i in range(size) for end in (",", "|", ";", "")]
+        self.width = np.array([len(x) for x in self.names], np.int64)
         self.forget()
 
     def forget(self) -> None:
@@ -70,35 +73,43 @@ class Aligner:
         # Pairs of window w, and how often it has each: places ends[w] to ends[w + 1] of these.
         self.pairs, self.times, self.ends, self.held = array("q"), array("q"), array("q", [0]), 0
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-        """Groups and links of two id sequences with the same bytes."""
-        size_a, size_b = self.a.size, self.b.size
-        groups, links, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-        end_a, end_b = list(accumulate(size_a[a].tolist())), list(accumulate(size_b[b].tolist()))
-        while i < len(a):
-            links.append((a[i], b[j]))
-            if end_a[i] == end_b[j]:
-                i, j = i + 1, j + 1
-                groups.append((a[from_i:i], b[from_j:j]))
-                from_i, from_j = i, j
-            elif end_a[i] < end_b[j]:
-                i += 1
-            else:
-                j += 1
-        return groups, links
-
-    def _learn(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(x, np.int32).tolist() for x in key)
-        groups, links = self.align(a, b)
-        self.written.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-        self.groups.append(len(groups))
-        self.links.append(len(links))
-        found, times = np.unique(np.array([x * len(self.b.bytes) + y for x, y in links], np.int64), return_counts=True)
-        self.pairs.extend(found.tolist())
-        self.times.extend(times.tolist())
-        self.ends.append(len(self.pairs))
-        self.held += len(a) + len(b)
-        return self.number.setdefault(key, len(self.number))
+    def _learn(self, ranges: np.ndarray, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, shared: np.ndarray) -> None:
+        """Align windows seen for the first time; ``ranges`` has a row (from, to, from, to) of token places for
+        each, ``shared`` says which tokens of the first end where one of the second does."""
+        size_a, size_b = ranges[:, 1] - ranges[:, 0], ranges[:, 3] - ranges[:, 2]
+        spread = lambda first, size: np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        at_a, at_b = spread(ranges[:, 0], size_a), spread(ranges[:, 2], size_b)
+        window_a = np.repeat(np.arange(len(ranges)), size_a)
+        # A token's links: from the first of the others that ends after its start to the first that ends at or after its end.
+        end = ends_a[at_a]
+        low, high = np.searchsorted(ends_b, end - self.a.size[a[at_a]], side="right"), np.searchsorted(ends_b, end)
+        n = high - low + 1
+        pair = np.repeat(a[at_a].astype(np.int64), n) * len(self.b.bytes) + b[spread(low, n)]
+        window = np.repeat(window_a, n)
+        order = np.lexsort((pair, window))
+        pair, window = pair[order], window[order]
+        new = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (window[1:] != window[:-1])))
+        # Groups are numbered through all windows; a token's is the number of shared ends before it.
+        before = np.append(0, np.cumsum(shared[at_a]))
+        group_a = before[:-1]
+        cuts = ends_a[at_a[shared[at_a]]]
+        group_b = np.searchsorted(cuts, ends_b[at_b])
+        order = np.lexsort((np.append(np.zeros(len(at_a), np.int8), np.ones(len(at_b), np.int8)), np.append(group_a, group_b)))
+        last_a = np.append(group_a[1:] != group_a[:-1], True)
+        last_b = np.append(group_b[1:] != group_b[:-1], True)
+        of_a, of_b = 4 * a[at_a].astype(np.int64) + last_a, 4 * (len(self.a.bytes) + b[at_b].astype(np.int64)) + 2 * last_b
+        named = np.append(of_a, of_b)[order]
+        written = "".join(map(self.names.__getitem__, named.tolist()))
+        groups = np.bincount(window_a, shared[at_a], len(ranges)).astype(np.int64)
+        width = np.add.reduceat(self.width[named], np.append(0, np.cumsum(size_a + size_b)[:-1]))
+        stops = np.cumsum(width).tolist()
+        self.written += [written[x : y - 1] for x, y in zip([0, *stops[:-1]], stops, strict=True)]
+        self.groups.extend(groups.tolist())
+        self.links.extend(np.bincount(window_a, n, len(ranges)).astype(np.int64).tolist())
+        self.pairs.extend(pair[new].tolist())
+        self.times.extend(np.diff(np.append(new, len(pair))).tolist())
+        self.ends.extend((self.ends[-1] + np.cumsum(np.bincount(window[new], minlength=len(ranges)))).tolist())
+        self.held += int(size_a.sum() + size_b.sum())
 
     def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both tokenizers; none where the bytes of either aren't those of a space and the text."""
@@ -117,8 +128,7 @@ class Aligner:
             self.forget()
         first, second = self.encode(texts)
         n_a, n_b = np.array([len(x) for x in first], np.int64), np.array([len(x) for x in second], np.int64)
-        a = np.fromiter((x for ids in first for x in ids), np.int32, int(n_a.sum()))
-        b = np.fromiter((x for ids in second for x in ids), np.int32, int(n_b.sum()))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int32, int(n.sum())) for x, n in ((first, n_a), (second, n_b)))
         full = np.flatnonzero(n_a)
         last = np.zeros(len(a), bool)
         last[np.cumsum(n_a)[full] - 1] = True
@@ -131,14 +141,19 @@ class Aligner:
         stop_a, stop_b = cut + 1, meets[cut] + 1
         owner = full[np.cumsum(np.append(0, last[:-1]))[cut]] if len(a) else cut
 
-        raw_a, raw_b, known = a.tobytes(), b.tobytes(), self.number
-        windows = np.zeros(len(cut), np.int64)
-        from_a = from_b = 0
-        for k, (to_a, to_b) in enumerate(zip((4 * stop_a).tolist(), (4 * stop_b).tolist(), strict=True)):
+        raw_a, raw_b, known, fresh = a.tobytes(), b.tobytes(), self.number, []
+        windows, from_a, from_b = [], 0, 0
+        for to_a, to_b in zip((4 * stop_a).tolist(), (4 * stop_b).tolist(), strict=True):
             key = raw_a[from_a:to_a], raw_b[from_b:to_b]
             w = known.get(key)
-            windows[k] = self._learn(key) if w is None else w
+            if w is None:
+                w = known[key] = len(known)
+                fresh.append(len(windows))
+            windows.append(w)
             from_a, from_b = to_a, to_b
+        windows = np.array(windows, np.int64)
+        if fresh:
+            self._learn(np.stack([np.append(0, stop_a)[fresh], stop_a[fresh], np.append(0, stop_b)[fresh], stop_b[fresh]], 1), a, b, ends_a, ends_b, shared)
 
         n = len(texts)
         bounds = np.searchsorted(owner, np.arange(n + 1))
