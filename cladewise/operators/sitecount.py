@@ -7,24 +7,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import residues as R
-from .sites import explode_sites, fill_species, intact_pairs
+from .sites import explode_sites, fill_species, gene_table, intact_pairs
+from .tree import ancestral_states
 
 
 def pair_sites(aln: DataFrame, combo: DataFrame, outgroup: str) -> DataFrame:
     """``(gene, combo_idx, pos, k, conv, ctrl, out)``: masked residues of the pairs whose two species
     are both in the gene; ``k`` is their number. Designs with fewer than two such pairs are left out."""
-    filled = fill_species(aln, combo, outgroup).withColumn("k", intact_pairs(F.col("missing"))).filter("k >= 2")
+    return _masked_pairs(fill_species(aln, combo, outgroup))
+
+
+def _masked_pairs(filled: DataFrame, *more: str) -> DataFrame:
+    filled = filled.withColumn("k", intact_pairs(F.col("missing"))).filter("k >= 2")
     missing = F.col("missing")
     lone = lambda i: F.get(missing, i - i % 2) | F.get(missing, i - i % 2 + 1)
     kept = filled.withColumn("seqs", F.filter("seqs", lambda s, i: ~lone(i)))
-    sites = explode_sites(kept.withColumn("out", F.coalesce("out", F.repeat(F.lit("?"), F.col("n")))))
+    sites = explode_sites(kept.withColumn("out", F.coalesce("out", F.repeat(F.lit("?"), F.col("n")))), *more)
     conv, ctrl = R.side(F.col("res"), 0), R.side(F.col("res"), 1)
     return sites.select(
         "gene", "combo_idx", "pos", (F.size("res") / 2).cast("int").alias("k"),
-        R.masked(conv, F.col("res")).alias("conv"), R.masked(ctrl, F.col("res")).alias("ctrl"), "out",
+        R.masked(conv, F.col("res")).alias("conv"), R.masked(ctrl, F.col("res")).alias("ctrl"), "out", *more,
     )
 
 
+def ancestral_pair_sites(aln: DataFrame, combo: DataFrame, program: DataFrame, outgroup: str | None = None) -> DataFrame:
+    """As :func:`pair_sites`, with ``states``: what the ancestor of all designs' species may have at a site, by
+    parsimony over the species tree ``program`` (see :func:`tree_program`). Genes without such an ancestor have no rows
+    here; :func:`skipped_genes` has them."""
+    analysis = sorted(r["species"] for r in combo.select("species").distinct().collect())  # species of the designs
+    told = ancestral_states(gene_table(aln), program, analysis).filter("skip_reason IS NULL").select("gene", "states")
+    filled = fill_species(aln, combo, outgroup).join(told, "gene")
+    return _masked_pairs(filled, "states")
+
+
+def skipped_genes(aln: DataFrame, combo: DataFrame, program: DataFrame) -> DataFrame:
+    """``(gene, skip_reason)`` of genes that :func:`ancestral_pair_sites` leaves out; a report has zero counts for them."""
+    analysis = sorted(r["species"] for r in combo.select("species").distinct().collect())  # species of the designs
+    return ancestral_states(gene_table(aln), program, analysis).filter("skip_reason IS NOT NULL").select("gene", "skip_reason")
+
+
+def with_skipped(report: DataFrame, skipped: DataFrame) -> DataFrame:
+    """A report by gene of :func:`gene_site_counts` with the skipped genes' zero rows and reasons."""
+    zero = [F.lit(0).cast(t).alias(c) for c, t in report.dtypes if c != "gene"]
+    told = report.withColumn("skip_reason", F.lit(None).cast("string"))
+    return told.unionByName(skipped.select("gene", *zero, "skip_reason"))
+
+
 def flag_sites(sites: DataFrame, min_agreement: float = 1.0, states: str | None = None, unambiguous: bool = False) -> DataFrame:
     """``sites`` with ``is_ccs``, ``ctrl_conv`` and ``score``."""
     anc = R.ancestral_set(F.col("out"), F.col(states) if states else None, unambiguous)

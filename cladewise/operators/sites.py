@@ -45,11 +45,11 @@ def fill_species(aln: DataFrame, combo: DataFrame, outgroup: str | None = None,
     return filled.filter(~F.array_contains("missing", True)) if drop_incomplete else filled
 
 
-def _lettered(filled: DataFrame) -> DataFrame:
+def _lettered(filled: DataFrame, *more: str) -> DataFrame:
     """``filled`` with its sequences as arrays of ``letters``, made once for all positions: a projection
     would be merged with the next one and split a sequence again at each of its positions."""
     split = F.struct(F.transform("seqs", lambda s: F.split(s, "")).alias("letters"), F.split("out", "").alias("out_letters"))
-    return filled.filter("n > 0").select("gene", "combo_idx", "n", "missing", F.inline(F.array(split)))
+    return filled.filter("n > 0").select("gene", "combo_idx", "n", "missing", *more, F.inline(F.array(split)))
 
 
 def _places() -> Column:
@@ -61,10 +61,12 @@ def _places() -> Column:
     )
 
 
-def explode_sites(filled: DataFrame) -> DataFrame:
-    """``(gene, combo_idx, pos, res, missing, out)``: residues by slot at each position."""
-    sites = _lettered(filled).select("gene", "combo_idx", "missing", F.posexplode(_places()).alias("pos", "site"))
-    return sites.select("gene", "combo_idx", "pos", "site.res", "missing", "site.out")
+def explode_sites(filled: DataFrame, *more: str) -> DataFrame:
+    """``(gene, combo_idx, pos, res, missing, out)``: residues by slot at each position. Arrays by position in the
+    columns ``more`` give up their element, in a column of that name."""
+    places = F.transform(_places(), lambda x, p: F.struct(x["res"].alias("res"), x["out"].alias("out"), *(F.get(c, p).alias(c) for c in more))) if more else _places()
+    sites = _lettered(filled, *more).select("gene", "combo_idx", "missing", F.posexplode(places).alias("pos", "site"))
+    return sites.select("gene", "combo_idx", "pos", "site.res", "missing", "site.out", *(f"site.{c}" for c in more))
 
 
 def cancelled_sequences(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.residues import MISSING
 from ..sources.tables import checkpointed
 
 
@@ -152,3 +153,92 @@ def branch_convergence(states: DataFrame, list_pairs: DataFrame) -> DataFrame:
     full = ~F.array_contains(F.array("x.residue", "y.residue", "x.parent_residue", "y.parent_residue"), "-")
     hit = full & (F.col("x.residue") == F.col("y.residue")) & (F.col("x.residue") != F.col("x.parent_residue")) & (F.col("y.residue") != F.col("y.parent_residue"))
     return j.groupBy(F.col("x.gene").alias("gene"), "pair_id").agg(F.count_if(hit).alias("n"))
+
+
+def tree_program(nodes: DataFrame, tree_id: int | None = None) -> DataFrame:
+    """One row ``(leaf_names, levels, clades)``: a species tree as steps over arrays.
+
+    Nodes are numbered leaves first, then by height; ``levels`` has, by height, the children of each inner node, and
+    ``clades`` each node's leaves. Gathers one species tree, which has as many rows as species; alignments are not looked at."""
+    one = nodes if tree_id is None else nodes.filter(F.col("tree_id") == tree_id)
+    rows = one.select("node_id", "parent_id", "name").collect()  # one species tree
+    children: dict[int, list[int]] = {}
+    for r in rows:
+        if r["parent_id"] is not None:
+            children.setdefault(r["parent_id"], []).append(r["node_id"])
+    parent, waiting = {r["node_id"]: r["parent_id"] for r in rows}, {n: len(c) for n, c in children.items()}
+    names = {r["node_id"]: r["name"] for r in rows}
+    order, levels = sorted((n for n in names if n not in children), key=lambda n: (names[n] or "", n)), []
+    leaf_count = len(order)
+    clades = {n: [i] for i, n in enumerate(order)}
+    number = {n: i for i, n in enumerate(order)}
+    level = order
+    while level:
+        ready = []
+        for n in level:
+            up = parent[n]
+            if up is not None:
+                waiting[up] -= 1
+                if not waiting[up]:
+                    ready.append(up)
+        for n in ready:
+            number[n] = len(number)
+            clades[n] = sorted(i for c in children[n] for i in clades[c])
+        if ready:
+            levels.append([[number[c] for c in children[n]] for n in ready])
+        level = ready
+    by_number = sorted(number, key=number.get)
+    row = ([names[n] for n in by_number[:leaf_count]], levels, [clades[n] for n in by_number])
+    return one.sparkSession.createDataFrame([row], "leaf_names array<string>, levels array<array<array<int>>>, clades array<array<int>>")
+
+
+#: Residues that a reconstructed set can hold, a bit each; case counts, as the site counter reads it.
+STATES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz*.~_#@+=&!"
+
+
+def state_bit(residue: Column) -> Column:
+    place = F.instr(F.lit(STATES), residue)
+    return F.when(residue.isin("", *MISSING) | (place == 0), F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), place - 1))
+
+
+def set_letters(mask: Column) -> Column:
+    """The residues of a mask of :func:`state_bit`, in order."""
+    on = F.filter(F.sequence(F.lit(1), F.lit(len(STATES))), lambda i: F.call_function("shiftright", mask, i - 1).bitwiseAND(F.lit(1).cast("long")) != 0)
+    return F.transform(on, lambda i: F.substring(F.lit(STATES), i, F.lit(1)))
+
+
+def ancestral_states(genes: DataFrame, program: DataFrame, analysis: list[str]) -> DataFrame:
+    """``genes(gene, n, by_species)`` with ``states``, by position the residues that the ancestor of the ``analysis``
+    species of the gene may have, and ``skip_reason`` where there is no such ancestor.
+
+    The tree counts for a gene as far as the gene has its species. The ancestor is the node of the smallest clade with
+    all analysis species that are there; if no species of the gene is outside of it, the gene is skipped. From the leaves
+    up a node has what all its children with known residues share, or else what any has. All within a gene's row."""
+    here = F.filter(F.sequence(F.lit(0), F.size("leaf_names") - 1), lambda i: F.map_contains_key(F.col("by_species"), F.get("leaf_names", i)))
+    wanted = F.filter(F.col("here"), lambda i: F.array_contains(F.array(*map(F.lit, analysis)), F.get("leaf_names", i)))
+    numbers = F.sequence(F.lit(0), F.size("clades") - 1)
+    holding = F.filter(numbers, lambda k: F.size(F.array_except(F.col("wanted"), F.get("clades", k))) == 0)
+    node = F.array_min(F.transform(holding, lambda k: F.struct(F.size(F.get("clades", k)).alias("size"), k.alias("k"))))
+    g = genes.crossJoin(F.broadcast(program)).withColumn("here", here)  # one row
+    g = g.withColumn("wanted", wanted).withColumn("node", F.when(F.size("wanted") > 0, node["k"]))
+    outside = F.size(F.array_except(F.col("here"), F.get("clades", F.col("node"))))
+    reason = F.when(F.col("node").isNull(), "no analysis species in tree and alignment").when(outside == 0, "no species outside the ancestor's clade")
+    g = g.withColumn("skip_reason", reason)
+    letters = F.transform("leaf_names", lambda x: F.split(F.coalesce(F.try_element_at("by_species", x), F.lit("")), ""))
+    # Sequences are split once, not at each position.
+    split = F.struct(letters.alias("letters"), F.sequence(F.lit(0), F.col("n") - 1).alias("positions"))
+    g = g.select(*(c for c in g.columns), F.inline(F.array(split)))
+
+    def joined(sets: Column, children: Column) -> Column:
+        known = F.filter(F.transform(children, lambda c: F.get(sets, c)), lambda m: m != 0)
+        both = F.aggregate(known, F.lit(-1).cast("long"), lambda a, m: a.bitwiseAND(m))
+        either = F.aggregate(known, F.lit(0).cast("long"), lambda a, m: a.bitwiseOR(m))
+        return F.when(F.size(known) == 0, F.lit(0).cast("long")).when(both != 0, both).otherwise(either)
+
+    def at(p: Column) -> Column:
+        leaf = F.transform("letters", lambda x: state_bit(F.coalesce(F.get(x, p), F.lit(""))))
+        whole = F.aggregate("levels", leaf, lambda sets, level: F.concat(sets, F.transform(level, lambda children: joined(sets, children))))
+        return F.get(whole, F.col("node"))
+
+    masks = F.when(F.col("skip_reason").isNull() & (F.col("n") > 0), F.transform("positions", at))
+    return g.select(*genes.columns, "skip_reason", F.transform(masks, set_letters).alias("states"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.trees import newick_nodes, parse_trees
+
 #: Letters by residue, both cases; a gene's length; species by slot.
 CLASSES = {"A": "etaoinsh", "C": "rdlucm", "D": "wfgypbvk"}
 LETTERS = "".join(x + x.upper() for x in CLASSES.values())
@@ -78,6 +80,43 @@ counts AS (SELECT gene, combo_idx, max(k) AS k, count(*) FILTER (is_ccs) AS true
   count(*) FILTER (score >= 4) AS cs_n FROM site GROUP BY gene, combo_idx)"""
 
 
+#: A species tree of all sixteen species; three clades stand outside the designs' species.
+SPECIES_TREE = "((((((sp00,sp09),sp01),(sp02,sp03)),((sp04,sp05),(sp06,sp07))),(sp08,(sp10,sp11))),(sp12,(sp13,(sp14,sp15))));"
+
+
+def species_tree(spark: SparkSession) -> DataFrame:
+    """``tree_node`` of the species tree."""
+    return parse_trees(spark.createDataFrame([(0, SPECIES_TREE)], "tree_id long, newick string"))
+
+
+def _tree_sql() -> str:
+    """``tn(node, parent, name, height)`` and ``clade(node, species, size)`` of the species tree, as values."""
+    rows = {n[0]: n for n in newick_nodes(SPECIES_TREE)}
+    children: dict[int, list[int]] = {}
+    for n in rows.values():
+        if n[1] is not None:
+            children.setdefault(n[1], []).append(n[0])
+    below = lambda k: [rows[k][2]] if k not in children else [x for c in children[k] for x in below(c)]
+    height = lambda k: 0 if k not in children else 1 + max(map(height, children[k]))
+    text = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    tn = ", ".join(f"({k}, {text(n[1])}, {text(n[2])}, {height(k)})" for k, n in rows.items())
+    clade = ", ".join(f"({k}, '{x}', {len(below(k))})" for k in rows for x in below(k))
+    levels = "".join(f""",
+s{h} AS (SELECT * FROM s{h - 1} UNION ALL SELECT gene, pos, p.node, CASE WHEN coalesce(bit_and(mask) FILTER (mask <> 0), 0) <> 0 THEN bit_and(mask) FILTER (mask <> 0) ELSE bit_or(mask) END
+  FROM s{h - 1} JOIN tn c USING (node) JOIN tn p ON p.node = c.parent WHERE p.height = {h} GROUP BY ALL)""" for h in range(1, height(0) + 1))
+    return f"""tn(node, parent, name, height) AS (VALUES {tn}), clade(node, species, size) AS (VALUES {clade}),
+s0 AS (SELECT a.gene, p.pos, t.node, CASE substr(a.seq, p.pos + 1, 1) WHEN 'A' THEN 1 WHEN 'C' THEN 4 WHEN 'D' THEN 8 ELSE 0 END::BIGINT AS mask
+  FROM aln a JOIN tn t ON t.name = a.species CROSS JOIN places p){levels},
+wanted AS (SELECT DISTINCT a.gene, a.species FROM aln a JOIN combo USING (species)), nw AS (SELECT gene, count(*) AS n FROM wanted GROUP BY gene),
+holds AS (SELECT w.gene, c.node, any_value(c.size) AS size FROM wanted w JOIN clade c USING (species) JOIN nw USING (gene) GROUP BY w.gene, c.node, n HAVING count(*) = n),
+ancestor AS (SELECT gene, arg_min(node, size) AS node FROM holds GROUP BY gene),
+outer_species AS (SELECT a.gene, count(*) - count(c.species) AS n FROM aln a JOIN ancestor t USING (gene) LEFT JOIN clade c ON c.node = t.node AND c.species = a.species GROUP BY a.gene),
+told AS (SELECT s.gene, s.pos, s.mask FROM s{height(0)} s JOIN ancestor t USING (gene, node) JOIN outer_species o USING (gene) WHERE o.n > 0)"""
+
+
+SPECIES_SETS = _tree_sql()
+
+
 def text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(q, m)``: a group of texts and how many genes it has."""
     d = table(spark, sf_dir, "documents").filter(F.length("text") > 0)

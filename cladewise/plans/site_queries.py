@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import residues as R
-from ..operators import design, sitecount, sites, validate
+from ..operators import design, sitecount, sites, tree, validate
 from . import adapters as A
 from .registry import query
 
@@ -190,6 +190,55 @@ def a10(s, d):
     return sitecount.combo_lists(_counts(s, d), _N).select("gene", text("per_combo_true").alias("trues"), text("per_combo_diff").alias("diffs"))
 
 
+# ---- the site counter's ancestral mode ----
+
+_BIT = "CASE m WHEN 'A' THEN 1 WHEN 'C' THEN 4 WHEN 'D' THEN 8 ELSE 0 END"
+
+
+def _ancestral_sql(unambiguous: bool) -> str:
+    mask = "CASE WHEN bit_count(mask) > 1 THEN 0 ELSE mask END" if unambiguous else "mask"
+    return f"""WITH {A.SITE}, {A.SPECIES_SETS}, rt AS (SELECT rc.*, {_BIT}::BIGINT & t.anc <> 0 AS old, t.anc FROM rc JOIN (SELECT gene, pos, {mask} AS anc FROM told) t USING (gene, pos)),
+af AS (SELECT gene, combo_idx, pos, max(k) AS k, greatest(0, coalesce(sum(abs(a - b)) FILTER (ok), 0) - coalesce(sum(a + b) FILTER (m = '-'), 0)) AS score,
+  coalesce(any_value(anc) <> 0 AND sum(b) FILTER (ok) > 0 AND coalesce(sum(b) FILTER (ok AND old), 0) >= sum(b) FILTER (ok) AND bool_or(ok AND NOT old AND a >= 2), false) AS is_ccs,
+  coalesce(any_value(anc) <> 0 AND sum(a) FILTER (ok) > 0 AND coalesce(sum(a) FILTER (ok AND NOT old), 0) = 0 AND bool_or(ok AND NOT old AND b >= 2), false) AS ctrl_conv FROM rt GROUP BY gene, combo_idx, pos),
+ac AS (SELECT gene, combo_idx, max(k) AS k, count(*) FILTER (is_ccs) AS true_n, count(*) FILTER (ctrl_conv) AS ctrl_n, count(*) FILTER (score >= 4) AS cs_n FROM af GROUP BY gene, combo_idx)"""
+
+
+def _ancestral_counts(s, d, unambiguous: bool):
+    at = sitecount.ancestral_pair_sites(A.alignment(s, d), A.combos(s), tree.tree_program(A.species_tree(s)), A.OUTGROUP)
+    return sitecount.site_counts(sitecount.flag_sites(at, states="states", unambiguous=unambiguous))
+
+
+def _ancestral(name: str, unambiguous: bool) -> None:
+    @query(name, f"{_ancestral_sql(unambiguous)} SELECT gene, combo_idx, k, true_n, ctrl_n, cs_n FROM ac")
+    def run(s, d):
+        return _ancestral_counts(s, d, unambiguous)
+
+
+_ancestral("F11_ancestral_site_counts", False)
+_ancestral("F11_ancestral_unambiguous", True)
+
+
+@query("T8_ancestral_sets", f"WITH {A.ALN}, {A.COMBO}, {A.SPECIES_SETS} SELECT gene, string_agg(CASE WHEN mask = 0 THEN '?' ELSE (CASE WHEN mask & 1 > 0 THEN 'A' ELSE '' END) || (CASE WHEN mask & 4 > 0 THEN 'C' ELSE '' END) || (CASE WHEN mask & 8 > 0 THEN 'D' ELSE '' END) END, '/' ORDER BY pos) AS sets FROM told GROUP BY gene")
+def t8_sets(s, d):
+    """Sets of the ancestor by position, for each gene that has one."""
+    analysis = sorted({x for line in A.COMBOS for x in line})
+    g = tree.ancestral_states(sites.gene_table(A.alignment(s, d)), tree.tree_program(A.species_tree(s)), analysis).filter("skip_reason IS NULL")
+    text = F.transform("states", lambda x: F.when(F.size(x) == 0, "?").otherwise(F.array_join(x, "")))
+    return g.select("gene", F.array_join(text, "/").alias("sets"))
+
+
+@query("V9_A9_ancestral_report", f"""{_ancestral_sql(False)}, g AS (SELECT gene, round(avg(true_n), 6) AS avg_true, round(avg(ctrl_n), 6) AS avg_control, max(cs_n) AS cs_sites_ge_4 FROM ac GROUP BY gene),
+sk AS (SELECT x.gene, CASE WHEN t.gene IS NULL THEN 'no analysis species in tree and alignment' ELSE 'no species outside the ancestor''s clade' END AS skip_reason
+  FROM (SELECT DISTINCT gene FROM aln) x LEFT JOIN ancestor t USING (gene) LEFT JOIN outer_species o USING (gene) WHERE t.gene IS NULL OR o.n = 0)
+SELECT gene, avg_true, avg_control, cs_sites_ge_4, NULL::VARCHAR AS skip_reason FROM g UNION ALL SELECT gene, 0, 0, 0, skip_reason FROM sk""")
+def v9_report(s, d):
+    """The report by gene; genes without an ancestor, or with no species outside its clade, are zero rows with a reason."""
+    aln, program = A.alignment(s, d), tree.tree_program(A.species_tree(s))
+    report = sitecount.gene_site_counts(_ancestral_counts(s, d, False)).select("gene", "avg_true", "avg_control", "cs_sites_ge_4")
+    return sitecount.with_skipped(report, sitecount.skipped_genes(aln, A.combos(s), program))
+
+
 def _w2(metric: str, value: str) -> None:
     sql = f"""WITH {A.SITE}, v AS (SELECT gene, combo_idx, {value} AS v FROM counts),
     r AS (SELECT *, rank() OVER (PARTITION BY combo_idx ORDER BY v DESC) AS r, count(*) OVER (PARTITION BY combo_idx) AS n FROM v)
