@@ -1,4 +1,5 @@
-"""Ranks with ties, as joins on counted values: no window holds more than the distinct values."""
+"""Ranks with ties, as joins on counted values: no window holds more than a group's distinct values, and where
+all rows are one group, no more than a range of these."""
 
 from __future__ import annotations
 
@@ -6,15 +7,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import checkpointed
+
 
 def value_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """``(keys, column, ties, below, total)``: equal, smaller and all values of a group."""
     by = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("ties"))
+    if not keys:
+        return _ordered(by, column)
     before = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     return by.withColumn("below", F.coalesce(F.sum("ties").over(before), F.lit(0))).withColumn("total", F.sum("ties").over(whole))
 
 
+def _ordered(by: DataFrame, column: str) -> DataFrame:
+    """``by(column, ties)`` with ``below`` and ``total``: values are dealt by range, and a range starts where the
+    counts of those before it end; of them there are as many as partitions."""
+    ranges = checkpointed(by.repartitionByRange(column).withColumn("part", F.spark_partition_id()))
+    sizes = sorted((r["part"], r["n"]) for r in ranges.groupBy("part").agg(F.sum("ties").alias("n")).collect())  # partitions
+    total, rows = 0, []
+    for part, n in sizes:
+        rows.append((part, total))
+        total += n
+    ahead = by.sparkSession.createDataFrame(rows, "part int, ahead long")
+    before = Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranges.withColumn("inside", F.coalesce(F.sum("ties").over(before), F.lit(0))).join(F.broadcast(ahead), "part")
+    return out.select(column, "ties", (F.col("inside") + F.col("ahead")).alias("below"), F.lit(total).cast("long").alias("total"))
+
+
 def with_ranks(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """``df`` with ``avg_rank`` (ties share the mean of their ranks), ``pct_rank`` (that over the
     group's size) and ``centred_pct`` (values below plus half of the ties, over the size)."""

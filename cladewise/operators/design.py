@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def expand_combos(groups: DataFrame) -> DataFrame:
+#: Ranks that one row is exploded into at a step; pairs of a design whose subsets a long can number.
+RANKS_IN_ROW, MOST_PAIRS = 1 << 16, 62
+
+
+def dealt_ranks(rows: DataFrame, total: Column, name: str, first: int = 0, count: int | None = None) -> DataFrame:
+    """``rows`` once for each rank below ``total``, or of those from ``first`` on at most ``count``, in the column ``name``.
+
+    Ranks are dealt in blocks, and blocks over the tasks, so that neither one row nor one task holds all of a row's."""
+    end = total.cast("long") if count is None else F.least(total.cast("long"), F.lit(first + count).cast("long"))
+    of = lambda low, high, step: F.when(low < high, F.sequence(low, high - 1, F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    out, low, kept = rows.withColumn("__end", end), F.lit(first).cast("long"), list(rows.columns)
+    for step in (RANKS_IN_ROW**2, RANKS_IN_ROW):
+        out = out.withColumn("__low", F.explode(of(low, F.col("__end"), step)))
+        out = out.withColumn("__end", F.least(F.col("__end"), F.col("__low") + step))
+        low = F.col("__low")
+    return out.repartition("__low", *kept).withColumn(name, F.explode(of(low, F.col("__end"), 1))).select(*kept, name)
+
+
+def expand_combos(groups: DataFrame, first: int = 0, count: int | None = None) -> DataFrame:
     """``groups(design, line_no, members)`` -> ``(design, combo_idx, slot, pair, role, species)``.
 
     All ways to take one member of each line, the last line fastest, in mixed radix: combination
-    ``i`` takes member ``i div (product of the later lines' sizes) mod own size``. The product's rows
-    are made by a range per design, so that no line meets another in a join."""
+    ``i`` takes member ``i div (product of the later lines' sizes) mod own size``. No line meets another in a join, and
+    no row holds the product; ``first`` and ``count`` pick a range of it. More combinations than a long counts are an error."""
     lines = groups.groupBy("design").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "members"))), lambda x: x["members"]).alias("lines"))
     sizes = F.transform("lines", lambda m: F.size(m).cast("long"))
     later = lambda i: F.aggregate(F.slice(F.col("sizes"), i + 2, F.size("sizes")), F.lit(1).cast("long"), lambda a, x: a * x)
-    total = F.aggregate("sizes", F.lit(1).cast("long"), lambda a, x: a * x)
-    picked = F.transform("lines", lambda m, i: F.get(m, (F.floor(F.col("combo_idx") / later(i)) % F.size(m)).cast("int")))
+    roughly = F.aggregate("sizes", F.lit(0.0), lambda a, x: a + F.log2(x.cast("double")))
+    exact = F.aggregate("sizes", F.lit(1).cast("long"), lambda a, x: a * x)
+    total = F.when(roughly > 62, F.raise_error(F.lit("too many combinations of a design")).cast("long")).otherwise(exact)
+    picked = F.transform("lines", lambda m, i: F.get(m, (F.call_function("div", F.col("combo_idx"), later(i)) % F.size(m)).cast("int")))
     return (
-        lines.withColumn("sizes", sizes).withColumn("combo_idx", F.explode(F.sequence(F.lit(0).cast("long"), total - 1)))
+        dealt_ranks(lines.withColumn("sizes", sizes), total, "combo_idx", first, count)
         .select("design", "combo_idx", F.posexplode(picked).alias("slot", "species"))
         .withColumn("pair", F.floor(F.col("slot") / 2).cast("int"))
         .withColumn("role", F.when(F.col("slot") % 2 == 0, "convergent").otherwise("control"))
@@ -56,21 +78,48 @@ def combo_tag(combo: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, F.when(F.size("s") > 12, label).otherwise(short).alias("combo_tag"))
 
 
-def null_flips(combo: DataFrame, keys: list[str]) -> DataFrame:
+def _binomials() -> Column:
+    return F.array(*(F.array(*(F.lit(math.comb(c, j)).cast("long") for j in range(MOST_PAIRS // 2 + 1))) for c in range(MOST_PAIRS)))
+
+
+def subset_of_rank(rank: Column, n: Column, k: Column) -> Column:
+    """The ``rank``-th subset of ``k`` of ``n`` things as a mask, masks in their order as numbers: from the last
+    thing down, one is in if as many subsets as lie below all those with it are not more than what is left of the rank."""
+    choose = lambda c, j: F.get(F.get(_binomials(), c), j)
+    zero = F.struct(rank.cast("long").alias("r"), k.cast("int").alias("j"), F.lit(0).cast("long").alias("mask"))
+
+    def step(a: Column, c: Column) -> Column:
+        below = choose(c, a["j"])
+        takes = (a["j"] > 0) & (a["r"] >= below)
+        return F.struct(
+            F.when(takes, a["r"] - below).otherwise(a["r"]).alias("r"), F.when(takes, a["j"] - 1).otherwise(a["j"]).alias("j"),
+            F.when(takes, a["mask"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c))).otherwise(a["mask"]).alias("mask"),
+        )
+
+    return F.aggregate(F.sequence(n.cast("int") - 1, F.lit(0), F.lit(-1)), zero, step, lambda a: a["mask"])
+
+
+def flip_mask(rank: Column, n: Column, even: Column) -> Column:
+    """The ``rank``-th half of ``n`` pairs as a mask: those with pair 0 for an ``even`` design, those without for others."""
+    rest = subset_of_rank(rank, n - 1, (n / 2).cast("int") - even.cast("int"))
+    return F.call_function("shiftleft", rest, F.lit(1)) + even.cast("long")
+
+
+def null_flips(combo: DataFrame, keys: list[str], first: int = 0, count: int | None = None) -> DataFrame:
     """Designs with half of their pairs swapped: ``(keys, flip, slot, species)``, ``flip`` from 0.
 
     Of each choice and its mirror image one remains: those with pair 0 swapped for even designs,
-    those without for odd ones. Designs with an odd number of pairs have none."""
+    those without for odd ones. Designs with an odd number of pairs have none. A flip is made from its rank, so
+    ``first`` and ``count`` pick a range of them; more than ``MOST_PAIRS`` pairs are an error."""
     ordered = F.array_sort(F.collect_list(F.struct("slot", "species")))
     g = combo.groupBy(*keys).agg(F.transform(ordered, lambda x: x["species"]).alias("s"))
     g = g.withColumn("n", (F.size("s") / 2).cast("int")).filter((F.col("n") % 2 == 0) & (F.size("s") % 2 == 0) & (F.col("n") > 0))
-    masks = g.withColumn("m", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), "n").cast("int") - 1)))
-    want = F.when(F.col("combo_idx") % 2 == 0, 1).otherwise(0)
-    kept = masks.filter((F.bit_count("m") * 2 == F.col("n")) & (F.col("m").bitwiseAND(F.lit(1)) == want))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("m")) - 1
-    bit = lambda i: F.floor(F.col("m") / F.pow(F.lit(2), F.floor(i / 2))).cast("int") % 2
+    halves = F.get(F.get(_binomials(), F.col("n") - 1), (F.col("n") / 2).cast("int"))
+    total = F.when(F.col("n") > MOST_PAIRS, F.raise_error(F.lit(f"more than {MOST_PAIRS} pairs in a design")).cast("long")).otherwise(halves)
+    ranked = dealt_ranks(g, total, "flip", first, count).withColumn("m", flip_mask(F.col("flip"), F.col("n"), F.col("combo_idx") % 2 == 0))
+    bit = lambda i: F.call_function("shiftright", F.col("m"), F.floor(i / 2).cast("int")).bitwiseAND(F.lit(1).cast("long"))
     swapped = F.transform("s", lambda x, i: F.when(bit(i) == 1, F.get("s", i + 1 - 2 * (i % 2))).otherwise(x))
-    return kept.withColumn("flip", rank).select(*keys, "flip", F.posexplode(swapped).alias("slot", "species"))
+    return ranked.select(*keys, "flip", F.posexplode(swapped).alias("slot", "species"))
 
 
 def arithmetic_hash(*parts: Column) -> Column:

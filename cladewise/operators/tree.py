@@ -40,17 +40,22 @@ def leaves(nodes: DataFrame) -> DataFrame:
 def mrca(anc: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """``sets(set_id, tree_id, node_id)`` -> ``(set_id, mrca)``: the deepest common ancestor; nodes that
     the tree lacks are ignored."""
+    return mrca_of_tree(anc, sets, nodes).drop("tree_id")
+
+
+def mrca_of_tree(anc: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """As :func:`mrca`, with ``tree_id``; a set has one for each tree that it has nodes of."""
     found = sets.distinct().join(anc, ["tree_id", "node_id"]).join(nodes.select("tree_id", F.col("node_id").alias("anc_id"), "depth"), ["tree_id", "anc_id"])
-    size = sets.distinct().join(nodes.select("tree_id", "node_id"), ["tree_id", "node_id"]).groupBy("set_id").agg(F.count("*").alias("size"))
-    per = found.groupBy("set_id", "anc_id").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
-    return per.join(size, "set_id").filter("n = size").groupBy("set_id").agg(F.max_by("anc_id", F.struct("depth", "anc_id")).alias("mrca"))
+    size = sets.distinct().join(nodes.select("tree_id", "node_id"), ["tree_id", "node_id"]).groupBy("set_id", "tree_id").agg(F.count("*").alias("size"))
+    per = found.groupBy("set_id", "tree_id", "anc_id").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
+    return per.join(size, ["set_id", "tree_id"]).filter("n = size").groupBy("set_id", "tree_id").agg(F.max_by("anc_id", F.struct("depth", "anc_id")).alias("mrca"))
 
 
 def mrca_is_root(anc: DataFrame, nodes: DataFrame, mrcas: DataFrame, present: DataFrame) -> DataFrame:
-    """``(set_id, is_root)``: all ``present`` leaves of the tree are below the set's ancestor."""
+    """``mrcas(set_id, tree_id, mrca)`` -> ``(set_id, is_root)``: all ``present`` leaves of the tree are below the set's ancestor."""
     tips = present.join(nodes.select("tree_id", "node_id"), ["tree_id", "node_id"])
     total = tips.groupBy("tree_id").agg(F.count("*").alias("total"))
-    below = mrcas.join(anc, F.col("mrca") == F.col("anc_id")).join(tips, ["tree_id", "node_id"]).groupBy("set_id", "tree_id").agg(F.count("*").alias("below"))
+    below = mrcas.join(anc.withColumnRenamed("anc_id", "mrca"), ["tree_id", "mrca"]).join(tips, ["tree_id", "node_id"]).groupBy("set_id", "tree_id").agg(F.count("*").alias("below"))
     return below.join(total, "tree_id").select("set_id", (F.col("below") == F.col("total")).alias("is_root"))
 
 
@@ -83,27 +88,40 @@ def residue_bit(residue):
     return F.when((code >= 65) & (code <= 90), F.pow(F.lit(2.0), code - 65).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
+#: Levels of a tree after which what they hand on is written: plans stay short, and no level is made again for all above it.
+LEVELS_IN_PLAN = 4
+
+
+def _levels(nodes: DataFrame) -> list[int]:
+    return sorted(r["depth"] for r in nodes.select("depth").distinct().collect())  # levels of the tree
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def fitch_down(leaf_sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """``leaf_sets(site, tree_id, node_id, mask)`` -> the same for all nodes: bits of possible residues.
 
     From the deepest level up; a parent has what all its known children share, else what any has.
     Leaves that are missing are empty sets and change nothing. One group-by a level."""
-    depths = [r["depth"] for r in nodes.select("depth").distinct().collect()]  # levels of the tree
     place = nodes.select("tree_id", "node_id", "parent_id", "depth")
     level = leaf_sets.select("site", "tree_id", "node_id", "mask").join(place, ["tree_id", "node_id"])
     done, carried = [], None
-    for depth in sorted(depths, reverse=True):
+    for k, depth in enumerate(reversed(_levels(nodes)), 1):
         own = level.filter(F.col("depth") == depth)
-        here = own if carried is None else own.unionByName(carried.join(place, ["tree_id", "node_id"]))
+        here = own if carried is None else own.unionByName(carried.join(place.filter(F.col("depth") == depth), ["tree_id", "node_id"]))
+        if k % LEVELS_IN_PLAN == 0:
+            here = checkpointed(here)
         done.append(here.select("site", "tree_id", "node_id", "mask"))
         up = here.filter("parent_id IS NOT NULL").groupBy("site", "tree_id", F.col("parent_id").alias("node_id")).agg(
             F.bit_and(F.when(F.col("mask") != 0, F.col("mask"))).alias("all"), F.bit_or("mask").alias("any")
         )
         carried = up.select("site", "tree_id", "node_id", F.when(F.coalesce("all", F.lit(0)) != 0, F.col("all")).otherwise(F.col("any")).alias("mask"))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    return _union(done)
 
 
 def fitch_up(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -112,29 +130,41 @@ def fitch_up(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     least = lambda m: F.char(F.lit(65) + F.floor(F.log2(m.bitwiseAND(-m).cast("double")) + 0.5))
     pick = F.when(F.col("mask") == 0, F.lit("?")).otherwise(least(F.col("mask")))
     s = sets.join(nodes.select("tree_id", "node_id", "parent_id", "depth"), ["tree_id", "node_id"])
-    depths = sorted(r["depth"] for r in nodes.select("depth").distinct().collect())
-    now = s.filter(F.col("depth") == depths[0]).select("site", "tree_id", "node_id", pick.alias("state"))
-    out = now
-    for depth in depths[1:]:
+    first, *rest = _levels(nodes)
+    if len(rest) >= LEVELS_IN_PLAN:
+        s = checkpointed(s)
+    now = s.filter(F.col("depth") == first).select("site", "tree_id", "node_id", pick.alias("state"))
+    done = [now]
+    for k, depth in enumerate(rest, 1):
         parent = now.select("site", "tree_id", F.col("node_id").alias("parent_id"), F.col("state").alias("above"))
         child = s.filter(F.col("depth") == depth).join(parent, ["site", "tree_id", "parent_id"], "left")
         keeps = (residue_bit(F.col("above")) != 0) & (F.col("mask").bitwiseAND(residue_bit(F.col("above"))) != 0)
         now = child.select("site", "tree_id", "node_id", F.when(F.coalesce(keeps, F.lit(False)), F.col("above")).otherwise(pick).alias("state"))
-        out = out.unionByName(now)
-    return out
+        if k % LEVELS_IN_PLAN == 0:
+            now = checkpointed(now)
+        done.append(now)
+    return _union(done)
 
 
 def leaf_layout(nodes: DataFrame, step: int = 30) -> DataFrame:
-    """``(tree_id, node_id, y)``: leaves ``step`` apart in tree order, inner nodes at their children's mean."""
-    tips = leaves(nodes)
+    """``(tree_id, node_id, y)``: leaves ``step`` apart in tree order, inner nodes at their children's mean.
+
+    A node's children are all one level below it, so a level is made of its leaves and of the level below alone."""
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy("ord", "node_id")) - 1
-    now = tips.select("tree_id", "node_id", (rank * step).cast("double").alias("y"))
-    place = nodes.select("tree_id", "node_id", "parent_id", "depth")
-    out = now
-    for depth in sorted((r["depth"] for r in nodes.select("depth").distinct().collect()), reverse=True):
-        up = out.join(place.filter(F.col("depth") == depth), ["tree_id", "node_id"]).filter("parent_id IS NOT NULL")
-        out = out.unionByName(up.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.avg("y").alias("y")))
-    return out.select("tree_id", "node_id", F.round("y", 6).alias("y"))
+    tips = leaves(nodes).select("tree_id", "node_id", "parent_id", "depth", (rank * step).cast("double").alias("y"))
+    place, levels = nodes.select("tree_id", "node_id", "parent_id", "depth"), _levels(nodes)
+    if len(levels) > LEVELS_IN_PLAN:
+        tips = checkpointed(tips)
+    done, up = [], None
+    for k, depth in enumerate(reversed(levels), 1):
+        here = tips.filter(F.col("depth") == depth)
+        if up is not None:
+            here = here.unionByName(up.join(place.filter(F.col("depth") == depth), ["tree_id", "node_id"]))
+        if k % LEVELS_IN_PLAN == 0:
+            here = checkpointed(here)
+        done.append(here.select("tree_id", "node_id", F.round("y", 6).alias("y")))
+        up = here.filter("parent_id IS NOT NULL").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.avg("y").alias("y"))
+    return _union(done)
 
 
 def drop_nested(pairs: DataFrame, anc: DataFrame) -> DataFrame:

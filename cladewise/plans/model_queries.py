@@ -75,6 +75,18 @@ def g5(s, d):
     return design.null_flips(_combos(s, d), ["design", "combo_idx"]).withColumn("flip", F.col("flip").cast("int"))
 
 
+@query("G5_flip_of_rank", """WITH RECURSIVE pascal AS (SELECT 0 AS n, [1::BIGINT] AS row UNION ALL SELECT n + 1, list_transform(range(n + 2), lambda i: (CASE WHEN i > 0 THEN row[i] ELSE 0 END) + coalesce(row[i + 1], 0)) FROM pascal WHERE n < 40),
+a AS (SELECT p_partkey AS key, p_partkey * 1000003 * 977 % 68923264410 AS r FROM part),
+st AS (SELECT key, r, 20 - (key % 2)::INT AS j, 0::BIGINT AS m, 38 AS c FROM a UNION ALL SELECT key, CASE WHEN t THEN r - b ELSE r END, CASE WHEN t THEN j - 1 ELSE j END, CASE WHEN t THEN m + (1::BIGINT << c) ELSE m END, c - 1
+  FROM (SELECT st.*, coalesce(row[j + 1], 0) AS b, j > 0 AND r >= coalesce(row[j + 1], 0) AS t FROM st JOIN pascal ON pascal.n = c WHERE c >= 0))
+SELECT key, m * 2 + key % 2 AS mask, bit_count(m * 2 + key % 2)::INT AS swapped FROM st WHERE c < 0""")
+def g5_rank(s, d):
+    """Halves of forty pairs by their rank; there are 68,923,264,410 for a design."""
+    key = F.col("p_partkey")
+    mask = design.flip_mask(key * 1000003 * 977 % 68923264410, F.lit(40), key % 2 == 1)
+    return A.table(s, d, "part").select(key.alias("key"), mask.alias("mask")).withColumn("swapped", F.bit_count("mask").cast("int"))
+
+
 def _bounds(s, d):
     b = A.table(s, d, "part").select(F.col("p_partkey").alias("key"), (F.col("p_partkey") % 9 + 1).alias("k"))
     return b.select("key", (F.col("k") / 20).alias("low1"), (F.col("k") / 20 + 0.3).alias("high1"), F.lit(0.1).alias("low2"), (F.col("k") / 10 + 0.05).alias("high2"))

@@ -38,13 +38,8 @@ def t2(s, d):
 @query("T3_mrca_is_root", f"""WITH {_MRCA}, tot AS (SELECT tree_id, count(*) AS total FROM tree_node WHERE depth = 4 GROUP BY ALL)
 SELECT set_id, (SELECT count(*) FROM anc a WHERE a.tree_id = m.tree_id AND a.anc_id = m.mrca AND a.node_id >= 10000) = total AS is_root FROM mrca m JOIN tot USING (tree_id)""")
 def t3(s, d):
-    anc, nodes = _anc(s, d), A.trees(s, d)
-    sets = _sets(s, d)
-    m = tree.mrca(anc, sets, nodes).join(sets.select("set_id", "tree_id").distinct(), "set_id")
-    tips = sets.select("tree_id", "node_id").distinct()
-    keyed = m.select("set_id", "tree_id", (F.col("tree_id") * 10_000_000 + F.col("mrca")).alias("mrca"))
-    wide = lambda df, *cols: df.withColumns({c: F.col("tree_id") * 10_000_000 + F.col(c) for c in cols})
-    return tree.mrca_is_root(wide(anc, "anc_id", "node_id"), wide(nodes, "node_id"), keyed.select("set_id", "mrca"), wide(tips, "node_id"))
+    anc, nodes, sets = _anc(s, d), A.trees(s, d), _sets(s, d)
+    return tree.mrca_is_root(anc, nodes, tree.mrca_of_tree(anc, sets, nodes), sets.select("tree_id", "node_id").distinct())
 
 
 @query("T4_prune", f"""WITH {A.ANC}, kp AS (SELECT DISTINCT tree_id, anc_id AS node_id FROM anc WHERE node_id >= 10000 AND node_id % 3 = 0),
@@ -147,6 +142,61 @@ def t9(s, d):
     return tree.leaf_layout(A.trees(s, d))
 
 
+# ---- deep trees: a chain of forty inner nodes with a leaf at each ----
+
+_DEEP = 40
+
+
+def _deep(tail: str) -> str:
+    return f"""WITH dn AS (SELECT c_custkey // {_DEEP} AS tree_id, c_custkey % {_DEEP} AS node_id, CASE WHEN c_custkey % {_DEEP} > 0 THEN c_custkey % {_DEEP} - 1 END AS parent_id, (c_custkey % {_DEEP})::INT AS depth FROM customer WHERE c_custkey >= {_DEEP}
+  UNION ALL SELECT c_custkey // {_DEEP}, c_custkey % {_DEEP} + 100, c_custkey % {_DEEP}, (c_custkey % {_DEEP})::INT + 1 FROM customer WHERE c_custkey >= {_DEEP}),
+dl AS (SELECT CAST(site AS INT) AS site, c_custkey // {_DEEP} AS tree_id, c_custkey % {_DEEP} + 100 AS node_id, c_custkey % {_DEEP} AS spot, [1, 1, 4, 8, 0][(c_custkey // (site + 1) % 5)::INT + 1]::BIGINT AS mask
+  FROM customer, (SELECT unnest(range(6)) AS site) WHERE c_custkey >= {_DEEP}), {tail}"""
+
+
+_DEEP_SETS = f"d{_DEEP} AS (SELECT site, tree_id, {_DEEP}::BIGINT AS node_id, 0::BIGINT AS mask FROM dl WHERE false), " + ", ".join(
+    f"""d{k} AS (SELECT site, tree_id, {k}::BIGINT AS node_id, CASE WHEN coalesce(bit_and(mask) FILTER (mask <> 0), 0) <> 0 THEN bit_and(mask) FILTER (mask <> 0) ELSE bit_or(mask) END AS mask
+  FROM (SELECT site, tree_id, mask FROM d{k + 1} UNION ALL SELECT site, tree_id, mask FROM dl WHERE spot = {k}) GROUP BY site, tree_id)""" for k in reversed(range(_DEEP))
+)
+_DEEP_Y = f"tips AS (SELECT tree_id, spot, (row_number() OVER (PARTITION BY tree_id ORDER BY node_id) - 1) * 30.0::DOUBLE AS y FROM dl WHERE site = 0), y{_DEEP} AS (SELECT tree_id, y FROM tips WHERE false), " + ", ".join(
+    f"y{k} AS (SELECT tree_id, avg(y) AS y FROM (SELECT * FROM y{k + 1} UNION ALL SELECT tree_id, y FROM tips WHERE spot = {k}) GROUP BY tree_id)" for k in reversed(range(_DEEP))
+)
+
+
+def _deep_trees(s, d):
+    c = A.table(s, d, "customer").filter(F.col("c_custkey") >= _DEEP)
+    t, k = F.floor(F.col("c_custkey") / _DEEP).alias("tree_id"), F.col("c_custkey") % _DEEP
+    inner = c.select(t, k.alias("node_id"), F.when(k > 0, k - 1).alias("parent_id"), k.cast("int").alias("depth"))
+    return inner.unionByName(c.select(t, (k + 100).alias("node_id"), k.alias("parent_id"), (k + 1).cast("int").alias("depth"))).withColumn("ord", F.col("node_id").cast("int"))
+
+
+def _deep_leaves(s, d):
+    c = A.table(s, d, "customer").filter(F.col("c_custkey") >= _DEEP).withColumn("site", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    kind = (F.floor(F.col("c_custkey") / (F.col("site") + 1)) % 5).cast("int")
+    return c.select("site", F.floor(F.col("c_custkey") / _DEEP).alias("tree_id"), (F.col("c_custkey") % _DEEP + 100).alias("node_id"), F.get(F.array(*(F.lit(x).cast("long") for x in (1, 1, 4, 8, 0))), kind).alias("mask"))
+
+
+_INNER = " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(_DEEP))
+
+
+@query("T6_fitch_down_deep", _deep(f"{_DEEP_SETS} SELECT site, tree_id, node_id, mask FROM dl UNION ALL {_INNER}"))
+def t6_deep(s, d):
+    return tree.fitch_down(_deep_leaves(s, d), _deep_trees(s, d))
+
+
+@query("T9_leaf_layout_deep", _deep(f"{_DEEP_Y} SELECT tree_id, spot + 100 AS node_id, y FROM tips UNION ALL " + " UNION ALL ".join(f"SELECT tree_id, {k}, round(y, 6) FROM y{k}" for k in range(_DEEP))))
+def t9_deep(s, d):
+    return tree.leaf_layout(_deep_trees(s, d))
+
+
+_DEEP_UP = f"fs AS ({_INNER} UNION ALL SELECT site, tree_id, node_id, mask FROM dl), up AS (SELECT f.site, f.tree_id, f.node_id, {_PICK} AS state FROM fs f WHERE node_id = 0 UNION ALL SELECT f.site, f.tree_id, f.node_id, CASE WHEN p.state <> '?' AND f.mask & (1::BIGINT << (ascii(p.state) - 65)) <> 0 THEN p.state ELSE {_PICK} END FROM up p JOIN dn t ON t.tree_id = p.tree_id AND t.parent_id = p.node_id JOIN fs f ON f.site = p.site AND f.tree_id = t.tree_id AND f.node_id = t.node_id)"
+
+
+@query("T7_fitch_up_deep", _deep(f"{_DEEP_SETS}, {_DEEP_UP} SELECT site, tree_id, node_id, state FROM up").replace("WITH dn", "WITH RECURSIVE dn", 1))
+def t7_deep(s, d):
+    return tree.fitch_up(checkpointed(tree.fitch_down(_deep_leaves(s, d), _deep_trees(s, d))), _deep_trees(s, d))
+
+
 _FIRST = f"{_CAND}, pr AS (SELECT tree_id, mrca AS pair_id, mrca, min(dist) AS dist FROM cand WHERE pct > 50 GROUP BY ALL)"
 
 

@@ -314,3 +314,39 @@ def test_ambiguous_ancestor_is_not_counted_and_an_outgroup_resolves_it(spark):
         assert [int(r["is_ccs"]) for r in sitecount.flag_sites(at, states="states", unambiguous=unambiguous).collect()] == [expected]
     whole = sitecount.skipped_genes(aln(spark, dict(rows[:4])), c, tree.tree_program(tree_of(spark, "((A,B),(C,D));")))
     assert whole.count() == 1
+
+
+def test_forty_pairs_flip_by_rank(spark):
+    """A range of the ranks of forty pairs; for six pairs all ranks are the subsets in order."""
+    forty = combo(spark, [f"s{i}" for i in range(80)])
+    some = design.null_flips(forty, ["combo_idx"], 68_923_264_400, 100).filter("slot % 2 = 0").collect()
+    assert {r["flip"] for r in some} == set(range(68_923_264_400, 68_923_264_410))
+    for flip in {r["flip"] for r in some}:
+        swapped = [r["slot"] // 2 for r in some if r["flip"] == flip and int(r["species"][1:]) % 2]
+        assert len(swapped) == 20 and 0 in swapped
+    six = design.null_flips(combo(spark, [f"s{i}" for i in range(12)]), ["combo_idx"]).filter("slot % 2 = 0").collect()
+    masks = {}
+    for r in six:
+        masks[r["flip"]] = masks.get(r["flip"], 0) | (int(r["species"][1:]) % 2) << r["slot"] // 2
+    assert [masks[k] for k in sorted(masks)] == [m for m in range(64) if m.bit_count() == 3 and m & 1]
+    with pytest.raises(Exception, match="more than 62 pairs"):
+        design.null_flips(combo(spark, [f"s{i}" for i in range(256)]), ["combo_idx"], 0, 5).collect()
+
+
+def test_a_range_of_a_large_product(spark):
+    groups = spark.createDataFrame([(0, k, ["a", "b", "c"]) for k in range(36)], "design int, line_no int, members array<string>")
+    last = 3**36 - 1
+    got = design.expand_combos(groups, last - 1, 50).collect()
+    assert {r["combo_idx"] for r in got} == {last - 1, last} and "".join(r["species"] for r in sorted(got, key=lambda r: (r["combo_idx"], r["slot"]))) == "c" * 35 + "b" + "c" * 36
+    with pytest.raises(Exception, match="too many combinations"):
+        design.expand_combos(groups.unionByName(groups.withColumn("line_no", F.col("line_no") + 36)), 0, 5).collect()
+
+
+def test_ranks_of_all_rows_hold_no_window_of_all(spark):
+    from cladewise.functions.ranks import value_counts
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 997).alias("v"))
+    got = {r["v"]: (r["ties"], r["below"], r["total"]) for r in value_counts(df, [], "v").collect()}
+    values = sorted(i * 7919 % 997 for i in range(5000))
+    assert got == {v: (values.count(v), values.index(v), 5000) for v in set(values)}
+    assert value_counts(df.limit(0), [], "v").count() == 0
