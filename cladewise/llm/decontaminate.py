@@ -11,6 +11,11 @@ Walks start at every word of a text that may be inside an item: the words about
 of the items' words as an item with all its edits has. An item has walks that start all over it, so
 that edits wherever they bunch leave some of them alone, and each of them is repeated with other bits and
 steps until the recall is near 1 (see ``REPEATS``).
+
+Items that begin alike ("which of the following ...") share keys. Where many do, a place in a text meets only
+those of them of which it has enough rare words: as no more than its edits of an item's words may be missing, of
+so many and ``ASKED`` more at least ``ASKED`` are there, and the rarest among the key's items are asked for. No
+item is lost by that.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ REPEATS = 6
 SAMPLED, STEPS = 3, (1, 2, 4, 8, 12, 18, 28, 42)
 #: An item's walks start about so often, and at most so many words apart; they go over this share of its words.
 STARTS, APART, SHARE = 8, 7, 0.35
+#: Walks with one key from which on they are met by their items' rarest words; how many of these must be near.
+SHARED, ASKED = 64, 4
+#: Characters of items searched for at once, beside ITEMS_AT_ONCE.
+ITEM_CHARS_AT_ONCE = 20_000_000
 #: Items with fewer words than this have none; items searched for at once; words read at once; hits compared at once.
 LEAST_WORDS, ITEMS_AT_ONCE, WORDS_AT_ONCE, HITS_AT_ONCE = 1, 20_000, 1 << 16, 1 << 18
 
@@ -125,9 +134,9 @@ class Searcher:
                         yield x, code[x], good[x]
             at += ((bit.take(at, mode="clip") >> np.uint64(step)) & np.uint64(1)).view(np.int64)
 
-    def _tables(self, r: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _tables(self, r: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, tuple]]:
         """By number of steps: a table that says, with chance errors, whether any walk has a key, the
-        keys in order, and the numbers of their walks."""
+        keys in order, the numbers of their walks, and what :meth:`_crowded` makes of keys with many."""
         ends = np.cumsum(self.sizes + STEPS[-1])
         whole = np.zeros(int(ends[-1]) if len(ends) else 1, np.int32)
         for w, end in zip(self.coded, ends.tolist(), strict=True):
@@ -140,9 +149,65 @@ class Searcher:
                 room = 1 << max(12, (16 * len(on)).bit_length())
                 may = np.zeros(room, bool)
                 may[key[on] & np.uint64(room - 1)] = True
-                out[x] = may, key[on], on
+                out[x] = may, key[on], on, self._crowded(x, key[on], on)
         return out
 
+    def _crowded(self, x: int, keys: np.ndarray, walks: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For keys that more than ``SHARED`` walks have: their first places in ``keys``, how many words before and
+        after a place can be an item's, and (key, word) codes in order with the walks whose items have the word
+        among their rarest, how often it is among these, and how many of these must be there."""
+        first, times = np.unique(keys, return_index=True, return_counts=True)[1:]
+        first, times = first[times > SHARED], times[times > SHARED]
+        span, codes, found, often, least = np.zeros((len(first), 2), np.int64), *([np.zeros(0, np.int64)] for _ in range(4))
+        for k, (a, n) in enumerate(zip(first.tolist(), times.tolist(), strict=True)):
+            walk = walks[a : a + n]
+            item, at = self.starts[x][0][walk], self.starts[x][1][walk]
+            reach = 2 * self.most[item]
+            span[k] = (at + reach).max(), (self.sizes[item] - at + reach).max()
+            own, of = np.unique(item, return_inverse=True)
+            word = np.concatenate([self.coded[i] for i in own.tolist()]).astype(np.int64)
+            owner = np.repeat(np.arange(len(own)), self.sizes[own])
+            code, place = np.unique(owner * (len(self.number) + 1) + word, return_inverse=True)
+            common = np.bincount(code % (len(self.number) + 1), minlength=len(self.number) + 1)[word]
+            order = np.lexsort((word, common, owner))
+            rank = np.arange(len(order)) - np.repeat(np.cumsum(self.sizes[own]) - self.sizes[own], self.sizes[own])
+            asked, times_in = np.unique(code[place[order[rank < self.most[own][owner[order]] + ASKED]]], return_counts=True)
+            owner, word = np.divmod(asked, len(self.number) + 1)
+            size = np.bincount(owner, minlength=len(own))
+            ends = np.cumsum(size)
+            per = size[of]
+            at_word = np.repeat(ends[of] - per - np.cumsum(per) + per, per) + np.arange(int(per.sum()))
+            codes.append(k * (len(self.number) + 1) + word[at_word])
+            found.append(np.repeat(walk, per))
+            often.append(times_in[at_word])
+            least.append(np.repeat(np.minimum(ASKED, self.sizes[item] - self.most[item]), per))
+        order = np.argsort(np.concatenate(codes), kind="stable")
+        return first, span, *(np.concatenate(x)[order] for x in (codes, found, often, least))
+
+    def _met(self, crowded: tuple, key_place: np.ndarray, spot: np.ndarray, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and walks of crowded keys that have enough of the words asked for near the place."""
+        first, span, codes, walks, often, least = crowded
+        k = np.searchsorted(first, key_place)
+        size = span[k].sum(1)
+        total = np.cumsum(size)
+        start = 0
+        while start < len(spot):
+            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + HITS_AT_ONCE)))
+            n = size[start:stop]
+            which = np.repeat(np.arange(start, stop), n)
+            at = np.repeat(spot[start:stop] - span[k[start:stop], 0] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            inside = (at >= 0) & (at < len(w))
+            which, word = which[inside], w[at[inside]].astype(np.int64)
+            seen = np.unique(np.stack((which[word > 0], k[which[word > 0]] * (len(self.number) + 1) + word[word > 0]), 1), axis=0)
+            low = np.searchsorted(codes, seen[:, 1])
+            times = np.searchsorted(codes, seen[:, 1], side="right") - low
+            hit = np.repeat(low - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+            both, of = np.unique(np.repeat(seen[:, 0], times) * (int(walks.max(initial=0)) + 1) + walks[hit], return_inverse=True)
+            enough = np.bincount(of, often[hit], len(both)) >= np.bincount(of, least[hit], len(both)) / np.maximum(np.bincount(of, minlength=len(both)), 1)
+            at, walk = np.divmod(both[enough], int(walks.max(initial=0)) + 1)
+            yield spot[at], walk
+            start = stop
+
     def _likely(self, w: np.ndarray) -> np.ndarray:
         """Places that may be inside an item, by the number of items' words around them."""
         count = np.concatenate(([0], np.cumsum(w > 0)))
@@ -162,20 +227,26 @@ class Searcher:
         padded = np.concatenate((w, np.zeros(STEPS[-1] + 1, np.int32)))
         for r in range(len(self.tables)) if len(start) else ():
             for x, key, good in self._keys(padded, start, r):
-                may, keys, walks = self.tables[r][x]
+                may, keys, walks, crowded = self.tables[r][x]
                 on = np.flatnonzero(good & may[key & np.uint64(len(may) - 1)])
                 low = np.searchsorted(keys, key[on])
                 times = np.searchsorted(keys, key[on], side="right") - low
-                on, low, times = on[times > 0], low[times > 0], times[times > 0]
+                many = times > SHARED
+                for spot, walk in self._met(crowded, low[many], start[on[many]], w) if many.any() else ():
+                    yield from self._compared(x, walk, spot, w)
+                few = (times > 0) & ~many
+                on, low, times = on[few], low[few], times[few]
                 total = np.cumsum(times)
                 for first in range(0, int(total[-1]) if len(on) else 0, HITS_AT_ONCE):
                     rank = np.arange(first, min(first + HITS_AT_ONCE, int(total[-1])))
                     which = np.searchsorted(total, rank, side="right")
-                    walk = walks[low[which] + rank - (total - times)[which]]
-                    spot, item = start[on[which]], self.starts[x][0][walk]
-                    place = spot - self.starts[x][1][walk]
-                    keep = self._alike(item, place, w)
-                    yield item[keep], place[keep], spot[keep]
+                    yield from self._compared(x, walks[low[which] + rank - (total - times)[which]], start[on[which]], w)
+
+    def _compared(self, x: int, walk: np.ndarray, spot: np.ndarray, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        item = self.starts[x][0][walk]
+        place = spot - self.starts[x][1][walk]
+        keep = self._alike(item, place, w)
+        yield item[keep], place[keep], spot[keep]
 
     def _alike(self, item: np.ndarray, place: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Whether the words that an item would be on are its own but for its edits. An edit takes one
@@ -240,7 +311,8 @@ class Searcher:
 def _searchers(benchmark: DataFrame, tolerance: float) -> Iterator[Searcher]:
     """Searchers of blocks of the benchmark, of about ``ITEMS_AT_ONCE`` items each."""
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    size = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // ITEMS_AT_ONCE), -(-(size["chars"] or 0) // ITEM_CHARS_AT_ONCE))
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         found = {(r["item_id"], tuple(words(r["text"]))) for r in part.collect()}

@@ -106,3 +106,47 @@ def test_null_ids_and_shared_ids(spark):
     found = sorted(((r["doc_id"] or -1), -1 if r["item_id"] is None else r["item_id"]) for r in dc.matches(docs, bench).collect())
     assert found == [(-1, -1), (-1, 0), (5, -1), (5, -1), (5, 0), (5, 0)]
     assert sorted(r["__x"] for r in dc.drop_contaminated(docs, bench).collect()) == ["b", "d"]
+
+
+def templated(rng, n, words=16, template=9):
+    head = [f"t{k}" for k in range(template)]
+    return head, [head + [f"w{rng.randrange(3000)}" for _ in range(words)] for _ in range(n)]
+
+
+def test_items_with_a_common_beginning_are_found_exactly(spark, monkeypatch):
+    """Against all edit distances; templates are shared by many items, in every text, alone and with an item's rest."""
+    monkeypatch.setattr(dc, "SHARED", 8)
+    rng = random.Random(21)
+    items = [x for words, template in ((16, 9), (4, 9), (6, 20), (3, 5)) for x in templated(rng, 60, words, template)[1]]
+    items += [[*"what is the sum of".split(), f"n{i}", "and", f"n{j}"] for i in range(12) for j in range(12)]
+    rows = []
+    for d in range(150):
+        text = []
+        for _ in range(3):
+            item = rng.choice(items)
+            copy = list(item)
+            for _ in range(rng.choice((0, 0, 1, int(0.2 * len(item))))):
+                at, how = rng.randrange(len(copy)), rng.randrange(3)
+                copy[at : at + (how != 0)] = [f"x{rng.randrange(999)}"] if how != 1 else []
+            text += [f"z{rng.randrange(99)}" for _ in range(rng.randrange(12))] + (copy if rng.random() < 0.7 else [*item[:9], "other", "words", "go", "on", "here", "now"])
+        rows.append((d, text))
+    truth = {(d, k): e for d, t in rows for k, item in enumerate(items) if len(set(t) & set(item)) >= 2 for e in [edits(item, t)] if e <= int(0.2 * len(item))}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string").repartition(8)
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in dc.matches(docs, bench).collect()}
+    assert set(found) <= set(truth) and all(truth[k] == e for k, e in found.items())
+    assert len(found) >= 0.98 * len(truth) and all(k in found for k, e in truth.items() if e == 0)
+
+
+def test_work_does_not_grow_with_items_times_occurrences():
+    import time
+
+    rng = random.Random(22)
+    head, items = templated(rng, 4000)
+    searcher = dc.Searcher([(k, [x.encode() for x in item]) for k, item in enumerate(items)])
+    word = lambda: f"w{rng.randrange(3000)}"  # noqa: E731  (any item's)
+    for n in (400, 1600):
+        crowded = " ".join(" ".join([*head, *(word() for _ in range(16))]) for _ in range(n)) + " " + " ".join(items[7])
+        start = time.time()
+        assert [(k, e) for _, k, e in searcher.search([crowded])] == [(7, 0)]
+        assert time.time() - start < 3 * n / 400
