@@ -115,6 +115,28 @@ def histogram_log(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
     return d.crossJoin(F.broadcast(ends)).select(F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))  # one row
 
 
+def histogram_auto(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """``(keys, is_log, bins, bin, n)`` of a real column, without empty bins.
+
+    Positive values over two decades or more have bins at equal ratios, 15 edges a decade and 20 to 60 in all. Others
+    have equal bins as wide as the less of Sturges' width and, unless it is 0, that of Freedman and Diaconis. One
+    aggregate gives the range, quartiles and count; a second pass counts."""
+    v = F.col(column)
+    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))
+    shape = df.groupBy(*keys).agg(F.count(column).alias("k"), F.min(column).alias("a"), F.max(column).alias("b"), q.alias("q"))
+    decades = F.when(F.col("a") > 0, F.log10("b") - F.log10("a")).otherwise(0.0)
+    spread = F.col("b") - F.col("a")
+    sturges, fd = spread / (F.log2(F.col("k").cast("double")) + 1), 2 * (F.col("q")[1] - F.col("q")[0]) / F.pow(F.col("k").cast("double"), F.lit(1 / 3))
+    width = F.when(fd > 0, F.least(sturges, fd)).otherwise(sturges)
+    edges = F.least(F.lit(60), F.greatest(F.lit(20), (15 * decades).cast("int")))
+    bins = F.when(decades >= 2, edges - 1).when(spread > 0, F.ceil(F.try_divide(spread, width)).cast("int")).otherwise(1)
+    shape = shape.select(*keys, "a", "b", (decades >= 2).alias("is_log"), bins.alias("bins"))
+    share = F.when(F.col("is_log"), F.try_divide(F.log10(v) - F.log10("a"), F.log10("b") - F.log10("a"))).otherwise(F.try_divide(v - F.col("a"), F.col("b") - F.col("a")))
+    at = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("bins") + 1e-9).cast("int"), F.col("bins") - 1)
+    joined = df.filter(v.isNotNull()).join(F.broadcast(shape), keys) if keys else df.filter(v.isNotNull()).crossJoin(F.broadcast(shape))  # a row per group
+    return joined.select(*keys, "is_log", "bins", at.alias("bin")).groupBy(*keys, "is_log", "bins", "bin").agg(F.count("*").alias("n"))
+
+
 def density(df: DataFrame, keys: list[str], column: str, low: float, high: float, points: int = 41, bandwidth: float = 0.1) -> DataFrame:
     """``(keys, i, density)``: Gaussian kernel density on a fixed grid, from counts of equal values."""
     step = (high - low) / (points - 1)

@@ -7,10 +7,11 @@ and threshold or seed); candidates, distances and tie-breaks are joins.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import checkpointed
 from .tree import distances
 
 
@@ -43,8 +44,13 @@ def greedy_select(candidates: DataFrame, anc: DataFrame, thresholds: list[float]
     can be chosen, so each group holds a row per inner node at most, with the path above it."""
     first = candidates.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds)))).filter("pct >= threshold")
     best = first.groupBy("tree_id", "threshold", "mrca").agg(F.min(F.struct("dist", (-F.col("pct")).alias("minus"), "conv", "ctrl")).alias("x"))
+    return _greedy(best.select("tree_id", "threshold", "mrca", "x.dist", "x.minus", "x.conv", "x.ctrl"), anc)
+
+
+def _greedy(best: DataFrame, anc: DataFrame) -> DataFrame:
+    """The choice among the best pair of each inner node."""
     above = anc.groupBy("tree_id", F.col("node_id").alias("mrca")).agg(F.collect_list("anc_id").alias("above"))
-    rows = best.join(above, ["tree_id", "mrca"]).select("tree_id", "threshold", "mrca", "x.dist", "x.minus", "x.conv", "x.ctrl", "above")
+    rows = best.join(above, ["tree_id", "mrca"])
 
     def choose(key, group: pd.DataFrame) -> pd.DataFrame:
         taken: set[int] = set()
@@ -61,6 +67,71 @@ def greedy_select(candidates: DataFrame, anc: DataFrame, thresholds: list[float]
     return rows.groupBy("tree_id", "threshold").applyInPandas(choose, _CHOSEN)
 
 
+def _frontier(rows: DataFrame, keys: list[str], worth: Column) -> DataFrame:
+    """Rows than which none of the same ``keys`` is as near and as good: in order of distance, those better than all before."""
+    before = Window.partitionBy(*keys).orderBy("far", "worth", "node_id").rowsBetween(Window.unboundedPreceding, -1)
+    d = rows.withColumn("worth", worth).withColumn("least", F.min("worth").over(before))
+    return d.filter("least IS NULL OR worth < least").drop("worth", "least")
+
+
+def _two_frontiers(rows: DataFrame, worth: Column) -> DataFrame:
+    """Leaves below a node that can be in its best pair with leaves of any other child. Any other leaf has two before
+    it, of different children, that are as near and as good, so that one of them can take its place in each pair."""
+    own = _frontier(rows, ["tree_id", "mrca", "child"], worth)
+    first = _frontier(own, ["tree_id", "mrca"], worth)
+    rest = own.join(first.select("tree_id", "mrca", "node_id"), ["tree_id", "mrca", "node_id"], "left_anti")
+    return first.unionByName(_frontier(rest, ["tree_id", "mrca"], worth).select(first.columns))
+
+
+def best_pairs(pheno: DataFrame, anc: DataFrame, nodes: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Per inner node and threshold of its tree (``thresholds(tree_id, threshold)``) the first candidate in order of
+    distance, larger contrast and names: ``(tree_id, threshold, mrca, dist, minus, conv, ctrl)``.
+
+    Not all pairs are made: of the leaves below a node only those on the frontiers of distance and value can be in it. Where a
+    branch length is missing edges are counted instead, so leaves with and without such a gap have frontiers of their own."""
+    child = nodes.filter("parent_id IS NOT NULL").select("tree_id", F.col("node_id").alias("child"), F.col("parent_id").alias("mrca"), "branch_length")
+    leaf = pheno.filter("value > 0").select("tree_id", "node_id", "value").join(anc, ["tree_id", "node_id"]).withColumnRenamed("anc_id", "child")
+    lack = F.col("lacking") + F.col("branch_length").isNull().cast("int")
+    below = checkpointed(leaf.join(child, ["tree_id", "child"]).select(
+        "tree_id", "mrca", "child", "node_id", "value", (F.col("dist") + F.coalesce("branch_length", F.lit(0.0))).alias("d"), (F.col("hops") + 1).cast("double").alias("h"), (lack > 0).alias("gap")
+    ))
+    by_length, by_edges = below.filter("NOT gap").withColumn("far", F.round("d", 6)), below.withColumn("far", F.col("h"))
+
+    def sides(conv: DataFrame, ctrl: DataFrame, far: str) -> DataFrame:
+        a = _two_frontiers(conv, -F.col("value")).select("tree_id", "mrca", F.col("child").alias("ca"), F.col("node_id").alias("conv"), F.col("value").alias("va"), F.col(far).alias("fa"))
+        b = _two_frontiers(ctrl, F.col("value")).select("tree_id", "mrca", F.col("child").alias("cb"), F.col("node_id").alias("ctrl"), F.col("value").alias("vb"), F.col(far).alias("fb"))
+        pairs = a.join(b, ["tree_id", "mrca"]).filter("ca <> cb AND va > vb")
+        pct = F.round((F.col("va") - F.col("vb")) / F.col("vb") * 100, 6)
+        return pairs.select("tree_id", "mrca", F.round(F.col("fa") + F.col("fb"), 6).alias("dist"), pct.alias("pct"), "conv", "ctrl")
+
+    gaps = by_edges.filter("gap")
+    found = sides(by_length, by_length, "d").unionByName(sides(gaps, by_edges, "h")).unionByName(sides(by_edges, gaps, "h"))
+    held = found.join(F.broadcast(thresholds), "tree_id").filter("pct >= threshold")  # a ladder per tree
+    best = held.groupBy("tree_id", "threshold", "mrca").agg(F.min(F.struct("dist", (-F.col("pct")).alias("minus"), "conv", "ctrl")).alias("x"))
+    return best.select("tree_id", "threshold", "mrca", "x.dist", "x.minus", "x.conv", "x.ctrl")
+
+
+def pct_select(pheno: DataFrame, anc: DataFrame, nodes: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """:func:`greedy_select` of all candidates, without making them all."""
+    return _greedy(best_pairs(pheno, anc, nodes, thresholds), anc)
+
+
+def default_ladder(pheno: DataFrame, points: int = 25) -> DataFrame:
+    """``(tree_id, threshold)``: thresholds at equal steps from 0 to a tree's largest contrast, or to 1000 if that is
+    less, and then the largest too; 0 alone where no two positive values differ."""
+    most = pheno.filter("value > 0").groupBy("tree_id").agg(((F.max("value") - F.min("value")) / F.min("value") * 100).alias("most"))
+    high, n = F.least("most", F.lit(1000.0)), max(5, points)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: high * i / (n - 1))
+    ladder = F.when(F.col("most") <= 0, F.array(F.lit(0.0))).when(F.col("most") > 1000, F.concat(steps, F.array("most"))).otherwise(steps)
+    return most.select("tree_id", F.explode(F.array_distinct(F.transform(ladder, lambda x: F.round(x, 6)))).alias("threshold"))
+
+
+def sweep(pheno: DataFrame, anc: DataFrame, nodes: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """``(tree_id, threshold, n)``: how many pairs each threshold leaves, none included."""
+    n = pct_select(pheno, anc, nodes, thresholds).groupBy("tree_id", "threshold").agg(F.count("*").alias("n"))
+    return thresholds.join(n, ["tree_id", "threshold"], "left").select("tree_id", "threshold", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def pct_sweep(candidates: DataFrame, anc: DataFrame, thresholds: list[float]) -> DataFrame:
     """``(tree_id, threshold, n)``: how many pairs each threshold leaves."""
     return greedy_select(candidates, anc, thresholds).groupBy("tree_id", "threshold").agg(F.count("*").alias("n"))

@@ -400,6 +400,20 @@ def a18(s, d):
     return metrics.histogram_log(A.table(s, d, "orders"), "o_totalprice")
 
 
+@query("A18_auto_histogram", """WITH v AS (SELECT 'balance' AS what, c_acctbal AS v FROM customer UNION ALL SELECT 'price', o_totalprice FROM orders UNION ALL SELECT 'amount', l_extendedprice * l_extendedprice FROM lineitem),
+s AS (SELECT what, count(v)::DOUBLE AS k, min(v) AS a, max(v) AS b, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM v GROUP BY what),
+w AS (SELECT *, CASE WHEN a > 0 THEN log10(b) - log10(a) ELSE 0 END AS dec, (b - a) / (log2(k) + 1) AS st, 2 * (q3 - q1) / power(k, 1 / 3.0::DOUBLE) AS fd FROM s),
+e AS (SELECT what, a, b, dec >= 2 AS is_log, CASE WHEN dec >= 2 THEN least(60, greatest(20, CAST(trunc(15 * dec) AS INT))) - 1 ELSE CAST(ceil((b - a) / CASE WHEN fd > 0 THEN least(st, fd) ELSE st END) AS INT) END AS bins FROM w)
+SELECT what, is_log, bins, least(CAST(floor(CASE WHEN is_log THEN (log10(v) - log10(a)) / (log10(b) - log10(a)) ELSE (v - a) / (b - a) END * bins + 1e-9) AS INT), bins - 1) AS bin, count(*) AS n FROM v JOIN e USING (what) GROUP BY ALL""")
+def a18_auto(s, d):
+    parts = [("balance", "customer", F.col("c_acctbal")), ("price", "orders", F.col("o_totalprice")), ("amount", "lineitem", F.col("l_extendedprice") * F.col("l_extendedprice"))]
+    rows = None
+    for what, name, v in parts:
+        part = A.table(s, d, name).select(F.lit(what).alias("what"), v.alias("v"))
+        rows = part if rows is None else rows.unionByName(part)
+    return metrics.histogram_auto(rows, "v", ["what"])
+
+
 @query("A20_sps_density", f"""WITH {A.PRED}, p AS (SELECT *, (rank() OVER (ORDER BY input_rmse) + (count(*) OVER (PARTITION BY input_rmse) - 1) / 2.0::DOUBLE) / count(*) OVER () AS pct FROM prediction WHERE num_genes > 0),
 x AS (SELECT label, floor((round(least(greatest(sps, -1), 1) * 1e9) + 5e6) / 1e7) / 100 AS sps FROM p WHERE pct < 0.25 AND label <> 0), g AS (SELECT CAST(unnest(range(41)) AS INT) AS i)
 SELECT label, i, round(sum(exp(-0.5 * power((-1.0 + i * 0.05::DOUBLE - sps) / 0.1, 2))) / (any_value(n) * 0.1 * 2.5066282746310002), 6) AS density FROM x JOIN (SELECT label, count(*) AS n FROM x GROUP BY label) USING (label) CROSS JOIN g GROUP BY label, i""")

@@ -72,10 +72,29 @@ def p1(s, d):
     return _candidates(s, d)
 
 
-@query("P2_W11_pct_select")
+def _greedy_sql(thresholds: str) -> str:
+    """The choice by recursion: one candidate of a tree and threshold at a step, with what is taken and what lies above that."""
+    return f"""WITH RECURSIVE {_CAND}, th AS ({thresholds}), bs AS (SELECT tree_id, threshold, mrca, min((dist, -pct, conv, ctrl)) AS x FROM cand JOIN th USING (tree_id) WHERE pct >= threshold GROUP BY ALL),
+up_list AS (SELECT tree_id, node_id AS mrca, list(anc_id) AS above FROM anc GROUP BY ALL),
+bo AS (SELECT tree_id, threshold, mrca, x, above, row_number() OVER (PARTITION BY tree_id, threshold ORDER BY x) AS k FROM bs JOIN up_list USING (tree_id, mrca)),
+rec AS (SELECT tree_id, threshold, 0::BIGINT AS k, []::BIGINT[] AS taken, []::BIGINT[] AS over_list FROM bo GROUP BY ALL
+  UNION ALL SELECT r.tree_id, r.threshold, b.k, CASE WHEN list_contains(over_list, b.mrca) OR list_has_any(taken, above) THEN taken ELSE list_append(taken, b.mrca) END,
+    CASE WHEN list_contains(over_list, b.mrca) OR list_has_any(taken, above) THEN over_list ELSE list_concat(over_list, above) END
+  FROM rec r JOIN bo b ON b.tree_id = r.tree_id AND b.threshold = r.threshold AND b.k = r.k + 1),
+fin AS (SELECT tree_id, threshold, arg_max(taken, k) AS taken FROM rec GROUP BY ALL)"""
+
+
+_THRESHOLDS = [0.0, 25.0, 50.0, 150.0]
+
+
+def _thresholds(s, d):
+    return A.traits(s, d).select("tree_id").distinct().withColumn("threshold", F.explode(F.array(*map(F.lit, _THRESHOLDS))))
+
+
+@query("P2_W11_pct_select", f"{_greedy_sql('SELECT tree_id, unnest([0.0::DOUBLE, 25.0, 50.0, 150.0]) AS threshold FROM (SELECT DISTINCT tree_id FROM trait)')} SELECT tree_id, threshold, x[3] AS conv, x[4] AS ctrl, mrca, x[1] AS dist FROM fin JOIN bo USING (tree_id, threshold) WHERE list_contains(taken, mrca)")
 def p2(s, d):
     """Pairs chosen greedily in each tree at four thresholds."""
-    return pairs.greedy_select(checkpointed(_candidates(s, d)), _anc(s, d), [0.0, 25.0, 50.0, 150.0])
+    return pairs.pct_select(A.traits(s, d), checkpointed(_anc(s, d)), A.trees(s, d), _thresholds(s, d))
 
 
 @query("P3_pct_sweep")
@@ -83,6 +102,17 @@ def p3(s, d):
     return pairs.pct_sweep(checkpointed(_candidates(s, d)), _anc(s, d), [0.0, 10.0, 100.0, 1000.0, 10000.0])
 
 
+_LADDER = """SELECT DISTINCT tree_id, round(t, 6) AS threshold FROM (SELECT tree_id, most, unnest(CASE WHEN most <= 0 THEN [0.0::DOUBLE] ELSE list_concat(list_transform(range(25), lambda i: least(most, 1000.0) * i / 24), CASE WHEN most > 1000 THEN [most] ELSE [] END) END) AS t
+  FROM (SELECT tree_id, (max(value) - min(value)) / min(value) * 100 AS most FROM trait WHERE value > 0 GROUP BY ALL))"""
+
+
+@query("P3_default_ladder", f"{_greedy_sql(_LADDER)} SELECT tree_id, threshold, coalesce(len(taken), 0)::BIGINT AS n FROM th LEFT JOIN fin USING (tree_id, threshold)")
+def p3_ladder(s, d):
+    """How many pairs each of the default thresholds of a tree leaves."""
+    t = A.traits(s, d)
+    return pairs.sweep(t, checkpointed(_anc(s, d)), A.trees(s, d), checkpointed(pairs.default_ladder(t)))
+
+
 def _level(depth: int, source: str) -> str:
     return f"""u{depth} AS (SELECT site, tree_id, parent_id AS node_id, CASE WHEN coalesce(bit_and(mask) FILTER (mask <> 0), 0) <> 0 THEN bit_and(mask) FILTER (mask <> 0) ELSE bit_or(mask) END AS mask
   FROM {source} JOIN tree_node USING (tree_id, node_id) GROUP BY site, tree_id, parent_id)"""
@@ -284,7 +314,13 @@ def p7(s, d):
     return pairs.alternates(m, ["tree_id", "mrca"], 3).withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
 
 
-@query("P7_trimmed_alternates")
+@query("P7_trimmed_alternates", f"""WITH RECURSIVE {A.TRAIT}, sc AS (SELECT tree_id AS set_id, CAST(node_id % 4 AS INT) AS pair, CASE WHEN value > 4500 THEN 'conv' ELSE 'ctrl' END AS role, value AS score FROM trait),
+ln AS (SELECT set_id, pair, role, count(*) AS n FROM sc GROUP BY ALL), od AS (SELECT set_id, pair, role, row_number() OVER (PARTITION BY set_id ORDER BY score, pair, role) AS k FROM sc),
+st AS (SELECT set_id, 0::BIGINT AS k, map_from_entries(list((pair || role, n))) AS left_n FROM ln GROUP BY set_id
+  UNION ALL SELECT s.set_id, o.k, map_from_entries(list_transform(map_entries(left_n), lambda e: (e.key, e.value - CASE WHEN e.key = o.pair || o.role THEN 1 ELSE 0 END)))
+  FROM st s JOIN od o ON o.set_id = s.set_id AND o.k = s.k + 1 WHERE list_product(list_transform(map_values(left_n), lambda x: (1 + x)::DOUBLE)) > 64),
+fin AS (SELECT set_id, arg_max(left_n, k) AS left_n FROM st GROUP BY set_id)
+SELECT set_id, pair, role, CAST(left_n[pair || role] AS INT) AS kept FROM ln JOIN fin USING (set_id)""")
 def p7t(s, d):
     """Each tree's alternates, cut until no more than 64 combinations remain."""
     t = A.traits(s, d).select(F.col("tree_id").alias("set_id"), (F.col("node_id") % 4).cast("int").alias("pair"), F.when(F.col("value") > 4500, "conv").otherwise("ctrl").alias("role"), F.col("value").alias("score"))
