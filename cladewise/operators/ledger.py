@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import file_system
 from .score import gene_ranks_multi, gene_scores, rank_genes
 
 #: Settings that may differ between a run and its continuation.
@@ -28,6 +29,29 @@ def same_config(config: dict, audit: DataFrame) -> bool:
     return audit.filter(F.col("config") != config_hash(config)).isEmpty()
 
 
+def start_run(spark: SparkSession, path: str, config: dict, force: bool = False) -> DataFrame:
+    """The ledger of a run that is started or continued at ``path``. One made under other settings is an error,
+    unless ``force`` clears the folder and starts anew."""
+    store, at = file_system(spark, path)
+    if store.exists(at):
+        audit = spark.read.schema("combo_idx long, config string").json(path)
+        if same_config(config, audit):
+            return audit
+        if not force:
+            raise ValueError(f"{path} holds a run under other settings; force a restart to clear it")
+        store.delete(at, True)
+    return spark.createDataFrame([], "combo_idx long, config string")
+
+
+def store_coefficients(coef: DataFrame, path: str) -> None:
+    """A part per design, replaced whole when the design is fitted again."""
+    coef.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("combo_idx").parquet(path)
+
+
+def stored_coefficients(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
 def rebuild_ranks(coef: DataFrame, genes: DataFrame, top_rank_frac: float = 0.01) -> DataFrame:
     """Ranks over all designs from their stored coefficients; maxima and counts, so order is no matter."""
     return gene_ranks_multi(rank_genes(gene_scores(coef)), genes, top_rank_frac)

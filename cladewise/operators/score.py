@@ -33,6 +33,26 @@ def species_scores(hits: DataFrame, models: DataFrame) -> DataFrame:
     return s.join(models, RUN).select(*RUN, "species", F.round(F.col("s") + F.col("intercept"), 6).alias("sps"))
 
 
+def predict_saved(coef: DataFrame, models: DataFrame, aln: DataFrame, training: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, species, sps)`` of models read back, on another alignment: the intercept and the weights of the
+    residues that a species has. Species of the models' own designs are left out; species without a hit have no row."""
+    hits = coef.join(aln, "gene").filter(F.substring("seq", F.col("pos") + 1, F.lit(1)) == F.col("aa")).select(*keys, "species", "weight")
+    s = exclude_training(hits, training).groupBy(*keys, "species").agg(F.sum("weight").alias("s"))
+    return s.join(models.select(*keys, "intercept"), keys).select(*keys, "species", (F.col("s") + F.col("intercept")).alias("sps"))
+
+
+def order_sites(scored: DataFrame, by_score: bool = True) -> DataFrame:
+    """``place`` of each site in its gene and design: best score first, or by position alone."""
+    w = Window.partitionBy("gene", "combo_idx").orderBy(*([F.desc("score")] if by_score else []), "pos")
+    return scored.withColumn("place", F.row_number().over(w))
+
+
+def order_species(species: DataFrame, pheno: DataFrame, highest_first: bool = True) -> DataFrame:
+    """Species by phenotype, those without one as 0, ties by name."""
+    known = species.join(pheno.select("species", "value"), "species", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return known.orderBy(F.desc("value") if highest_first else F.asc("value"), "species")
+
+
 def input_rmse(input_hits: DataFrame, models: DataFrame, combo: DataFrame, untouched: str = "zero") -> DataFrame:
     """``(combo_idx, run, rmse)`` over the training species; those without a hit predict 0, or the
     intercept where saved models are applied (``untouched='intercept'``)."""

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.ranks import with_ranks
 from ..operators import design, ledger, metrics, score, validate
 from ..operators import fit as fitting
 from ..sources import texts
+from ..sources.tables import checkpointed, shared_folder
 from . import adapters as A
 from .registry import query
 
@@ -241,7 +243,39 @@ def a5(s, d):
 
 @query("R3_rebuilt_ranks", f"{_MULTI} SELECT * FROM mr")
 def r3(s, d):
-    return ledger.rebuild_ranks(A.coefficients(s, d), _genes(s, d), 0.1)
+    """Ranks from stored coefficients; some designs were stored twice, as after a broken run."""
+    coef, folder = checkpointed(A.coefficients(s, d)), shared_folder(s)
+    ledger.store_coefficients(coef.filter("combo_idx <= 4"), folder)
+    ledger.store_coefficients(coef.filter("combo_idx > 2"), folder)
+    return ledger.rebuild_ranks(ledger.stored_coefficients(s, folder, coef.schema), _genes(s, d), 0.1)
+
+
+@query("R2_force_restart", f"WITH {A.COEF} SELECT DISTINCT combo_idx FROM coef WHERE combo_idx > 2")
+def r2(s, d):
+    """Designs that are left after a run was started anew under other settings and broke off."""
+    designs, folder = checkpointed(A.coefficients(s, d).select("combo_idx").distinct()), shared_folder(s)
+    ledger.start_run(s, folder, {"grid": "a"})
+    ledger.append_audit(designs.filter("combo_idx <= 5"), folder, {"grid": "a"})
+    ledger.start_run(s, folder, {"grid": "b"}, force=True)
+    ledger.append_audit(designs.filter("combo_idx <= 2"), folder, {"grid": "b"})
+    return ledger.pending(designs, ledger.start_run(s, folder, {"grid": "b", "threads": 3}))
+
+
+@query("S20_audit_ledger", f"WITH {A.MODEL} SELECT combo_idx, run, intercept + 0.0 AS intercept FROM model")
+def s20(s, d):
+    """The ledger of finished models as JSON lines, added to twice."""
+    models, folder = checkpointed(A.models(s, d)), shared_folder(s)
+    for part in ("combo_idx <= 3", "combo_idx > 3"):
+        ledger.append_audit(models.filter(part), folder, {"grid": "a"})
+    return s.read.schema("combo_idx long, run long, intercept double, config string").json(folder).withColumn("intercept", F.col("intercept") + 0.0).drop("config")
+
+
+@query("S16_gene_rank_files", f"""{_MULTI}, t AS (SELECT *, regexp_replace(printf('%.15f', highest_ever_gss), '\\.?0+$', '') AS g, coalesce(regexp_replace(printf('%.15f', best_ever_rank), '\\.?0+$', ''), 'None') AS r FROM mr)
+SELECT gene || ',' || num_combos_ranked || ',' || num_combos_ranked_top || ',' || g || ',' || r AS line FROM t""")
+def s16(s, d):
+    folder = shared_folder(s)
+    texts.write_gene_ranks(score.gene_ranks_multi(score.rank_genes(score.gene_scores(A.coefficients(s, d))), _genes(s, d), 0.1), folder)
+    return texts.read_ranged(s, folder).select("line")
 
 
 @query("A6_W6_gene_ranks_single", f"{_GSS}, {_ALLG} SELECT a.gene, coalesce(max(gss), 0.0) AS highest_gss, CAST(min(rank) AS DOUBLE) AS best_rank FROM allg a LEFT JOIN rk USING (gene) GROUP BY a.gene")
@@ -292,9 +326,46 @@ def s15(s, d):
     return _prediction_parts(s, score.species_scores(_hits(s, d), A.models(s, d)))
 
 
-def _prediction_parts(s, predictions):
-    from ..sources.tables import checkpointed, shared_folder
+@query("S15_prediction_text", f"""{_TRAIN}, p AS (SELECT combo_idx, run, species, round(sum(weight) + any_value(intercept), 6) AS sps FROM hits JOIN model USING (combo_idx, run) GROUP BY ALL)
+SELECT 'combo_' || combo_idx || ',' || regexp_replace(printf('%.15f', (run + 1) / 100.0::DOUBLE), '\\.?0+$', '') || ',' || species || ',' || regexp_replace(printf('%.15f', sps), '\\.?0+$', '') AS line, true AS in_order FROM p""")
+def s15_text(s, d):
+    """Parts by design merged as text in the designs' order: no line has one of a later design before it."""
+    p, folder = _prediction_parts(s, score.species_scores(_hits(s, d), A.models(s, d))), shared_folder(s)
+    label = F.concat(F.lit("combo_"), F.col("combo_idx").cast("string")).alias("species_combo")
+    texts.write_prediction_text(p.select("combo_idx", label, ((F.col("run") + 1) / 100).alias("lambda1"), "species", "sps"), folder)
+    lines = checkpointed(texts.read_ranged(s, folder).withColumn("combo", F.regexp_extract("line", r"^combo_(\d+),", 1).cast("int")))
+    ends = lines.groupBy("file").agg(F.min("combo").alias("low"), F.max("combo").alias("high"))
+    before = Window.partitionBy("file").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    wrong = ends.alias("a").join(ends.alias("b"), F.col("a.file") < F.col("b.file")).groupBy(F.col("b.file").alias("file")).agg(F.max("a.high").alias("ahead"))
+    placed = lines.withColumn("top", F.max("combo").over(before)).join(wrong, "file", "left")
+    return placed.select("line", (F.coalesce("combo", F.lit(0)) >= F.greatest(F.coalesce("top", F.lit(0)), F.coalesce("ahead", F.lit(0)))).alias("in_order"))
+
+
+@query("S14_model_files", f"WITH {A.COEF}, {A.MODEL} SELECT combo_idx, run, gene, pos, aa, weight FROM coef UNION ALL SELECT combo_idx, run, 'Intercept', -1, '', intercept + 0.0 FROM model")
+def s14_files(s, d):
+    """Models as text files, a file each, and read back; penalties come from the names."""
+    coef, models = _saved(s, d)
+    run = (F.round(F.col("lambda1") * 100).cast("long") - 1).alias("run")
+    whole = models.select("combo_idx", run, F.lit("Intercept").alias("gene"), F.lit(-1).alias("pos"), F.lit("").alias("aa"), (F.col("intercept") + 0.0).alias("weight"))
+    return coef.select("combo_idx", run, "gene", "pos", "aa", "weight").unionByName(whole)
+
+
+@query("M7_saved_model_scores", f"{_TRAIN} SELECT combo_idx, run, species, round(sum(weight) + any_value(intercept), 6) AS sps FROM hits JOIN model USING (combo_idx, run) GROUP BY ALL")
+def m7_scores(s, d):
+    """Saved models, read from their files, score the species that they were not fitted on."""
+    coef, models = _saved(s, d)
+    p = score.predict_saved(coef, models, A.alignment(s, d), A.combos(s), ["combo_idx", "lambda1", "lambda2"])
+    return p.select("combo_idx", (F.round(F.col("lambda1") * 100).cast("long") - 1).alias("run"), "species", F.round("sps", 6).alias("sps"))
 
+
+def _saved(s, d):
+    folder = shared_folder(s)
+    points = lambda df: df.withColumn("lambda1", (F.col("run") + 1) / 100).withColumn("lambda2", F.lit(0.5)).drop("run")
+    texts.write_models(points(A.coefficients(s, d)), points(A.models(s, d)), folder)
+    return texts.read_models(s, folder)
+
+
+def _prediction_parts(s, predictions):
     p = checkpointed(predictions)
     folder = shared_folder(s)
     texts.write_predictions(p, folder)
@@ -304,8 +375,6 @@ def _prediction_parts(s, predictions):
 
 @query("R4_reuse", f"{_PSS} SELECT gene, pos, pss FROM ps")
 def r4(s, d):
-    from ..sources.tables import shared_folder
-
     folder = shared_folder(s)
     ledger.reuse(s, folder, lambda: score.site_scores(A.coefficients(s, d)))
     return ledger.reuse(s, folder, lambda: s.createDataFrame([], "gene string, pos int, pss double"))
@@ -487,7 +556,7 @@ def s9q(s, d):
 def s7(s, d):
     ls = A.designs(s, d).select(F.col("design").alias("file"), (F.col("line_no") * 2).alias("line_no"), F.array_join("members", " , ").alias("line"))
     blank = ls.select("file", (F.col("line_no") + 1).alias("line_no"), F.lit("  ").alias("line"))
-    return texts.read_groups(ls.unionByName(blank), ["file"]).withColumn("members", F.array_join("members", "|"))
+    return texts.read_groups(ls.unionByName(blank), ["file"], even=False).withColumn("members", F.array_join("members", "|"))
 
 
 @query("S19_group_writer", f"""WITH {A.DESIGN}, l AS (SELECT design, members, row_number() OVER (PARTITION BY design ORDER BY line_no) - 1 AS slot, count(*) OVER (PARTITION BY design) AS n FROM grp) SELECT design, CAST(slot AS INT) AS line_no, array_to_string(members, ',') AS line FROM l WHERE slot < n // 2 * 2""")

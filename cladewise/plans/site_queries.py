@@ -507,12 +507,62 @@ def s1(s, d):
     marked = whole.join(size, "gene").withColumn("species", F.concat_ws(" ", "species", F.length("seq").cast("string")))
     folder = tables.shared_folder(s)
     alignments.write_alignments(marked.select("gene", "species", F.expr("rpad(seq, n, '?')").alias("seq")), folder)
-    files = s.read.text(folder, wholetext=True, pathGlobFilter="part-*").select(F.concat("gene", F.lit(".fas")).alias("file"), F.col("value").alias("text"))
-    back = alignments.parse_alignments(files)
+    back = alignments.read_alignments(s, folder)
     n = F.split("species", " ")[1].cast("int")
     return back.select("gene", F.split("species", " ")[0].alias("species"), F.sha2(F.substring("seq", F.lit(1), n), 256).alias("digest"), n.alias("seq_len"))
 
 
+@query("S2_site_counter_files", f"WITH {A.ALN} SELECT gene, species, sha256(lower(substr(seq, 1, 30)) || replace(substr(seq, 31), '-', '?')) AS digest, 60 AS seq_len FROM aln")
+def s2(s, d):
+    """Files as the site counter reads them: letters and unknowns as they are, parts of a species' sequence joined."""
+    from ..sources import alignments
+
+    first = F.concat(F.lit(">"), "species", F.lit("\n"), F.lower(F.substring("seq", 1, 30)))
+    second = F.concat(F.lit("> "), "species", F.lit(" \n"), F.replace(F.substring("seq", 31, 30), F.lit("-"), F.lit("?")))
+    text = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "\n")
+    files = A.alignment(s, d).groupBy("gene").agg(F.concat_ws("\n", text(first), text(second)).alias("text")).select(F.concat("gene", F.lit(".fas")).alias("file"), "text")
+    return alignments.parse_alignments(files, "site_counter").select("gene", "species", F.sha2("seq", 256).alias("digest"), "seq_len")
+
+
+_PARTNER = _CANCEL.replace("{partial}", "true") + ", cut AS (" + _JOINED.format(_CANCELLED.format(mp=2, partial="true", out="false")) + ")"
+
+
+@query("S12_cancelled_files", f"{_PARTNER} SELECT CAST(cut.combo_idx AS BIGINT) AS combo_idx, substr(gene, 1, 7) AS gene, species, sha256(string_agg(seq, '' ORDER BY gene)) AS digest FROM cut JOIN combo ON combo.combo_idx = cut.combo_idx AND combo.slot = cut.slot GROUP BY ALL")
+def s12(s, d):
+    """Alignments of all texts of a group, cancelled for each design, written as a folder of files a design and read back."""
+    from ..sources import alignments, tables
+
+    cut = sites.cancelled_sequences(_filled(s, d), 2, True).join(F.broadcast(A.combos(s).select("combo_idx", "slot", "species")), ["combo_idx", "slot"])
+    whole = cut.groupBy("combo_idx", F.substring("gene", 1, 7).alias("gene"), "slot", "species").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gene", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    folder = tables.shared_folder(s)
+    alignments.write_cancelled(whole, folder)
+    return alignments.read_cancelled(s, folder).select("combo_idx", "gene", "species", F.sha2("seq", 256).alias("digest"))
+
+
+@query("S13_artefacts", f"WITH {A.CELL}, {_FEATURE}, g AS (SELECT combo_idx, gene, count(*) AS n_features FROM feature GROUP BY ALL) SELECT CAST(f.combo_idx AS BIGINT) AS combo_idx, f.gene, pos, aa, mask, n_features FROM feature f JOIN g USING (combo_idx, gene)")
+def s13(s, d):
+    """Features and groups stored by design: one design is finished, an attempt at both was killed half way, the rest is built."""
+    from ..sources import artefacts, tables
+
+    root, settings = tables.shared_folder(s), {"min_count": 2}
+
+    def build(designs):
+        f = tables.checkpointed(sites.informative_features(sites.explode_sites(sites.fill_species(A.alignment(s, d), A.combos(s).filter(F.col("combo_idx").isin(designs)), A.OUTGROUP))))
+        return {"feature": f, "gene_group": f.groupBy("combo_idx", "gene").agg(F.count("*").alias("n_features"))}
+
+    first = artefacts.reuse_designs(s, root, settings, [0], build)
+    artefacts.write_attempt(s, root, {"feature": first["feature"].withColumn("mask", F.lit(0).cast("long"))})
+    both = artefacts.reuse_designs(s, root, settings, [0, 1], build)
+    return both["feature"].join(both["gene_group"], ["combo_idx", "gene"]).select("combo_idx", "gene", "pos", "aa", "mask", "n_features")
+
+
+@query("W9_site_order", f"{_VIEW}, x AS (SELECT * FROM view WHERE score >= 2) SELECT gene, combo_idx, pos, score, CAST(row_number() OVER (PARTITION BY gene, combo_idx ORDER BY score DESC, pos) AS INT) AS place FROM x")
+def w9(s, d):
+    from ..operators.score import order_sites
+
+    return order_sites(_view(s, d).filter("score >= 2").select("gene", "combo_idx", "pos", "score"))
+
+
 @query("S5_two_line_check", f"""WITH {A.ALN} SELECT gene AS file, count(*) FILTER (substr(seq, 1, 1) = '-') = 0 AS ok, CASE WHEN count(*) FILTER (substr(seq, 1, 1) = '-') = 0 THEN '' ELSE 'sequence over several lines' END AS reason FROM aln GROUP BY gene""")
 def s5(s, d):
     """Genes as texts; sequences that begin with a gap are broken over two lines."""

@@ -333,18 +333,20 @@ def p9(s, d):
     return pairs.random_pair_sets(tree.leaves(nodes), _anc(s, d), 3, 4, 1.0, 7)
 
 
-@query("S10_newick_trees", f"WITH {A.TREE} SELECT tree_id, name, round(branch_length, 3) AS branch_length, depth FROM tree_node WHERE depth > 0 AND depth < 4")
+@query("S10_newick_trees", f"""WITH {A.TREE} SELECT 'tree_' || tree_id || CASE WHEN tree_id % 2 = 0 THEN '.nwk' ELSE '.nex' END AS file, NULL::VARCHAR AS fault, name, round(branch_length, 3) AS branch_length, depth FROM tree_node
+UNION ALL SELECT DISTINCT 'note_' || tree_id || '.nwk', 'no tree', NULL, NULL, NULL FROM tree_node""")
 def s10(s, d):
-    """Each nation's tree as Newick text, parsed back; inner nodes and their branches are compared."""
-    from ..sources.trees import parse_trees
-
-    nodes = A.trees(s, d)
-    label = lambda n, b: F.concat(n, F.lit(":"), F.coalesce(b, F.lit(0.0)).cast("string"))
-    text = nodes.filter("depth = 4").select("tree_id", "node_id", "parent_id", label(F.regexp_replace("name", r"\s", "_"), F.col("branch_length")).alias("t"))
-    for depth in (3, 2, 1):
-        up = text.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list("t")), ",").alias("kids"))
-        own = nodes.filter(F.col("depth") == depth)
-        text = up.join(own, ["tree_id", "node_id"]).select("tree_id", "node_id", "parent_id", F.concat(F.lit("("), "kids", F.lit(")"), label(F.col("name"), F.col("branch_length"))).alias("t"))
-    whole = text.groupBy("tree_id").agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list("t")), ","), F.lit(")root;")).alias("newick"))
-    out = parse_trees(whole).filter("depth > 0 AND depth < 4")
-    return out.select("tree_id", "name", F.round("branch_length", 3).alias("branch_length"), "depth")
+    """Each nation's tree as a file, Newick or NEXUS, read back with all its nodes; files of prose are rows with a reason."""
+    from ..sources import alignments, trees
+    from ..sources.tables import name_files, shared_folder
+
+    nodes, folder = A.trees(s, d), shared_folder(s)
+    text = trees.newick_texts(nodes)
+    even, name = F.col("tree_id") % 2 == 0, lambda kind: F.concat(F.lit(kind), F.col("tree_id").cast("string"))
+    nexus = F.concat(F.lit("#NEXUS\nBegin trees;\n  tree one = [&R] "), "newick", F.lit("\nEnd;"))
+    files = text.select(F.concat(name("tree_"), F.when(even, ".nwk").otherwise(".nex")).alias("file"), F.when(even, F.col("newick")).otherwise(nexus).alias("value"))
+    notes = nodes.select("tree_id").distinct().select(F.concat(name("note_"), F.lit(".nwk")).alias("file"), F.lit("this is not a tree").alias("value"))
+    files.unionByName(notes).write.partitionBy("file").text(folder)
+    name_files(s, folder, "")
+    rows = trees.parse_tree_files(alignments.read_files(s, folder, "*.{nwk,nex}"))
+    return rows.select("file", "fault", "name", F.round("branch_length", 3).alias("branch_length"), "depth")

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import empty_files, file_name, name_files
+
 GLOB = "*.{fas,fasta,fa,faa,FAS,FASTA,FA,FAA}"
 
 
 def read_files(spark: SparkSession, path: str, glob: str = GLOB) -> DataFrame:
     """``(file, text)``: whole files, as one row each; a file is one gene."""
-    return spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    whole = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True).select(file_name().alias("file"), F.col("value").alias("text"))
+    empty = empty_files(spark, path, glob)  # which Spark's scans leave out
+    return whole.unionByName(spark.createDataFrame([(x, "") for x in empty], "file string, text string")) if empty else whole
 
 
 def parse_alignments(files: DataFrame, policy: str = "model") -> DataFrame:
@@ -20,9 +24,11 @@ def parse_alignments(files: DataFrame, policy: str = "model") -> DataFrame:
     last of repeated species wins. ``site_counter``: letters as they are, repeated species are joined.
     Files without a record or with sequences of different sizes raise an error under ``model``."""
     stem = F.regexp_replace("file", r"\.[^.]*$", "")
-    records = files.select(
-        stem.alias("gene"), F.posexplode(F.filter(F.split(F.concat(F.lit("\n"), F.col("text")), r"\n>"), lambda x: F.trim(x) != "")).alias("no", "record")
-    )
+    found = F.filter(F.split(F.concat(F.lit("\n"), F.col("text")), r"\n>"), lambda x: ~x.rlike(r"^\s*$"))
+    if policy == "model":
+        none = F.raise_error(F.concat(F.lit("no sequence in "), F.col("file"))).cast("array<string>")
+        found = F.when(F.size(found) == 0, none).otherwise(found)
+    records = files.select(stem.alias("gene"), F.posexplode(found).alias("no", "record"))
     body = F.regexp_replace(F.regexp_replace("record", r"^[^\n]*", ""), r"\s", "")
     rows = records.select("gene", "no", F.trim(F.element_at(F.split("record", r"\r?\n"), 1)).alias("species"), body.alias("seq"))
     if policy == "model":
@@ -50,8 +56,26 @@ def to_two_line(aln: DataFrame) -> DataFrame:
 
 
 def write_alignments(aln: DataFrame, path: str) -> None:
-    """Two-line files, in a folder per gene."""
+    """Two-line files ``<gene>.fas``."""
     to_two_line(aln).write.mode("overwrite").partitionBy("gene").text(path)
+    name_files(aln.sparkSession, path, ".fas")
+
+
+def write_cancelled(sequences: DataFrame, path: str) -> None:
+    """``sequences(combo_idx, gene, species, seq)``, gaps cancelled, as two-line files ``combo_<i>/<gene>.fas``."""
+    ordered = F.array_sort(F.collect_list(F.struct("slot", F.concat(F.lit(">"), "species", F.lit("\n"), "seq").alias("t"))))
+    text = sequences.groupBy("combo_idx", "gene").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("value"))
+    text.withColumn("combo", F.concat(F.lit("combo_"), F.col("combo_idx").cast("string"))).drop("combo_idx").write.mode("overwrite").partitionBy("combo", "gene").text(path)
+    name_files(sequences.sparkSession, path, ".fas")
+
+
+def read_cancelled(spark: SparkSession, path: str) -> DataFrame:
+    """``(combo_idx, gene, species, seq)`` of :func:`write_cancelled`."""
+    whole = spark.read.text(path, wholetext=True, pathGlobFilter="*.fas", recursiveFileLookup=True)
+    combo = F.regexp_extract("_metadata.file_path", r"/combo_(\d+)/[^/]*$", 1).alias("combo_idx")
+    files = whole.select(F.concat_ws("/", combo, file_name()).alias("file"), F.col("value").alias("text"))
+    at = lambda i: F.element_at(F.split("gene", "/", 2), i)
+    return parse_alignments(files).select(at(1).cast("long").alias("combo_idx"), at(2).alias("gene"), "species", "seq")
 
 
 def check_two_line(files: DataFrame) -> DataFrame:
@@ -70,8 +94,10 @@ def check_two_line(files: DataFrame) -> DataFrame:
 
 
 def ordered_genes(path_lines: DataFrame, aln: DataFrame, keys: list[str]) -> DataFrame:
-    """``path_lines(keys, line_no, line)`` -> ``(keys, gene, gene_ord)`` of listed genes that exist, in the
-    list's order; folders and a missing or given extension are left out of the name."""
+    """``path_lines(keys, line_no, line)`` -> ``(keys, gene, gene_ord)`` in the list's order; folders and a
+    missing or given extension are left out of the name. A listed gene that does not exist is an error."""
     name = F.regexp_replace(F.regexp_replace(F.trim("line"), r"^.*/", ""), r"\.(fas|fasta|fa|faa)$", "")
     listed = path_lines.filter(F.trim("line") != "").select(*keys, name.alias("gene"), F.col("line_no").alias("gene_ord"))
-    return listed.join(aln.select("gene").distinct(), "gene", "left_semi")
+    found = listed.join(aln.select(F.col("gene"), F.lit(True).alias("__there")).distinct(), "gene", "left")
+    lost = F.raise_error(F.concat(F.lit("no alignment of the listed gene "), F.col("gene"))).cast("string")
+    return found.select(*keys, F.when(F.col("__there"), F.col("gene")).otherwise(lost).alias("gene"), "gene_ord")

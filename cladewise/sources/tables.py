@@ -2,20 +2,62 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder under ``spark.checkpoint.dir``, which a session must have: no other is known to be shared."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:  # tests only
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """The store of ``path`` and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def file_name() -> Column:
+    """The name of a scan's file; the scan has it as in a URL."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
+def empty_files(spark: SparkSession, path: str, glob: str) -> list[str]:
+    """Names of the files of no length below ``path`` that the pattern takes in."""
+    store, at = file_system(spark, path)
+    wanted, out, files = spark._jvm.org.apache.hadoop.fs.GlobFilter(glob), [], store.listFiles(at, True)
+    while files.hasNext():
+        f = files.next()
+        if not f.getLen() and wanted.accept(f.getPath()) and not f.getPath().getName().startswith(("_", ".")):
+            out.append(f.getPath().getName())
+    return out
+
+
+def name_files(spark: SparkSession, path: str, ending: str) -> None:
+    """Give files of a folder that was written by ``partitionBy`` their key's name: ``a=x/b=y/part-*`` becomes
+    ``x/y<ending>``. Each key has one file; only names are moved, no data."""
+    store, at = file_system(spark, path)
+    jvm_path, found = spark._jvm.org.apache.hadoop.fs.Path, []
+    files = store.listFiles(at, True)
+    while files.hasNext():
+        found.append(files.next().getPath().toString())
+    root = store.makeQualified(at).toString().rstrip("/")
+    for name in found:
+        parts = name[len(root) + 1 :].split("/")
+        if parts[-1].startswith("part-") and all("=" in x for x in parts[:-1]):
+            keys = [unquote(unquote(x.split("=", 1)[1])) for x in parts[:-1]]
+            target = jvm_path("/".join([root, *keys[:-1], keys[-1] + ending]))
+            store.mkdirs(target.getParent())
+            store.rename(jvm_path(name), target)
+            store.delete(jvm_path(name).getParent(), True)
+
+
 def released(*tables: DataFrame) -> None:
     """Delete tables made by :func:`checkpointed` that no later plan reads."""
     for df in tables:
