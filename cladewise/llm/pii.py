@@ -2,7 +2,7 @@
 
 Patterns propose spans. Four labelers (format, gazetteer, context, delimiters) vote on each, or
 abstain. Expectation-maximisation over the counts of vote patterns, a bounded table, estimates how
-far each labeler can be trusted; the posteriors then train a naive Bayes classifier over the votes
+far each labeler can be trusted on each kind; the posteriors then train a naive Bayes classifier over the votes
 and the span's shape, which decides on the proposals that the base rules don't settle.
 """
 
@@ -21,14 +21,20 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Kinds that only the method proposes: credentials, and names after a form of address.
+#: Kinds that only the method proposes: credentials, names after a form of address, and what the base patterns leave
+#: out of their own kinds: addresses with the signs spelled out, numbers without a country code, IPv6, short cards, accounts.
 MORE = {
-    "secret": r"\b(?:AKIA[0-9A-Z]{16}|(?i:password|passwd|pwd|token|secret|api_?key)\x20{0,3}[=:]\x20{0,3}[\x22\x27]?[A-Za-z0-9+/_-]{6,128})",
+    "secret": r"\b(?:AKIA[0-9A-Z]{16}|(?i:password|passwd|pwd|token|secret|api_?key)\x20{0,3}[=:]\x20{0,3}[\x22\x27]?[A-Za-z0-9+/_-]{6,}+)",
     "name": r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}{1,20}(?:\x20\p{Lu}\p{Ll}{1,20})?",
+    "email_written": r"(?i)\b[a-z0-9._%+-]{2,64}(?:\x20?[(\[]at[)\]]\x20?[a-z0-9-]{2,63}(?:(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)[a-z]{2,24})+|\x20at\x20[a-z0-9-]{2,63}(?:\x20dot\x20[a-z]{2,24})+)",
+    "phone_national": r"(?<![0-9+.,/-])(?:\([0-9]{2,5}\)\x20?|[0-9]{3,5}[\x20./-])[0-9]{3,4}[\x20.-][0-9]{3,5}(?![0-9])(?![.,/-][0-9])",
+    "ip6": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "card_short": r"(?<![0-9])3[0-9]{3}[\x20-]?[0-9]{6}[\x20-]?[0-9]{4,5}(?![0-9])",
+    "account": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?\b",
 }
-#: What a text must hold before a pattern is tried at all.
-_QUICK = {"email": "@", "ip": ".", "card": "", "phone": "+", "secret": "", "name": " "}
-#: Gazetteers: endings of mail domains, first digits of card issuers, country codes, key prefixes, first names.
+#: Any of these a text must hold before a pattern is tried at all.
+_QUICK = {"email": ("@",), "ip": (".",), "phone": ("+",), "name": (" ",), "email_written": ("(at)", "[at]", " dot ", "(AT)", "[AT]"), "ip6": (":",)}
+#: Gazetteers: endings of mail domains, first digits of card issuers, country codes, key prefixes, first names, account countries.
 GAZETTEER = {
     "email": r"(?i)\.(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$",
     "ip": r"^(?:10|127|169|172|192|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])\.",
@@ -36,6 +42,11 @@ GAZETTEER = {
     "phone": r"^\+(?:1|7|2[07]|3[0-46-9]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
     "secret": r"AKIA|[0-9a-f]{12}",
     "name": r"\x20(?:Anna|Maria|John|James|Mary|Peter|Paul|Hans|Klaus|Pierre|Marie|Jean|Carlos|Juan|Luis|Sarah|David|Michael)\b",
+    "email_written": r"(?i)(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$",
+    "phone_national": r"^\(?(?:0[1-9]|[2-9][0-9]{2}\b)",
+    "ip6": r"(?i)^(?:2[0-9a-f]{3}|fe80|f[cd][0-9a-f]{2}):",
+    "card_short": r"^3(?:[47]|0[0-5]|[68])",
+    "account": r"^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
 }
 #: Context words before a span that speak for its kind.
 CONTEXT = {
@@ -45,7 +56,9 @@ CONTEXT = {
     "phone": r"(?i)(?:phone|tel|call|mobile|fax)[^A-Za-z0-9]*$",
     "secret": r"(?i)(?:login|user|key|secret|credentials?)[^A-Za-z0-9]*$",
     "name": r"(?i)(?:dear|by|from|with|contact)[^A-Za-z0-9]*$",
+    "account": r"(?i)(?:iban|account|konto|compte|cuenta)[^A-Za-z0-9]*$",
 }
+CONTEXT |= {"email_written": CONTEXT["email"], "phone_national": CONTEXT["phone"], "ip6": CONTEXT["ip"], "card_short": CONTEXT["card"]}
 #: Words before a number that speak against it.
 _AGAINST = r"(?i)(?:version|v|section|chapter|page|isbn|order)\.?\x20*$"
 LABELERS = ("format", "gazetteer", "context", "edges")
@@ -84,15 +97,26 @@ def _luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
+def _remainder_97(body: Column) -> Column:
+    """An account number, its first four signs moved to the end and letters as 10 to 35, modulo 97."""
+    plain = F.regexp_replace(body, " ", "")
+    moved = F.concat(F.substring(plain, 5, 99), F.substring(plain, 1, 4))
+    code = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+    return F.aggregate(F.split(moved, ""), F.lit(0), lambda acc, c: (acc * F.when(code(c) > 9, 100).otherwise(10) + code(c)) % 97)
+
+
 def _valid(kind: Column, body: Column) -> Column:
-    """The base rules' check of a match; the method's own kinds always pass it."""
+    """The base rules' check of a match, and the check digits of short cards and accounts; other kinds of the
+    method's own always pass it."""
     digits = F.regexp_replace(body, "[^0-9]", "")
     parts = F.transform(F.split(body, r"\."), lambda x: F.regexp_replace(x, "^0+", ""))
     ip = F.forall(parts, lambda x: (F.length(x) < 3) | ((F.length(x) == 3) & (x <= "255")))
     card = F.when(F.length(digits).between(16, 19), _luhn(digits)).otherwise(False)
+    short = F.when(F.length(digits).between(14, 15), _luhn(digits)).otherwise(False)
     return (
         F.when(kind == "ip", ip).when(kind == "card", card)
-        .when(kind == "phone", F.length(digits).between(8, 15)).otherwise(True)
+        .when(kind == "phone", F.length(digits).between(8, 15)).when(kind == "phone_national", F.length(digits).between(9, 12))
+        .when(kind == "card_short", short).when(kind == "account", _remainder_97(body) == 1).otherwise(True)
     )
 
 
@@ -130,7 +154,9 @@ def proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     patterns = BASE | MORE
     for kind, pattern in patterns.items():
-        quick = F.col("t").contains(_QUICK[kind]) if _QUICK[kind] else F.lit(True)
+        quick = F.lit(kind not in _QUICK)
+        for held in _QUICK.get(kind, ()):
+            quick = quick | F.col("t").contains(held)
         d = d.withColumn(f"m_{kind}", F.when(quick, F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     for kind, pattern in patterns.items():
         d = d.withColumn(f"p_{kind}", F.when(F.size(f"m_{kind}") > 0, F.split("t", pattern, -1)).otherwise(F.array().cast("array<string>")))
@@ -158,30 +184,33 @@ def train(proposed: DataFrame) -> dict:
     )
     kinds = (*KINDS, *MORE)
     prior = dict.fromkeys(kinds, 0.5)
-    # P(vote 1 | truth 1) and P(vote 1 | truth 0), by labeler; all start as better than chance.
-    hit, miss = dict.fromkeys(LABELERS, 0.8), dict.fromkeys(LABELERS, 0.3)
+    # P(vote 1 | truth 1) and P(vote 1 | truth 0), by kind and labeler; all start as better than chance.
+    hit, miss = ({k: dict.fromkeys(LABELERS, p) for k in kinds} for p in (0.8, 0.3))
 
     def truth() -> Column:
-        odds = F.lit(0.0)
+        out = F.lit(0.0)
         for k in kinds:
-            odds = F.when(F.col("kind") == k, F.log(F.lit(prior[k] / (1 - prior[k])))).otherwise(odds)
-        for x in LABELERS:
-            odds += F.when(F.col(x) == 1, F.log(F.lit(hit[x] / miss[x]))).when(F.col(x) == 0, F.log(F.lit((1 - hit[x]) / (1 - miss[x])))).otherwise(0.0)
-        return 1 / (1 + F.exp(-odds))
+            odds = F.lit(_log(prior[k] / (1 - prior[k])))
+            for x in LABELERS:
+                h, m = hit[k][x], miss[k][x]
+                odds += F.when(F.col(x) == 1, _log(h / m)).when(F.col(x) == 0, _log((1 - h) / (1 - m))).otherwise(0.0)
+            out = F.when(F.col("kind") == k, odds).otherwise(out)
+        return 1 / (1 + F.exp(-out))
 
     clip = lambda x: min(max(x, 0.02), 0.98)
     for _ in range(ROUNDS):
         q = patterns.withColumn("q", truth())
         yes, no = F.col("q") * F.col("n"), (1 - F.col("q")) * F.col("n")
-        sums = [F.sum(F.when(F.col("kind") == k, w)).alias(f"{k}_{name}") for k in kinds for name, w in (("yes", yes), ("all", F.col("n")))]
+        sums = [F.sum(yes).alias("yes"), F.sum("n").alias("all")]
         for x in LABELERS:
             for name, w in (("yes", yes), ("no", no)):
-                sums += [F.sum(F.when(F.col(x) == 1, w)).alias(f"{x}_{name}_1"), F.sum(F.when(F.col(x) >= 0, w)).alias(f"{x}_{name}_all")]
-        r = q.agg(*sums).first()
-        prior = {k: clip(((r[f"{k}_yes"] or 0) + 1) / ((r[f"{k}_all"] or 0) + 2)) for k in kinds}
-        hit = {x: clip(((r[f"{x}_yes_1"] or 0) + 4) / ((r[f"{x}_yes_all"] or 0) + 5)) for x in LABELERS}
-        miss = {x: clip(((r[f"{x}_no_1"] or 0) + 1) / ((r[f"{x}_no_all"] or 0) + 4)) for x in LABELERS}
-        miss = {x: min(miss[x], hit[x]) for x in LABELERS}  # no labeler votes against the truth
+                sums += [F.sum(F.when(F.col(x) == 1, w).otherwise(0.0)).alias(f"{x}_{name}_1"), F.sum(F.when(F.col(x) >= 0, w).otherwise(0.0)).alias(f"{x}_{name}_all")]
+        told = {r["kind"]: r for r in q.groupBy("kind").agg(*sums).collect()}  # a row per kind
+        for k, r in told.items():
+            prior[k] = clip((r["yes"] + 1) / (r["all"] + 2))
+            for x in LABELERS:
+                hit[k][x] = clip((r[f"{x}_yes_1"] + 4) / (r[f"{x}_yes_all"] + 5))
+                miss[k][x] = min(clip((r[f"{x}_no_1"] + 1) / (r[f"{x}_no_all"] + 4)), hit[k][x])  # no labeler votes against the truth
     q = patterns.withColumn("q", truth())
     weights, features = {}, (*LABELERS, "size")
     for x in features:
@@ -224,7 +253,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     added = F.filter(
         "spans",
         lambda s: s["kind"].isin(*MORE) & (_score(s, model) > 0)
-        & ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
+        & s["valid"] & ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
     )
     brief = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))
     return with_base.select("doc_id", F.transform("base", brief).alias("base"), F.transform(F.concat("base", added), brief).alias("spans"))

@@ -65,5 +65,58 @@ def test_corpus_and_added_spans(spark, sf_dir):
     assert f"secret:4:{len(secret) - 5}" in out[-1]["spans"]
 
 
+def luhn_end(digits):
+    return next(d for d in "0123456789" if luhn(digits + d))
+
+
+def account(country, body):
+    number = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{country}{98 - int(number) % 97:02d}{body}"
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    """Planted data of each added kind among numbers, dates, versions and prose that look like them."""
+    import random
+
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randrange(3, 9)))
+    planted_kinds = {
+        "email_written": lambda: rng.choice((f"{word()}.{word()} (at) {word()} (dot) com", f"{word()} [at] {word()}.org", f"{word()} at {word()} dot net")),
+        "phone_national": lambda: rng.choice((f"(0{digits(2)}) {digits(4)} {digits(4)}", f"2{digits(2)}-{digits(3)}-{digits(4)}", f"0{digits(3)} {digits(3)} {digits(4)}")),
+        "ip6": lambda: "2001:" + ":".join(f"{rng.randrange(65536):x}" for _ in range(7)),
+        "card_short": lambda: (lambda d: d + luhn_end(d))("37" + digits(12)),
+        "account": lambda: account("DE", digits(18)),
+        "secret": lambda: f"password={rng.randbytes(100).hex()}",
+        "name": lambda: f"Dr. {rng.choice(('Anna', 'John', 'Peter'))} {word().capitalize()}",
+    }
+    before = {"email_written": "contact ", "phone_national": "call ", "ip6": "server ", "card_short": "card ", "account": "IBAN ", "secret": "login ", "name": "dear "}
+    decoys = [
+        lambda: f"version {digits(1)}.{digits(2)}.{digits(1)}", lambda: f"20{digits(2)}-0{rng.randrange(1, 10)}-1{digits(1)}", lambda: f"look at {word()} and {word()}", lambda: f"order {digits(14)}",
+        lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: "AB" + digits(20), lambda: f"{word()} at noon", lambda: f"page {digits(3)}-{digits(3)}", lambda: f"1.{digits(3)}.{digits(3)}",
+    ]
+    rows, truth = [], set()
+    for d in range(600):
+        text = ""
+        for _ in range(rng.randrange(1, 5)):
+            text += " ".join(word() for _ in range(rng.randrange(3, 9))) + ", "
+            if rng.random() < 0.5:
+                kind = rng.choice(list(planted_kinds))
+                made = planted_kinds[kind]()
+                text += before[kind] if rng.random() < 0.6 else ""
+                truth.add((d, f"{kind}:{len(text)}:{len(text) + len(made)}"))
+                text += made + ". "
+            else:
+                text += rng.choice(decoys)() + ". "
+        rows.append((d, text))
+    found = set()
+    for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect():
+        found |= {(r["doc_id"], x) for x in r["spans"].split(",") if x.split(":")[0] in pii.MORE}
+    for kind in planted_kinds:
+        a, b = ({x for x in group if x[1].startswith(kind + ":")} for group in (truth, found))
+        assert len(a & b) >= 0.9 * len(a), (kind, len(a), len(b), sorted(a - b)[:3])
+        assert len(a & b) >= 0.9 * len(b), (kind, len(a), len(b), sorted(b - a)[:3])
+
+
 def test_empty_table(spark):
     assert pii.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
