@@ -244,3 +244,83 @@ def random_pair_sets(tips: DataFrame, anc: DataFrame, n_sets: int, n_pairs: int,
         return pd.DataFrame(out, columns=["tree_id", "set_id", "conv", "ctrl"])
 
     return paths.groupBy("tree_id").applyInPandas(draw, "tree_id long, set_id int, conv long, ctrl long")
+
+
+def _draw(*parts: Column) -> Column:
+    return F.xxhash64(*parts)
+
+
+def random_pairs_with_exclusions(
+    nodes: DataFrame, anc: DataFrame, excluded: DataFrame, n_sets: int, n_pairs: int, min_distance: float, seed: int = 0, attempts: int = 100
+) -> DataFrame:
+    """``(tree_id, set_id, pair, conv, ctrl, mrca)``: per tree and set ``n_pairs`` random pairs of leaves in clades that
+    have nothing in common, that hold no leaf of ``excluded(tree_id, node_id)``, with at least ``min_distance`` between the two.
+
+    In a round each set draws a free leaf. Of the leaves below its free ancestors, nearest ancestor first, three
+    that are far enough are drawn and one of these is its control; their clade is taken. A leaf without one is put
+    aside. A set that runs out of leaves starts again; one that has done so ``attempts`` times is an error. Draws
+    are hashes of set, attempt, round and leaf, so that a lost task repeats them. All sets of all trees go through a round
+    together, as joins on the closure; a tree is not gathered."""
+    spark = nodes.sparkSession
+    inner = nodes.select("tree_id", F.col("parent_id").alias("node_id")).filter("node_id IS NOT NULL")
+    tips = checkpointed(nodes.select("tree_id", "node_id").join(inner, ["tree_id", "node_id"], "left_anti"))
+    known = excluded.select("tree_id", "node_id").distinct().join(tips, ["tree_id", "node_id"])
+    usable = checkpointed(tips.join(known, ["tree_id", "node_id"], "left_anti"))
+    up = checkpointed(anc.join(tips, ["tree_id", "node_id"]).select("tree_id", "node_id", "anc_id", "dist", "hops"))  # paths of leaves
+    barred = checkpointed(up.join(known, ["tree_id", "node_id"]).select("tree_id", "anc_id").distinct())  # clades with an excluded leaf
+    sets = tips.select("tree_id").distinct().select("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_sets - 1))).alias("set_id"), F.lit(0).alias("attempt"), F.lit(0).alias("found"))
+    sets = checkpointed(sets)
+    key = ["tree_id", "set_id"]
+    pairs = spark.createDataFrame([], "tree_id long, set_id int, attempt int, pair int, conv long, ctrl long, mrca long")
+    aside = spark.createDataFrame([], "tree_id long, set_id int, attempt int, node_id long")
+    step = 0
+    while True:
+        live = sets.filter(F.col("found") < n_pairs)
+        if live.isEmpty():
+            break
+        step += 1
+        mine = pairs.join(live.select(*key, "attempt"), [*key, "attempt"])
+        taken = mine.select(*key, F.col("mrca").alias("anc_id")).join(up, ["tree_id", "anc_id"]).select(*key, "node_id")
+        over = mine.select(*key, F.col("mrca").alias("node_id")).join(anc.select("tree_id", "node_id", "anc_id"), ["tree_id", "node_id"]).select(*key, "anc_id").distinct()
+        put = aside.join(live.select(*key, "attempt"), [*key, "attempt"]).select(*key, "node_id")
+        free = live.join(usable, "tree_id").join(taken.unionByName(put), [*key, "node_id"], "left_anti")
+        order = _draw(F.lit(seed), F.col("set_id"), F.col("attempt"), F.lit(step), F.col("node_id"))
+        drawn = checkpointed(free.groupBy(*key, "attempt", "found").agg(F.min_by("node_id", F.struct(order, "node_id")).alias("conv")))
+        paths = drawn.join(up.withColumnRenamed("node_id", "conv"), ["tree_id", "conv"]).filter("hops > 0").join(barred, ["tree_id", "anc_id"], "left_anti").join(over, [*key, "anc_id"], "left_anti")
+        paths = paths.select(*key, "attempt", "conv", "anc_id", F.col("dist").alias("da"), "hops")
+        below = paths.join(up.select("tree_id", "anc_id", F.col("node_id").alias("ctrl"), F.col("dist").alias("db")), ["tree_id", "anc_id"]).filter("ctrl <> conv")
+        nearest = below.groupBy(*key, "attempt", "conv", "ctrl").agg(F.min_by(F.struct("hops", F.col("anc_id").alias("mrca"), (F.col("da") + F.col("db")).alias("far")), "hops").alias("x"))
+        h = _draw(F.lit(seed), F.col("set_id"), F.col("attempt"), F.lit(step), F.col("ctrl"))
+        first = Window.partitionBy(*key).orderBy("x.hops", h, "ctrl")
+        three = nearest.filter(F.col("x.far") >= min_distance).withColumn("r", F.row_number().over(first)).filter("r <= 3")
+        picked = three.groupBy(*key, "attempt", "conv").agg(F.min_by(F.struct("ctrl", "x.mrca"), F.xxhash64(h)).alias("p"))
+        new = checkpointed(drawn.join(picked, [*key, "attempt", "conv"], "left").select(*key, "attempt", "found", "conv", "p.ctrl", "p.mrca"))
+        pairs = checkpointed(pairs.unionByName(new.filter("ctrl IS NOT NULL").select(*key, "attempt", F.col("found").cast("int").alias("pair"), "conv", "ctrl", "mrca")))
+        aside = checkpointed(aside.unionByName(new.filter("ctrl IS NULL").select(*key, "attempt", F.col("conv").alias("node_id"))))
+        # A set that drew no leaf has none left.
+        told = sets.join(new.select(*key, F.col("ctrl").isNotNull().cast("int").alias("more")), key, "left")
+        done = F.col("found") >= n_pairs
+        sets = checkpointed(told.select(
+            *key, F.when(done | F.col("more").isNotNull(), F.col("attempt")).otherwise(F.col("attempt") + 1).cast("int").alias("attempt"),
+            F.when(done, F.col("found")).when(F.col("more").isNotNull(), F.col("found") + F.col("more")).otherwise(0).cast("int").alias("found"),
+        ))
+        worst = sets.agg(F.max("attempt").alias("a")).first()["a"]
+        if worst is not None and worst >= attempts:
+            raise ValueError(f"a tree has no {n_pairs} such pairs after {attempts} attempts")
+    return pairs.join(sets.select(*key, "attempt"), [*key, "attempt"]).select(*key, "pair", "conv", "ctrl", "mrca")
+
+
+def pair_violations(pairs: DataFrame, anc: DataFrame, excluded: DataFrame, min_distance: float) -> DataFrame:
+    """``(tree_id, set_id, pairs, violations)``: how many pairs a set has, and how many rules they break: a clade that holds
+    an excluded leaf, two that are near, a leaf below two clades, an ancestor that is not the deepest."""
+    key = ["tree_id", "set_id"]
+    at = lambda c: anc.select("tree_id", F.col("node_id").alias(c), F.col("anc_id").alias(f"{c}_anc"), F.col("dist").alias(f"{c}_dist"))
+    both = pairs.join(at("conv"), ["tree_id", "conv"]).join(at("ctrl"), ["tree_id", "ctrl"]).filter("conv_anc = ctrl_anc")
+    total = F.col("conv_dist") + F.col("ctrl_dist")
+    near = both.groupBy(*key, "pair").agg(F.min(total).alias("far"), F.count_if((F.col("conv_anc") == F.col("mrca")) & (total < min_distance)).alias("wrong"), F.count_if(F.col("conv_anc") == F.col("mrca")).alias("met"))
+    clades = pairs.join(anc.withColumnRenamed("anc_id", "mrca"), ["tree_id", "mrca"])
+    held = clades.join(excluded.select("tree_id", "node_id").distinct(), ["tree_id", "node_id"]).groupBy(*key).agg(F.count("*").alias("held"))
+    twice = clades.groupBy(*key, "node_id").agg(F.count("*").alias("n")).filter("n > 1").groupBy(*key).agg(F.count("*").alias("twice"))
+    rules = near.groupBy(*key).agg(F.count("*").alias("pairs"), F.sum(F.col("wrong") + (F.col("met") != 1).cast("int")).alias("broken"))
+    out = rules.join(held, key, "left").join(twice, key, "left")
+    return out.select(*key, "pairs", (F.col("broken") + F.coalesce("held", F.lit(0)) + F.coalesce("twice", F.lit(0))).alias("violations"))

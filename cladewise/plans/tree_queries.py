@@ -333,6 +333,15 @@ def p9(s, d):
     return pairs.random_pair_sets(tree.leaves(nodes), _anc(s, d), 3, 4, 1.0, 7)
 
 
+@query("P9_random_pairs", f"WITH {A.TREE} SELECT tree_id, set_id::INT AS set_id, 2::BIGINT AS pairs, 0::BIGINT AS violations FROM (SELECT DISTINCT tree_id FROM tree_node), (SELECT unnest(range(3)) AS set_id)")
+def p9_pairs(s, d):
+    """Three sets of two random pairs in each tree, each seventh species excluded: how many pairs, how many break a rule."""
+    nodes, anc = A.trees(s, d), checkpointed(_anc(s, d))
+    excluded = tree.leaves(nodes).filter("node_id % 7 = 0").select("tree_id", "node_id")
+    found = pairs.random_pairs_with_exclusions(nodes, anc, excluded, 3, 2, 1.0, 7)
+    return pairs.pair_violations(checkpointed(found), anc, excluded, 1.0)
+
+
 @query("S10_newick_trees", f"""WITH {A.TREE} SELECT 'tree_' || tree_id || CASE WHEN tree_id % 2 = 0 THEN '.nwk' ELSE '.nex' END AS file, NULL::VARCHAR AS fault, name, round(branch_length, 3) AS branch_length, depth FROM tree_node
 UNION ALL SELECT DISTINCT 'note_' || tree_id || '.nwk', 'no tree', NULL, NULL, NULL FROM tree_node""")
 def s10(s, d):

@@ -350,3 +350,43 @@ def test_ranks_of_all_rows_hold_no_window_of_all(spark):
     values = sorted(i * 7919 % 997 for i in range(5000))
     assert got == {v: (values.count(v), values.index(v), 5000) for v in set(values)}
     assert value_counts(df.limit(0), [], "v").count() == 0
+
+
+def test_random_pairs_respect_exclusions(spark):
+    nodes = tree_of(spark, "(((A:1,B:1):1,(C:1,D:1):1):1,((E:1,F:1):1,(G:0.1,H:0.1):1):1,(I:1,J:1):1);")
+    anc = tree.closure(nodes)
+    names = {r["node_id"]: r["name"] for r in nodes.collect()}
+    excluded = nodes.filter("name IN ('A', 'J')").select("tree_id", "node_id")
+    for seed in (1, 2):
+        found = pairs.random_pairs_with_exclusions(nodes, anc, excluded, 2, 2, 1.0, seed)
+        rows = found.collect()
+        assert len(rows) == 4 and not {"A", "J"} & {names[r[c]] for r in rows for c in ("conv", "ctrl")}
+        assert {frozenset((names[r["conv"]], names[r["ctrl"]])) & set("GH") for r in rows} <= {frozenset(), frozenset("G"), frozenset("H")}
+        assert [tuple(r)[2:] for r in pairs.pair_violations(found, anc, excluded, 1.0).collect()] == [(2, 0), (2, 0)]
+    bad = spark.createDataFrame([(r["tree_id"], 0, k, r["conv"], r["ctrl"], r["mrca"]) for k, r in enumerate(rows[:1] * 2)], "tree_id long, set_id int, pair int, conv long, ctrl long, mrca long")
+    assert pairs.pair_violations(bad, anc, excluded, 1.0).collect()[0]["violations"] > 0
+    with pytest.raises(ValueError, match="no 4 such pairs"):
+        pairs.random_pairs_with_exclusions(nodes, anc, excluded, 1, 4, 1.0, 1, attempts=2)
+
+
+def test_best_pairs_need_not_all_pairs(spark):
+    """The choice is that among all candidates, on random trees with ties and missing branch lengths."""
+    import random
+
+    rng = random.Random(6)
+
+    def grown(depth):
+        kids = [grown(depth - 1) if depth and rng.random() < 0.6 else f"L{rng.randrange(10**9)}" for _ in range(rng.choice((2, 2, 3, 5)))]
+        return "(" + ",".join(k + ("" if rng.random() < 0.1 else f":{rng.randrange(1, 6) / 2}") for k in kids) + ")"
+
+    from cladewise.sources.trees import parse_trees
+
+    nodes = parse_trees(spark.createDataFrame([(k, grown(4) + ";") for k in range(12)], "tree_id long, newick string"))
+    anc = tree.closure(nodes)
+    tips = [(r["tree_id"], r["node_id"], float(rng.choice((-1, 0, 1, 2, 2, 3, 5, 8, 13)))) for r in tree.leaves(nodes).collect()]
+    pheno = spark.createDataFrame(tips, "tree_id long, node_id long, value double")
+    thresholds = [0.0, 40.0, 160.0]
+    ladder = pheno.select("tree_id").distinct().withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    key = lambda df: sorted(map(tuple, df.select("tree_id", "threshold", "conv", "ctrl", "mrca", "dist").collect()))
+    every = key(pairs.greedy_select(pairs.pct_candidates(pheno, anc).filter("pct > 0"), anc, thresholds))
+    assert every and key(pairs.pct_select(pheno, anc, nodes, ladder)) == every
