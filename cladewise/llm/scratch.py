@@ -13,9 +13,12 @@ SMALL_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """A fresh folder under ``spark.checkpoint.dir``. Where that is unset, a local session (tests) makes one of its
+    own; on a cluster no other folder is known to be shared, and it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
