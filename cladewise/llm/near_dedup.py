@@ -12,7 +12,7 @@ than ``BLOCK`` nodes first meets in blocks of its longest lists; the nodes that
 block by block, those of its largest component only with the rest. A task hands on a link for each node
 at most, never pairs, and no group grows with a list or a family.
 
-Sets of at most ``SKETCH`` shingles are their own sketches, and none of their links is lost. Larger
+Sets of at most three quarters of ``SKETCH`` shingles meet whole sketches only, and none of their links is lost. Larger
 ones lose a link of similarity 0.75 if less than ``LEAST_SHARED`` of the retained values are in common,
 which is 5 deviations away.
 """
@@ -39,6 +39,8 @@ LEAST_SHARED = 0.55
 #: Values that are looked at first, and how many of them a linked document shares with others (fewer
 #: with chance 3e-7 in large sets, never in sets of at most so many).
 FIRST, FIRST_SHARED = 16, 3
+#: Rows of a table of all pairs of a block that are worked on at once.
+ROWS_AT_ONCE = 128
 #: Nodes and shingles that one group holds of each of the two blocks that meet.
 BLOCK, BLOCK_VALUES = 1024, 1 << 20
 
@@ -173,23 +175,31 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
     retained up to the smaller of their largest values, drops the unlikely; the full sets decide on the rest."""
     n = np.array([len(s) for s in sets])
     kept = [s[:SKETCH] for s in sets]
-    shared = _overlaps(kept)
+    shared, cut = _overlaps(kept), n > SKETCH
     enough = lambda common, p, q: 100 * common >= LEAST_PERCENT * (p + q - common)
-    out = enough(shared, n[:, None], n[None, :])
-    cut = n > SKETCH
+    out, near = np.zeros(shared.shape, bool), np.zeros(shared.shape, bool)
     if cut.any():
         last = np.array([s[-1] for s in kept])
-        low = np.array([np.searchsorted(s, last, side="right") for s in kept])  # of a's values, those up to b's last
-        union = np.where(last[:, None] <= last[None, :], low.T + np.diag(low)[:, None], low + np.diag(low)[None, :]) - shared
-        similar = shared >= (LEAST_SHARED - 0.05) * union
-        near = (np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * LEAST_PERCENT) & similar & (cut[:, None] | cut[None, :])
+        low = np.array([np.searchsorted(s, last, side="right") for s in kept], np.int16)  # of a's values, those up to b's last
+        own = np.diag(low)
+    for first in range(0, len(sets), ROWS_AT_ONCE):  # a few rows of the tables at once
+        r = slice(first, first + ROWS_AT_ONCE)
+        out[r] = enough(shared[r], n[r, None], n[None, :])
+        if cut.any():
+            union = np.where(last[r, None] <= last[None, :], low[:, r].T + own[r, None], low[r] + own[None, :]) - shared[r]
+            alike = shared[r] >= (LEAST_SHARED - 0.05) * union
+            near[r] = (np.minimum(n[r, None], n[None, :]) * 100 >= np.maximum(n[r, None], n[None, :]) * LEAST_PERCENT) & alike & (cut[r, None] | cut[None, :])
+    if cut.any():
         np.fill_diagonal(near, False)
         some = np.flatnonzero(near.any(1))
-        exact = np.zeros_like(near)
-        if len(some):
-            m = n[some]
-            exact[np.ix_(some, some)] = enough(_overlaps([sets[i] for i in some]), m[:, None], m[None, :])
-        out = np.where(cut[:, None] | cut[None, :], near & exact, out)
+        place = np.full(len(sets), -1)
+        place[some] = np.arange(len(some))
+        common = _overlaps([sets[i] for i in some]) if len(some) else None
+        for i in range(len(sets)):
+            both = cut | cut[i]
+            out[i, both] = False
+            if place[i] >= 0:
+                out[i, some] |= near[i, some] & enough(common[place[i]], n[i], n[some])
     np.fill_diagonal(out, False)
     return out
 
