@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import empty_files, file_name, name_files
+from .tables import empty_files, file_name, file_system, name_files
 
 GLOB = "*.{fas,fasta,fa,faa,FAS,FASTA,FA,FAA}"
 
@@ -78,6 +78,20 @@ def read_cancelled(spark: SparkSession, path: str) -> DataFrame:
     return parse_alignments(files).select(at(1).cast("long").alias("combo_idx"), at(2).alias("gene"), "species", "seq")
 
 
+def convert_folder(spark: SparkSession, path: str, out: str, glob: str = GLOB) -> None:
+    """All alignments below ``path`` as two-line files below ``out``, in the same sub-folders; names end in ``.fas``."""
+    store, at = file_system(spark, path)
+    root = store.makeQualified(at).toUri().getPath().rstrip("/")
+    whole = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    where = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^[a-z]+:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    files = whole.select(F.substring(where, F.lit(len(root) + 2), F.length(where)).alias("file"), F.col("value").alias("text"))
+    text = to_two_line(parse_alignments(files, "site_counter"))
+    folder = F.regexp_extract("gene", "^(.*)/[^/]*$", 1)
+    parted = text.select(F.when(folder == "", ".").otherwise(folder).alias("folder"), F.regexp_extract("gene", "([^/]*)$", 1).alias("name"), "value")
+    parted.write.mode("overwrite").partitionBy("folder", "name").text(out)
+    name_files(spark, out, ".fas")
+
+
 def check_two_line(files: DataFrame) -> DataFrame:
     """``(file, ok, reason)``: whether each record is a header and one line of sequence."""
     lines = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")

@@ -119,6 +119,17 @@ def test_folders(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, aln.collect()))
 
 
+def test_converted_folders_keep_their_place(spark, tmp_path):
+    source = tmp_path / "in"
+    (source / "a b" / "c").mkdir(parents=True)
+    (source / "top.fasta").write_text(">x\nAC\nGT\n>y\nTT\nGG\n")
+    (source / "a b" / "c" / "deep.fa").write_text(">z\nA\nC\n")
+    (source / "note.txt").write_text("no alignment")
+    alignments.convert_folder(spark, f"file://{source}", f"file://{tmp_path}/out")
+    found = {str(p.relative_to(tmp_path / "out")): p.read_text().strip() for p in (tmp_path / "out").rglob("*.fas")}
+    assert found == {"top.fas": ">x\nACGT\n>y\nTTGG", "a b/c/deep.fas": ">z\nAC"}
+
+
 def test_prediction_text(spark, tmp_path):
     rows = [(2, "b,c", 0.1, 1, 1 / 3, "x", -2.0, None), (0, "a", 0.5, 3, 12.345678, 'q"r', 1e-16, "1")]
     p = spark.createDataFrame(rows, "combo_idx long, species_combo string, lambda1 double, num_genes int, input_RMSE double, species string, SPS double, true_phenotype string")
