@@ -97,7 +97,7 @@ def p2(s, d):
     return pairs.pct_select(A.traits(s, d), checkpointed(_anc(s, d)), A.trees(s, d), _thresholds(s, d))
 
 
-@query("P3_pct_sweep")
+@query("P3_pct_sweep", f"{_greedy_sql('SELECT tree_id, unnest([0.0::DOUBLE, 10.0, 100.0, 1000.0, 10000.0]) AS threshold FROM (SELECT DISTINCT tree_id FROM trait)')} SELECT tree_id, threshold, len(taken)::BIGINT AS n FROM fin")
 def p3(s, d):
     return pairs.pct_sweep(checkpointed(_candidates(s, d)), _anc(s, d), [0.0, 10.0, 100.0, 1000.0, 10000.0])
 
