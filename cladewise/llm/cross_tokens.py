@@ -13,6 +13,7 @@ their sum, and are sent to all tasks; the others meet their counts by a join on
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -118,7 +119,7 @@ class Aligner:
         for k, t in enumerate(texts):
             if first[k] or second[k]:
                 whole = (" " + t).encode("utf-8", "surrogatepass") if t else b""
-                if whole != b"".join(map(self.a.bytes.__getitem__, first[k])) or whole != b"".join(map(self.b.bytes.__getitem__, second[k])):
+                if whole != self.first.decode_bytes(first[k]) or whole != b"".join(map(self.b.bytes.__getitem__, second[k])):
                     first[k], second[k] = [], []
         return first, second
 
@@ -208,7 +209,11 @@ def aligned(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, id_
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for start, stop in _parts(texts):
-                n_a, n_b, groups, links, written, pairs, times = both.documents(texts[start:stop])
+                gc.disable()  # nothing here refers to itself, and what is remembered would be gone over again and again
+                try:
+                    n_a, n_b, groups, links, written, pairs, times = both.documents(texts[start:stop])
+                finally:
+                    gc.enable()
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(start, stop - start), *(pa.array(x, pa.int64()) for x in (n_a, n_b, groups, links)), pa.array(written, pa.string()), pairs, times],
                     ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"],
