@@ -4,13 +4,15 @@
    grams. Equal windows have equal anchors at equal places, so only anchors that occur twice matter.
 2. Around such anchors the bytes that a window may span, the anchor's context, are cut out and meet by
    anchor. Equal contexts, which copies have, are repeated whole and are told by their digests before.
-3. Within an anchor's rows, sorted by what follows (a suffix array of the anchored suffixes), the
-   column of preceding bytes is their Burrows-Wheeler transform. Intervals of rows are extended
-   backwards breadth first, a byte at a time; an interval at level ``a`` shares ``a`` bytes before
-   the anchor, its neighbours share their common prefix after it, and a window is repeated where the
-   two reach ``least``. Intervals of one row and rows that can't reach it any more are dropped.
+3. An anchor's rows are one interval. Extending intervals breadth first, a byte at a time, by the
+   Burrows-Wheeler column of the reversed contexts sorts the rows by what follows the anchor and gives
+   neighbours' common prefixes by increasing value, up to ``least``. The column of preceding bytes of
+   the rows so sorted is the transform of the anchored suffixes: intervals are extended backwards in
+   the same way. An interval at level ``a`` shares ``a`` bytes before the anchor, two of its rows share
+   the least prefix between them after it, and a window is repeated where the two reach ``least``.
+   Intervals of one row and rows that can't reach it any more are dropped.
 
-Different contexts are compared byte by byte; 64-bit hashes only bring rows together, and what 128-bit
+Different contexts are told apart byte by byte; 64-bit hashes only bring rows together, and what 128-bit
 digests say is taken as it is.
 """
 
@@ -76,36 +78,63 @@ def anchors(data: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.nda
     return place, np.concatenate(hashes)[first]
 
 
-def _common(right: np.ndarray, reach: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Common prefixes of the right contexts of rows ``a`` and ``b``."""
-    out = np.empty(len(a), np.int32)
-    for lo in range(0, len(a), 4096):
-        x, y = a[lo : lo + 4096], b[lo : lo + 4096]
-        differ = right[x] != right[y]
-        n = np.where(differ.any(1), differ.argmax(1), right.shape[1])
-        out[lo : lo + 4096] = np.minimum(n, np.minimum(reach[x], reach[y]))
-    return out
+def _members(key: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by ``key``: whether a row starts an interval, and whether it has others in its own. A row
+    whose context has ended is alone."""
+    starts = np.ones(len(key), bool)
+    starts[1:] = (key[1:] != key[:-1]) | ended[1:]
+    return starts, ~(starts & np.append(starts[1:], True))
+
+
+def prefix_intervals(group: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by group and right context, and each row's common prefix with the row before it in its group.
+
+    The rows of a group are one interval at first. A step extends all intervals of two rows or more by the byte that
+    comes next (the preceding one of the reversed contexts, whose Burrows-Wheeler column it is); rows that part at
+    level ``a`` have ``a`` bytes in common. So values come by increasing size, and what is together at ``least``
+    is not told further.
+    """
+    columns = np.ascontiguousarray(right.T)
+    order = np.argsort(group, kind="stable")
+    first = np.ones(len(order), bool)
+    first[1:] = group[order][1:] != group[order][:-1]
+    shared = np.where(first, 0, least).astype(np.int32)
+    at = np.flatnonzero(~first | np.append(~first[1:], False))
+    interval = np.cumsum(first[at])
+    for a in range(least):
+        if not len(at):
+            break
+        byte = columns[a][order[at]]
+        key = interval * 256 + byte
+        if (key[1:] < key[:-1]).any():
+            by = np.argsort(key, kind="stable")
+            order[at], key, byte = order[at[by]], key[by], byte[by]
+        starts, on = _members(key, byte == _PAD)
+        parted = starts.copy()
+        parted[:1] = False
+        parted[1:] &= interval[1:] == interval[:-1]
+        shared[at[parted]] = a
+        at, interval = at[on], np.cumsum(starts)[on]
+    return order, shared
 
 
 def repeated_windows(
-    group: np.ndarray, left: np.ndarray, before: np.ndarray, right: np.ndarray, after: np.ndarray, least: int
+    group: np.ndarray, left: np.ndarray, before: np.ndarray, right: np.ndarray, least: int
 ) -> np.ndarray:
     """(rows, left width + 1) booleans: the window that starts ``a`` bytes before the row's anchor is
-    also another row's of its group. ``left`` is read backwards from the anchor; ``before`` and
-    ``after`` are the contexts' true sizes."""
+    also another row's of its group. ``left`` is read backwards from the anchor, ``before`` is its true
+    size; ``right`` is filled up with ``_PAD``."""
     deep = left.shape[1]
+    columns = np.ascontiguousarray(left.T)
     found = np.zeros((len(group), deep + 1), bool)
-    rows = np.lexsort((np.ascontiguousarray(right).view(f"S{right.shape[1]}").ravel(), group))
-    interval = group[rows].astype(np.int64)
-    interval = np.cumsum(np.concatenate(([0], interval[1:] != interval[:-1]))) if len(rows) else interval
-    first = np.concatenate(([True], interval[1:] != interval[:-1])) if len(rows) else np.zeros(0, bool)
-    shared = np.zeros(len(rows), np.int32)  # with the row before, in the same interval
-    inner = np.flatnonzero(~first)
-    shared[inner] = _common(right, after, rows[inner - 1], rows[inner])
+    rows, shared = prefix_intervals(group, right, least)
+    first = np.ones(len(rows), bool)
+    first[1:] = group[rows][1:] != group[rows][:-1]
+    interval = np.cumsum(first)
     for a in range(deep + 1):
         if not len(rows):
             break
-        best = np.maximum(shared, np.concatenate((shared[1:], [0])))
+        best = np.maximum(shared, np.append(shared[1:], 0))
         found[rows[best >= least - a], a] = True
         if a == deep:
             break
@@ -113,18 +142,18 @@ def repeated_windows(
         on = np.flatnonzero((before[rows] > a) & (best >= least - np.minimum(deep, before[rows])))
         if not len(on):
             break
-        key = interval[on] * 256 + left[rows[on], a]
+        key = interval[on] * 256 + columns[a][rows[on]]
         if (key[1:] < key[:-1]).any():
             order = np.argsort(key, kind="stable")
             on, key = on[order], key[order]
-        same = np.concatenate(([False], key[1:] == key[:-1]))
-        alone = ~same & ~np.concatenate((same[1:], [False]))
-        on, key, same = on[~alone], key[~alone], same[~alone]
-        next_shared = np.where(same, shared[on], 0)
-        jumped = np.flatnonzero(same & (on != np.concatenate(([-1], on[:-1])) + 1))
-        next_rows = rows[on]
-        next_shared[jumped] = _common(right, after, next_rows[jumped - 1], next_rows[jumped])
-        rows, interval, shared = next_rows, np.cumsum(~same), next_shared
+        starts, together = _members(key, np.zeros(len(key), bool))
+        on, starts = on[together], starts[together]
+        inner = np.flatnonzero(~starts)
+        next_shared = np.zeros(len(on), np.int32)
+        # Neighbours now share the least of what lay between them.
+        between = np.stack((on[inner - 1] + 1, on[inner] + 1), 1).ravel()
+        next_shared[inner] = np.minimum.reduceat(np.append(shared, 0), between)[::2] if len(inner) else 0
+        rows, interval, shared = rows[on], np.cumsum(starts), next_shared
     return found
 
 
@@ -221,13 +250,11 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
         contexts = table["context"].to_pylist()
         n = len(keys)
         left, right = np.full((n, deep), _PAD, np.uint8), np.full((n, least), _PAD, np.uint8)
-        after = np.zeros(n, np.int32)
         for i, c in enumerate(contexts):
             c, k = np.frombuffer(c, np.uint8), before[i]
             left[i, :k] = c[:k][::-1]
-            after[i] = len(c) - k
-            right[i, : after[i]] = c[k:]
-        found = repeated_windows(group, left, before, right, after, least)
+            right[i, : len(c) - k] = c[k:]
+        found = repeated_windows(group, left, before, right, least)
         some = found.any(1)
         low, high = found.argmax(1), deep - found[:, ::-1].argmax(1)
         # Windows of one anchor overlap, so that a row has one span.

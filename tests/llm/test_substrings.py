@@ -87,3 +87,34 @@ def test_one_anchor_with_many_contexts_in_one_text(spark):
     noise = lambda k: "".join(rng.choice(list("ijklmnop"), k))
     text = "".join(gram + noise(int(rng.integers(3, 40))) for _ in range(80))
     compare(spark, [text, text[700:1400] + noise(60), noise(90) + text[:300]], least=40, gram=8, hot=3)
+
+
+def test_intervals_give_sorted_contexts_and_common_prefixes():
+    """Order, prefixes by increasing value and repeated windows against plain comparisons."""
+    rng = np.random.default_rng(8)
+    least, gram = 12, 4
+    for letters, n in ((1, 40), (2, 200), (3, 300), (26, 50), (2, 1), (2, 0)):
+        group = rng.integers(0, max(1, n // 25), n)
+        befores = [bytes(rng.integers(97, 97 + letters, int(rng.integers(0, least - gram + 1))).tolist()) for _ in range(n)]
+        afters = [bytes(rng.integers(97, 97 + letters, int(rng.integers(gram, least + 1))).tolist()) for _ in range(n)]
+        left, right = np.full((n, least - gram), 255, np.uint8), np.full((n, least), 255, np.uint8)
+        for i, (x, y) in enumerate(zip(befores, afters, strict=True)):
+            left[i, : len(x)], right[i, : len(y)] = list(x), list(y)
+        order, shared = substrings.prefix_intervals(group, right, least)
+        assert sorted(order.tolist()) == list(range(n))
+        ranks = [(group[i], right[i].tolist()) for i in order]
+        assert ranks == sorted(ranks)
+        for k in range(1, n):
+            i, j = order[k - 1], order[k]
+            prefix = next((x for x in range(least) if x >= len(afters[i]) or x >= len(afters[j]) or afters[i][x] != afters[j][x]), least)
+            assert shared[k] == (prefix if group[i] == group[j] else 0)
+        found = substrings.repeated_windows(group, left, np.array([len(x) for x in befores], np.int32), right, least)
+        windows = defaultdict(list)
+        for i in range(n):
+            for a in range(len(befores[i]) + 1):
+                if a + len(afters[i]) >= least:
+                    windows[group[i], a, befores[i][:a], afters[i][: least - a]].append(i)
+        wanted = np.zeros_like(found)
+        for (_, a, _, _), rows in windows.items():
+            wanted[rows, a] = len(rows) > 1
+        assert (found == wanted).all()
