@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, released
 
 LEAST, GRAM = 400, 64
 #: Bytes hashed at once, rows extended at once, rows of one anchor that one task holds.
@@ -198,6 +198,7 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
     )
     whole = marked.join(kinds.filter("again").select("anchor", "context"), ["anchor", "context"], "left_semi")
     whole = whole.filter(F.col("stop") - F.col("begin") >= least).select("key", F.col("begin").alias("start"), "stop")
+    whole = materialize(whole.distinct())
     # An anchor with very many different contexts is dealt in blocks; see `leftovers`.
     held = kinds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.ceil(F.col("n") / hot).alias("blocks"))
     candidates = (
@@ -207,6 +208,7 @@ def find_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int
     # Copies, repeated rows among them, have one body.
     concerned = candidates.select("key", "places").join(whole.select("key").distinct().withColumn("repeats", F.lit(True)), "key", "full_outer")
     bodies = materialize(long_ones.groupBy("key").agg(F.first("body").alias("body")).join(concerned.drop("repeats"), "key"))
+    released(marked, kinds)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "block", "key", "place", "before", "context"]
