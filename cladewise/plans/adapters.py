@@ -162,18 +162,27 @@ def all_gene_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     within a group items and genes go round until each has been met, so no gene and no item with a weight is left out."""
     group = text_groups(spark, sf_dir)
     aa = F.when(F.col("l_returnflag") == "N", "A").when(F.col("l_returnflag") == "R", "C").otherwise("D")
-    w = (F.col("l_discount") - 0.05) * F.col("l_extendedprice") / 1e5
+    parts = (F.round(F.col("l_discount") * 100).cast("long") - 5) * F.round(F.col("l_extendedprice") * 100).cast("long")
     items = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(group.agg((F.max("q") + 1).alias("n")))).select(  # one row
         ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17 + F.col("l_partkey")) % F.col("n")).alias("q"), F.col("l_linenumber").cast("long").alias("combo_idx"),
-        (F.col("l_suppkey") % 20).alias("run"), F.col("l_quantity").cast("int").alias("pos"), aa.alias("aa"), w.alias("w"), "l_orderkey", "l_partkey",
+        (F.col("l_suppkey") % 20).alias("run"), F.col("l_quantity").cast("int").alias("pos"), aa.alias("aa"), parts.alias("parts"), "l_orderkey", "l_partkey",
     )
-    order = ["l_orderkey", "combo_idx", "l_partkey", "run", "pos", "aa", "w"]
-    items = items.filter(F.round("w", 6) != 0).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*order)) - 1)
+    order = ["l_orderkey", "combo_idx", "l_partkey", "run", "pos", "aa", "parts"]
+    items = items.filter(F.abs("parts") >= 500).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*order)) - 1)
     dealt = items.join(items.groupBy("q").agg(F.count("*").alias("rows")), "q").join(group, "q")
     turns = F.sequence(F.col("r").cast("long"), F.greatest("rows", "m") - 1, F.col("rows"))
     gene = gene_name(F.col("q"), F.col("j") % F.col("m")).alias("gene")
-    rows = dealt.withColumn("j", F.explode(turns)).select("combo_idx", "run", gene, "pos", "aa", "w")
-    return rows.groupBy("combo_idx", "run", "gene", "pos", "aa").agg(F.round(F.sum("w"), 6).alias("weight")).filter("weight <> 0")
+    found = dealt.withColumn("j", F.explode(turns)).groupBy("combo_idx", "run", gene, "pos", "aa").agg(F.sum("parts").alias("parts"))
+    weight = (F.signum("parts") * F.expr("(abs(parts) + 500) div 1000") / 1e6).alias("weight")
+    return found.select("combo_idx", "run", "gene", "pos", "aa", weight).filter("weight <> 0")
+
+
+ALL_COEF = f"""{GROUPS}, item AS (SELECT (l_orderkey * 31 + l_linenumber * 17 + l_partkey) % n AS q, CAST(l_linenumber AS BIGINT) AS combo_idx, l_suppkey % 20 AS run, CAST(l_quantity AS INT) AS pos,
+  CASE l_returnflag WHEN 'N' THEN 'A' WHEN 'R' THEN 'C' ELSE 'D' END AS aa, (CAST(round(l_discount * 100) AS BIGINT) - 5) * CAST(round(l_extendedprice * 100) AS BIGINT) AS parts, l_orderkey, l_partkey FROM lineitem CROSS JOIN docn),
+turn AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY l_orderkey, combo_idx, l_partkey, run, pos, aa, parts) - 1 AS r, count(*) OVER (PARTITION BY q) AS held FROM item WHERE abs(parts) >= 500),
+coef AS (SELECT combo_idx, run, gene, pos, aa, sign(parts) * ((abs(parts) + 500) // 1000) / 1e6 AS weight FROM (SELECT combo_idx, run,
+  'g' || lpad(CAST(q AS VARCHAR), 6, '0') || 's' || lpad(CAST(j % m AS VARCHAR), 4, '0') AS gene, pos, aa, CAST(sum(parts) AS BIGINT) AS parts
+  FROM (SELECT *, unnest(range(r, greatest(held, m), held)) AS j FROM turn JOIN docq USING (q)) GROUP BY ALL) WHERE abs(parts) >= 500)"""
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:

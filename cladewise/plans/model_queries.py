@@ -140,29 +140,34 @@ def _phenotypes(s, d):
     return A.table(s, d, "documents").groupBy(F.concat(F.lit("sp"), F.lpad((F.col("doc_id") % 16).cast("string"), 2, "0")).alias("species")).agg((F.min(F.col("doc_id") % 16) % 3 - 1).cast("double").alias("value"))
 
 
-# The same with a coefficient for each gene, however many items there are. Without SQL; tests compare with brute force.
+# The same with a coefficient for each gene, however many items there are.
+
+_TRAIN_ALL = _TRAIN.replace(A.COEF, A.ALL_COEF)
+_SPS_ALL = "SELECT combo_idx, run, species, round(sum(weight) + any_value(intercept), 6) AS sps FROM hits JOIN model USING (combo_idx, run) GROUP BY ALL"
 
 
 def _all_hits(s, d):
     return score.exclude_training(score.score_alignment(A.all_gene_coefficients(s, d), A.alignment(s, d)), A.combos(s))
 
 
-@query("J2_prediction_hits_all_genes")
+@query("J2_prediction_hits_all_genes", f"{_TRAIN_ALL} SELECT combo_idx, run, species, count(*) AS hits, round(sum(weight), 6) AS s FROM hits GROUP BY ALL")
 def j2_all(s, d):
     return _all_hits(s, d).groupBy("combo_idx", "run", "species").agg(F.count("*").alias("hits"), F.round(F.sum("weight"), 6).alias("s"))
 
 
-@query("A3_species_scores_all_genes")
+@query("A3_species_scores_all_genes", f"{_TRAIN_ALL} {_SPS_ALL}")
 def a3_all(s, d):
     return score.species_scores(_all_hits(s, d), A.models(s, d))
 
 
-@query("J4_attach_phenotype_all_genes")
+@query("J4_attach_phenotype_all_genes", f"""{_TRAIN_ALL}, p AS ({_SPS_ALL}),
+ph AS (SELECT 'sp' || lpad(CAST(doc_id % 16 AS VARCHAR), 2, '0') AS species, CAST(min(doc_id % 16) % 3 - 1 AS DOUBLE) AS value FROM documents GROUP BY 1)
+SELECT combo_idx, run, species, sps, nullif(value, 0.0) AS true_phenotype FROM p JOIN ph USING (species)""")
 def j4_all(s, d):
     return score.attach_phenotype(score.species_scores(_all_hits(s, d), A.models(s, d)), _phenotypes(s, d))
 
 
-@query("S15_prediction_parts_all_genes")
+@query("S15_prediction_parts_all_genes", f"{_TRAIN_ALL} {_SPS_ALL}")
 def s15_all(s, d):
     return _prediction_parts(s, score.species_scores(_all_hits(s, d), A.models(s, d)))
 

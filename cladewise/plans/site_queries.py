@@ -341,7 +341,7 @@ def s3(s, d):
     return sites.limit_genes(A.alignment(s, d), A.coefficients(s, d)).select("gene", "species", "seq")
 
 
-@query("S3_limit_genes_all_genes")
+@query("S3_limit_genes_all_genes", f"WITH {A.ALN}, {A.ALL_COEF} SELECT gene, species, seq FROM aln WHERE gene IN (SELECT gene FROM coef)")
 def s3_all(s, d):
     return sites.limit_genes(A.alignment(s, d), A.all_gene_coefficients(s, d)).select("gene", "species", "seq")
 
