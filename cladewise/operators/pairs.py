@@ -172,6 +172,23 @@ def resolve(candidates: DataFrame, anc: DataFrame, traits: DataFrame, method: st
     return d.groupBy("tree_id", "mrca").agg(pick(1).alias("conv"), pick(-1).alias("ctrl")).filter("conv IS NOT NULL AND ctrl IS NOT NULL")
 
 
+def random_sets(candidates: DataFrame, anc: DataFrame, traits: DataFrame, n_sets: int, seed: int = 0, n_alternates: int = 3) -> DataFrame:
+    """``(tree_id, set_id, mrca, conv, ctrl)``: ``n_sets`` random choices for each candidate's clade, set ``i`` drawn with
+    ``seed + i``. Both sides are arrays: the drawn species, then up to ``n_alternates`` others in the order of their draws.
+    Clades without either label have no row; species without a label are never drawn.
+
+    A draw is the digest of seed, clade and species, so that sets agree whichever tasks make them, and a set is the same
+    however many others are asked for. Only the first draws of a side are shuffled."""
+    clade = candidates.select("tree_id", "mrca").distinct().join(anc.select("tree_id", F.col("anc_id").alias("mrca"), "node_id"), ["tree_id", "mrca"])
+    members = clade.join(traits.select("tree_id", "node_id", "label"), ["tree_id", "node_id"]).filter("label IN (1, -1)").distinct()
+    side = ["tree_id", "set_id", "mrca", "label"]
+    drawn = members.withColumn("set_id", F.explode(F.sequence(F.lit(0), F.lit(n_sets - 1))))
+    drawn = drawn.withColumn("draw", F.md5(F.concat_ws(":", *(c.cast("string") for c in (F.col("set_id") + seed, F.col("tree_id"), F.col("mrca"), F.col("node_id"))))))
+    first = drawn.withColumn("r", F.row_number().over(Window.partitionBy(*side).orderBy("draw", "node_id"))).filter(F.col("r") <= n_alternates + 1)
+    species = lambda label: F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == label, F.struct("r", "node_id")))), lambda x: x["node_id"])
+    return first.groupBy(*side[:3]).agg(species(1).alias("conv"), species(-1).alias("ctrl")).filter("size(conv) > 0 AND size(ctrl) > 0")
+
+
 def composite(pairs: DataFrame, traits: DataFrame, scale: DataFrame, lengths: DataFrame) -> DataFrame:
     """``pairs(tree_id, mrca, conv, ctrl, dist)`` -> the best of each clade by scaled contrast times a
     length factor: 1 if the harmonic mean length is at least 0.9 of the median, 0.05 up to half, linear

@@ -287,6 +287,17 @@ for _m in _ORDER:
     _resolve(_m)
 
 
+@query("P8_random_sets", f"""WITH {_CLADE}, o AS (SELECT cl.*, set_id, row_number() OVER (PARTITION BY tree_id, set_id, mrca, label ORDER BY md5(concat_ws(':', set_id + 7, tree_id, mrca, node_id)), node_id) AS r FROM cl, (SELECT unnest(range(5)) AS set_id)),
+l AS (SELECT tree_id, set_id::INT AS set_id, mrca, label, string_agg(node_id::VARCHAR, ',' ORDER BY r) AS species FROM o WHERE r <= 4 GROUP BY ALL)
+SELECT a.tree_id, a.set_id, a.mrca, a.species AS conv, b.species AS ctrl FROM l a JOIN l b ON a.tree_id = b.tree_id AND a.set_id = b.set_id AND a.mrca = b.mrca AND a.label = 1 AND b.label = -1""")
+def p8(s, d):
+    """Five random choices of each clade's pair, with three alternates on both sides."""
+    clades = A.trees(s, d).filter("depth = 3").select("tree_id", F.col("node_id").alias("mrca"))
+    found = pairs.random_sets(clades, _anc(s, d), _labelled(s, d), 5, 7)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return found.select("tree_id", "set_id", "mrca", text("conv"), text("ctrl"))
+
+
 @query("P6_composite", f"""WITH {_CLADE}, cr AS (SELECT a.tree_id, a.mrca, a.node_id AS conv, b.node_id AS ctrl, a.value AS va, b.value AS vb, a.n AS la, b.n AS lb, CAST(abs(a.node_id - b.node_id) AS DOUBLE) AS dist FROM cl a JOIN cl b ON a.tree_id = b.tree_id AND a.mrca = b.mrca AND a.label = 1 AND b.label = -1),
 q AS (SELECT tree_id, quantile_cont(value, 0.1) AS a, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.9) AS b, quantile_cont(n, 0.5) AS mn FROM trait GROUP BY ALL), dv AS (SELECT tree_id, quantile_cont(abs(value - m), 0.5) AS mad FROM trait JOIN q USING (tree_id) GROUP BY ALL),
 sc AS (SELECT tree_id, round(greatest(1.4826 * round(mad, 6), (b - a) / 2.563, 1e-9), 6) AS scale, mn FROM q JOIN dv USING (tree_id)),

@@ -390,3 +390,20 @@ def test_best_pairs_need_not_all_pairs(spark):
     key = lambda df: sorted(map(tuple, df.select("tree_id", "threshold", "conv", "ctrl", "mrca", "dist").collect()))
     every = key(pairs.greedy_select(pairs.pct_candidates(pheno, anc).filter("pct > 0"), anc, thresholds))
     assert every and key(pairs.pct_select(pheno, anc, nodes, ladder)) == every
+
+
+def test_random_sets_of_a_clade(spark):
+    """Each set draws from both sides, sets differ by their seed alone, and clades without a side have no row."""
+    edges = [(1, 10, k) for k in range(1, 7)] + [(1, 20, k) for k in range(7, 9)]
+    anc = spark.createDataFrame([(t, a, n) for t, a, n in edges], "tree_id long, anc_id long, node_id long")
+    labels = {1: 1, 2: 1, 3: 1, 4: -1, 5: -1, 6: 0, 7: 1, 8: 1}
+    traits = spark.createDataFrame([(1, k, v) for k, v in labels.items()] + [(1, 1, 1)], "tree_id long, node_id long, label int")
+    clades = spark.createDataFrame([(1, 10), (1, 10), (1, 20)], "tree_id long, mrca long")
+    draw = lambda n, seed, more=3: {r["set_id"] + seed: (r["mrca"], r["conv"], r["ctrl"]) for r in pairs.random_sets(clades, anc, traits, n, seed, more).collect()}
+    sets = draw(40, 5)
+    assert set(sets) == set(range(5, 45)) and {x[0] for x in sets.values()} == {10}
+    assert all(sorted(x[1]) == [1, 2, 3] and sorted(x[2]) == [4, 5] for x in sets.values())
+    assert {x[1][0] for x in sets.values()} == {1, 2, 3} and {x[2][0] for x in sets.values()} == {4, 5}
+    later = draw(2, 30, 0)
+    assert later == {k: (10, sets[k][1][:1], sets[k][2][:1]) for k in (30, 31)}
+    assert pairs.random_sets(clades.limit(0), anc, traits, 3).count() == 0
