@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.sitecount import flag_sites, pair_sites, site_counts
+from ..operators.sitecount import gene_counts, paired_genes
 from ..sources.alignments import GLOB, parse_alignments
 
 
@@ -18,7 +18,7 @@ def stream_site_counts(spark: SparkSession, path: str, combo: DataFrame, outgrou
     files = files.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
     def count(batch: DataFrame, epoch: int) -> None:
-        counts = site_counts(flag_sites(pair_sites(parse_alignments(batch, "site_counter"), combo, outgroup)))
+        counts = gene_counts(paired_genes(parse_alignments(batch, "site_counter"), combo, outgroup))
         counts.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out)
 
     return files.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
