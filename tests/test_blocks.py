@@ -78,3 +78,13 @@ def test_blocks_cut_long_genes(tables, monkeypatch):
     found = list(B.blocks(batch))
     assert len(found) == 3 and [x for b in found for x in zip(b.row.tolist(), b.pos.tolist(), strict=True)] == [(0, i) for i in range(5)] + [(2, i) for i in range(3)]
     assert ["".join(b.residue(c) for b in found for c in b.res[s]) for s in (0, 1)] == ["ABCDExyz", "ABzyx"]
+
+
+def test_randomized_sequences(spark, tables):
+    from cladewise.operators import design
+
+    filled = sites.fill_species(*tables)
+    number = F.substring("gene", 2, 2).cast("long")
+    each = design.pair_randomize(sites.explode_sites(filled), number, 3, 5).select("gene", "combo_idx", "rep", "pos", F.posexplode("res").alias("slot", "x"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda x: x["x"]), "")
+    same(design.randomized_sequences(filled, number, 3, 5), each.groupBy("gene", "combo_idx", "rep", "slot").agg(text.alias("seq")))
