@@ -24,7 +24,7 @@ def exclude_training(hits: DataFrame, training: DataFrame) -> DataFrame:
 def score_inputs(coef: DataFrame, features: DataFrame, combo: DataFrame) -> DataFrame:
     """``(combo_idx, run, slot, weight)``: coefficients at the slots of their (cancelled) features."""
     slots = features.withColumn("slot", F.explode(slots_of(F.col("mask"), dict(features.dtypes)["mask"].startswith("array"))))
-    return coef.join(slots, ["combo_idx", "gene", "pos", "aa"]).select(*RUN, "slot", "weight")
+    return coef.hint("merge").join(slots, ["combo_idx", "gene", "pos", "aa"]).select(*RUN, "slot", "weight")
 
 
 def species_scores(hits: DataFrame, models: DataFrame) -> DataFrame:
