@@ -361,7 +361,7 @@ UNION ALL SELECT DISTINCT 'note_' || tree_id || '.nwk', 'no tree', NULL, NULL, N
 def s10(s, d):
     """Each nation's tree as a file, Newick or NEXUS, read back with all its nodes; files of prose are rows with a reason."""
     from ..sources import alignments, trees
-    from ..sources.tables import name_files, shared_folder
+    from ..sources.tables import shared_folder, write_named
 
     nodes, folder = A.trees(s, d), shared_folder(s)
     text = trees.newick_texts(nodes)
@@ -369,7 +369,6 @@ def s10(s, d):
     nexus = F.concat(F.lit("#NEXUS\nBegin trees;\n  tree one = [&R] "), "newick", F.lit("\nEnd;"))
     files = text.select(F.concat(name("tree_"), F.when(even, ".nwk").otherwise(".nex")).alias("file"), F.when(even, F.col("newick")).otherwise(nexus).alias("value"))
     notes = nodes.select("tree_id").distinct().select(F.concat(name("note_"), F.lit(".nwk")).alias("file"), F.lit("this is not a tree").alias("value"))
-    files.unionByName(notes).write.partitionBy("file").text(folder)
-    name_files(s, folder, "")
+    write_named(files.unionByName(notes), folder)
     rows = trees.parse_tree_files(alignments.read_files(s, folder, "*.{nwk,nex}"))
     return rows.select("file", "fault", "name", F.round("branch_length", 3).alias("branch_length"), "depth")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .tables import empty_files, file_name, file_system, name_files
+from .tables import empty_files, file_name, file_system, write_named
 
 GLOB = "*.{fas,fasta,fa,faa,FAS,FASTA,FA,FAA}"
 
@@ -36,13 +37,14 @@ def parse_alignments(files: DataFrame, policy: str = "model") -> DataFrame:
         seq = F.max_by("seq", "no")
     else:
         seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "seq"))), lambda x: x["seq"]), "")
-    aln = rows.groupBy("gene", "species").agg(seq.alias("seq")).withColumn("seq_len", F.length("seq"))
+    # Dealt by gene, sequences are shuffled once for both groupings.
+    aln = rows.repartition("gene").groupBy("gene", "species").agg(seq.alias("seq")).withColumn("seq_len", F.length("seq"))
     if policy != "model":
         return aln
-    sizes = aln.groupBy("gene").agg(F.min("seq_len").alias("a"), F.max("seq_len").alias("b"))
-    wrong = F.concat(F.lit("sequences of different sizes in "), F.col("gene"))
-    checked = aln.join(sizes, "gene").withColumn("seq_len", F.when(F.col("a") == F.col("b"), F.col("seq_len")).otherwise(F.raise_error(wrong).cast("int")))
-    return checked.select("gene", "species", "seq", "seq_len")
+    gene = Window.partitionBy("gene")
+    wrong = F.raise_error(F.concat(F.lit("sequences of different sizes in "), F.col("gene"))).cast("int")
+    sizes = aln.withColumn("a", F.min("seq_len").over(gene)).withColumn("b", F.max("seq_len").over(gene))
+    return sizes.select("gene", "species", "seq", F.when(F.col("a") == F.col("b"), F.col("seq_len")).otherwise(wrong).alias("seq_len"))
 
 
 def read_alignments(spark: SparkSession, path: str, policy: str = "model", glob: str = GLOB) -> DataFrame:
@@ -57,16 +59,14 @@ def to_two_line(aln: DataFrame) -> DataFrame:
 
 def write_alignments(aln: DataFrame, path: str) -> None:
     """Two-line files ``<gene>.fas``."""
-    to_two_line(aln).write.mode("overwrite").partitionBy("gene").text(path)
-    name_files(aln.sparkSession, path, ".fas")
+    write_named(to_two_line(aln).select(F.concat("gene", F.lit(".fas")).alias("file"), "value"), path)
 
 
 def write_cancelled(sequences: DataFrame, path: str) -> None:
     """``sequences(combo_idx, gene, species, seq)``, gaps cancelled, as two-line files ``combo_<i>/<gene>.fas``."""
     ordered = F.array_sort(F.collect_list(F.struct("slot", F.concat(F.lit(">"), "species", F.lit("\n"), "seq").alias("t"))))
     text = sequences.groupBy("combo_idx", "gene").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("value"))
-    text.withColumn("combo", F.concat(F.lit("combo_"), F.col("combo_idx").cast("string"))).drop("combo_idx").write.mode("overwrite").partitionBy("combo", "gene").text(path)
-    name_files(sequences.sparkSession, path, ".fas")
+    write_named(text.select(F.concat(F.lit("combo_"), F.col("combo_idx").cast("string"), F.lit("/"), "gene", F.lit(".fas")).alias("file"), "value"), path)
 
 
 def read_cancelled(spark: SparkSession, path: str) -> DataFrame:
@@ -86,10 +86,7 @@ def convert_folder(spark: SparkSession, path: str, out: str, glob: str = GLOB) -
     where = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^[a-z]+:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
     files = whole.select(F.substring(where, F.lit(len(root) + 2), F.length(where)).alias("file"), F.col("value").alias("text"))
     text = to_two_line(parse_alignments(files, "site_counter"))
-    folder = F.regexp_extract("gene", "^(.*)/[^/]*$", 1)
-    parted = text.select(F.when(folder == "", ".").otherwise(folder).alias("folder"), F.regexp_extract("gene", "([^/]*)$", 1).alias("name"), "value")
-    parted.write.mode("overwrite").partitionBy("folder", "name").text(out)
-    name_files(spark, out, ".fas")
+    write_named(text.select(F.concat("gene", F.lit(".fas")).alias("file"), "value"), out)
 
 
 def check_two_line(files: DataFrame) -> DataFrame:

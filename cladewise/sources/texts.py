@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranks import value_counts
-from .tables import file_name, name_files
+from .tables import file_name, write_named
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -153,11 +153,11 @@ def write_models(coef: DataFrame, models: DataFrame, path: str, base: str = "mod
     line = F.concat(F.concat_ws("_", "gene", F.col("pos").cast("string"), "aa"), F.lit("\t"), number(F.col("weight")))
     body = coef.filter("weight <> 0").groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gene", "pos", "aa", line.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
     whole = models.join(body, key, "left").select(
-        F.concat(F.lit(f"{base}_combo_"), F.col("combo_idx").cast("string"), F.lit("_l1_"), tag(F.col("lambda1")), F.lit("_l2_"), tag(F.col("lambda2")), F.lit("_out_feature_weights")).alias("file"),
+        F.concat(F.lit(f"{base}_combo_"), F.col("combo_idx").cast("string"), F.lit("_l1_"), tag(F.col("lambda1")), F.lit("_l2_"), tag(F.col("lambda2")), F.lit("_out_feature_weights.txt")).alias("file"),
         F.concat_ws("\n", "body", F.concat(F.lit("Intercept\t"), number(F.col("intercept")))).alias("value"),
     )
-    whole.write.mode("overwrite").partitionBy("file").text(path)
-    name_files(coef.sparkSession, path, ".txt")
+    # Penalties that are alike to five places share a name.
+    write_named(whole.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("value")), "\n").alias("value")), path)
 
 
 def read_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
