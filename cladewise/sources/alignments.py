@@ -30,10 +30,11 @@ def parse_alignments(files: DataFrame, policy: str = "model") -> DataFrame:
         none = F.raise_error(F.concat(F.lit("no sequence in "), F.col("file"))).cast("array<string>")
         found = F.when(F.size(found) == 0, none).otherwise(found)
     records = files.select(stem.alias("gene"), F.posexplode(found).alias("no", "record"))
-    body = F.regexp_replace(F.regexp_replace("record", r"^[^\n]*", ""), r"\s", "")
-    rows = records.select("gene", "no", F.trim(F.element_at(F.split("record", r"\r?\n"), 1)).alias("species"), body.alias("seq"))
+    lines = F.split("record", r"\r?\n", 2)  # the header, all else
+    body = F.regexp_replace(F.coalesce(F.get(lines, 1), F.lit("")), r"\s", "")
+    rows = records.select("gene", "no", F.trim(F.get(lines, 0)).alias("species"), body.alias("seq"))
     if policy == "model":
-        rows = rows.withColumn("seq", F.translate(F.upper("seq"), "?", "-"))
+        rows = rows.withColumn("seq", F.replace(F.upper("seq"), F.lit("?"), F.lit("-")))
         seq = F.max_by("seq", "no")
     else:
         seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "seq"))), lambda x: x["seq"]), "")
