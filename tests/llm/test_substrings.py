@@ -118,3 +118,27 @@ def test_intervals_give_sorted_contexts_and_common_prefixes():
         for (_, a, _, _), rows in windows.items():
             wanted[rows, a] = len(rows) > 1
         assert (found == wanted).all()
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """Of one large partition too; the session's own setting is as it was afterwards."""
+    kind, name = type(spark.range(0)), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    plain, had = kind.mapInArrow, spark.conf.get(name)
+
+    def watched(self, func, *a, **b):
+        def small(batches):
+            def told():
+                for batch in batches:
+                    if batch.num_rows > 1000:
+                        raise ValueError(f"{batch.num_rows} rows at once")
+                    yield batch
+
+            return func(told())
+
+        return plain(self, small, *a, **b)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    docs = spark.range(0, 2500, 1, 1).selectExpr("id AS doc_id", "repeat(sha2(string(id % 2499), 256), 7) AS text")
+    out = substrings.remove_repeats(docs).groupBy("n_removed").count().collect()
+    assert int(had) > 1000 and spark.conf.get(name) == had
+    assert sorted(map(tuple, out)) == [(0, 2498), (448, 2)]
