@@ -94,3 +94,65 @@ def test_without_features(spark):
     f, combo, weights, grid = problem(spark)
     models, coef = fit.fit_models(f.limit(0), combo, weights, grid)
     assert models.count() == 0 and coef.count() == 0
+
+
+@pytest.mark.parametrize("continuous, maxiter, near", [(False, 40, 1e-8), (True, 40, 1e-8), (False, 3000, 1e-4)])
+def test_genes_near_the_gradient_fit_like_all(spark, continuous, maxiter, near, monkeypatch):
+    """A design that one task can't hold: in each round only genes that may get a coefficient go to a task, and models are the same."""
+    f, combo, weights, _ = problem(spark, 8, 60, seed=11)
+    grid = spark.createDataFrame([(a, b) for a in (0.5, 0.7) for b in (0.4, 0.8)], GRID)
+    if continuous:
+        combo = combo.withColumn("y", F.sin(F.col("slot") * 2.5 + 1) + F.col("combo_idx"))
+    n = f.select("combo_idx", "gene", "mask").distinct().groupBy("combo_idx").count().agg(F.min("count")).first()[0]
+    one = rows_of(fit.fit_models(f, combo, weights, grid, continuous, maxiter))
+    monkeypatch.setattr(fit, "_fit_block", None)  # no step is a job of its own
+    kept = rows_of(fit.fit_models(f, combo, weights, grid, continuous, maxiter, masks_in_task=n - 1))
+    assert len(one[0]) == 16 and set(one[0]) == set(kept[0]) and set(one[1]) == set(kept[1]) and one[1]
+    for a, b in zip(one, kept, strict=True):
+        for k, v in a.items():
+            assert np.allclose(v, b[k], rtol=0, atol=near)
+
+
+@pytest.mark.parametrize("continuous", [False, True])
+def test_steps_near_the_gradient_are_those_over_all_genes(continuous):
+    """To the end and to the least: many genes are near the gradient in the first steps and hold the step size down later."""
+    rng = np.random.default_rng(4)
+    genes = np.sort(rng.integers(0, 4000, 60000))
+    masks, weight, y = rng.integers(3, 256, 60000), rng.integers(3, 30, 4000).astype(float), np.array([1.0, -1.0] * 4) if not continuous else np.sin(np.arange(8) * 2.5 + 1)
+    design = fit.Genes(masks, genes, weight, 8)
+    first = fit.first_gradient(y, continuous)
+    l1 = 0.4 * np.abs(design.back(first)).max()
+    l2 = 0.3 * design.most(l1, first)
+    asked, zero = fit.descent(y, continuous, 60), np.zeros(60000)
+    trial, beta, prev = next(asked), zero, zero
+    try:
+        while True:
+            new, s, g = design.step((beta, prev), trial, l1, l2)
+            later = asked.send(design.sums(new, s, g))
+            if later.b is not trial.b:
+                beta, prev = new, beta
+            trial = later
+    except StopIteration as end:
+        intercept = end.value.intercept
+    got, c, _ = fit._descend(design, y, l1, l2, continuous, 60, True)
+    assert np.count_nonzero(new) and np.allclose(got, new, rtol=0, atol=1e-9) and abs(c - intercept) < 1e-9
+    got, c, scores = fit._descend(design, y, l1, l2, continuous, 4000, True)
+    g = design.back(scores - y if continuous else -y / 8 / (1 + np.exp(y * (scores + c))))
+    norm = design.norms(got)[design.group]
+    zero_genes = design.norms(np.maximum(np.abs(g) - l1, 0)) - l2 * design.weight
+    on = got != 0
+    pull = np.abs(g + l1 * np.sign(got) + l2 * design.weight[design.group] * got / np.where(on, norm, 1))
+    assert on.any() and pull[on].max() < 1e-3 * l1 and zero_genes[design.norms(got) == 0].max() < 1e-3 * l1
+
+
+def test_one_pass_makes_features_sizes_and_kinds(spark):
+    from cladewise.plans import adapters as A
+
+    filled = sites.fill_species(A.alignment(spark, "/root/testdata/sf0.001"), A.combos(spark), A.OUTGROUP)
+    for cancel in (None, {"only_partner": True}):
+        held = sites.feature_lists(filled, cancel=cancel)
+        want = sites.gene_features(filled, cancel=cancel)
+        table = lambda d: sorted(map(tuple, d.collect()), key=str)
+        assert table(held.select("combo_idx", "gene", F.inline("features"))) == table(want) != []
+        assert table(held.select("combo_idx", "gene", "n_features", "var_sites")) == table(sites.gene_sizes(filled, cancel=cancel))
+        assert table(held.select("combo_idx", "gene", "kinds")) == table(fit.feature_kinds(want))
