@@ -42,3 +42,29 @@ def with_ranks(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     avg = F.col("below") + (F.col("ties") + 1) / 2
     ranks = counts.select(*keys, column, avg.alias("avg_rank"), (avg / F.col("total")).alias("pct_rank"), ((2 * F.col("below") + F.col("ties")) / (2 * F.col("total"))).alias("centred_pct"))
     return df.join(ranks, [*keys, column], "left")
+
+
+def quantiles(df: DataFrame, keys: list[str], column: str, shares: list[float]) -> DataFrame:
+    """``(keys, q)``: the exact quantiles of a column by group, between neighbours by their distance, as ``percentile`` gives them.
+
+    Values are counted first and dealt by group and range, so no group's values meet in one task or map; a range
+    starts where the counts of its group's ranges before it end."""
+    by = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("ties"))
+    ranges = checkpointed(by.repartitionByRange(*keys, "__v").withColumn("part", F.spark_partition_id()))
+    sizes = ranges.groupBy(*keys, "part").agg(F.sum("ties").alias("n"))  # a row for each group and range
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select(*keys, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"), F.sum("n").over(Window.partitionBy(*keys)).alias("total"))
+    inside = Window.partitionBy(*keys, "part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.withColumn("inside", F.coalesce(F.sum("ties").over(inside), F.lit(0))).join(ahead, [*keys, "part"])
+    below = F.col("inside") + F.col("ahead")
+    found = []
+    for i, share in enumerate(shares):
+        at = F.lit(float(share)) * (F.col("total") - 1)
+        held = lambda k, below=below: (below <= k) & (k < below + F.col("ties"))
+        found += [F.max(F.when(held(end), F.col("__v"))).alias(f"{name}{i}") for name, end in (("low", F.floor(at)), ("high", F.ceil(at)))]
+    ends = placed.groupBy(*keys).agg(F.first("total").alias("total"), *found)
+    between = []
+    for i, share in enumerate(shares):
+        at, low, high = F.lit(float(share)) * (F.col("total") - 1), F.col(f"low{i}"), F.col(f"high{i}")
+        between.append(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
+    return ends.select(*keys, F.array(*between).alias("q"))

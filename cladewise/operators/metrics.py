@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranks import value_counts, with_ranks
+from ..functions.ranks import quantiles, value_counts, with_ranks
 
 
 def clip_sps(prediction: DataFrame) -> DataFrame:
@@ -120,10 +120,11 @@ def histogram_auto(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
 
     Positive values over two decades or more have bins at equal ratios, 15 edges a decade and 20 to 60 in all. Others
     have equal bins as wide as the less of Sturges' width and, unless it is 0, that of Freedman and Diaconis. One
-    aggregate gives the range, quartiles and count; a second pass counts."""
+    aggregate gives the range and count, counted values give the quartiles; a last pass counts."""
     v = F.col(column)
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))
-    shape = df.groupBy(*keys).agg(F.count(column).alias("k"), F.min(column).alias("a"), F.max(column).alias("b"), q.alias("q"))
+    shape = df.groupBy(*keys).agg(F.count(column).alias("k"), F.min(column).alias("a"), F.max(column).alias("b"))
+    q = quantiles(df, keys, column, [0.25, 0.75])
+    shape = shape.join(q, keys, "left") if keys else shape.join(q, how="left")
     decades = F.when(F.col("a") > 0, F.log10("b") - F.log10("a")).otherwise(0.0)
     spread = F.col("b") - F.col("a")
     sturges, fd = spread / (F.log2(F.col("k").cast("double")) + 1), 2 * (F.col("q")[1] - F.col("q")[0]) / F.pow(F.col("k").cast("double"), F.lit(1 / 3))
